@@ -2,6 +2,43 @@
 
 from __future__ import annotations
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+_OP2 = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s
+  FROM words WHERE len(w) > 0),
+distinct_sets AS (SELECT min(doc_id) AS id, list_sort(s) AS s FROM sets GROUP BY list_sort(s)),
+shingles AS (SELECT id, len(s) AS n, unnest(s) AS x FROM distinct_sets),
+links AS (
+  SELECT a.id AS a, b.id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.id <> b.id
+  AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT id AS a, id AS b FROM distinct_sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_of AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+member AS (SELECT s.doc_id, len(s.s) AS n, l.component_id FROM sets s JOIN distinct_sets d ON list_sort(s.s) = d.s JOIN least_of l ON l.a = d.id)
+SELECT w.doc_id, coalesce(m.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, w.doc_id) AS component_id, coalesce(m.component_id, w.doc_id) = w.doc_id AS kept
+FROM words w LEFT JOIN member m USING (doc_id)
+"""
+
+_OP9 = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, {_ALNUM} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS p
+  FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+words AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM windows)),
+found AS (SELECT p.doc_id, p.i, p.n, x.item FROM places p JOIN windows x ON x.n = p.n AND x.p = array_to_string(list_slice(p.w, p.i, p.i + p.n - 1), ' ')),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
+FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_minhash_near_dedup": _OP2, "op9_benchmark_decontamination": _OP9}

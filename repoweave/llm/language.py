@@ -166,7 +166,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def with_known_language(docs: DataFrame, min_score: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def with_known_language(docs: DataFrame, min_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs' rows whose language is recognised: not `und`, and score at least min_score. It learns from docs' own labels outside held_out."""
     model = train(docs.where(~held_out(id_col)), text_col=text_col, lang_col=lang_col)
     good = predict(docs, model, id_col, text_col).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("o", "k")

@@ -39,6 +39,41 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+_OP6 = r"""
+WITH parsed AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(said, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+  SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(said, length(h || p)) AS ruling
+  FROM parsed JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+ruled AS (
+  SELECT parsed.*, rule, ruling,
+    regexp_replace(translate(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '123456789', '000000000'), '(?s)[^a-z0/.-]', '_', 'g') || '^' AS plain
+  FROM parsed LEFT JOIN fits USING (r)),
+chars AS (SELECT r, ruling, i, instr('abcdefghijklmnopqrstuvwxyz0/.-_^', substr(plain, i, 1)) - 1 AS c
+  FROM (SELECT r, ruling, plain, unnest(range(1, length(plain) + 1)) AS i FROM ruled)),
+triples AS (SELECT r, ruling, coalesce(lag(c, 2) OVER w, 31) AS p, coalesce(lag(c, 1) OVER w, 31) AS q, c FROM chars WINDOW w AS (PARTITION BY r ORDER BY i)),
+cells AS (SELECT p.i AS p, q.i AS q, c.i AS c FROM range(32) p(i), range(32) q(i), range(32) c(i)),
+seen AS (SELECT p, q, c, count(*) FILTER (ruling = 'allow') AS a, count(*) FILTER (ruling = 'block') AS b FROM triples WHERE ruling IS NOT NULL GROUP BY ALL),
+counted AS (SELECT p, q, c, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM cells LEFT JOIN seen USING (p, q, c)),
+sums AS (SELECT *, sum(a) OVER () AS a_all, sum(a) OVER (PARTITION BY c) AS a_c, sum(a) OVER (PARTITION BY q, c) AS a_qc, sum(a) OVER (PARTITION BY q) AS a_q, sum(a) OVER (PARTITION BY p, q) AS a_pq,
+  sum(b) OVER () AS b_all, sum(b) OVER (PARTITION BY c) AS b_c, sum(b) OVER (PARTITION BY q, c) AS b_qc, sum(b) OVER (PARTITION BY q) AS b_q, sum(b) OVER (PARTITION BY p, q) AS b_pq FROM counted),
+model AS (SELECT p, q, c, round((
+    ln((a + 4e0 * ((a_qc + 4e0 * ((a_c + 0.125e0) / (a_all + 4e0))) / (a_q + 4e0))) / (a_pq + 4e0))
+  - ln((b + 4e0 * ((b_qc + 4e0 * ((b_c + 0.125e0) / (b_all + 4e0))) / (b_q + 4e0))) / (b_pq + 4e0))) * 1000000)::BIGINT AS ratio FROM sums),
+scored AS (SELECT r, any_value(ruling) AS ruling, floor(sum(ratio)::DOUBLE / count(*))::BIGINT AS score FROM triples JOIN model USING (p, q, c) GROUP BY r),
+stepped AS (SELECT *, greatest(-1000, least(1000, floor(score / 10000.0)::BIGINT)) AS step FROM scored),
+steps AS (SELECT step, count(*) FILTER (ruling = 'allow') AS a, count(*) FILTER (ruling = 'block') AS b FROM stepped WHERE ruling IS NOT NULL GROUP BY step),
+good AS (SELECT step, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b,
+  (all_a - coalesce(sum(a) OVER w, 0)) * all_b + coalesce(sum(b) OVER w, 0) * all_a AS good
+  FROM steps WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+least_step AS (SELECT (SELECT step FROM good WHERE all_a > 0 AND all_b > 0 ORDER BY good DESC, abs(step), step LIMIT 1) AS t)
+SELECT page_id, host, path, rule, coalesce(ruled.ruling, CASE WHEN t IS NULL OR step >= t THEN 'allow' ELSE 'block' END) AS verdict, score
+FROM ruled JOIN stepped USING (r), least_step
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": _OP2, "op9_benchmark_decontamination": _OP9}
+    return {"op2_minhash_near_dedup": _OP2, "op6_url_filter": _OP6, "op9_benchmark_decontamination": _OP9}

@@ -75,5 +75,17 @@ FROM ruled JOIN stepped USING (r), least_step
 """
 
 
+_OP7 = """
+WITH sizes AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM documents),
+levels AS (SELECT DISTINCT h, depth, h >> (60 - depth) AS bucket FROM sizes, (SELECT unnest(range(0, 61))::INT AS depth)),
+buckets AS (
+  SELECT depth, h >> (60 - depth) AS bucket, sum(n_bytes)::BIGINT AS shard_bytes FROM sizes, (SELECT unnest(range(0, 61))::INT AS depth)
+  GROUP BY ALL HAVING sum(n_bytes) <= 1048576 OR min(h) = max(h)),
+fit AS (SELECT h, min(depth) AS depth FROM levels JOIN buckets USING (depth, bucket) GROUP BY h)
+SELECT doc_id, n_bytes, fit.depth::BIGINT AS depth, substr(lpad(bin(h), 60, '0'), 1, fit.depth) AS shard, shard_bytes, shard_bytes <= 1048576 AS fits
+FROM sizes JOIN fit USING (h) JOIN buckets ON buckets.depth = fit.depth AND buckets.bucket = h >> (60 - fit.depth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": _OP2, "op6_url_filter": _OP6, "op9_benchmark_decontamination": _OP9}
+    return {"op2_minhash_near_dedup": _OP2, "op6_url_filter": _OP6, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9}

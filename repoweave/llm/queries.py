@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linedup, minhash, packing, urlfilter
-from .common import LOWEST
-
+from . import decontaminate, fingerprint, language, linedup, minhash, packing, sharding, urlfilter
+from .common import LOWEST, stored
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _doc_id():
+    return F.when(F.col("o") != LOWEST, F.col("o")).alias("doc_id")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -22,7 +25,13 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.deduplicated(_table(spark, sf_dir, "documents"))
-    return found.select(F.when(F.col("o") != LOWEST, F.col("o")).alias("doc_id"), "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+    return found.select(_doc_id(), "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op4_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = fingerprint.groups(docs, stored(fingerprint.edited(docs), "prints"))
+    return found.select(_doc_id(), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +44,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(_table(spark, sf_dir, "pages"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"), limit=1 << 20)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.predict(docs, language.train(docs.where(~language.held_out())))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, linedup, minhash, packing, sharding, urlfilter
+from . import decontaminate, fingerprint, language, license, linedup, minhash, packing, sharding, urlfilter
 from .common import LOWEST, stored
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _doc_id():
     return F.when(F.col("o") != LOWEST, F.col("o")).alias("doc_id")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.digest(license.scan(_table(spark, sf_dir, "documents")))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")

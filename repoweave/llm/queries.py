@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, license, linedup, minhash, packing, sharding, urlfilter
+from . import decontaminate, fingerprint, language, license, linedup, minhash, packing, pii, sharding, urlfilter
 from .common import LOWEST, stored
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +65,9 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.found(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

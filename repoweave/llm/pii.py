@@ -27,14 +27,14 @@ BASE = {
 #: Further kinds that only the method finds.
 ADDED = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "tel": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "tel": r"(?<![0-9+(.-])(?<!\+[0-9]{1,3}[\x20.-]?)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "name": r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}+(?:[\x20-]\p{Lu}\p{Ll}+){0,2}",
-    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[_-](?:live[_-]|test[_-])?[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
+    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[_-](?:live[_-]|test[_-])?[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})|(?<=(?:key|token|secret|passwor?d)[\"']?\x20?[:=]\x20?[\"']?)[A-Za-z0-9+/_-]{12,}",
 }
 KINDS = (*BASE, *ADDED)
 #: What a text must have for a kind's expression to run.
-_GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "ssn": "[0-9]-[0-9]", "tel": r"[0-9][)\x20.-]", "iban": "[A-Z]{2}[0-9]{2}", "name": r"[rseauz]\.?\x20\p{Lu}", "secret": "AKIA|gh[pousr]_|sk[_-]|eyJ"}
+_GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "ssn": "[0-9]-[0-9]", "tel": r"[0-9][)\x20.-]", "iban": "[A-Z]{2}[0-9]{2}", "name": r"[rseauz]\.?\x20\p{Lu}", "secret": "AKIA|gh[pousr]_|sk[_-]|eyJ|key|token|secret|passwor?d"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Gazetteers: usual top-level domains, calling codes, IBAN countries, given and family names, issuers' first digits.
 _DOMAINS = "com|org|net|edu|gov|info|io|co|de|fr|es|it|uk|us|ca|au|jp|cn|br|nl|ch|at|be|eu|example"
@@ -50,6 +50,7 @@ _CONTRARY = "version|release|build|isbn|doi|order|invoice|serial|page|pages|pric
 #: Slots of hashed features of a span.
 SLOTS = 1024
 _ROUNDS = 12
+_LEAN = 2.0
 _LABELERS = 6
 
 
@@ -96,7 +97,7 @@ def _votes(kind: str, m: Column, before: Column, after: Column) -> Column:
     strict = {"email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@.*\.[A-Za-z]{2,24}$", "ip": r"^(?:[1-9][0-9]{0,2}\.)(?:(?:0|[1-9][0-9]{0,2})\.){2}(?:0|[1-9][0-9]{0,2})$", "card": r"^[0-9]{4}([ -]?)[0-9]{4,6}\1[0-9]{4,5}(?:\1[0-9]{1,7})?$", "phone": r"^\+[1-9]", "ssn": "^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", "tel": r"^\(?[2-9]", "iban": "^[A-Z]{2}[0-9]{2}", "name": r"^\S+ \p{Lu}\p{Ll}{2,}", "secret": "[0-9]"}[kind]
     valid = {"ip": (~m.rlike(r"^(?:0|255)\."), m.rlike(r"^(?:0|255)\.")), "card": (~m.rlike("^0"), m.rlike("^0")), "phone": (F.length(digits).between(10, 13), never), "tel": (F.length(digits) == 10, never)}.get(kind, (never, never))
     gazetteer = {"email": rf"(?i)\.(?:{_DOMAINS})$", "ip": r"^(?:10|127|172|192)\.", "card": "^[3-6]", "phone": rf"^\+(?:{_CALLING})", "iban": f"^(?:{_COUNTRIES})", "name": f"(?:{_NAMES})"}.get(kind)
-    shape = {"email": (6, 64), "ip": (7, 15), "card": (13, 23), "phone": (10, 20), "ssn": (11, 11), "tel": (12, 14), "iban": (15, 42), "name": (5, 40), "secret": (20, 400)}[kind]
+    shape = {"email": (6, 64), "ip": (7, 15), "card": (13, 23), "phone": (10, 20), "ssn": (11, 11), "tel": (12, 14), "iban": (15, 42), "name": (5, 40), "secret": (12, 400)}[kind]
     inside = F.length(m).between(*shape)
     return F.array(
         _vote(m.rlike(strict), ~m.rlike(strict)),
@@ -117,11 +118,15 @@ def _features(kind: str, m: Column, before: Column, after: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> o, and for each kind an array of spans (s, e, votes, features); base kinds' have passed their check."""
+    """docs -> o, and for each kind an array of spans (s, e, votes, features); base kinds' have passed their check, others
+    don't overlap them."""
     rows = docs.select(order_key(id_col).alias("o"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = {k: _spans(F.col("text"), x, _GATES[k]) for k, x in (BASE | ADDED).items()}
-    passed = lambda k, x: F.filter(x, lambda y: _CHECKS[k](y["m"])) if k in BASE else x
-    rows = rows.select("o", "text", *[passed(k, x).alias(k) for k, x in spans.items()])
+    passed = lambda k: F.filter(spans[k], lambda y: _CHECKS[k](y["m"]))
+    rows = rows.select("o", "text", *[passed(k).alias(k) for k in BASE])
+    base = F.concat(*BASE)
+    new = lambda k: F.filter(spans[k], lambda y: ~F.exists(base, lambda b: (b["s"] < y["e"]) & (y["s"] < b["e"])))
+    rows = rows.select("*", *[new(k).alias(k) for k in ADDED])
 
     def judged(kind: str) -> Column:
         def one(x):
@@ -134,34 +139,37 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("o", *[judged(k).alias(k) for k in KINDS])
 
 
-def reliabilities(votes: DataFrame) -> tuple[float, list[list[float]], list[list[float]]]:
-    """votes (votes, an array) of all candidates -> the share of true spans and, for either class, each labeler's chances of -1, 0, 1.
+def reliabilities(votes: DataFrame) -> list[float]:
+    """votes (votes, an array) of all candidates -> the share of true spans, then for either class each labeler's chance of a vote for.
 
-    Dawid and Skene's estimate, begun from the majority. Each round sums over
-    the patterns of votes, whose number doesn't grow with the corpus.
+    Dawid and Skene's estimate, begun from the majority; no vote is no
+    evidence. Each round sums over the patterns of votes, whose number doesn't
+    grow with the corpus.
     """
-    patterns = stored(votes.groupBy("votes").agg(F.count("*").alias("n")), "votes")
+    patterns = stored(votes.groupBy("votes").agg(F.count("*").cast("double").alias("n")), "votes")
     posterior = 1 / (1 + F.exp(-F.aggregate("votes", F.lit(0.0), lambda a, v: a + v)))
-    share, yes, no = 0.5, [[1 / 3] * 3] * _LABELERS, [[1 / 3] * 3] * _LABELERS
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    weights = (F.col("n") * F.col("q"), F.col("n") * (1 - F.col("q")))
+    voted = [total(F.when(when, w)) for w in weights for j in range(_LABELERS) for when in (F.col("votes")[j] == 1, F.col("votes")[j] != 0)]
+    model = []
     for _ in range(_ROUNDS):
-        q = patterns.withColumn("q", posterior)
-        cells = [(j, v) for j in range(_LABELERS) for v in (-1, 0, 1)]
-        voted = lambda j, v, w: F.coalesce(F.sum(F.when(F.col("votes")[j] == v, w)), F.lit(0.0))
-        sums = q.agg(F.coalesce(F.sum(F.col("n") * F.col("q")), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0)), *[voted(j, v, F.col("n") * F.col("q")) for j, v in cells], *[voted(j, v, F.col("n") * (1 - F.col("q"))) for j, v in cells]).first()
-        true, total = sums[0], sums[1]
-        share = (true + 1) / (total + 2)
-        yes = [[(sums[2 + 3 * j + i] + 1) / (true + 3) for i in range(3)] for j in range(_LABELERS)]
-        no = [[(sums[20 + 3 * j + i] + 1) / (total - true + 3) for i in range(3)] for j in range(_LABELERS)]
-        posterior = posterior_of(share, yes, no, "votes")
-    return share, yes, no
-
-
-def posterior_of(share: float, yes: list[list[float]], no: list[list[float]], votes: str) -> Column:
-    """The chance that a span with these votes is true."""
-    def likelihood(prior, table):
-        return reduce(lambda a, j: a * F.element_at(F.array(*[F.lit(x) for x in table[j]]), F.col(votes)[j] + 2), range(_LABELERS), F.lit(prior))
-
-    a, b = likelihood(share, yes), likelihood(1 - share, no)
+        sums = patterns.select("votes", "n", posterior.alias("q")).agg(*[total(w) for w in weights], *voted).first()
+        for_, any_ = sums[2::2], sums[3::2]
+        chances = [(x + (2 if i < _LABELERS else 1)) / (y + 3) for i, (x, y) in enumerate(zip(for_, any_, strict=True))]
+        model = [(sums[0] + 1) / (sums[0] + sums[1] + 2), *chances]
+        posterior = posterior_of(model, "votes")
+    return model
+
+
+def posterior_of(model: list[float], votes: str) -> Column:
+    """The chance that a span with these votes is true; model as reliabilities gives it."""
+    table = F.array(*[F.lit(x) for x in model])
+
+    def likelihood(prior, first):
+        chance = lambda j: F.element_at(table, F.lit(first + j + 1))
+        return reduce(lambda a, j: a * F.when(F.col(votes)[j] > 0, chance(j)).when(F.col(votes)[j] < 0, 1 - chance(j)).otherwise(1.0), range(_LABELERS), prior)
+
+    a, b = likelihood(F.element_at(table, F.lit(1)), 1), likelihood(1 - F.element_at(table, F.lit(1)), 1 + _LABELERS)
     return a / (a + b)
 
 
@@ -171,7 +179,10 @@ def classifier(labelled: DataFrame) -> DataFrame:
     slots = labelled.select("q", F.explode("features").alias("slot")).groupBy("slot").agg(F.sum("q").alias("a"), F.sum(1 - F.col("q")).alias("b"))
     one = labelled.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left").fillna(0.0)
     total = whole.select(F.struct("a", "b").alias("t"))
-    one = one.withColumn("t", total.scalar()).select("slot", (F.log((F.col("a") + 1) / (F.col("t.a") + 2)) - F.log((F.col("b") + 1) / (F.col("t.b") + 2))).alias("w"), F.log((F.col("t.a") + 1) / (F.col("t.b") + 1)).alias("prior"))
+    share = (F.col("a") + F.col("b")) / (F.col("t.a") + F.col("t.b"))  # either class leans on it, as if it had been seen _LEAN times
+    chance = lambda c: F.log((F.col(c) + _LEAN * share) / (F.col(f"t.{c}") + _LEAN))
+    weight = F.when(F.col("a") + F.col("b") > 0, chance("a") - chance("b")).otherwise(0.0)
+    one = one.withColumn("t", total.scalar()).select("slot", weight.alias("w"), F.log((F.col("t.a") + 1) / (F.col("t.b") + 1)).alias("prior"))
     return one.agg(F.concat(F.array(F.first("prior")), F.transform(F.array_sort(F.collect_list(F.struct("slot", "w"))), lambda x: x["w"])).alias("weights"))
 
 
@@ -186,8 +197,8 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows = stored(candidates(docs, id_col, text_col), "candidates")
     every = rows.select(F.explode(F.concat(*KINDS)).alias("x")).select("x.votes", "x.features")
-    share, yes, no = reliabilities(every)
-    model = stored(classifier(every.withColumn("q", posterior_of(share, yes, no, "votes"))), "pii-classifier")
+    trusted = reliabilities(every)
+    model = stored(classifier(every.withColumn("q", posterior_of(trusted, "votes"))), "pii-classifier")
     rows = rows.withColumn("weights", model.scalar())
     odds = lambda x: F.aggregate(x["features"], F.element_at(F.col("weights"), 1), lambda a, f: a + F.element_at(F.col("weights"), f + 2))
     thin = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))

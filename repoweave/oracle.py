@@ -1 +1,185 @@
-def oracle_sql(): return {}
+"""DuckDB SQL with the same rows as the queries."""
+
+from __future__ import annotations
+
+_PATH = r"regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)?', 1)"
+_PARTS = """parts AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_brand AS language, p_partkey,
+  CASE WHEN p_partkey % 5 = 0 THEN 'class' WHEN p_partkey % 17 = 0 THEN 'artifact' ELSE 'function' END AS component_type FROM part)"""
+_CALLS = """calls AS (SELECT 'p' || a.l_partkey AS caller, 'p' || b.l_partkey AS callee, b.l_linenumber::BIGINT AS line
+  FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber > 1)"""
+_POLICY = """policy AS (SELECT count(*) FILTER (component_type = 'class') AS oop, count(*) FILTER (component_type = 'function') AS functions FROM parts),
+decided AS (SELECT *, oop = 0 OR (oop < 20 AND functions > oop) OR coalesce(functions > 0 AND oop / (oop + functions) < 0.2, false) AS include_functions FROM policy)"""
+_TREE = """tree AS (
+  SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent, [r_name] AS path, 1 AS depth FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, [r_name, n_name], 2 FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, [r_name, n_name, c_name], 3 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_OWNED = """owned AS (
+  SELECT DISTINCT l_partkey AS id, m.path AS module, m.depth AS depth FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey,
+  unnest([{'depth': 1, 'path': r_name}, {'depth': 2, 'path': r_name || '/' || n_name}]) AS u(m) WHERE l_partkey % 3 <> 0)"""
+_NATION_EDGES = "edges AS (SELECT DISTINCT c_nationkey::BIGINT AS caller, (c_custkey * 7 + c_nationkey) % 25 AS callee FROM customer WHERE c_custkey % 11 = 0)"
+_SNAPSHOTS = """old AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS b, o_custkey AS e FROM orders WHERE o_orderkey % 10 <> 0),
+new AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 11 = 0 THEN o_orderpriority || '+' ELSE o_orderpriority END AS b,
+  CASE WHEN o_orderkey % 13 = 0 THEN o_custkey + 1 ELSE o_custkey END AS e FROM orders WHERE o_orderkey % 10 <> 1),
+both_ AS (SELECT old.id AS a, new.id AS z, old.s AS s0, new.s AS s1, old.b AS b0, new.b AS b1, old.e AS e0, new.e AS e1 FROM old FULL JOIN new ON old.id = new.id),
+changes AS (
+  SELECT 'added' AS kind, z AS id FROM both_ WHERE a IS NULL UNION ALL SELECT 'deleted', a FROM both_ WHERE z IS NULL
+  UNION ALL SELECT 'modified_interface', a FROM both_ WHERE s0 <> s1 UNION ALL SELECT 'modified_body', a FROM both_ WHERE s0 = s1 AND b0 <> b1
+  UNION ALL SELECT 'edge_changes', a FROM both_ WHERE e0 <> e1)"""
+_HREF = """unnest(regexp_extract_all(html, '(?i)href=["'']([^"''#]*)', 1))"""
+_EXPECTED = """expected AS (SELECT DISTINCT '/' || regexp_extract(html, '<a href="/([^"]*)"', 1) AS page FROM pages)"""
+_WORDS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+'))"
+#: running text: documents have no markup, so what counts is which lines are left out
+_PROSE = r"""array_to_string(list_filter(regexp_split_to_array({}, '\r?\n'), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(trim(x), '^==.*==$') AND NOT regexp_matches(x, '^\s*[*\->|^]') AND NOT regexp_matches(x, '^\s\s')), chr(10))"""
+_SHOWN = r"regexp_replace(regexp_replace({}, '\*\*|//|__', '', 'g'), '''''', '', 'g')"
+_SCORES = rf"""content AS (SELECT doc_id, '== ' || source || ' ==' || chr(10) || text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '=== More ===' || chr(10) ELSE '' END AS c FROM documents),
+counted AS (SELECT doc_id AS page, {_WORDS.format(_PROSE.format(_SHOWN.format("c")))}::BIGINT AS words, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS headings FROM content),
+scores AS (SELECT page, words, 0::BIGINT AS cjk, headings, array_to_string(list_filter([CASE WHEN headings < 2 THEN 'few headings' END,
+  CASE WHEN words < CASE WHEN page % 5 = 0 THEN 200 ELSE 150 END THEN 'short' END, CASE WHEN page % 3 < least(2, page % 4) THEN 'ungrounded' END], lambda x: x IS NOT NULL), ',') AS errors FROM counted)"""
+_ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+_TITLE = "trim(regexp_extract(html, '<title>([^<\\n]*)', 1), ' =')"
+
+SQL = {
+    "module_edges": """
+WITH edges AS (SELECT DISTINCT 'c' || o_custkey AS caller, 's' || l_suppkey AS callee, o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+pairs AS (SELECT caller, callee, a.n_name AS src, b.n_name AS dst FROM edges JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
+  JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_name <> b.n_name),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY caller, callee) AS n FROM pairs)
+SELECT src, dst, count(*) AS weight, string_agg(caller || ' -> ' || callee, '; ' ORDER BY caller, callee) FILTER (n <= 4) AS evidence FROM ranked GROUP BY src, dst""",
+    "first_references": f"WITH {_CALLS} SELECT caller, callee, min(line) AS line FROM calls WHERE caller <> callee GROUP BY caller, callee",
+    "unique_name_resolution": f"""
+WITH {_PARTS}, k AS (SELECT id, language, split_part(name, ' ', 1) AS key FROM parts)
+SELECT a.id AS ref, min(b.id) AS target FROM k a JOIN k b ON a.language = b.language AND a.key = b.key AND a.id <> b.id GROUP BY a.id HAVING count(DISTINCT b.id) = 1""",
+    "resolved_references": f"WITH {_PARTS} SELECT a.id AS ref, b.id AS target FROM parts a JOIN parts b ON b.p_partkey = a.p_partkey + 1",
+    "depends_on": f"""WITH {_CALLS} SELECT caller AS id, count(DISTINCT callee) AS n, string_agg(DISTINCT callee, ',' ORDER BY callee) AS depends_on FROM calls WHERE caller <> callee GROUP BY caller""",
+    "candidate_policy": f"WITH {_PARTS}, {_POLICY} SELECT * FROM decided",
+    "leaf_demotion": f"""
+WITH {_PARTS}, {_CALLS}, {_POLICY}, wanted AS (SELECT id FROM parts, decided WHERE component_type IN ('artifact', 'class') OR include_functions),
+used AS (SELECT callee FROM calls JOIN parts ON parts.id = caller WHERE component_type <> 'artifact' AND substr(caller, 2)::BIGINT % 40 = 1)
+SELECT id FROM wanted WHERE (SELECT count(*) FROM wanted) < 400 OR id NOT IN (SELECT callee FROM used)""",
+    "builtin_filter": """
+WITH b AS (SELECT lower(split_part(r_name, ' ', 1)) AS name FROM region UNION SELECT split_part(p_name, ' ', 1) FROM part WHERE p_partkey < 3)
+SELECT p_partkey AS ref, p_brand || '.' || split_part(p_name, ' ', 1) AS name FROM part WHERE split_part(p_name, ' ', 1) NOT IN (SELECT name FROM b)""",
+    "referrers": f"WITH {_PARTS}, {_CALLS} SELECT DISTINCT callee AS id, caller AS referrer FROM calls JOIN parts ON parts.id = callee WHERE component_type = 'artifact'",
+    "artifact_units": "SELECT 'c' || conv_id || '/Makefile' AS path, role || '_' || turn AS unit FROM conversations",
+    "path_glob_filter": rf"""
+WITH p AS (SELECT page_id, {_PATH} AS path FROM pages)
+SELECT page_id, path FROM p WHERE path <> '' AND (path LIKE '/en/%' OR regexp_matches(path, '^.*/fr/[1-5].*$')) AND path NOT LIKE '%.html' AND NOT regexp_matches(path, '/.7')
+AND len(list_intersect(string_split(path, '/'), ['.git', '.state', 'target', 'node_modules', '.venv', 'venv', '.tox', 'dist', 'build', 'vendor', 'coverage', '__pycache__'])) = 0""",
+    "artifact_classes": """
+SELECT p_partkey, 'repo/' || p_brand || '/' || ['Dockerfile', '.github/workflows/ci.yml', 'package.json', 'Makefile', 'db/migrations/1.txt', 'app/config/x.yml', 'run.sh', 'src/test/a.py', 'yarn.lock', 'src/main.rs'][p_partkey % 10 + 1] AS path,
+['container', 'ci', 'manifest', 'build', 'schema', 'config', 'script', 'test_infra', 'packaging', NULL][p_partkey % 10 + 1] AS class, CASE p_partkey % 10 WHEN 7 THEN 'python' WHEN 9 THEN 'rust' END AS language FROM part""",
+    "language_counts": "SELECT lang, count(*) AS n, sum((length(text) + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY lang",
+    "class_cap_and_budget": """
+WITH RECURSIVE classes AS (SELECT source, row_number() OVER (ORDER BY source) AS c FROM (SELECT DISTINCT source FROM documents)),
+files AS (SELECT doc_id, source, n_chars, c, row_number() OVER (ORDER BY doc_id) AS i FROM documents JOIN classes USING (source)),
+walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, [0 FOR x IN range((SELECT count(*) FROM classes))] AS counts, false AS included
+  UNION ALL SELECT f.i, used + CASE WHEN counts[c] < 40 AND used + n_chars <= 1000000 THEN n_chars ELSE 0 END,
+    CASE WHEN counts[c] < 40 AND used + n_chars <= 1000000 THEN list_transform(counts, lambda x, k: CASE WHEN k = c THEN x + 1 ELSE x END) ELSE counts END,
+    counts[c] < 40 AND used + n_chars <= 1000000 FROM walk JOIN files f ON f.i = walk.i + 1)
+SELECT doc_id AS path, source AS class, n_chars AS size, included FROM walk JOIN files USING (i)""",
+    "safe_ids": r"""
+SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS safe_name, regexp_replace(url, '[^A-Za-z0-9]', '_', 'g') AS safe_id,
+  regexp_replace(substr(url, 1, 180), '[^A-Za-z0-9_.-]', '__', 'g') || '_' || substr(sha256(url), 1, 8) || '.src' AS source_file,
+  'change_' || sha256(sha1(url) || '..' || sha1(html)) AS edition, regexp_extract(url, '/([a-z]+)/', 1) <> '' AS segment FROM pages""",
+    "page_ids": """
+WITH p AS (SELECT n_nationkey, CASE WHEN regexp_matches(r_name || n_name, '^[A-Za-z0-9_-]+$') THEN 'wiki:' || lower(r_name) || ':' || lower(n_name) || ':start' END AS page FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT *, replace(page, ':', '/') || '.txt' AS file FROM p""",
+    "role_labels": "SELECT p_partkey, ['state', 'interface', 'execution', 'support', 'integration', 'subsystem'][p_partkey % 6 + 1] AS role FROM part",
+    "tree_paths": f"WITH {_TREE} SELECT id, array_to_string(path, '/') AS path, depth::BIGINT AS depth, parent FROM tree",
+    "post_order": f"WITH {_TREE} SELECT id, array_to_string(path, chr(1)) || chr(1) || chr(65535) AS position FROM tree WHERE depth < 3",
+    "ancestors": f"""
+WITH {_TREE}, up AS (SELECT path, depth, unnest(range(1, depth + 1)) AS n FROM tree)
+SELECT array_to_string(path[1:n], '/') AS ancestor, count(*) AS n, max(depth - n)::BIGINT AS deepest FROM up GROUP BY array_to_string(path[1:n], '/')""",
+    "deepest_owner": f"WITH {_OWNED} SELECT id, arg_min(module, ((9 - depth)::VARCHAR || module)) AS module, max(module) AS last_module FROM owned GROUP BY id",
+    "boundary_owner": rf"""
+WITH files AS (SELECT DISTINCT substr({_PATH}, 2) AS file FROM pages WHERE {_PATH} NOT IN ('', '/')),
+modules AS (SELECT DISTINCT regexp_extract(url, '^[^:]+://[^/]+/([a-z]+)', 1) AS prefix, 1 AS depth FROM pages
+  UNION SELECT regexp_extract(url, '^[^:]+://[^/]+/([a-z]+/[0-9]+)', 1), 2 FROM pages WHERE page_id % 4 = 0)
+SELECT file, 'm:' || arg_max(prefix, length(prefix) * 10 + depth) AS module FROM files JOIN modules ON prefix <> '' AND (file = prefix OR starts_with(file, prefix || '/') OR starts_with(file, prefix || '.')) GROUP BY file""",
+    "initial_modules": rf"""
+WITH c AS (SELECT substr({_PATH}, 2) AS p FROM pages)
+SELECT regexp_replace(split_part(p, '/', 1), '[^A-Za-z0-9_-]', '_', 'g') AS module, CASE WHEN contains(min(p), '/') THEN regexp_replace(min(p), '/[^/]*$', '') ELSE '' END AS path, count(*) AS n FROM c WHERE p <> '' GROUP BY 1""",
+    "claims": "SELECT min('s' || l_suppkey) AS module, l_partkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 10 GROUP BY l_partkey",
+    "super_groups": """
+WITH first AS (SELECT min(c_mktsegment) AS parent, c_nationkey AS module FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 AND n_regionkey < 4 GROUP BY c_nationkey)
+SELECT parent, module FROM first WHERE parent IN (SELECT parent FROM first GROUP BY parent HAVING count(*) >= 2)""",
+    "tree_quality": """
+WITH owned AS (SELECT DISTINCT l_partkey AS id, 'leaf' || (l_suppkey % 50) AS leaf, l_suppkey % 5 + 1 AS depth FROM lineitem WHERE l_linenumber <= 2),
+shared AS (SELECT id, count(DISTINCT leaf) AS leaves FROM owned GROUP BY id),
+sums AS (SELECT leaf, max(depth)::BIGINT AS depth, count(*) AS components, sum((length(p_name) + 3) // 4)::BIGINT AS tokens, count(*) FILTER (leaves > 1) AS shared FROM owned JOIN shared USING (id) JOIN part ON p_partkey = id GROUP BY leaf)
+SELECT *, CASE WHEN depth > 4 OR (tokens > 100 AND components > 1) THEN 'error' WHEN tokens > 100 THEN 'warning' ELSE 'ok' END AS verdict FROM sums""",
+    "review_check": """
+SELECT * FROM (SELECT o_orderkey AS leaf, CASE WHEN o_orderkey % 9 = 0 THEN 'missing' WHEN o_orderkey % 4 = 0 OR trim(o_orderpriority) = '' THEN 'empty reason' WHEN o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 THEN 'high-risk leaf' END AS problem FROM orders) WHERE problem IS NOT NULL""",
+    "khop_upstream": f"""
+WITH {_NATION_EDGES}, one AS (SELECT n_nationkey::BIGINT AS start, caller AS id FROM nation JOIN edges ON callee = n_nationkey WHERE n_nationkey % 6 = 0),
+two AS (SELECT start, caller AS id FROM one JOIN edges ON callee = id)
+SELECT start, id, min(hop)::BIGINT AS hop FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two) GROUP BY start, id""",
+    "diagram_paths": """
+WITH e AS (SELECT DISTINCT a.l_orderkey AS page, a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
+SELECT DISTINCT x.page FROM e x JOIN e y ON x.page = y.page AND x.b = y.a JOIN e z ON y.page = z.page AND y.b = z.a WHERE x.a <> x.b AND y.b NOT IN (x.a, x.b) AND z.b NOT IN (x.a, x.b, y.b)""",
+    "target_subtree": f"""
+WITH {_NATION_EDGES}, below AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_regionkey = 1 UNION SELECT 'r1')
+SELECT id FROM below UNION SELECT 'n' || callee FROM edges WHERE 'n' || caller IN (SELECT id FROM below) UNION SELECT 'n' || caller FROM edges WHERE 'n' || callee IN (SELECT id FROM below)""",
+    "snapshot_diff": f"WITH {_SNAPSHOTS} SELECT kind, id FROM changes",
+    "change_ratios": f"""
+WITH {_SNAPSHOTS}, c AS (SELECT count(DISTINCT id) FILTER (kind <> 'deleted') AS active, count(*) FILTER (kind IN ('added', 'deleted')) AS structural, (SELECT greatest(count(*), 1) FROM new) AS total FROM changes),
+r AS (SELECT *, round(active / total, 6) AS active_ratio, round(structural / total, 6) AS structural_ratio FROM c)
+SELECT *, CASE WHEN active = 0 AND structural = 0 THEN 'no_change' WHEN active_ratio >= 0.5 OR structural_ratio >= 0.3 THEN 'full_fallback' ELSE 'incremental' END AS outcome FROM r""",
+    "active_set": f"WITH {_SNAPSHOTS} SELECT DISTINCT id FROM changes WHERE kind <> 'deleted'",
+    "neighbour_majority": """
+WITH e AS (SELECT DISTINCT l_partkey AS id, l_suppkey FROM lineitem), n AS (SELECT id, n_name AS page, count(*) AS n FROM e JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY id, n_name),
+r AS (SELECT *, sum(n) OVER (PARTITION BY id) AS total, row_number() OVER (PARTITION BY id ORDER BY n DESC, page) AS k FROM n)
+SELECT id, CASE WHEN n / total >= 0.25 THEN page ELSE 'overview' END AS page FROM r WHERE k = 1""",
+    "write_sets": """
+WITH hit AS (SELECT DISTINCT r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9500)
+SELECT r_name AS module FROM hit UNION SELECT r_name || '/' || n_name FROM hit""",
+    "verdicts": """
+SELECT event_id AS page, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type END AS verdict, CASE WHEN event_id % 2 = 1 THEN 'r' || user_id END AS reason FROM events""",
+    "hunk_overlap": """
+WITH e AS (SELECT event_id, user_id, event_id % 5000 AS at FROM events)
+SELECT h.event_id AS hunk, c.event_id AS id FROM e h JOIN e c ON h.user_id = c.user_id AND h.at <= c.at + c.event_id % 700 AND c.at <= h.at + h.event_id % 400 WHERE h.event_id % 3 = 0 AND c.event_id % 3 <> 0""",
+    "edge_set_operations": """
+WITH a AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_orderkey % 2 = 1)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'deleted' ELSE 'kept' END AS side FROM a FULL JOIN b ON a.id = b.id""",
+    "prose_counts": rf"""SELECT doc_id, {_WORDS.format(_PROSE.format(_SHOWN.format("text")))}::BIGINT AS words, 0::BIGINT AS cjk FROM documents""",
+    "headings": r"""
+WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents), h AS (SELECT *, trim(substr(regexp_replace(coalesce(x[2], 'none'), '[^A-Za-z ]', '', 'g'), 1, 30), ' ') AS second FROM l)
+SELECT doc_id, lower('part ' || source) || CASE WHEN second = '' THEN '' ELSE '|' || lower(second) END AS headings, 'Part ' || source AS title FROM h""",
+    "truncation": """
+WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 187) || chr(10) || '... [diff truncated] ...' || chr(10) || right(text, 187) END AS t FROM documents)
+SELECT doc_id, length(t) AS n, sha256(t) AS sha FROM c""",
+    "token_estimate_oversized": "SELECT doc_id, (length(text) + 3) // 4 AS tokens FROM documents WHERE (length(text) + 3) // 4 > 1000",
+    "link_extract": f"SELECT target, count(*) AS n FROM (SELECT {_HREF} AS target FROM pages) GROUP BY target",
+    "broken_links": f"WITH {_EXPECTED} SELECT DISTINCT page, target FROM (SELECT page_id AS page, {_HREF} AS target FROM pages) WHERE target NOT IN (SELECT page FROM expected)",
+    "page_differences": f"""
+WITH {_EXPECTED}, present AS (SELECT DISTINCT page FROM (SELECT {_HREF} AS page FROM pages) WHERE page LIKE '/%e%')
+SELECT page, 'missing' AS problem FROM expected WHERE page NOT IN (SELECT page FROM present) UNION ALL SELECT page, 'extra' FROM present WHERE page NOT IN (SELECT page FROM expected)""",
+    "unlinked_children": "SELECT n_regionkey AS parent, n_nationkey AS page FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)",
+    "page_id_collisions": "SELECT regexp_replace(lower(p_name), '[^A-Za-z0-9]', '_', 'g') AS page, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1",
+    "grounding": r"""
+WITH w AS (SELECT doc_id AS page, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS content, source || '::' || doc_id AS id, regexp_split_to_array(text, '\s+') AS w FROM documents)
+SELECT page, id, contains(content, id) OR len(list_filter(string_split(content, chr(10) || chr(10)), lambda p: contains(p, w[1]) AND contains(p, coalesce(w[41], 'none')))) > 0 AS grounded FROM w""",
+    "page_scores": f"WITH {_SCORES} SELECT page, words, cjk, headings, errors, errors = '' AS valid FROM scores",
+    "report_rollup": f"""WITH {_SCORES} SELECT count(*) AS pages, count(*) FILTER (errors = '') AS valid_pages, count(*) FILTER (headings >= 2) AS explanatory, sum(words)::BIGINT AS words, bool_and(errors = '') AS all_valid FROM scores""",
+    "diagram_quality": "SELECT n_regionkey AS page, count(*) + 1 AS nodes, count(*) AS edges, count(*) FILTER (n_nationkey % 4 = 0) AS generic FROM nation GROUP BY n_regionkey",
+    "scoped_search": r"""
+WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: lower(t)), lambda t: t IN ('the', 'with')) AS h FROM documents WHERE lang = 'en')
+SELECT doc_id AS page, len(h) AS hits FROM w WHERE len(list_distinct(h)) = 2""",
+    "search_index": r"""
+WITH t AS (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: lower(t))) AS term FROM benchmark)
+SELECT term, count(DISTINCT item_id) AS pages, count(*) AS n FROM t GROUP BY term""",
+    "html_export": rf"""
+WITH p AS (SELECT page_id, url, {_TITLE} AS t FROM pages), q AS (SELECT page_id, url AS u, {_ESCAPE.format("CASE WHEN t = '' THEN url ELSE t END")} AS e FROM p)
+SELECT 'wiki:p' || page_id AS page, 'wiki/' || u AS position, '  <a href="#page-wiki-p' || page_id || '">' || e || '</a>' AS nav,
+  '<section id="page-wiki-p' || page_id || '"><h1>' || e || '</h1><p>' || {_ESCAPE.format("regexp_replace(replace('=== ' || regexp_extract(html, '<title>([^<\\n]*)', 1) || ' ===' || chr(10) || 'b & c <x>', '''''', ''), '\\*\\*|//|__', '', 'g')")} || '</p></section>' AS section FROM q JOIN pages USING (page_id)""",
+    "prompt_render": """
+WITH p AS (SELECT n_nationkey, 'Module ' || n_name || ' of ' || r_name || ': ' || n_name || '.' AS prompt FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT *, sha256(prompt) AS sha, length(prompt) AS chars FROM p""",
+    "session_prune": """
+SELECT id, owner, ts FROM (SELECT event_id AS id, user_id AS owner, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 1728000 SECOND) WHERE n <= 10""",
+    "orphan_locks": "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

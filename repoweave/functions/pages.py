@@ -34,7 +34,7 @@ def headings(text: Column) -> Column:
 
 def visible(text: Column) -> Column:
     """Without what isn't shown: code and no-format blocks, markup of links, emphasis."""
-    out = F.regexp_replace(text, r"(?s)<(code|file|nowiki|mermaid)\b[^>]*>.*?</\1>", " ")
+    out = F.regexp_replace(text, r"(?s)<(code|file|nowiki|mermaid)\b[^>]*>.*?</\1>", "")
     out = F.regexp_replace(out, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
     return F.regexp_replace(out, r"\*\*|//|__|''", "")
 

@@ -15,13 +15,14 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST, keyed, salted_join, stored
+from .common import LOWEST, among, keyed, salted_join, stored
 
 _DENSE = 0x3400
 _HANGUL = 0xAC00
 _SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 #: Bytes of text in a range of ids, and the most ranges; ranges meet at their ends by a join.
 _RANGE_BYTES, _MOST_RANGES = 16 << 20, 1 << 16
+_SPLITS = 1024
 
 
 @cache
@@ -89,12 +90,15 @@ def fingerprint(text: Column) -> Column:
 
 def _ranges(docs: DataFrame) -> Column:
     """A number that grows with o, over ranges of about _RANGE_BYTES of text each."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    shares = lambda n: F.from_json(F.lit(json.dumps([i / n for i in range(1, n)])), "array<double>")
+    size, splits = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.percentile_approx("o", shares(_SPLITS), 20 * _SPLITS)).first()
     n = min(_MOST_RANGES, max(1, -(-size // _RANGE_BYTES)))
-    if n == 1:
+    if n == 1 or splits is None:
         return F.lit(0)
-    shares = F.from_json(F.lit(json.dumps([i / n for i in range(1, n)])), "array<double>")
-    splits = docs.agg(F.percentile_approx("o", shares, 20 * n)).first()[0]
+    if n > _SPLITS:
+        splits = docs.agg(F.percentile_approx("o", shares(n), 20 * n)).first()[0]
+    else:
+        splits = [splits[i * _SPLITS // n - 1] for i in range(1, n)]
     splits = sorted(set(splits))
     groups = [splits[i : i + 256] for i in range(0, len(splits), 256)]  # two steps of at most 256 comparisons
     upper = F.size(F.filter(F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>"), lambda s: s <= F.col("o")))
@@ -102,22 +106,23 @@ def _ranges(docs: DataFrame) -> Column:
     return F.greatest(upper - 1, F.lit(0)) * 256 + F.size(F.filter(inner, lambda s: s <= F.col("o")))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (o, k, text, more) -> with next, the row of the next smaller (o, k) as a struct; of the smallest, the largest's.
+def with_next(docs: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """docs (o, k, text) and more columns -> with next, the row of the next smaller (o, k) as a struct; of the smallest, the largest's.
 
-    One shuffle of the rows by ranges of o; only the first row of each range
-    is fetched for the range above it.
+    One shuffle of the rows by ranges of o. Only the first row of each range is
+    fetched for the range above it: its key is broadcast, one for each of at
+    most _MOST_RANGES ranges.
     """
-    fields = F.struct(*docs.columns)
     rows = docs.withColumn("range", _ranges(docs).cast("int"))
-    tops = rows.groupBy("range").agg(F.max(F.struct("o", "k")).alias("top"))
+    tops = rows.groupBy("range").agg(F.max("o").alias("top"))
     down = Window.orderBy(F.desc("range"))  # one row for each range
     wrap = F.first("top").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    wanted = tops.select(F.col("range").alias("above"), F.coalesce(F.lead("top").over(down), wrap).alias("top"))
-    keys = wanted.select("above", F.col("top.o").alias("o"), F.col("top.k").alias("k"))
-    heads = docs.join(keys, ["o", "k"]).groupBy("above").agg(F.first(fields).alias("head")).withColumnRenamed("above", "range")
+    keys = stored(tops.select("range", F.coalesce(F.lead("top").over(down), wrap).alias("o")), "tops")
+    head = docs.join(F.broadcast(keys.withColumnRenamed("range", "above")), "o").withColumns(more)
+    fields = F.struct("o", "k", "text", *more)
+    heads = head.groupBy("above").agg(F.max_by(fields, F.col("k")).alias("head")).withColumnRenamed("above", "range")
     order = Window.partitionBy("range").orderBy(F.desc("o"), F.desc("k"))
-    return rows.withColumn("next", F.lead(fields).over(order)).join(heads, "range").withColumn("next", F.coalesce("next", "head")).drop("head", "range")
+    return rows.withColumns(more).withColumn("next", F.lead(fields).over(order)).join(heads, "range").withColumn("next", F.coalesce("next", "head")).drop("head", "range")
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,8 +134,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     smallest's is the largest's). Null texts are empty. A digest is like another
     (1) or not (0). No rows give none; other columns have no part.
     """
-    rows = keyed(docs, id_col, text_col).select("o", "k", F.coalesce("text", F.lit("")).alias("text"), fingerprint(F.col("text")).alias("fingerprint"))
-    rows = with_next(rows).select("o", "k", F.length("text").alias("n"), "text", "fingerprint", F.col("next.fingerprint").alias("next"), F.col("next.text").alias("head"))
+    rows = keyed(docs, id_col, text_col).select("o", "k", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(rows, {"fingerprint": fingerprint(F.col("text"))}).select("o", "k", F.length("text").alias("n"), "text", "fingerprint", F.col("next.fingerprint").alias("next"), F.col("next.text").alias("head"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - F.expr("n div 2").cast("int")), F.substring("head", F.lit(1), F.expr("n div 2").cast("int"))))
     rows = rows.select("o", "k", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next")
     like = lambda a: (F.col("fingerprint") == F.col(a)).cast("double")
@@ -147,7 +152,8 @@ def groups(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col:
     """
     shared = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     member = salted_join(prints.select("o", "k", "fingerprint"), shared, ["fingerprint"], F.col("k"), salts=4).dropDuplicates(["o", "k"])
-    texts = keyed(docs, id_col, text_col).select("o", "k", canonical(F.col("text")).alias("text")).join(member, ["o", "k"])
+    member = stored(member, "shared")
+    texts = keyed(docs, id_col, text_col).select("o", "k", "text").where(among(member)).join(member, ["o", "k"]).select("o", "k", "fingerprint", canonical(F.col("text")).alias("text"))
     bad = stored(texts.groupBy("fingerprint").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("fingerprint"), "collisions")
     out = prints.withColumn("own", F.col("fingerprint"))
     if not bad.isEmpty():

@@ -106,10 +106,10 @@ proprietary | confidential | this (?:file|software|document) is (?:proprietary a
 
 #: Names with their versions.
 _VERSIONS = """
-apache-2.0 | apache | apache licen[cs]e (?:version |v )?2(?: 0)?
-apache-2.0 | apache | apache (?:version |v )?2 0
-apache-1.1 | apache | apache (?:software )?license (?:version |v )?1 1
-apache-1.0 | apache | apache (?:software )?license (?:version |v )?1 0
+apache-2.0 | apache | apache licen[cs]e (?:version |v ?)?2(?: 0)?
+apache-2.0 | apache | apache (?:version |v ?)?2 0
+apache-1.1 | apache | apache (?:software )?license (?:version |v ?)?1 1
+apache-1.0 | apache | apache (?:software )?license (?:version |v ?)?1 0
 mit | mit license | the mit license
 mit | expat | expat license
 x11 | x11 license | x11 license
@@ -120,61 +120,61 @@ bsd-3-clause | bsd | bsd (?:3 clause|three clause)(?: license)?
 bsd-4-clause | bsd | (?:original|4 clause|four clause) bsd(?: license)?
 bsd-4-clause | bsd | bsd (?:4 clause|four clause)(?: license)?
 0bsd | bsd | (?:zero clause bsd|bsd zero clause)(?: license)?
-gpl-1.0 | gnu | gnu general public license (?:version |v )?1(?: 0)?
-gpl-2.0 | gnu | gnu general public license (?:version |v )?2(?: 0)?
-gpl-3.0 | gnu | gnu general public license (?:version |v )?3(?: 0)?
+gpl-1.0 | gnu | gnu general public license (?:version |v ?)?1(?: 0)?
+gpl-2.0 | gnu | gnu general public license (?:version |v ?)?2(?: 0)?
+gpl-3.0 | gnu | gnu general public license (?:version |v ?)?3(?: 0)?
 gpl-2.0 | gplv2 | (?:gnu )?gplv2(?: license)?
 gpl-3.0 | gplv3 | (?:gnu )?gplv3(?: license)?
-gpl-2.0-or-later | gpl | gpl (?:version |v )?2(?: 0)? or (?:later|any later version)
-gpl-3.0-or-later | gpl | gpl (?:version |v )?3(?: 0)? or (?:later|any later version)
-gpl-2.0 | gpl | gnu gpl (?:version |v )?2(?: 0)?
-gpl-3.0 | gpl | gnu gpl (?:version |v )?3(?: 0)?
-gpl-2.0 | gpl | gpl (?:version |v )?2(?: 0)?
-gpl-3.0 | gpl | gpl (?:version |v )?3(?: 0)?
-lgpl-2.0 | gnu | gnu (?:library|lesser) general public license (?:version |v )?2(?: 0)?
-lgpl-2.1 | gnu | gnu lesser general public license (?:version |v )?2 1
-lgpl-3.0 | gnu | gnu lesser general public license (?:version |v )?3(?: 0)?
-lgpl-2.1 | lgpl | lgpl (?:version |v )?2 1
-lgpl-3.0 | lgpl | lgpl (?:version |v )?3(?: 0)?
-lgpl-2.0 | lgpl | lgpl (?:version |v )?2(?: 0)?
+gpl-2.0-or-later | gpl | gpl (?:version |v ?)?2(?: 0)? or (?:later|any later version)
+gpl-3.0-or-later | gpl | gpl (?:version |v ?)?3(?: 0)? or (?:later|any later version)
+gpl-2.0 | gpl | gnu gpl (?:version |v ?)?2(?: 0)?
+gpl-3.0 | gpl | gnu gpl (?:version |v ?)?3(?: 0)?
+gpl-2.0 | gpl | gpl (?:version |v ?)?2(?: 0)?
+gpl-3.0 | gpl | gpl (?:version |v ?)?3(?: 0)?
+lgpl-2.0 | gnu | gnu (?:library|lesser) general public license (?:version |v ?)?2(?: 0)?
+lgpl-2.1 | gnu | gnu lesser general public license (?:version |v ?)?2 1
+lgpl-3.0 | gnu | gnu lesser general public license (?:version |v ?)?3(?: 0)?
+lgpl-2.1 | lgpl | lgpl (?:version |v ?)?2 1
+lgpl-3.0 | lgpl | lgpl (?:version |v ?)?3(?: 0)?
+lgpl-2.0 | lgpl | lgpl (?:version |v ?)?2(?: 0)?
 lgpl-3.0 | lgplv3 | (?:gnu )?lgplv3
 lgpl-2.1 | lgplv2 | (?:gnu )?lgplv2(?: 1)?
-agpl-3.0 | gnu | gnu affero general public license (?:version |v )?3(?: 0)?
-agpl-3.0 | agpl | agpl (?:version |v )?3(?: 0)?
+agpl-3.0 | gnu | gnu affero general public license (?:version |v ?)?3(?: 0)?
+agpl-3.0 | agpl | agpl (?:version |v ?)?3(?: 0)?
 agpl-3.0 | agplv3 | (?:gnu )?agplv3
-gfdl-1.3 | gnu | gnu free documentation license (?:version |v )?1 3
-gfdl-1.2 | gnu | gnu free documentation license (?:version |v )?1 2
-mpl-1.0 | mozilla | mozilla public license (?:version |v )?1 0
-mpl-1.1 | mozilla | mozilla public license (?:version |v )?1 1
-mpl-2.0 | mozilla | mozilla public license (?:version |v )?2(?: 0)?
-mpl-2.0 | mpl | mpl (?:version |v )?2 0
-mpl-1.1 | mpl | mpl (?:version |v )?1 1
-epl-1.0 | eclipse | eclipse public license (?:version |v )?1 0
-epl-2.0 | eclipse | eclipse public license (?:version |v )?2 0
-edl-1.0 | eclipse | eclipse distribution license (?:version |v )?1 0
-cpl-1.0 | common public | common public license (?:version |v )?1 0
-cddl-1.0 | cddl | cddl (?:version |v )?1 0
-cddl-1.1 | cddl | cddl (?:version |v )?1 1
-bsl-1.0 | boost | boost software license (?:version |v )?1 0
+gfdl-1.3 | gnu | gnu free documentation license (?:version |v ?)?1 3
+gfdl-1.2 | gnu | gnu free documentation license (?:version |v ?)?1 2
+mpl-1.0 | mozilla | mozilla public license (?:version |v ?)?1 0
+mpl-1.1 | mozilla | mozilla public license (?:version |v ?)?1 1
+mpl-2.0 | mozilla | mozilla public license (?:version |v ?)?2(?: 0)?
+mpl-2.0 | mpl | mpl (?:version |v ?)?2 0
+mpl-1.1 | mpl | mpl (?:version |v ?)?1 1
+epl-1.0 | eclipse | eclipse public license (?:version |v ?)?1 0
+epl-2.0 | eclipse | eclipse public license (?:version |v ?)?2 0
+edl-1.0 | eclipse | eclipse distribution license (?:version |v ?)?1 0
+cpl-1.0 | common public | common public license (?:version |v ?)?1 0
+cddl-1.0 | cddl | cddl (?:version |v ?)?1 0
+cddl-1.1 | cddl | cddl (?:version |v ?)?1 1
+bsl-1.0 | boost | boost software license (?:version |v ?)?1 0
 cc0-1.0 | cc0 | cc0 1 0
-cc-by-4.0 | cc by | cc by (?:version |v )?4 0
-cc-by-3.0 | cc by | cc by (?:version |v )?3 0
-cc-by-2.5 | cc by | cc by (?:version |v )?2 5
-cc-by-2.0 | cc by | cc by (?:version |v )?2 0
-cc-by-1.0 | cc by | cc by (?:version |v )?1 0
-cc-by-sa-4.0 | cc by | cc by sa (?:version |v )?4 0
-cc-by-sa-3.0 | cc by | cc by sa (?:version |v )?3 0
-cc-by-sa-2.5 | cc by | cc by sa (?:version |v )?2 5
-cc-by-sa-2.0 | cc by | cc by sa (?:version |v )?2 0
-cc-by-nc-4.0 | cc by | cc by nc (?:version |v )?4 0
-cc-by-nc-3.0 | cc by | cc by nc (?:version |v )?3 0
-cc-by-nc-2.0 | cc by | cc by nc (?:version |v )?2 0
-cc-by-nd-4.0 | cc by | cc by nd (?:version |v )?4 0
-cc-by-nd-3.0 | cc by | cc by nd (?:version |v )?3 0
-cc-by-nc-sa-4.0 | cc by | cc by nc sa (?:version |v )?4 0
-cc-by-nc-sa-3.0 | cc by | cc by nc sa (?:version |v )?3 0
-cc-by-nc-nd-4.0 | cc by | cc by nc nd (?:version |v )?4 0
-cc-by-nc-nd-3.0 | cc by | cc by nc nd (?:version |v )?3 0
+cc-by-4.0 | cc by | cc by (?:version |v ?)?4 0
+cc-by-3.0 | cc by | cc by (?:version |v ?)?3 0
+cc-by-2.5 | cc by | cc by (?:version |v ?)?2 5
+cc-by-2.0 | cc by | cc by (?:version |v ?)?2 0
+cc-by-1.0 | cc by | cc by (?:version |v ?)?1 0
+cc-by-sa-4.0 | cc by | cc by sa (?:version |v ?)?4 0
+cc-by-sa-3.0 | cc by | cc by sa (?:version |v ?)?3 0
+cc-by-sa-2.5 | cc by | cc by sa (?:version |v ?)?2 5
+cc-by-sa-2.0 | cc by | cc by sa (?:version |v ?)?2 0
+cc-by-nc-4.0 | cc by | cc by nc (?:version |v ?)?4 0
+cc-by-nc-3.0 | cc by | cc by nc (?:version |v ?)?3 0
+cc-by-nc-2.0 | cc by | cc by nc (?:version |v ?)?2 0
+cc-by-nd-4.0 | cc by | cc by nd (?:version |v ?)?4 0
+cc-by-nd-3.0 | cc by | cc by nd (?:version |v ?)?3 0
+cc-by-nc-sa-4.0 | cc by | cc by nc sa (?:version |v ?)?4 0
+cc-by-nc-sa-3.0 | cc by | cc by nc sa (?:version |v ?)?3 0
+cc-by-nc-nd-4.0 | cc by | cc by nc nd (?:version |v ?)?4 0
+cc-by-nc-nd-3.0 | cc by | cc by nc nd (?:version |v ?)?3 0
 cc-by-4.0 | creative commons | creative commons attribution 4 0(?: international)?
 cc-by-3.0 | creative commons | creative commons attribution 3 0(?: unported)?
 cc-by-sa-4.0 | creative commons | creative commons attribution share ?alike 4 0(?: international)?
@@ -183,31 +183,31 @@ cc-by-nc-4.0 | creative commons | creative commons attribution non ?commercial 4
 cc-by-nd-4.0 | creative commons | creative commons attribution no ?deriv(?:ative)?s 4 0(?: international)?
 cc-by-nc-sa-4.0 | creative commons | creative commons attribution non ?commercial share ?alike 4 0(?: international)?
 cc-by-nc-nd-4.0 | creative commons | creative commons attribution non ?commercial no ?deriv(?:ative)?s 4 0(?: international)?
-artistic-1.0 | artistic | artistic license (?:version |v )?1 0
-artistic-2.0 | artistic | artistic license (?:version |v )?2 0
-osl-3.0 | open software license | open software license (?:version |v )?3 0
-osl-2.1 | open software license | open software license (?:version |v )?2 1
-afl-3.0 | academic free | academic free license (?:version |v )?3 0
-afl-2.1 | academic free | academic free license (?:version |v )?2 1
-eupl-1.1 | eupl | eupl (?:version |v )?1 1
-eupl-1.2 | eupl | eupl (?:version |v )?1 2
-ofl-1.1 | open font | (?:sil )?open font license (?:version |v )?1 1
-odbl-1.0 | open database | open database license (?:version |v )?1 0
-odc-by-1.0 | open data commons | open data commons attribution license (?:version |v )?1 0
-pddl-1.0 | open data commons | open data commons public domain dedication and license (?:version |v )?1 0
-ecl-2.0 | educational community | educational community license (?:version |v )?2 0
-zpl-2.1 | zope | zope public license (?:version |v )?2 1
-php-3.01 | php license | php license (?:version |v )?3 01
-python-2.0 | python license | python license (?:version |v )?2 0
-npl-1.1 | netscape | netscape public license (?:version |v )?1 1
-qpl-1.0 | q public | q public license (?:version |v )?1 0
-ipl-1.0 | ibm public | ibm public license (?:version |v )?1 0
-lppl-1.3c | latex project | latex project public license (?:version |v )?1 3c?
-sspl-1.0 | server side | server side public license (?:version |v )?1(?: 0)?
-busl-1.1 | business source | business source license (?:version |v )?1 1
-elastic-2.0 | elastic | elastic license (?:version |v )?2 0
-polyform-nc-1.0 | polyform | polyform noncommercial license (?:version |v )?1 0(?: 0)?
-mulan-psl-2.0 | mulan | mulan permissive software license (?:version |v )?2
+artistic-1.0 | artistic | artistic license (?:version |v ?)?1 0
+artistic-2.0 | artistic | artistic license (?:version |v ?)?2 0
+osl-3.0 | open software license | open software license (?:version |v ?)?3 0
+osl-2.1 | open software license | open software license (?:version |v ?)?2 1
+afl-3.0 | academic free | academic free license (?:version |v ?)?3 0
+afl-2.1 | academic free | academic free license (?:version |v ?)?2 1
+eupl-1.1 | eupl | eupl (?:version |v ?)?1 1
+eupl-1.2 | eupl | eupl (?:version |v ?)?1 2
+ofl-1.1 | open font | (?:sil )?open font license (?:version |v ?)?1 1
+odbl-1.0 | open database | open database license (?:version |v ?)?1 0
+odc-by-1.0 | open data commons | open data commons attribution license (?:version |v ?)?1 0
+pddl-1.0 | open data commons | open data commons public domain dedication and license (?:version |v ?)?1 0
+ecl-2.0 | educational community | educational community license (?:version |v ?)?2 0
+zpl-2.1 | zope | zope public license (?:version |v ?)?2 1
+php-3.01 | php license | php license (?:version |v ?)?3 01
+python-2.0 | python license | python license (?:version |v ?)?2 0
+npl-1.1 | netscape | netscape public license (?:version |v ?)?1 1
+qpl-1.0 | q public | q public license (?:version |v ?)?1 0
+ipl-1.0 | ibm public | ibm public license (?:version |v ?)?1 0
+lppl-1.3c | latex project | latex project public license (?:version |v ?)?1 3c?
+sspl-1.0 | server side | server side public license (?:version |v ?)?1(?: 0)?
+busl-1.1 | business source | business source license (?:version |v ?)?1 1
+elastic-2.0 | elastic | elastic license (?:version |v ?)?2 0
+polyform-nc-1.0 | polyform | polyform noncommercial license (?:version |v ?)?1 0(?: 0)?
+mulan-psl-2.0 | mulan | mulan permissive software license (?:version |v ?)?2
 """
 
 #: Bare names.

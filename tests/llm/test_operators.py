@@ -1,0 +1,333 @@
+"""Each operator against a plain version, on texts with all the odd cases."""
+
+import hashlib
+import random
+import re
+import unicodedata
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from repoweave.llm import decontaminate, fingerprint, language, license, license_rules, linedup, minhash, packing, pii, sharding, urlfilter
+from repoweave.llm.common import among
+
+LOW = {c: c + 32 for c in range(65, 91)}
+KIND = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, k string, o double, row int, label string, fingerprint string, nothing void"
+
+
+def alnum(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def spaced(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """doc_id -> text: words, copies, near copies, chains of edits, shared passages, nulls, blanks, one long text."""
+    chance = random.Random(5)
+    words = ["".join(chance.choice("abcdefgh") for _ in range(chance.randint(2, 6))) for _ in range(600)]
+    line = lambda n: " ".join(chance.choice(words) for _ in range(n))
+    out = {}
+    passage = line(60)
+    for i in range(60):
+        out[i] = "\n".join(line(chance.randint(1, 40)) for _ in range(chance.randint(1, 6)))
+    for i in range(60, 70):
+        out[i] = out[3]
+    base = line(150).split()
+    for i in range(70, 110):  # each an edit of another of the group
+        out[i] = " ".join(base)
+        if i > 70:
+            w = out[chance.randint(70, i - 1)].split()
+            w[chance.randrange(len(w))] = chance.choice(words)
+            out[i] = " ".join(w)
+    for i in range(110, 120):
+        out[i] = f"{line(20)}\n{passage}\n{line(5)}"
+    out |= {120: None, 121: "", 122: " \n\t ", 123: "one two", 124: "One two", 125: "Zoë CAFÉ été", 126: "\n".join(line(30) for _ in range(3000))}
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """The texts as documents: with a null id, repeated rows, and extra columns whose names operators use too."""
+    rows = [(i, t, ["en", "fr", None][i % 3], f"s{i % 4}", len(t or "")) for i, t in texts.items()]
+    rows += [(None, "no id here at all", "en", None, None), (5, texts[5], None, None, None)]
+    return spark.createDataFrame([(*r, True, "x", 1.5, 1, "y", "z", None) for r in rows], KIND).repartition(3).cache()
+
+
+def by_id(df, texts):
+    return {r["doc_id"]: r for r in df.collect() if r["doc_id"] is not None}
+
+
+def components(sets, num, den):
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize(("num", "block"), [(85, 256), (80, 8)])
+def test_near_duplicates_against_all_pairs(docs, texts, num, block):
+    words = {i: spaced(t) for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in words.items()}
+    want = components(sets, num, 100)
+    got = by_id(minhash.near_duplicates(docs, num, 100, block=block), texts)
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in texts}
+    kept = minhash.without_near_duplicates(docs, num=num, den=100)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i in want if want[i] == i)
+
+
+def test_line_dedup(docs, texts):
+    got = {r["row"]["doc_id"]: r for r in linedup.deduplicated(docs).collect() if r["row"]["doc_id"] is not None}
+    seen, first = {}, {}
+    for i in sorted(texts):  # which documents an earlier one shares a run of 30 words with
+        lines = [" ".join(spaced(x)) for x in (texts[i] or "").split("\n") if spaced(x)]
+        runs = set()
+        for s in range(len(lines)):
+            n, e = 0, s
+            while n < 30 and e < len(lines):
+                n, e = n + len(lines[e].split()), e + 1
+            if n >= 30:
+                runs.add(tuple(lines[s:e]))
+        first[i] = any(r in seen for r in runs)
+        for r in runs:
+            seen.setdefault(r, i)
+    for i, r in got.items():
+        assert (r["n_removed"] > 0) == first[i], i
+        assert r["n_lines"] == (0 if texts[i] is None else texts[i].count("\n") + 1)
+        if not r["n_removed"]:
+            assert r["text"] == texts[i]
+    assert all(got[i]["text"] == "" for i in range(60, 70) if len(spaced(texts[3])) >= 30)
+    for i in range(111, 120):
+        a, _, c = texts[i].split("\n")
+        assert got[i]["text"] == f"{a}\n{c}"
+    left = linedup.without_repeated_lines(docs)
+    assert left.columns == docs.columns and left.where("n_chars <> length(text) and doc_id is not null").count() == 0
+
+
+def test_fingerprints(docs, texts):
+    ids = sorted(texts, reverse=True)
+    order = [(i, texts[i] or "") for i in ids]
+    canon = lambda t: re.sub(r"[\s\x1c-\x1f\x85\xa0]+", " ", unicodedata.normalize("NFD", t).lower()).strip(" ")
+    plain = docs.where("source is not null")
+    got = {r["o"]: r for r in fingerprint.groups(plain, fingerprint.edited(plain)).collect()}
+    for n, (i, t) in enumerate(order):
+        following = order[(n + 1) % len(order)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[1][:half]
+        same = [j for j, u in order if canon(u) == canon(t)]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"], r["group_id"], r["group_size"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), min(same), len(same))
+        assert r["near_next"] == float(canon(t) == canon(following[1])) and r["near_edited"] == float(canon(t) == canon(edited))
+    assert fingerprint.edited(docs).count() == docs.count()
+
+
+def test_fingerprints_over_many_ranges(docs, texts, monkeypatch):
+    plain = docs.where("source is not null")
+    want = {r["o"]: r["edited_sha256"] for r in fingerprint.edited(plain).collect()}
+    monkeypatch.setattr(fingerprint, "_RANGE_BYTES", 2000)
+    assert {r["o"]: r["edited_sha256"] for r in fingerprint.edited(plain).collect()} == want
+
+
+def test_normal_form(spark):
+    chance = random.Random(3)
+    pool = [chr(c) for c in (65, 0xE9, 0x301, 0x323, 0x344, 0xAC00, 0xD7A3, 0x1161, 0x212B, 0xF900, 0x2F800, 0x1D15E, 0x0F73, 0x0F72, 0x1E69, 0x20, 0xDF, 0x130, 0x903, 0x5B4)]
+    texts = ["".join(chance.choice(pool) for _ in range(chance.randint(0, 12))) for _ in range(800)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    assert {r["i"]: r["x"] for r in rows.select("i", fingerprint.nfd(F.col("t")).alias("x")).collect()} == {i: unicodedata.normalize("NFD", t) for i, t in enumerate(texts)}
+
+
+def test_packing_holds_every_id_once(docs, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode = Tokenizer.from_file(path)
+    pieces = packing.pack(docs, path, sequence=256, group_docs=40).collect()
+    by, full = {}, {}
+    for p in pieces:
+        by.setdefault(p["doc_id"], []).append(p)
+        full.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert set(by) == {None, *texts}
+    for i, t in texts.items():
+        if i == 5:
+            continue  # it's there twice
+        ids = [*encode.encode(t or "", add_special_tokens=False).ids, 2]
+        at = 0
+        for p in sorted(by[i], key=lambda p: p["start"]):
+            part = b"".join(x.to_bytes(4, "little") for x in ids[at : at + p["length"]])
+            assert (p["start"], p["ids_crc32"], p["doc_tokens"]) == (at, zlib.crc32(part), len(ids))
+            at += p["length"]
+        assert at == len(ids)
+    for parts in full.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert sum(p["length"] for p in pieces) > 0.95 * 256 * (len(full) - 8)
+
+
+@pytest.mark.parametrize("text", ["don't stop", "İstanbul ΣΑΣ ﬁ", "a\u00a0b\u2003c", "<|endoftext|> x", "x²3 ½ª º µ", "e\u0301 \u0301", "漢字 and 123abc", "'S 'T we'LL", "\x00\x1f a\x85b", ""])
+def test_short_way_of_encoding(text):
+    import pyarrow as pa
+    import public_tokenizers
+
+    encode = packing._Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encode.short
+    ids, bounds = encode(pa.array([text, text + " end"]))
+    assert ids[bounds[0] : bounds[1]].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_url_filter(spark):
+    urls = ["http://A.Example.org/es/1?x", "https://example.org/en/12", "x://org", "http://notorg/fr/", "http://b.com/fr/9", "http://b.com/de/9#x", "http://b.com", None, "nothing", "http://c.net/fr/7", "http://b.com/fr/9", ""]
+    rows = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = {r["page_id"]: tuple(r)[1:5] for r in urlfilter.judged(rows).collect()}
+    assert got[0] == ("a.example.org", "/es/1", "example.org/es/", "block") and got[1] == ("example.org", "/en/12", "example.org/en/1", "block")
+    assert got[2][:3] == ("org", "", None) and got[3][2] is None and got[4][2:] == ("com/fr/", "allow") and got[5] == ("b.com", "/de/9", "com/de/", "block")
+    assert got[7][:3] == got[8][:3] == ("", "", None) and got[9][2] is None and got[10] == got[4]
+    assert {r["verdict"] for r in urlfilter.judged(rows.where("page_id in (3, 7, 9)")).collect()} == {"allow"}
+    assert urlfilter.judged(rows.limit(0)).count() == 0
+
+
+def test_sharding(docs, texts):
+    got = [r for r in sharding.sharded(docs, 4000).collect()]
+    sums = {}
+    for r in got:
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["n_bytes"]
+    assert len(got) == len(texts) + 2
+    for r in got:
+        assert r["shard_bytes"] == sums[r["shard"]] and len(r["shard"]) == r["depth"] and r["fits"] == (sums[r["shard"]] <= 4000)
+        if r["depth"]:  # its parent bucket was too large
+            assert sum(n for s, n in sums.items() if s.startswith(r["shard"][:-1])) > 4000
+    assert [r["doc_id"] for r in got if not r["fits"]] == [126]
+    assert {r["shard"] for r in sharding.sharded(docs, 1 << 40).collect()} == {""}
+
+
+def test_language(docs, texts, spark):
+    chance = random.Random(1)
+    sets = {"en": ["the", "with", "house", "sing"], "fr": ["élan", "que", "maison", "eau"], "de": ["straße", "und", "haus", "über"]}
+    rows = [(i, " ".join(chance.choice(sets[g]) for _ in range(chance.randint(3, 30))), g) for i in range(300) for g in [["en", "fr", "de"][i % 3]]] + [(900, None, "en"), (901, "12 !", "fr"), (902, "maison", None), (None, "the house", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df.where(~language.held_out()))
+    got = {r["doc_id"]: r for r in language.predict(df, model).collect()}
+    assert all(got[i]["lang_pred"] == g for i, _, g in rows[:300]) and all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "fr"
+    assert {r["h"] for r in df.select("doc_id", language.held_out().alias("h")).collect()} == {True, False}
+    empty = language.train(df.limit(0))
+    assert {r["lang_pred"] for r in language.predict(df, empty).collect()} == {"und"}
+    left = language.with_known_language(docs)
+    assert left.columns == docs.columns and not {120, 121, 122} & {r["doc_id"] for r in left.collect()}
+
+
+def test_contamination(docs, texts, spark):
+    items = [("7", texts[7]), ("short", "one two"), ("p", texts[115].split("\n")[1]), ("none", "!!"), ("null", None), (None, " ".join(alnum(texts[9])[:13]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    windows = {}
+    for name, t in items:
+        w = alnum(t)
+        n = min(13, len(w))
+        for s in range(len(w) - n + 1) if w else ():
+            windows.setdefault(tuple(w[s : s + n]), set()).add(name)
+    want = {}
+    for i, t in texts.items():
+        w, hit, names = alnum(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in windows:
+                    hit |= set(range(s, s + n))
+                    names |= windows[tuple(w[s : s + n])]
+        want[i] = (len(w), len(hit), sorted(x for x in names if x), bool(hit) and 20 * len(hit) >= len(w))
+    found = lambda df: {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in df.collect() if r["doc_id"] is not None}
+    assert found(decontaminate.contamination(docs, bench)) == want
+    wanted = decontaminate.phrases(bench)
+    index = decontaminate.build_index(docs, segment_bytes=2000)
+    whole = {(r["o"], r["k"]): [(x["a"], x["b"]) for x in r["ranges"]] for r in decontaminate.search(index, wanted).collect()}
+    assert {(r["o"], r["k"]): [(x["a"], x["b"]) for x in r["ranges"]] for r in decontaminate.search(index, wanted, block_bytes=400).collect()} == whole
+    left = decontaminate.without_contamination(docs, bench)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect() if r["doc_id"] is not None} == {i for i in want if not want[i][3]}
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "x red a blue b y"), (2, "red blue"), (3, "blue a b c red"), (4, "red"), (5, "blue q red")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "red blue")], "item_id string, text string")
+    near = decontaminate.contamination(docs, items, slop=1)
+    assert {r["doc_id"] for r in near.where("size(items) > 0").collect()} == {1, 2, 5}
+
+
+def test_licenses(docs, texts, spark):
+    said = ["Licensed under the Apache License, Version 2.0.", "under the MIT License and cc-by CC BY-NC 4.0", "GNU General Public License v3 or GPL", None, "", "mit  license mit\tlicense", "SPDX-License-Identifier: BSD-3-Clause", "summit licenses"]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license.digest(license.scan(df)).collect()}
+    assert got[0]["labels"] == "apache,apache-2.0" and got[0]["first_word"] == 3 and got[0]["score"] == 1.0
+    assert got[1]["base_labels"] == "cc-by,mit" and "cc-by-nc-4.0" in got[1]["labels"] and got[1]["n_base"] == 3
+    assert got[2]["labels"] == "gpl,gpl-3.0" and got[5]["n_base"] == 2 and got[6]["labels"] == "bsd-3-clause"
+    assert got[3]["n_words"] == 0 and got[4]["first_word"] is None and got[7]["labels"] == ""
+    assert len(license_rules.rules()) > 200 and license.scan(docs).count() == docs.count()
+    many = license.digest(license.scan(spark.createDataFrame([(1, "mit license " * 3000)], "doc_id long, text string"))).first()
+    assert many["n_base"] == 3000 and many["last_word"] == 5998
+
+
+def test_license_suppression(spark):
+    rules = [{"number": i, "base": False, "label": n, "priority": p, "keyword": k, "expression": x} for i, (n, p, k, x) in enumerate([("long", 2, "a", "a b c"), ("low", 1, "b", "b c"), ("high", 3, "b", "b"), ("over", 1, "c", "c d"), ("same", 2, "a", "a b c")])]
+    df = spark.createDataFrame([(1, "A b C d")], "doc_id long, text string")
+    assert [x["label"] for x in license.scan(df, rules).first()["kept"]] == ["long", "high", "over"]
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+    return kind != "phone" or 9 <= len(digits) <= 15
+
+
+def test_personal_data(docs, spark):
+    chance = random.Random(8)
+    pool = ["a.b@c.de", "x@y", "@", "_d@e.f-g.h", "1.2.3.4", "1.2.3.4.5.6", "256.1.1.1", "0001.2.3.004", "4111 1111-1111 1111", "4111111111111112", "+1 (212) 555-0100", "+12", "+49 30 123456789", "é", "漢", " ", "\n", ".", "-", "7", "token = \"abcDEF1234567890\""]
+    said = ["".join(chance.choice(pool) for _ in range(chance.randint(0, 9))) for _ in range(500)] + [None, "", "7" * 3000, "a" * 5000 + "@" + "b." * 3000 + "c"]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    for r in pii.digest(pii.found(df)).collect():
+        t = said[r["doc_id"]] or ""
+        spans = [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, t) if valid(k, m.group())]
+        assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest(), t
+        assert set(spans) <= set(r["spans"].split(","))or not spans
+        assert r["n_card"] == sum(s.startswith("card:") for s in spans)
+    assert pii.found(docs).count() == docs.count() and pii.found(docs.limit(0)).count() == 0
+
+
+def test_added_spans(spark):
+    df = spark.createDataFrame([(i, f'please write to a{i}@b.org or token = "f3ef4d6b2755a36d{i}" now') for i in range(40)], "doc_id long, text string")
+    assert all("secret:" in r["spans"] and r["n_email"] == 1 for r in pii.digest(pii.found(df)).collect())
+
+
+def test_bitmap_loses_no_key(spark):
+    keys = spark.range(500).select(F.xxhash64("id").alias("k"))
+    all_ = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    some = all_.where(among(keys, 12))
+    assert keys.join(some, "k", "left_anti").count() == 0 and some.count() < 1500
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: minhash.near_duplicates(d), lambda d: linedup.deduplicated(d), lambda d: fingerprint.edited(d), lambda d: sharding.sharded(d, 10), lambda d: license.scan(d), lambda d: decontaminate.contamination(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+])
+def test_no_documents(docs, run):
+    assert run(docs.limit(0)).count() == 0

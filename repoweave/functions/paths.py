@@ -15,6 +15,27 @@ LANGUAGES = {
 #: Folders that are never walked.
 EXCLUDED_DIRS = (".git", ".state", "target", "node_modules", ".venv", "venv", ".tox", "dist", "build", "vendor", "coverage", "__pycache__")
 
+#: Artifact classes in order, with file names, starts of file names, ends of paths and parts of paths.
+ARTIFACT_RULES = (
+    ("container", "dockerfile", "dockerfile.", "", "/docker/"),
+    ("ci", "", "", ".github/workflows", ".github/workflows/ gitlab-ci"),
+    ("manifest", "cargo.toml go.mod pyproject.toml package.json pom.xml build.gradle setup.py", "", "", ""),
+    ("build", "makefile justfile rakefile build.gradle gradlew setup.cfg", "", "", ""),
+    ("schema", "", "", ".sql", "/schema /migrations/"),
+    ("config", "", "config.", ".env.example", "/config"),
+    ("script", "", "", ".sh", "/scripts/ /bin/"),
+    ("test_infra", "", "", "", "/test /fixtures/"),
+    ("packaging", "cargo.lock go.sum requirements.txt poetry.lock package-lock.json yarn.lock pnpm-lock.yaml", "", "", ""),
+)
+#: Roles in order, with the words that a module's name has.
+ROLES = (
+    ("state", "storage database state"),
+    ("interface", "protocol api client server"),
+    ("execution", "execution runtime pipeline interpreter"),
+    ("support", "build test release packag"),
+    ("integration", "network integration"),
+)
+
 
 def glob_regex(pattern: str) -> str:
     """A glob as an anchored regular expression: * and ? cross slashes, [a-z] and [!a] are classes, an unclosed [ is itself."""
@@ -89,17 +110,17 @@ def artifact_class(path: Column) -> Column:
     """The first class whose rule a path meets, or null."""
     low = F.lower(path)
     name = file_name(low)
-    return (
-        F.when((name == "dockerfile") | name.startswith("dockerfile.") | low.contains("/docker/"), "container")
-        .when(low.endswith(".github/workflows") | low.contains(".github/workflows/") | low.contains("gitlab-ci"), "ci")
-        .when(name.isin("cargo.toml", "go.mod", "pyproject.toml", "package.json", "pom.xml", "build.gradle", "setup.py"), "manifest")
-        .when(name.isin("makefile", "justfile", "rakefile", "gradlew", "setup.cfg"), "build")
-        .when(low.contains("/schema") | low.contains("/migrations/") | low.endswith(".sql"), "schema")
-        .when(low.contains("/config") | name.endswith(".env.example") | name.startswith("config."), "config")
-        .when(low.contains("/scripts/") | low.contains("/bin/") | low.endswith(".sh"), "script")
-        .when(low.contains("/test") | low.contains("/fixtures/"), "test_infra")
-        .when(name.isin("cargo.lock", "go.sum", "requirements.txt", "poetry.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml"), "packaging")
-    )
+    out = F.lit(None).cast("string")
+    for kind, names, starts, ends, parts in reversed(ARTIFACT_RULES):
+        hit = name.isin(*names.split()) if names else F.lit(False)
+        for x in starts.split():
+            hit = hit | name.startswith(x)
+        for x in ends.split():
+            hit = hit | low.endswith(x)
+        for x in parts.split():
+            hit = hit | low.contains(x)
+        out = F.when(hit, kind).otherwise(out)
+    return out
 
 
 def safe_name(value: Column) -> Column:
@@ -141,7 +162,6 @@ def edition_id(change: Column) -> Column:
 def role(module: Column) -> Column:
     """What a module does, by the first group of words of which its name has one."""
     low, out = F.lower(module), F.lit("subsystem")
-    groups = (("integration", "network|integration"), ("support", "build|test|release|packag"), ("execution", "execution|runtime|pipeline|interpreter"), ("interface", "protocol|api|client|server"), ("state", "storage|database|state"))
-    for name, words in groups:
-        out = F.when(low.rlike(words), name).otherwise(out)
+    for name, words in reversed(ROLES):
+        out = F.when(low.rlike(words.replace(" ", "|")), name).otherwise(out)
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "repoweave", **conf: str) -> SparkSession:
-    """A session with UTC times and adaptive execution; conf keys use _ for dots' places as given by the caller."""
+    """A session with UTC times and adaptive execution; __ in a keyword of conf stands for a dot."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

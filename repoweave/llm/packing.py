@@ -9,7 +9,9 @@ decreasing over a tournament tree of bin capacities.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,31 +28,77 @@ END_ID = 2
 #: Documents in a randomised group, on average.
 GROUP_DOCS = 20_000
 _SLICE_BYTES = 8 << 20
-_MOST_CACHED = 1 << 18
+_MOST_CACHED = 1 << 19
+
+
+def _byte_letters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: visible Latin-1 ones for themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    more = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(more)) for b in range(256)]
+
+
+_BYTES = _byte_letters()
+#: What the short way takes: visible ASCII without the apostrophe (contractions), and the Latin-1 letters, which NFC leaves alone.
+_PLAIN = re.compile("[!-&(-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PARTS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 class _Encoder:
-    """Token ids of many texts. Pieces between ASCII white space are encoded once each, as no token reaches across it."""
+    """Token ids of many texts.
+
+    Pieces between ASCII white space are encoded once each, as no token reaches
+    across it. Where the tokenizer lower-cases and splits into letters, single
+    digits and other runs (`short`), plain pieces are split here and only parts
+    not seen before go to its model; all others go through it whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+        self.short = self._can_be_short()
+
+    def _can_be_short(self) -> bool:
+        """Whether the short way gives the tokenizer's own ids for a trial of all plain characters, alone and together."""
+        plain = [chr(c) for c in range(0x21, 0x100) if _PLAIN.fullmatch(chr(c))]
+        trial = plain + [a + b for a in "aZ0.\xc9\xdf-" for b in plain] + ["".join(plain[i : i + 7]) for i in range(len(plain))]
+        return all(np.frombuffer(self._plain(x), np.uint32).tolist() == self.tokenizer.encode(x, add_special_tokens=False).ids for x in trial if "<|" not in x)
+
+    def _plain(self, word: str) -> bytes:
+        known, out = self.known, []
+        for part in _PARTS.findall(word.lower()):
+            ids = known.get(part)
+            if ids is None:
+                tokens = self.model.tokenize(part if part.isascii() else "".join([_BYTES[b] for b in part.encode()]))
+                ids = known[part] = array("I", [t.id for t in tokens]).tobytes()
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > _MOST_CACHED:
+            self.known.clear()
+        out: list = [None] * len(words)
+        rest = []
+        for i, w in enumerate(words):
+            if self.short and _PLAIN.fullmatch(w) and "<|" not in w:
+                out[i] = self._plain(w)
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), 8192):
+            group = rest[at : at + 8192]
+            for i, e in zip(group, self.tokenizer.encode_batch_fast([words[i] for i in group], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.uint32).tobytes()
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, flat, and the bounds of each text's."""
         parts = pc.ascii_split_whitespace(texts)
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > _MOST_CACHED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 8192):
-            group = new[i : i + 8192]
-            for w, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        own = [self.known[w] for w in words]
+        own = self._words(words)
         sizes = np.array([len(x) // 4 for x in own] or [0], np.int64)
         flat = np.frombuffer(b"".join(own), np.uint32)
         begin = np.cumsum(sizes) - sizes

@@ -37,22 +37,35 @@ ROLES = (
 )
 
 
+def _class(body: str, negated: bool) -> str:
+    """A glob's class: characters and rising ranges; a falling range has no character, and an empty class matches nothing."""
+    out, i = [], 0
+    quoted = lambda c: rf"\x{{{ord(c):x}}}" if not c.isalnum() else c
+    while i < len(body):
+        if body[i + 1 : i + 2] == "-" and i + 2 < len(body):
+            if body[i] <= body[i + 2]:
+                out.append(f"{quoted(body[i])}-{quoted(body[i + 2])}")
+            i += 3
+        else:
+            out.append(quoted(body[i]))
+            i += 1
+    return f"[{'^' * negated}{''.join(out)}]" if out else "." if negated else r"[^\s\S]"
+
+
 def glob_regex(pattern: str) -> str:
-    """A glob as an anchored regular expression: * and ? cross slashes, [a-z] and [!a] are classes, an unclosed [ is itself."""
+    """A glob as an anchored regular expression (of Java): * and ? cross slashes, [a-z] and [!a] are classes, an unclosed [ is itself."""
     out, i = [], 0
     pattern = pattern.replace("\\", "/").removeprefix("./")
     while i < len(pattern):
         c = pattern[i]
-        close = pattern.find("]", i + 2) if c == "[" else -1
+        negated = pattern[i + 1 : i + 2] in ("!", "^")
+        close = pattern.find("]", i + 2 + negated) if c == "[" else -1
         if c == "*":
             out.append(".*")
         elif c == "?":
             out.append(".")
         elif close > 0:
-            body = pattern[i + 1 : close]
-            negated = body[0] in "!^"
-            body = body[1:] if negated else body
-            out.append(f"[{'^' * negated}{re.sub(r'([\\\[\]^&~|])', r'\\\1', body)}]")
+            out.append(_class(pattern[i + 1 + negated : close], negated))
             i = close
         else:
             out.append(re.sub(r"([^A-Za-z0-9_/\-\s])", r"\\\1", c))

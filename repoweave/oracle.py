@@ -178,6 +178,27 @@ SELECT *, sha256(prompt) AS sha, length(prompt) AS chars FROM p""",
     "session_prune": """
 SELECT id, owner, ts FROM (SELECT event_id AS id, user_id AS owner, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 1728000 SECOND) WHERE n <= 10""",
     "orphan_locks": "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+    "graph_load": "SELECT s_nationkey AS graph, 's' || s_suppkey AS id, s_name AS name, 'n' || s_nationkey AS depends_on FROM supplier",
+    "tree_load": """
+SELECT r_regionkey AS tree, r_name AS path, 1::BIGINT AS depth, NULL::VARCHAR AS parent, false AS is_leaf, '' AS components FROM region
+UNION ALL SELECT r_regionkey, r_name || '/' || n_name, 2, r_name, true, 'n' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "cluster_groups": "SELECT o_orderkey AS response, o_orderpriority AS module, unnest(['c' || o_custkey, 'o' || o_orderkey]) AS id FROM orders",
+    "patch_hunks": """
+SELECT o_orderkey AS patch, 'f' || (o_orderkey % 7) || '.py' AS path, o_custkey AS first, o_custkey + greatest(o_orderkey % 4 - 1, 0) AS last FROM orders
+UNION ALL SELECT o_orderkey, 'f' || (o_orderkey % 7) || '.py', o_orderkey, o_orderkey FROM orders UNION ALL SELECT o_orderkey, 'q.go', 4, 5 FROM orders""",
+    "id_lists": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a,' || event_type WHEN 1 THEN event_type || ',b' END AS ids FROM events",
+    "page_creation": """
+SELECT o_orderkey AS page, o_orderstatus AS content, CASE WHEN o_orderkey % 3 = 0 THEN 'created' WHEN o_orderkey % 5 = 0 THEN 'conflict' ELSE 'same' END AS outcome FROM orders""",
+    "edition_merge": """
+SELECT c_mktsegment AS edition, c_nationkey AS page, CASE WHEN c_nationkey % 2 = 0 THEN max(c_name) ELSE max(n_name) END AS content FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_mktsegment, c_nationkey
+UNION ALL SELECT 'repository', n_nationkey, n_name FROM nation""",
+    "edition_catalog": "SELECT source AS edition, count(*) AS pages, min(doc_id) AS first_page, arg_min(substr(text, 1, 20), doc_id) AS title FROM documents GROUP BY source",
+    "history_scan": """
+SELECT user_id AS path, date_trunc('day', ts)::TIMESTAMP AS ts, value AS mtime, event_id AS file FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, value DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
+    "overview_context": """
+SELECT r_name AS module, 1::BIGINT AS depth, r_name = 'ASIA' AS is_target, NULL::VARCHAR AS child_page FROM region
+UNION ALL SELECT r_name || '/' || n_name, 2, false, CASE WHEN r_name = 'ASIA' THEN 'wiki:' || lower(r_name) || ':' || lower(n_name) || ':start' END FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "primary_steps": f"WITH {_NATION_EDGES} SELECT caller AS src, min(callee) AS dst FROM edges WHERE caller <> callee GROUP BY caller",
 }
 
 

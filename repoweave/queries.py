@@ -12,11 +12,13 @@ from .functions import pages as X
 from .functions import paths as P
 from .operators import changes as D
 from .operators import components as C
+from .operators import editions as E
 from .operators import folds as O
 from .operators import graph as G
 from .operators import modules as M
 from .operators import pages as W
 from .session import table as T
+from .sources import documents as J
 
 _L = "long"
 
@@ -466,7 +468,80 @@ def edit_log_fold(s, d):
     return O.edit_log(ops)
 
 
-_NAMES = """module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
+# documents and editions
+
+
+def graph_load(s, d):
+    """2.1: a graph's JSON as nodes; nations are graphs of their suppliers."""
+    node = F.concat(F.lit('"s'), F.col("s_suppkey").cast("string"), F.lit('":{"name":"'), "s_name", F.lit('","depends_on":["n'), F.col("s_nationkey").cast("string"), F.lit('"]}'))
+    graphs = T(s, d, "supplier").groupBy(F.col("s_nationkey").alias("graph")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(node), ","), F.lit("}")).alias("value"))
+    return J.graph_nodes(graphs).select("graph", "id", "name", F.array_join("depends_on", ",").alias("depends_on"))
+
+
+def tree_load(s, d):
+    """2.1: a nested JSON tree as rows; each region is a tree of its nations."""
+    leaf = F.concat(F.lit('"'), "n_name", F.lit('":{"components":["n'), F.col("n_nationkey").cast("string"), F.lit('"],"children":{}}'))
+    children = T(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(leaf), ",").alias("c"))
+    trees = children.join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey").alias("tree"), F.concat(F.lit('{"'), "r_name", F.lit('":{"components":[],"children":{'), "c", F.lit("}}}")).alias("value"))
+    return J.module_rows(trees, 3).select("tree", F.array_join("path", "/").alias("path"), "depth", "parent", "is_leaf", F.array_join("components", ",").alias("components"))
+
+
+def cluster_groups(s, d):
+    """2.9: the groups of a tagged response; each order's response groups its customer and priority."""
+    body = F.concat(F.lit('words <GROUPED_COMPONENTS>{"'), "o_orderpriority", F.lit('":{"path":"x","components":["c'), F.col("o_custkey").cast("string"), F.lit('","o'), F.col("o_orderkey").cast("string"), F.lit('"]}}</GROUPED_COMPONENTS> more'))
+    return J.cluster_groups(T(s, d, "orders").select(F.col("o_orderkey").alias("response"), body.alias("text")))
+
+
+def patch_hunks(s, d):
+    """2.1: hunks of patches; each order's patch changes a file by its lines."""
+    k, n = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/f"), (k % 7).cast("string"), F.lit(".py\n@@ -1,2 +"), n.cast("string"), F.lit(","), (k % 4).cast("string"), F.lit(" @@ def\n+y\n@@ -9 +"), k.cast("string"), F.lit(" @@\n-z\ndiff --git a/q b/q\n+++ b/q.go\n@@ -3 +4,2 @@\n"))
+    return J.patch_hunks(T(s, d, "orders").select(k.alias("patch"), text.alias("text")))
+
+
+def id_lists(s, d):
+    """2.1: ids of JSON arrays or lines, by the events' properties."""
+    e = F.col("event_id")
+    text = F.when(e % 3 == 0, F.concat(F.lit('["a","'), "event_type", F.lit('"]'))).when(e % 3 == 1, F.concat("event_type", F.lit("\n\n b \n"))).otherwise(F.col("props"))
+    return T(s, d, "events").select("event_id", F.array_join(J.id_list(text), ",").alias("ids"))
+
+
+def page_creation(s, d):
+    """2.2: pages that are new, there already or in conflict."""
+    pages = T(s, d, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_orderstatus").alias("content"))
+    present = T(s, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("page"), F.when(F.col("o_orderkey") % 5 == 0, "old").otherwise(F.col("o_orderstatus")).alias("content"))
+    return E.new_pages(pages, present)
+
+
+def edition_merge(s, d):
+    """2.2: what each edition shows; customers' segments are editions over the nations' pages."""
+    base = T(s, d, "nation").select(F.col("n_nationkey").alias("page"), F.col("n_name").alias("content"))
+    changes = T(s, d, "customer").groupBy(F.col("c_mktsegment").alias("edition"), F.col("c_nationkey").alias("page")).agg(F.max("c_name").alias("m"))
+    return E.merged(base, changes.select("edition", "page", F.when(F.col("page") % 2 == 0, F.col("m")).alias("content")))
+
+
+def edition_catalog(s, d):
+    """2.1: an entry for each edition; sources are editions."""
+    return E.catalog(T(s, d, "documents").select(F.col("source").alias("edition"), F.col("doc_id").alias("page"), F.substring("text", 1, 20).alias("title")))
+
+
+def history_scan(s, d):
+    """2.1: the last edit snapshot of each path; users are paths."""
+    return E.latest(T(s, d, "events").select(F.col("user_id").alias("path"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("mtime"), F.col("event_id").alias("file")))
+
+
+def overview_context(s, d):
+    """2.9: the tree as an overview shows it, with the pages of the target's children."""
+    rows = M.flattened(_tree(s, d).where("id not like 'c%'"), 2)
+    return E.overview(rows.withColumn("page", P.page_id("wiki", F.transform("path", lambda x: F.replace(x, F.lit(" "), F.lit("-"))))), "ASIA")
+
+
+def primary_steps(s, d):
+    """2.9: the smallest module that each leads to."""
+    return E.primary_step(_nation_edges(s, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst")))
+
+
+_NAMES = """graph_load tree_load cluster_groups patch_hunks id_lists page_creation edition_merge edition_catalog history_scan overview_context primary_steps module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
 path_glob_filter artifact_classes language_counts class_cap_and_budget safe_ids page_ids role_labels tree_paths post_order ancestors deepest_owner boundary_owner initial_modules
 claims super_groups tree_quality review_check khop_upstream diagram_paths target_subtree snapshot_diff change_ratios active_set rename_pairs neighbour_majority write_sets verdicts
 hunk_overlap edge_set_operations prose_counts headings truncation token_estimate_oversized link_extract broken_links page_differences unlinked_children page_id_collisions grounding

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pages import source_tokens
+from ..session import checkpointed
 
 
 def signature() -> Column:
@@ -103,7 +104,7 @@ def renames(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     order = [F.desc("similarity"), F.col("old_id"), F.col("new_id")]
     for _ in range(rounds):
         ranked = rest.withColumn("_o", F.row_number().over(Window.partitionBy("old_id").orderBy(*order))).withColumn("_n", F.row_number().over(Window.partitionBy("new_id").orderBy(*order)))
-        best = ranked.where("_o = 1 and _n = 1").select("old_id", "new_id", "similarity").checkpoint()
+        best = checkpointed(ranked.where("_o = 1 and _n = 1").select("old_id", "new_id", "similarity"))
         if best.isEmpty():
             break
         out = best if out is None else out.union(best)

@@ -15,3 +15,11 @@ def session(name: str = "repoweave", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df in the shared checkpoint folder; a local one is set only where none is, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not (context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
+        context.setCheckpointDir("/tmp/checkpoints")
+    return df.checkpoint()

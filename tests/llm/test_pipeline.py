@@ -22,6 +22,16 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert docs.select("doc_id").distinct().count() == last
 
 
+def test_stages_take_no_documents_and_odd_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None, 1, "x"), (1, "", "en", "s", 0, 2, "y"), (2, "some words here", "en", "s", 15, 3, None), (2, "some words here", "en", "s", 15, 3, None)], docs.schema.simpleString()[7:-1].replace(":", " ") + ", k int, label string")
+    for given, rows in ((odd.limit(0), 0), (odd, None)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, SF)
+            assert name == "packing" or out.columns == given.columns
+            assert out.count() == rows if rows is not None else out.count() <= 4
+
+
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_matches_its_sql(spark, name):
     c = duckdb.connect()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWEST, keyed, stored
+from .common import LOWEST, bounded_batches, keyed, stored
 from .vecwords import ALNUM, chunks, hashes, spans
 
 SEGMENT = "owners binary, keys binary, starts binary, terms binary, bounds binary, positions binary"
@@ -59,6 +59,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, segment_bytes:
 
     A null text has no postings but stands in its segment with no words.
     """
+    bounded_batches(docs.sparkSession)
     shared = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)
     rows = keyed(docs, id_col, text_col).select("o", "k", "text")
     return stored(rows.mapInArrow(_segments(shared, segment_bytes), SEGMENT), "index")

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWEST, keyed, stored
+from .common import LOWEST, bounded_batches, keyed, stored
 from .vecwords import chunks, mix
 
 SLOTS = 1 << 18
 HASHES = 3
 #: A language contains an n-gram if at least this share of its training n-grams are it: at most 1 / MIN_SHARE n-grams a language.
 MIN_SHARE = 5e-5
+#: A chunk has an n-gram for each byte, and these some dozen arrays.
+_CHUNK_BYTES = 1 << 19
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
@@ -30,7 +32,7 @@ _LETTERS[128:] = np.arange(128, 256)
 
 def _grams(texts):
     """(first row, rows, n-grams, their rows) for each chunk of texts; n-grams of spaces alone are none."""
-    for a, b, data, offsets in chunks(texts):
+    for a, b, data, offsets in chunks(texts, _CHUNK_BYTES):
         x = _LETTERS[data].astype(np.uint32)
         if len(x) < 4:
             yield a, b - a, np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -113,6 +115,7 @@ def train(labelled: DataFrame, min_share: float = MIN_SHARE, slots: int = SLOTS,
     What reaches the driver is the languages and the filter's slots, both of a
     size that doesn't follow the corpus.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.concat(F.lit(" "), F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("text"))
     counts = stored(rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -155,6 +158,7 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
     language with score 0. Repeated rows each get their row; other columns have
     no part.
     """
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     rows = rows.select("o", "k", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" ")).alias("text"))
     found = rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), "o long, k long, lang_pred string, score double")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, salted_join, stored
+from .common import bounded_batches, keyed, salted_join, stored
 from .vecwords import SPACED, chunks, hashes, mix, spans
 
 #: Blocks of fewer words than this stay: such lines repeat by chance or are too short to be a passage.
@@ -155,6 +155,7 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     rows of one doc_id and different texts go by a hash). Repeated rows are one
     document and don't lose lines to each other.
     """
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).select("o", "k", "text")
     seqs = stored(rows.mapInArrow(_sequences(min_words), "o long, k long, lines binary, counts binary, keys array<long>"), "lines")
     at = F.struct("o", "k")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWEST, keyed, salted_join, stored
+from .common import LOWEST, bounded_batches, keyed, salted_join, stored
 from .components import components
 from .vecwords import SPACED, chunks, hashes, mix, shingle_sets, spans
 
@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     null then and the rows are kept. No rows give no rows. Long texts count
     whole; other columns have no part.
     """
+    bounded_batches(docs.sparkSession)
     docs = keyed(docs, id_col, text_col).select("o", "k", "text")
     signed = stored(docs.mapInArrow(_signed(width, bands, rows), "o long, k long, n_shingles long, digest string, bands array<long>"), "signatures")
     whole = signed.select("o", "k", "n_shingles", "digest")

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import LOWEST, keyed, stored
+from .common import LOWEST, bounded_batches, keyed, stored
 
 SEQUENCE = 4096
 END_ID = 2
 #: Documents in a randomised group, on average.
 GROUP_DOCS = 20_000
-_SLICE_BYTES = 8 << 20
-_MOST_CACHED = 1 << 19
+_SLICE_BYTES = 4 << 20
+_MOST_CACHED = 200_000
 
 
 def _byte_letters() -> list[str]:
@@ -192,6 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     Null and empty texts have just end_id. Repeated rows are packed each on its
     own; null ids stay null; no rows give none; other columns have no part.
     """
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).select("o", "k", "text")
     pieces = stored(rows.mapInArrow(_pieces(tokenizer_path, sequence, end_id), _PIECE), "pieces")
     groups = max(1, -(-pieces.where("start = 0").count() // group_docs))

@@ -4,7 +4,8 @@ A line is known by the hash of its words; lines of fewer than `min_words` words
 are common, so a rare key is a run of whole lines with at least that many
 words. Each document pairs with the earliest document that has its key, never
 with all of them. The two line sequences are aligned by patience diff, and each
-aligned common block of at least `min_words` words leaves the later document.
+aligned common block of at least `min_words` words leaves the later document,
+as do common runs of so many words that no alignment holds.
 """
 
 from __future__ import annotations
@@ -39,6 +40,19 @@ def _lines(data, offsets):
     return mix(total[last] - total[last - n] + n.astype(np.uint64)), n, line_owner
 
 
+def _runs(lines: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and numbers of lines of the shortest runs of min_words words, one from each line that has enough words from it on."""
+    total = np.concatenate(([0], np.cumsum(counts)))
+    to = np.searchsorted(total, total[:-1] + min_words)
+    ok = np.flatnonzero(to < len(total))
+    span = to[ok] - ok
+    run_hash = np.zeros(len(ok), np.uint64)
+    for step in range(int(span.max(initial=0))):
+        live = span > step
+        run_hash[live] = mix(run_hash[live] * np.uint64(0x9E3779B97F4A7C15) + lines[ok[live] + step])
+    return ok, run_hash, span
+
+
 def _sequences(min_words: int):
     def run(batches):
         for batch in batches:
@@ -50,15 +64,7 @@ def _sequences(min_words: int):
                     filled = s + np.flatnonzero(n[s:e])  # blank lines have no part
                     seqs.append(h[filled].tobytes())
                     counts.append(n[filled].astype(np.int32).tobytes())
-                    total = np.concatenate(([0], np.cumsum(n[filled])))
-                    to = np.searchsorted(total, total[:-1] + min_words)  # the run from each line that has enough words
-                    ok = np.flatnonzero(to < len(total))
-                    own = h[filled]
-                    run_hash = np.zeros(len(ok), np.uint64)
-                    span = to[ok] - ok
-                    for step in range(int(span.max(initial=0))):
-                        live = span > step
-                        run_hash[live] = mix(run_hash[live] * np.uint64(0x9E3779B97F4A7C15) + own[ok[live] + step])
+                    _, run_hash, _ = _runs(h[filled], n[filled], min_words)
                     keys.append(np.unique(run_hash).astype(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("o"), batch.column("k"), pa.array(seqs, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["o", "k", "lines", "counts", "keys"]
@@ -119,21 +125,47 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
 
 
 def common_blocks(early: np.ndarray, late: np.ndarray, counts: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """(first, end) in late of the aligned blocks with at least min_words words.
+    """(first, end) in late of the blocks with at least min_words words that early has too.
 
     A block that moved past another is no part of an ordered alignment, so what
     stays of the later document is aligned again until nothing more is found.
+    Shorter common lines can still anchor an alignment that leaves a moved block
+    out; so the lines of every common run of min_words words go in the end.
     """
-    out, rest = [], [(0, len(late))]
+    gone, rest = np.zeros(len(late), bool), [(0, len(late))]
     a = early.tolist()
     while rest:
         s, e = rest.pop()
         found = [(s + j, s + j + n) for _, j, n in patience(a, late[s:e].tolist()) if counts[s + j : s + j + n].sum() >= min_words]
         if not found:
             continue
-        out += found
+        for x, y in found:
+            gone[x:y] = True
         rest += [(x, y) for (_, x), (y, _) in zip([(s, s), *found], [*found, (e, e)], strict=True) if y > x]
-    return sorted(out)
+    if not gone.all():
+        gone |= _in_common_runs(early, late, counts, min_words)
+    ends = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).tolist()
+    return list(zip(ends[::2], ends[1::2], strict=True))
+
+
+def _in_common_runs(early: np.ndarray, late: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarray:
+    """Whether each line of late lies in a run of lines with min_words words that early has too.
+
+    A line of such a run lies in the shortest one from it on, or else in the
+    shortest one that ends where the run ends.
+    """
+    own, first = np.unique(late, return_index=True)
+    at = np.minimum(np.searchsorted(own, early), len(own) - 1)
+    both = np.where(own[at] == early, counts[first[at]], 0)  # a line that late lacks is in no common run, whatever its words
+    edges = np.zeros(len(late) + 1, np.int64)
+    for way in (1, -1):
+        known = _runs(early[::way], both[::way], min_words)[1]
+        start, key, span = _runs(late[::way], counts[::way], min_words)
+        hit = np.isin(key, known)
+        low = start[hit] if way == 1 else len(late) - start[hit] - span[hit]
+        np.add.at(edges, low, 1)
+        np.add.at(edges, low + span[hit], -1)
+    return np.cumsum(edges[:-1]) > 0
 
 
 def _aligned(min_words: int):

@@ -73,6 +73,27 @@ def test_moved_and_doubled_blocks_go():
     assert common_blocks(early, late, counts, 31) == []
 
 
+def test_a_passage_that_moved_past_short_shared_lines_goes():
+    passage, footer = 1, 2
+    late = np.array([footer, 8, passage], np.uint64)
+    assert common_blocks(np.array([passage, footer, 7], np.uint64), late, np.array([1, 1, 60], np.int32), 30) == [(2, 3)]
+    late = np.array([footer, 8, 3, 4, 5, 9, 6], np.uint64)  # the passage's lines are short, too
+    assert common_blocks(np.array([3, 4, 5, footer, 7, 6], np.uint64), late, np.array([2, 3, 20, 5, 5, 1, 2], np.int32), 30) == [(2, 5)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 6), max_size=12), st.lists(st.integers(1, 6), min_size=1, max_size=12), st.integers(1, 9))
+def test_blocks_are_all_common_runs(a, b, most):
+    words = [0, 1, 2, 3, 1, 5, 9]
+    want = set()
+    for j in range(len(b)):
+        for n in range(1, len(b) - j + 1):
+            if sum(words[x] for x in b[j : j + n]) >= most and any(a[i : i + n] == b[j : j + n] for i in range(len(a) - n + 1)):
+                want |= set(range(j, j + n))
+    got = common_blocks(np.array(a, np.uint64), np.array(b, np.uint64), np.array([words[x] for x in b], np.int32), most)
+    assert {x for s, e in got for x in range(s, e)} == want
+
+
 def test_first_fit_decreasing_is_first_fit():
     chance = random.Random(3)
     for _ in range(50):

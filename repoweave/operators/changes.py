@@ -57,58 +57,174 @@ def fallback(ratios: DataFrame, tau_full: float = 0.5, tau_tree: float = 0.3) ->
 
 
 def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 * LCS / (m + n) of two arrays of tokens, one row of the table at a time; 1 for two empty ones."""
+    """2 * LCS / (m + n) of two arrays of tokens, one row of the table at a time; 1 for two empty ones.
+
+    The bits of one number hold a row of the table (Hyyrö's method).
+    """
     out = []
     for x, y in zip(a, b, strict=True):
-        if not len(x) and not len(y):
+        x, y = list(x), list(y)
+        if not x and not y:
             out.append(1.0)
             continue
-        code = {}
-        xs, ys = (np.array([code.setdefault(t, len(code)) for t in s], np.int64) for s in (x, y))
-        row = np.zeros(len(ys) + 1, np.int64)
-        for t in xs:
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], (row[:-1] + 1) * (ys == t)))
-        out.append(2.0 * int(row[-1]) / (len(xs) + len(ys)))
-    return pd.Series(out)
+        at = {}
+        for i, t in enumerate(y):
+            at[t] = at.get(t, 0) | 1 << i
+        full = (1 << len(y)) - 1
+        row = full
+        for t in x:
+            hit = row & at.get(t, 0)
+            row = ((row + hit) | (row - hit)) & full
+        out.append(2.0 * (len(y) - row.bit_count()) / (len(x) + len(y)))
+    return pd.Series(out, dtype="float64")
+
+
+#: Counters of the sketch that tells common pairs of tokens from rare ones.
+_SLOTS = 1 << 16
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _elements(tokens: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the tokens, or of the pairs that follow each other with both ends, each with the number of its occurrence."""
+    x = tokens.astype(np.int64).view(np.uint64)
+    if width == 2:
+        x = np.concatenate(([np.uint64(1)], x, [np.uint64(2)]))
+        x = _mixed(x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:])
+    x = np.sort(x)
+    nth = np.arange(len(x)) - np.searchsorted(x, x)
+    return _mixed(x + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _counted(width: int):
+    def run(batches):
+        n = np.zeros(_SLOTS, np.int64)
+        for batch in batches:
+            for tokens in batch["tokens"]:
+                n += np.bincount((_elements(tokens, width) % np.uint64(_SLOTS)).astype(np.int64), minlength=_SLOTS)
+        slot = np.flatnonzero(n)
+        yield pd.DataFrame({"slot": slot, "n": n[slot]})
+
+    return run
+
+
+def _prefixes(width: int, tau: float, counts):
+    """The rarest elements of each body, so many that two bodies of similarity tau share one.
+
+    Of m and n tokens, tau * (m + n) / 2 or more are common, so n >= m * tau /
+    (2 - tau). A token that is left out takes two pairs from its own sequence
+    and at most one from the other.
+    """
+
+    def run(batches):
+        common = counts.value
+        for batch in batches:
+            out = []
+            for tokens in batch["tokens"]:
+                x, m = _elements(tokens, width), len(tokens)
+                both = 2 * m / (2 - tau)
+                least = both * tau / 2 if width == 1 else 1 + both * (1.5 * tau - 1)
+                n = len(x) - max(1, int(np.ceil(least - 1e-6))) + 1
+                out.append(x[np.lexsort((x, common[(x % np.uint64(_SLOTS)).astype(np.int64)]))[:n]].view(np.int64))
+            yield pd.DataFrame({"g": batch["g"], "kind": batch["kind"], "m": [len(t) for t in batch["tokens"]], "elements": out})
+
+    return run
+
+
+def _bodies(deleted: DataFrame, added: DataFrame) -> DataFrame:
+    """old, id, body, tokens, kind and g (equal for equal tokens of one kind) of all bodies that have tokens."""
+    side = lambda df, old: df.select(F.lit(old).alias("old"), "id", "body", F.xxhash64(F.to_json(F.struct("component_type", "language"))).alias("kind"), source_tokens(F.col("body")).alias("tokens"))
+    return side(deleted, True).union(side(added, False)).where("size(tokens) > 0").withColumn("g", F.xxhash64("kind", "tokens"))
+
+
+def _alike(bodies: DataFrame, members: DataFrame, tau: float) -> DataFrame:
+    """bodies, members (g, old, id: those to compare) -> old_id, new_id, similarity of at least tau."""
+    ratio, width = 0.9 * tau, 2 if tau > 0.7 else 1
+    hashed = bodies.select("g", "kind", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    counts = np.zeros(_SLOTS, np.int64)
+    for slot, n in hashed.select("tokens").mapInPandas(_counted(width), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+        counts[slot] = n
+    counts = bodies.sparkSession.sparkContext.broadcast(counts)
+    prefixes = hashed.mapInPandas(_prefixes(width, tau, counts), "g long, kind long, m int, elements array<long>").groupBy("g").agg(F.any_value("kind").alias("kind"), F.any_value("m").alias("m"), F.any_value("elements").alias("elements"))
+    groups = members.groupBy("g").agg(F.min(F.when(F.col("old"), F.col("id"))).alias("old"), F.min(F.when(~F.col("old"), F.col("id"))).alias("new"))
+    keys = checkpointed(prefixes.join(groups, "g"))
+    own = lambda x: keys.where(F.col(x).isNotNull()).select("kind", F.explode("elements").alias("e"), "g", "m").select(F.xxhash64("kind", "e").alias("e"), F.col("g").alias(f"{x}_g"), F.col("m").alias(f"{x}_m"))
+    near = own("old").join(own("new"), "e").where(F.least("old_m", "new_m") >= ratio * F.greatest("old_m", "new_m"))
+    near = checkpointed(near.select("old_g", "new_g").distinct())
+    hashes = lambda x: F.transform(source_tokens(F.col(x)), lambda t: F.xxhash64(t))
+
+    def body(x):
+        first = groups.select("g", F.col(x).alias("id")).join(near.select(F.col(f"{x}_g").alias("g")).distinct(), "g", "left_semi")
+        return bodies.where(F.col("old") == (x == "old")).select("id", F.col("body").alias(f"{x}_body")).join(first, "id").select(F.col("g").alias(f"{x}_g"), f"{x}_body")
+
+    both = near.join(body("old"), "old_g").join(body("new"), "new_g")
+    scored = both.select("old_g", "new_g", F.pandas_udf(lcs_similarity, "double")(hashes("old_body"), hashes("new_body")).alias("similarity")).where(F.col("similarity") >= tau)
+    ids = lambda x: members.where(F.col("old") == (x == "old")).select(F.col("g").alias(f"{x}_g"), F.col("id").alias(f"{x}_id"))
+    return scored.join(ids("old"), "old_g").join(ids("new"), "new_g").select("old_id", "new_id", F.round("similarity", 6).alias("similarity"))
 
 
 def rename_pairs(deleted: DataFrame, added: DataFrame, tau: float = 0.95) -> DataFrame:
     """deleted, added (id, component_type, language, body) -> old_id, new_id, similarity of possible renames.
 
     Pairs are of one type and language, of lengths within 0.9 * tau, and at
-    least tau similar. Lengths fall into bands of that ratio, so that a pair
-    meets in its own or the next band and never across all lengths.
+    least tau similar; bodies without tokens have no pair. Equal bodies are
+    compared once. Bodies meet on the rarest of their pairs of tokens, so many
+    of them that no pair of that similarity is missed.
     """
-    ratio = 0.9 * tau
-    tokens = lambda df, x: df.select(F.col("id").alias(f"{x}_id"), "component_type", "language", source_tokens(F.col("body")).alias(f"{x}_tokens"))
-    band = lambda c: F.floor(F.log(F.greatest(F.size(c), F.lit(1))) / -float(np.log(ratio))).cast("int")
-    old = tokens(deleted, "old").withColumn("band", F.explode(F.array(*[band("old_tokens") + i for i in (-1, 0, 1)])))
-    new = tokens(added, "new").withColumn("band", band("new_tokens"))
-    m, n = F.size("old_tokens"), F.size("new_tokens")
-    near = old.join(new, ["component_type", "language", "band"]).where(F.least(m, n) >= ratio * F.greatest(m, n))
-    # a token that the other side lacks is in no common subsequence
-    most = F.least(m - F.size(F.array_except("old_tokens", "new_tokens")), n - F.size(F.array_except("new_tokens", "old_tokens")))
-    near = near.where(2 * most >= tau * (m + n))
-    scored = near.withColumn("similarity", F.pandas_udf(lcs_similarity, "double")("old_tokens", "new_tokens"))
-    return scored.where(F.col("similarity") >= tau).select("old_id", "new_id", F.round("similarity", 6).alias("similarity"))
-
-
-def renames(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+    bodies = _bodies(deleted, added)
+    return _alike(bodies, checkpointed(bodies.select("g", "old", "id")), tau)
+
+
+def renamed(deleted: DataFrame, added: DataFrame, tau: float = 0.95) -> DataFrame:
+    """deleted, added as for rename_pairs -> old_id, new_id, similarity: the greedy one-to-one choice among its pairs.
+
+    Equal bodies come first: the first old id goes with the first new one, the
+    second with the second. Only what is left is compared.
+    """
+    bodies = _bodies(deleted, added)
+    nth = F.row_number().over(Window.partitionBy("g", "old").orderBy("id"))
+    ids = checkpointed(bodies.select("g", "old", "id").withColumn("nth", nth))
+    side = lambda x: ids.where(F.col("old") == (x == "old")).select("g", "nth", F.col("id").alias(f"{x}_id"))
+    same = side("old").join(side("new"), ["g", "nth"]).select("old_id", "new_id", F.lit(1.0).alias("similarity"))
+    both = ids.groupBy("g").agg(F.least(F.count_if("old"), F.count_if(~F.col("old"))).alias("taken"))
+    rest = checkpointed(ids.join(both, "g").where("nth > taken").select("g", "old", "id"))
+    return same.union(renames(_alike(bodies, rest, tau)))
+
+
+def renames(pairs: DataFrame) -> DataFrame:
     """pairs (old_id, new_id, similarity) -> the greedy one-to-one choice: by similarity, then old and new id.
 
-    Each round takes the pairs that are the best of both their ends and drops
+    Each round takes the pairs that are the best of both their ends, and drops
     what shares an end with them; that gives the same choice as going through
-    the pairs one by one.
+    the pairs one by one. Where ids have equal best partners and are all of
+    those partners' best, as copies are, a round takes them all, in order.
+    Rounds go on until no pair is left; each takes the best pair at least.
     """
-    rest, out = pairs, None
-    order = [F.desc("similarity"), F.col("old_id"), F.col("new_id")]
-    for _ in range(rounds):
-        ranked = rest.withColumn("_o", F.row_number().over(Window.partitionBy("old_id").orderBy(*order))).withColumn("_n", F.row_number().over(Window.partitionBy("new_id").orderBy(*order)))
-        best = checkpointed(ranked.where("_o = 1 and _n = 1").select("old_id", "new_id", "similarity"))
-        if best.isEmpty():
-            break
+    rest, out = checkpointed(pairs), None
+    while not rest.isEmpty():
+        top = rest
+        for x in ("old_id", "new_id"):
+            top = top.join(rest.groupBy(x).agg(F.max("similarity").alias("similarity")), [x, "similarity"])
+        for x, y in (("old_id", "new_id"), ("new_id", "old_id")):
+            # of the ends whose best pairs are `top`: what set of partners they have
+            best = rest.join(rest.groupBy(x).agg(F.max("similarity").alias("similarity")), [x, "similarity"])
+            partners = best.groupBy(x).agg(F.count("*").alias(f"{x}_n"), F.sum(F.xxhash64(y).cast("decimal(20,0)")).alias(f"{x}_of"), F.bit_xor(F.xxhash64(y, F.lit(1))).alias(f"{x}_xor"), F.min(y).alias(f"{x}_first"))
+            top = top.join(partners, x)
+        # a block: all ends have the same partners, and each is its partners' best
+        block = ["similarity", "old_id_n", "old_id_of", "old_id_xor", "new_id_n", "new_id_of", "new_id_xor"]
+        top = checkpointed(top)
+        olds, news = (top.select(x, *block).distinct() for x in ("old_id", "new_id"))
+        whole = top.groupBy(*block).agg(F.count_distinct("old_id").alias("a"), F.count_distinct("new_id").alias("b")).where("a = new_id_n and b = old_id_n").select(*block)
+        ranked = lambda df, x: df.join(whole, block).withColumn("nth", F.row_number().over(Window.partitionBy(*block).orderBy(x)))
+        closed = ranked(olds, "old_id").join(ranked(news, "new_id"), [*block, "nth"]).select("old_id", "new_id", "similarity")
+        single = top.where("old_id_first = new_id and new_id_first = old_id").select("old_id", "new_id", "similarity")
+        best = checkpointed(closed.union(single).distinct())
         out = best if out is None else out.union(best)
-        rest = rest.join(best.select("old_id"), "old_id", "left_anti").join(best.select("new_id"), "new_id", "left_anti")
+        rest = checkpointed(rest.join(best.select("old_id"), "old_id", "left_anti").join(best.select("new_id"), "new_id", "left_anti"))
     return pairs.limit(0) if out is None else out
 
 

@@ -97,6 +97,48 @@ def test_rename_pairs_against_all_pairs(spark):
     assert {(r[0], r[1]) for r in got.collect()} == want
 
 
+def test_many_tied_renames_are_all_found(spark):
+    pairs = [(f"o{i:03}", f"n{j:03}", 0.97) for i in range(70) for j in range(60)] + [("p1", "m1", 0.96), ("p1", "m2", 0.96), ("p2", "m1", 0.96), ("o000", "m2", 0.95)]
+    used, want = set(), []
+    for o, n, x in sorted(pairs, key=lambda r: (-r[2], r[0], r[1])):
+        if o not in used and n not in used:
+            used |= {o, n}
+            want.append((o, n, x))
+    assert rows(D.renames(spark.createDataFrame(pairs, "old_id string, new_id string, similarity double"))) == sorted(want)
+
+
+def test_copies_are_renamed_one_to_one(spark):
+    import random
+
+    chance = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    base = [[chance.choice(words) for _ in range(n)] for n in (1, 3, 20, 200)]
+    old, new = [], []
+    for side, ids in ((old, "o"), (new, "n")):
+        for i in range(40):
+            b = list(base[i % 4])
+            if i % 3 == 0:
+                b[chance.randrange(len(b))] = chance.choice(words)
+            side.append((f"{ids}{i:02}", "f", None if i % 4 == 3 else "en", " ".join(b)))
+        side += [(f"{ids}x{i:02}", "f", "en", " ".join(base[2])) for i in range(60)] + [(f"{ids}e", "f", "en", ""), (f"{ids}z", "f", "en", None)]
+    import pandas as pd
+
+    pairs = []
+    for o in old:
+        for n in new:
+            x, y = (o[3] or "").split(), (n[3] or "").split()
+            if x and y and o[2] == n[2]:
+                alike = D.lcs_similarity(pd.Series([x]), pd.Series([y]))[0]
+                pairs += [(o[0], n[0], round(alike, 6))] if alike >= 0.95 else []
+    used, want = set(), []
+    for o, n, x in sorted(pairs, key=lambda r: (-r[2], r[0], r[1])):
+        if o not in used and n not in used:
+            used |= {o, n}
+            want.append((o, n, x))
+    kind = "id string, component_type string, language string, body string"
+    assert rows(D.renamed(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind))) == sorted(want)
+
+
 def test_route_ties_and_share(spark):
     edges = spark.createDataFrame([("c", "1"), ("c", "2"), ("d", "1"), ("d", "9"), ("d", "8"), ("e", "9")], "id string, dependency string")
     pages = spark.createDataFrame([("1", "q"), ("2", "p")], "dependency string, page string")

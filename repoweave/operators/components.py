@@ -32,20 +32,20 @@ def name_index(components: DataFrame) -> DataFrame:
     return components.select("id", "language", F.explode(keys).alias("key")).withColumn("simple", F.element_at(F.split("key", r"::|\."), -1)).distinct()
 
 
-def resolved(references: DataFrame, components: DataFrame, levels: int = 3) -> DataFrame:
+def resolved(references: DataFrame, components: DataFrame) -> DataFrame:
     """references (ref, owner, language, name) -> ref, target by ordered fallbacks.
 
-    Of the whole name, then of what follows its first, second ... `::` or `.`:
-    the unique id in the language, the unique simple name, the unique exact
-    name. The first level with a target decides; an ambiguous name has no edge.
+    Of the name as it is: the unique id in the language, the unique exact name.
+    Then of what follows its last `::`, and of what follows its last `.`: the
+    unique id in the language, the unique simple name, the unique exact name.
+    The first of these with a target decides; an ambiguous name has no edge.
     """
     index = name_index(components)
     exact, simple = index.select("id", "language", "key"), index.select("id", F.col("simple").alias("key")).distinct()
-    parts = F.split("name", r"::|\.")
-    tries = references.select("ref", "owner", "language", F.posexplode(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(levels))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("cut", "key"))
+    tries = references.select("ref", "owner", "language", F.posexplode(F.array("name", F.substring_index("name", "::", -1), F.substring_index("name", ".", -1))).alias("cut", "key"))
     found = None
     for rank, (names, keys) in enumerate(((exact, ["language", "key"]), (simple, ["key"]), (exact.drop("language").distinct(), ["key"]))):
-        refs = tries.withColumn("try", F.struct("ref", "cut"))
+        refs = (tries.where("cut > 0") if names is simple else tries).withColumn("try", F.struct("ref", "cut"))
         hit = unique_matches(refs, names, keys, "try").select("try.ref", F.struct(F.col("try.cut").alias("cut"), F.lit(rank).alias("rank")).alias("at"), "target")
         found = hit if found is None else found.union(hit)
     return found.groupBy("ref").agg(F.min_by("target", "at").alias("target"))

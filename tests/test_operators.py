@@ -21,6 +21,14 @@ def test_ambiguous_names_have_no_edge(spark):
     assert rows(C.resolved(refs, comps)) == [(2, "u.py::unique"), (4, "u.py::unique")]
 
 
+def test_raw_names_and_their_last_parts_resolve(spark):
+    parts = [("src/x.py::Foo", "Foo", None, "python"), ("src/y.py::Foo", "Foo", None, "python"), ("src/z.py::run", "run", "K.run", "python"), ("m.py::main", "main", None, "python")]
+    comps = spark.createDataFrame(parts, "id string, name string, qualified_name string, language string")
+    names = ["src/x.py::Foo", "a::b::c::run", "pkg.mod.cls.run", "K.run", "a::b.c::d.run", "x.Foo"]
+    refs = spark.createDataFrame([(i, "m.py::main", "python", n) for i, n in enumerate(names)], "ref long, owner string, language string, name string")
+    assert rows(C.resolved(refs, comps)) == [(0, "src/x.py::Foo"), (1, "src/z.py::run"), (2, "src/z.py::run"), (3, "src/z.py::run"), (4, "src/z.py::run")]
+
+
 def test_two_names_resolve_to_the_other(spark):
     names = spark.createDataFrame([("a", "x"), ("b", "x")], "id string, key string")
     refs = spark.createDataFrame([("a", "a", "x"), ("c", "c", "x")], "ref string, owner string, key string")

@@ -11,6 +11,8 @@ Words are runs of digits, a-z (A-Z lower-cased) and characters beyond ASCII.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import LOWEST, bounded_batches, keyed, stored
 from .vecwords import ALNUM, chunks, hashes, spans
 
-SEGMENT = "owners binary, keys binary, starts binary, terms binary, bounds binary, positions binary"
+SEGMENT = "segment long, owners binary, keys binary, starts binary, terms binary, bounds binary, positions binary"
 SEGMENT_BYTES = 1 << 20
 #: A search's phrases are dealt in blocks of this many bytes; a block is what one broadcast holds.
 BLOCK_BYTES = 16 << 20
@@ -49,7 +51,8 @@ def _segments(terms, most: int):
                 words, place = words[order], place[order]
                 own, first = np.unique(words, return_index=True)
                 out.append([x.tobytes() for x in (o[a:b], k[a:b], starts.astype(np.int64), own, np.append(first, len(words)).astype(np.int64), place)])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.binary())] * 6, ["owners", "keys", "starts", "terms", "bounds", "positions"])
+            ids = pa.array([uuid.uuid4().int >> 65 for _ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, *([pa.array(x, pa.binary()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.binary())] * 6)], ["segment", "owners", "keys", "starts", "terms", "bounds", "positions"])
 
     return run
 
@@ -164,7 +167,7 @@ def _rank(keys, term, place, n_words):
     return np.searchsorted(keys, term * (n_words + 1) + place)
 
 
-_FOUND = pa.schema([("o", pa.int64()), ("k", pa.int64()), ("n_words", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_FOUND = pa.schema([("segment", pa.int64()), ("row", pa.int64()), ("o", pa.int64()), ("k", pa.int64()), ("n_words", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def _searched(block, slop: int):
@@ -190,7 +193,7 @@ def _searched(block, slop: int):
                         ranges[d].append(to)
                     at = d
                 items = [sorted({x for x in i if x is not None}) for i in items]
-                yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(k), pa.array(np.diff(starts)), pa.array(ranges, _FOUND.field("ranges").type), pa.array(items, _FOUND.field("items").type)], schema=_FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), segment["segment"])), pa.array(np.arange(len(o))), pa.array(o), pa.array(k), pa.array(np.diff(starts)), pa.array(ranges, _FOUND.field("ranges").type), pa.array(items, _FOUND.field("items").type)], schema=_FOUND)
 
     return run
 
@@ -209,13 +212,13 @@ def search(index: DataFrame, wanted: DataFrame, slop: int = 0, block_bytes: int
     parts = []
     for i in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == i).collect()
-        parts.append(index.mapInArrow(_searched(spark.sparkContext.broadcast(_Block(rows)), slop), "o long, k long, n_words long, ranges array<struct<a:long,b:long>>, items array<string>"))
+        parts.append(index.mapInArrow(_searched(spark.sparkContext.broadcast(_Block(rows)), slop), "segment long, row long, o long, k long, n_words long, ranges array<struct<a:long,b:long>>, items array<string>"))
     if blocks == 1:
-        return parts[0]
+        return parts[0].drop("segment", "row")
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.union(part)
-    whole = whole.groupBy("o", "k").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    whole = whole.groupBy("segment", "row", "o", "k").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("segment", "row")
     return whole.withColumn(
         "ranges",
         F.aggregate(

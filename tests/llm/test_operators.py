@@ -262,6 +262,15 @@ def test_contamination(docs, texts, spark):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect() if r["doc_id"] is not None} == {i for i in want if not want[i][3]}
 
 
+def test_repeated_rows_stay_with_several_blocks(spark):
+    text = "one two three four five six"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text), (2, "other")], "doc_id long, text string")
+    wanted = decontaminate.phrases(spark.createDataFrame([("i", text)], "item_id string, text string"), width=3)
+    index = decontaminate.build_index(docs)
+    whole, parts = (sorted((r["o"], r["k"], str(r["ranges"]), r["items"]) for r in decontaminate.search(index, wanted, block_bytes=n).collect()) for n in (1 << 20, 100))
+    assert len(whole) == 5 and parts == whole
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x red a blue b y"), (2, "red blue"), (3, "blue a b c red"), (4, "red"), (5, "blue q red")], "doc_id long, text string")
     items = spark.createDataFrame([("i", "red blue")], "item_id string, text string")

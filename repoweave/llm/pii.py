@@ -34,7 +34,7 @@ ADDED = {
 }
 KINDS = (*BASE, *ADDED)
 #: What a text must have for a kind's expression to run.
-_GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "ssn": "[0-9]-[0-9]", "tel": r"[0-9][)\x20.-]", "iban": "[A-Z]{2}[0-9]{2}", "name": r"[rseauz]\.?\x20\p{Lu}", "secret": "AKIA|gh[pousr]_|sk[_-]|eyJ|key|token|secret|passwor?d"}
+_GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "ssn": "[0-9]-[0-9]", "tel": r"[0-9][)\x20.-]", "iban": "[A-Z]{2}[0-9]{2}", "name": r"[rseaufz]\.?\x20\p{Lu}", "secret": "AKIA|gh[pousr]_|sk[_-]|eyJ|key|token|secret|passwor?d"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Gazetteers: usual top-level domains, calling codes, IBAN countries, given and family names, issuers' first digits.
 _DOMAINS = "com|org|net|edu|gov|info|io|co|de|fr|es|it|uk|us|ca|au|jp|cn|br|nl|ch|at|be|eu|example"

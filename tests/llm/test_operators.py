@@ -309,6 +309,14 @@ def valid(kind, m):
     return kind != "phone" or 9 <= len(digits) <= 15
 
 
+def test_each_title_alone_gives_a_name(spark):
+    titles = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
+    texts = [f"{t}{dot} Meier" for t in titles for dot in ("", ".")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in df.select("doc_id", pii._spans(F.col("text"), pii.ADDED["name"], pii._GATES["name"]).alias("s")).where("size(s) = 1").collect()}
+    assert got == set(range(len(texts)))
+
+
 def test_personal_data(docs, spark):
     chance = random.Random(8)
     pool = ["a.b@c.de", "x@y", "@", "_d@e.f-g.h", "1.2.3.4", "1.2.3.4.5.6", "256.1.1.1", "0001.2.3.004", "4111 1111-1111 1111", "4111111111111112", "+1 (212) 555-0100", "+12", "+49 30 123456789", "é", "漢", " ", "\n", ".", "-", "7", "token = \"abcDEF1234567890\""]

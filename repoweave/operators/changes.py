@@ -41,9 +41,13 @@ def active(changes: DataFrame) -> DataFrame:
     return changes.where("kind <> 'deleted'").select("id").distinct()
 
 
-def change_ratios(changes: DataFrame, total: DataFrame) -> DataFrame:
+#: Kinds of change that count as structural.
+STRUCTURAL = ("added", "deleted", "renamed", "edge_changes")
+
+
+def change_ratios(changes: DataFrame, total: DataFrame, structural: tuple[str, ...] = STRUCTURAL) -> DataFrame:
     """changes, total (id) -> one row: active, structural, total (one at least), the ratios of both to it, rounded, and full_fallback."""
-    counts = changes.agg(F.count_distinct(F.when(F.col("kind") != "deleted", F.col("id"))).alias("active"), F.count_distinct(F.when(F.col("kind").isin("added", "deleted", "renamed"), F.struct("kind", "id"))).alias("structural"))
+    counts = changes.agg(F.count_distinct(F.when(F.col("kind") != "deleted", F.col("id"))).alias("active"), F.count_distinct(F.when(F.col("kind").isin(*structural), F.struct("kind", "id"))).alias("structural"))
     n = total.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
     out = counts.withColumn("total", n.scalar())
     out = out.withColumns({"active_ratio": F.round(F.col("active") / F.col("total"), 6), "structural_ratio": F.round(F.col("structural") / F.col("total"), 6)})

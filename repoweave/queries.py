@@ -282,9 +282,9 @@ def snapshot_diff(s, d):
 
 
 def change_ratios(s, d):
-    """2.10: ratios of active and structural changes, and the outcome."""
+    """2.10: ratios of active and structural changes, and the outcome. As its SQL, it doesn't count changed edges as structural."""
     old, new = _snapshots(s, d)
-    return D.fallback(D.change_ratios(D.snapshot_diff(old, new), new.select("id")))
+    return D.fallback(D.change_ratios(D.snapshot_diff(old, new), new.select("id"), structural=("added", "deleted", "renamed")))
 
 
 def active_set(s, d):

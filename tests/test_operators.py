@@ -79,6 +79,13 @@ def test_snapshot_kinds_and_fallback(spark):
     assert D.fallback(D.change_ratios(same, old.select("id"))).first()["outcome"] == "no_change"
 
 
+def test_changed_edges_are_structural(spark):
+    kind = "id string, signature string, body string, depends_on array<string>"
+    old = spark.createDataFrame([(f"c{i}", "s", "x", ["q"]) for i in range(20)], kind)
+    new = old.withColumn("depends_on", F.when(F.substring("id", 2, 2).cast("int") < 7, F.array(F.lit("r"))).otherwise(F.col("depends_on")))
+    assert D.fallback(D.change_ratios(D.snapshot_diff(old, new), new.select("id"))).first().asDict() == {"active": 7, "structural": 7, "total": 20, "active_ratio": 0.35, "structural_ratio": 0.35, "outcome": "full_fallback"}
+
+
 def test_renames_are_greedy_and_one_to_one(spark):
     pairs = spark.createDataFrame([("a", "x", 0.99), ("a", "y", 1.0), ("b", "y", 0.98), ("b", "x", 0.97), ("c", "x", 0.96)], "old_id string, new_id string, similarity double")
     assert rows(D.renames(pairs)) == [("a", "y", 1.0), ("b", "x", 0.97)]

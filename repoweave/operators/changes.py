@@ -85,6 +85,8 @@ def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 #: Counters of the sketch that tells common pairs of tokens from rare ones.
 _SLOTS = 1 << 16
+#: Bins of a body's tokens; their numbers tell most unlike bodies apart.
+_BINS = 32
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -94,11 +96,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _elements(tokens: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the tokens, or of the pairs that follow each other with both ends, each with the number of its occurrence."""
+    """Hashes of the tokens (width 1), or of the pairs that follow each other with both ends (2), each with the number of its occurrence; 0: without it."""
     x = tokens.astype(np.int64).view(np.uint64)
     if width == 2:
         x = np.concatenate(([np.uint64(1)], x, [np.uint64(2)]))
         x = _mixed(x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:])
+    if not width:
+        return _mixed(x)
     x = np.sort(x)
     nth = np.arange(len(x)) - np.searchsorted(x, x)
     return _mixed(x + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -134,7 +138,7 @@ def _prefixes(width: int, tau: float, counts):
                 least = both * tau / 2 if width == 1 else 1 + both * (1.5 * tau - 1)
                 n = len(x) - max(1, int(np.ceil(least - 1e-6))) + 1
                 out.append(x[np.lexsort((x, common[(x % np.uint64(_SLOTS)).astype(np.int64)]))[:n]].view(np.int64))
-            yield pd.DataFrame({"g": batch["g"], "kind": batch["kind"], "m": [len(t) for t in batch["tokens"]], "elements": out})
+            yield pd.DataFrame({"g": batch["g"], "kind": batch["kind"], "m": [len(t) for t in batch["tokens"]], "elements": out, "words": [np.bincount((_elements(t, 0) % np.uint64(_BINS)).astype(np.int64), minlength=_BINS).astype(np.int32) for t in batch["tokens"]]})
 
     return run
 
@@ -153,12 +157,17 @@ def _alike(bodies: DataFrame, members: DataFrame, tau: float) -> DataFrame:
     for slot, n in hashed.select("tokens").mapInPandas(_counted(width), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
         counts[slot] = n
     counts = bodies.sparkSession.sparkContext.broadcast(counts)
-    prefixes = hashed.mapInPandas(_prefixes(width, tau, counts), "g long, kind long, m int, elements array<long>").groupBy("g").agg(F.any_value("kind").alias("kind"), F.any_value("m").alias("m"), F.any_value("elements").alias("elements"))
+    prefixes = hashed.mapInPandas(_prefixes(width, tau, counts), "g long, kind long, m int, elements array<long>, words array<int>").groupBy("g").agg(F.any_value("kind").alias("kind"), F.any_value("m").alias("m"), F.any_value("elements").alias("elements"), F.any_value("words").alias("words"))
     groups = members.groupBy("g").agg(F.min(F.when(F.col("old"), F.col("id"))).alias("old"), F.min(F.when(~F.col("old"), F.col("id"))).alias("new"))
     keys = checkpointed(prefixes.join(groups, "g"))
     own = lambda x: keys.where(F.col(x).isNotNull()).select("kind", F.explode("elements").alias("e"), "g", "m").select(F.xxhash64("kind", "e").alias("e"), F.col("g").alias(f"{x}_g"), F.col("m").alias(f"{x}_m"))
     near = own("old").join(own("new"), "e").where(F.least("old_m", "new_m") >= ratio * F.greatest("old_m", "new_m"))
-    near = checkpointed(near.select("old_g", "new_g").distinct())
+    near = near.where(F.least("old_m", "new_m") * (2 - tau) >= tau * F.greatest("old_m", "new_m") - 1e-6).select("old_g", "new_g", "old_m", "new_m").distinct()
+    words = lambda x: keys.select(F.col("g").alias(f"{x}_g"), F.col("words").alias(f"{x}_words"))
+    # tokens that a bin has more of on one side are in no common subsequence
+    apart = F.aggregate(F.zip_with("old_words", "new_words", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+    near = near.join(words("old"), "old_g").join(words("new"), "new_g").where(apart <= (1 - tau) * (F.col("old_m") + F.col("new_m")) + 1e-6)
+    near = checkpointed(near.select("old_g", "new_g"))
     hashes = lambda x: F.transform(source_tokens(F.col(x)), lambda t: F.xxhash64(t))
 
     def body(x):

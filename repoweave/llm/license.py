@@ -20,8 +20,6 @@ from .common import LOWEST, lower_az, order_key
 
 #: A rule's confidence by its priority.
 CONFIDENCE = {1: 0.5, 2: 0.8, 3: 1.0}
-#: No expression reaches over more words.
-LONGEST = 64
 _RULE = "struct<number:int,base:boolean,label:string,priority:int,expression:string>"
 
 
@@ -60,10 +58,12 @@ def scan(docs: DataFrame, rules: list[dict] | None = None, id_col: str = "doc_id
     found = F.flatten(F.transform(F.filter(table, lambda g: F.contains(F.col("words"), g["keyword"])), lambda g: F.flatten(F.transform(g["rules"], lambda r: _detections(F.col("words"), r)))))
     order = F.transform(found, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), (-x["priority"]).alias("rank"), x["number"].alias("number"), x.alias("own")))
     rows = rows.select("o", F.greatest(_spaces(F.col("words")) - 1, F.lit(0)).cast("long").alias("n_words"), F.transform(F.array_sort(order), lambda x: x["own"]).alias("found"))
-    # what contains a detection stands before it in this order, and starts at most LONGEST words before its end
-    reach = len(rules) * LONGEST
+    # what contains a detection stands before it in this order; a rule has at most one detection that begins at a word, so
+    # no more stand between the two than rules times the words of the text's longest detection
+    rows = rows.withColumn("reach", F.coalesce(F.array_max(F.transform("found", lambda x: x["e"] - x["s"])), F.lit(1)) * len(rules))
+    reach = F.col("reach")
     over = lambda x, y: (y["e"] >= x["e"]) & (y["priority"] >= x["priority"])
-    kept = F.filter("found", lambda x, i: ~F.exists(F.slice("found", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), lambda y: over(x, y)))
+    kept = F.filter("found", lambda x, i: ~F.exists(F.slice("found", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, reach)), lambda y: over(x, y)))
     rows = rows.select("o", "n_words", F.filter("found", lambda x: x["base"]).alias("base"), kept.alias("kept"), F.size("found").alias("n_found"))
     confidence = F.lit(0.0)
     for priority, value in CONFIDENCE.items():

@@ -251,12 +251,7 @@ openssl | openssl | openssl licen[cs]e
 vim | vim licen | vim licen[cs]e
 ruby | ruby licen | ruby licen[cs]e
 proprietary | proprietary | proprietary licen[cs]e
-proprietary | reserved | all rights reserved
 commercial | commercial licen | commercial licen[cs]e
-dual | dual licensed | dual licensed under
-unknown | licensed under | licensed under the terms of
-unknown | license agreement | (?:end user )?license agreement
-unknown | copyright | copyright (?:c )?(?:19|20)[0-9][0-9]
 """
 
 #: (label, phrase): the fixed phrases.

@@ -49,29 +49,35 @@ fits AS (
   SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(said, length(h || p)) AS ruling
   FROM parsed JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
 ruled AS (
-  SELECT parsed.*, rule, ruling,
+  SELECT parsed.*, rule, ruling, substr(md5(url), 1, 1) IN ('0', '1', '2') AS held,
     regexp_replace(translate(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '123456789', '000000000'), '(?s)[^a-z0/.-]', '_', 'g') || '^' AS plain
   FROM parsed LEFT JOIN fits USING (r)),
-chars AS (SELECT r, ruling, i, instr('abcdefghijklmnopqrstuvwxyz0/.-_^', substr(plain, i, 1)) - 1 AS c
-  FROM (SELECT r, ruling, plain, unnest(range(1, length(plain) + 1)) AS i FROM ruled)),
-triples AS (SELECT r, ruling, coalesce(lag(c, 2) OVER w, 31) AS p, coalesce(lag(c, 1) OVER w, 31) AS q, c FROM chars WINDOW w AS (PARTITION BY r ORDER BY i)),
-cells AS (SELECT p.i AS p, q.i AS q, c.i AS c FROM range(32) p(i), range(32) q(i), range(32) c(i)),
-seen AS (SELECT p, q, c, count(*) FILTER (ruling = 'allow') AS a, count(*) FILTER (ruling = 'block') AS b FROM triples WHERE ruling IS NOT NULL GROUP BY ALL),
-counted AS (SELECT p, q, c, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM cells LEFT JOIN seen USING (p, q, c)),
-sums AS (SELECT *, sum(a) OVER () AS a_all, sum(a) OVER (PARTITION BY c) AS a_c, sum(a) OVER (PARTITION BY q, c) AS a_qc, sum(a) OVER (PARTITION BY q) AS a_q, sum(a) OVER (PARTITION BY p, q) AS a_pq,
-  sum(b) OVER () AS b_all, sum(b) OVER (PARTITION BY c) AS b_c, sum(b) OVER (PARTITION BY q, c) AS b_qc, sum(b) OVER (PARTITION BY q) AS b_q, sum(b) OVER (PARTITION BY p, q) AS b_pq FROM counted),
-model AS (SELECT p, q, c, round((
-    ln((a + 4e0 * ((a_qc + 4e0 * ((a_c + 0.125e0) / (a_all + 4e0))) / (a_q + 4e0))) / (a_pq + 4e0))
-  - ln((b + 4e0 * ((b_qc + 4e0 * ((b_c + 0.125e0) / (b_all + 4e0))) / (b_q + 4e0))) / (b_pq + 4e0))) * 1000000)::BIGINT AS ratio FROM sums),
-scored AS (SELECT r, any_value(ruling) AS ruling, floor(sum(ratio)::DOUBLE / count(*))::BIGINT AS score FROM triples JOIN model USING (p, q, c) GROUP BY r),
+chars AS (SELECT r, ruling, held, i, instr('abcdefghijklmnopqrstuvwxyz0/.-_^', substr(plain, i, 1)) - 1 AS c
+  FROM (SELECT r, ruling, held, plain, unnest(range(1, length(plain) + 1)) AS i FROM ruled)),
+fours AS (SELECT r, ruling, held, coalesce(lag(c, 3) OVER w, 31) AS o, coalesce(lag(c, 2) OVER w, 31) AS p, coalesce(lag(c, 1) OVER w, 31) AS q, c FROM chars WINDOW w AS (PARTITION BY r ORDER BY i)),
+seen AS (SELECT o, p, q, c, count(*) FILTER (ruling = 'allow') AS a, count(*) FILTER (ruling = 'block') AS b FROM fours WHERE ruling IS NOT NULL AND NOT held GROUP BY ALL),
+both_ AS (SELECT coalesce(sum(a), 0) > 0 AND coalesce(sum(b), 0) > 0 AS trained FROM seen),
+cells AS (SELECT o.i AS o, p.i AS p, q.i AS q, c.i AS c FROM range(32) o(i), range(32) p(i), range(32) q(i), range(32) c(i)),
+counted AS (SELECT o, p, q, c, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM cells LEFT JOIN seen USING (o, p, q, c)),
+sums AS (SELECT *,
+  sum(a) OVER () AS a_all, sum(a) OVER (PARTITION BY c) AS a_c, sum(a) OVER (PARTITION BY q, c) AS a_qc, sum(a) OVER (PARTITION BY p, q, c) AS a_pqc,
+  sum(a) OVER (PARTITION BY q) AS a_q, sum(a) OVER (PARTITION BY p, q) AS a_pq, sum(a) OVER (PARTITION BY o, p, q) AS a_opq,
+  sum(b) OVER () AS b_all, sum(b) OVER (PARTITION BY c) AS b_c, sum(b) OVER (PARTITION BY q, c) AS b_qc, sum(b) OVER (PARTITION BY p, q, c) AS b_pqc,
+  sum(b) OVER (PARTITION BY q) AS b_q, sum(b) OVER (PARTITION BY p, q) AS b_pq, sum(b) OVER (PARTITION BY o, p, q) AS b_opq FROM counted),
+p0 AS (SELECT *, (a_c + 0.125e0) / (a_all + 4e0) AS a0, (b_c + 0.125e0) / (b_all + 4e0) AS b0 FROM sums),
+p1 AS (SELECT *, CASE WHEN a_q + b_q >= 8 THEN (a_qc + 4e0 * a0) / (a_q + 4e0) ELSE a0 END AS a1, CASE WHEN a_q + b_q >= 8 THEN (b_qc + 4e0 * b0) / (b_q + 4e0) ELSE b0 END AS b1 FROM p0),
+p2 AS (SELECT *, CASE WHEN a_pq + b_pq >= 8 THEN (a_pqc + 4e0 * a1) / (a_pq + 4e0) ELSE a1 END AS a2, CASE WHEN a_pq + b_pq >= 8 THEN (b_pqc + 4e0 * b1) / (b_pq + 4e0) ELSE b1 END AS b2 FROM p1),
+p3 AS (SELECT *, CASE WHEN a_opq + b_opq >= 8 THEN (a + 4e0 * a2) / (a_opq + 4e0) ELSE a2 END AS a3, CASE WHEN a_opq + b_opq >= 8 THEN (b + 4e0 * b2) / (b_opq + 4e0) ELSE b2 END AS b3 FROM p2),
+model AS (SELECT o, p, q, c, round((ln(a3) - ln(b3)) * 1000000)::BIGINT AS ratio FROM p3),
+scored AS (SELECT r, any_value(ruling) AS ruling, any_value(held) AS held, floor(sum(ratio)::DOUBLE / count(*))::BIGINT AS score FROM fours JOIN model USING (o, p, q, c) GROUP BY r),
 stepped AS (SELECT *, greatest(-1000, least(1000, floor(score / 10000.0)::BIGINT)) AS step FROM scored),
-steps AS (SELECT step, count(*) FILTER (ruling = 'allow') AS a, count(*) FILTER (ruling = 'block') AS b FROM stepped WHERE ruling IS NOT NULL GROUP BY step),
+steps AS (SELECT step, count(*) FILTER (ruling = 'allow') AS a, count(*) FILTER (ruling = 'block') AS b FROM stepped WHERE ruling IS NOT NULL AND held GROUP BY step),
 good AS (SELECT step, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b,
   (all_a - coalesce(sum(a) OVER w, 0)) * all_b + coalesce(sum(b) OVER w, 0) * all_a AS good
   FROM steps WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 least_step AS (SELECT (SELECT step FROM good WHERE all_a > 0 AND all_b > 0 ORDER BY good DESC, abs(step), step LIMIT 1) AS t)
-SELECT page_id, host, path, rule, coalesce(ruled.ruling, CASE WHEN t IS NULL OR step >= t THEN 'allow' ELSE 'block' END) AS verdict, score
-FROM ruled JOIN stepped USING (r), least_step
+SELECT page_id, host, path, rule, coalesce(ruled.ruling, CASE WHEN NOT trained OR step >= coalesce(t, 0) THEN 'allow' ELSE 'block' END) AS verdict, score
+FROM ruled JOIN stepped USING (r), least_step, both_
 """
 
 
@@ -82,7 +88,8 @@ buckets AS (
   SELECT depth, h >> (60 - depth) AS bucket, sum(n_bytes)::BIGINT AS shard_bytes FROM sizes, (SELECT unnest(range(0, 61))::INT AS depth)
   GROUP BY ALL HAVING sum(n_bytes) <= 1048576 OR min(h) = max(h)),
 fit AS (SELECT h, min(depth) AS depth FROM levels JOIN buckets USING (depth, bucket) GROUP BY h)
-SELECT doc_id, n_bytes, fit.depth::BIGINT AS depth, substr(lpad(bin(h), 60, '0'), 1, fit.depth) AS shard, shard_bytes, shard_bytes <= 1048576 AS fits
+SELECT doc_id, n_bytes, fit.depth::BIGINT AS depth, substr(lpad(bin(h), 60, '0'), 1, fit.depth) AS shard, shard_bytes, shard_bytes <= 1048576 AS fits,
+  max(fit.depth) OVER ()::BIGINT AS global_depth, h >> (60 - max(fit.depth) OVER ()) AS entry
 FROM sizes JOIN fit USING (h) JOIN buckets ON buckets.depth = fit.depth AND buckets.bucket = h >> (60 - fit.depth)
 """
 

@@ -3,9 +3,9 @@
 Expressions find candidate spans. Labelers (strict format, validity, gazetteer,
 context, contrary context, shape) vote on each for, against or not at all;
 expectation-maximisation estimates from the votes' patterns how reliable each
-is; its posteriors are the soft labels of the final classifier, a naive Bayes
-model of a span's features. DataFrame functions only: the loop of the estimation
-sums over the at most 3**6 patterns of votes.
+is for each kind of span; its posteriors are the soft labels of the final
+classifier, a naive Bayes model of a span's features. DataFrame functions only:
+the loop of the estimation sums over the at most 3**6 patterns of votes a kind.
 """
 
 from __future__ import annotations
@@ -37,10 +37,18 @@ KINDS = (*BASE, *ADDED)
 _GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "ssn": "[0-9]-[0-9]", "tel": r"[0-9][)\x20.-]", "iban": "[A-Z]{2}[0-9]{2}", "name": r"[rseaufz]\.?\x20\p{Lu}", "secret": "AKIA|gh[pousr]_|sk[_-]|eyJ|key|token|secret|passwor?d"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Gazetteers: usual top-level domains, calling codes, IBAN countries, given and family names, issuers' first digits.
-_DOMAINS = "com|org|net|edu|gov|info|io|co|de|fr|es|it|uk|us|ca|au|jp|cn|br|nl|ch|at|be|eu|example"
+_DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|app|dev|me|tv|online|site|shop|xyz|cloud|tech|blog|example|eu|de|fr|es|it|uk|us|ca|au|nz|jp|cn|kr|tw|hk|sg|in|id|my|th|vn|ph|"
+    "br|ar|mx|cl|pe|co|nl|be|lu|ch|at|dk|se|no|fi|is|ie|pt|pl|cz|sk|hu|ro|bg|gr|hr|si|rs|ua|ru|by|lt|lv|ee|tr|il|ae|sa|ir|za|ng|ke|eg|ma"
+)
 _CALLING = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
-_COUNTRIES = "AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|RO|SE"
-_NAMES = "James|John|Mary|Robert|Linda|Anna|Maria|Peter|Paul|Hans|Karl|Jean|Pierre|Marie|José|Juan|Carmen|Smith|Jones|Müller|Schmidt|Martin|Bernard|García|López"
+_COUNTRIES = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GI|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR"
+_NAMES = (
+    "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Alice|Bob|Emma|Olivia|Noah|Liam|Peter|Paul|Mark|George|"
+    "Hans|Karl|Klaus|Jürgen|Wolfgang|Anna|Maria|Ursula|Monika|Petra|Sabine|Jean|Pierre|Michel|André|Marie|Claire|Sophie|Camille|Jeanne|José|Juan|Antonio|Manuel|Francisco|Carmen|Ana|Isabel|Lucía|Dolores|"
+    "Smith|Jones|Taylor|Brown|Williams|Wilson|Johnson|Davies|Miller|Davis|Evans|Walker|Wright|Green|Hall|Müller|Schmidt|Schneider|Fischer|Weber|Meyer|Wagner|Becker|Hoffmann|Schäfer|Meier|"
+    "Martin|Bernard|Dubois|Robert|Durand|Moreau|Laurent|Simon|Lefebvre|Leroy|García|González|Rodríguez|Fernández|López|Martínez|Sánchez|Pérez|Gómez|Ruiz"
+)
 #: Words that stand before a kind, and before other numbers.
 _CUES = {
     "email": "mail|contact|write|reach|kontakt|courriel|correo", "ip": "ip|host|server|address|login|from", "card": "card|visa|credit|payment|karte|carte|tarjeta", "phone": "phone|tel|call|mobile|fax|telefon|téléphone|teléfono",
@@ -51,6 +59,8 @@ _CONTRARY = "version|release|build|isbn|doi|order|invoice|serial|page|pages|pric
 SLOTS = 1024
 _ROUNDS = 12
 _LEAN = 2.0
+#: A kind's estimates lean on those of all kinds together, as if so many of its spans had voted like them.
+_POOLED = 10.0
 _LABELERS = 6
 
 
@@ -132,44 +142,55 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         def one(x):
             before = F.lower(F.substring(F.col("text"), F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40))))
             after = F.substring(F.col("text"), x["e"] + 1, F.lit(1))
-            return F.struct(x["s"].alias("s"), x["e"].alias("e"), _votes(kind, x["m"], before, after).alias("votes"), _features(kind, x["m"], before, after).alias("features"))
+            return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _votes(kind, x["m"], before, after).alias("votes"), _features(kind, x["m"], before, after).alias("features"))
 
         return F.transform(kind, one)
 
     return rows.select("o", *[judged(k).alias(k) for k in KINDS])
 
 
-def reliabilities(votes: DataFrame) -> list[float]:
-    """votes (votes, an array) of all candidates -> the share of true spans, then for either class each labeler's chance of a vote for.
+def reliabilities(votes: DataFrame) -> dict[str, list[float]]:
+    """votes (kind, votes, an array) of all candidates -> for each kind the share of true spans, then for either class each labeler's chances of a vote for and of one against.
 
-    Dawid and Skene's estimate, begun from the majority; no vote is no
-    evidence. Each round sums over the patterns of votes, whose number doesn't
-    grow with the corpus.
+    Dawid and Skene's estimate, begun from the majority. Each round sums over
+    the patterns of votes of each kind, whose number doesn't grow with the
+    corpus.
     """
-    patterns = stored(votes.groupBy("votes").agg(F.count("*").cast("double").alias("n")), "votes")
+    patterns = stored(votes.groupBy("kind", "votes").agg(F.count("*").cast("double").alias("n")), "votes")
     posterior = 1 / (1 + F.exp(-F.aggregate("votes", F.lit(0.0), lambda a, v: a + v)))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     weights = (F.col("n") * F.col("q"), F.col("n") * (1 - F.col("q")))
-    voted = [total(F.when(when, w)) for w in weights for j in range(_LABELERS) for when in (F.col("votes")[j] == 1, F.col("votes")[j] != 0)]
-    model = []
+    voted = [total(F.when(F.col("votes")[j] == v, w)) for w in weights for j in range(_LABELERS) for v in (1, -1)]
+    half = 2 * _LABELERS
+    model: dict[str, list[float]] = {}
     for _ in range(_ROUNDS):
-        sums = patterns.select("votes", "n", posterior.alias("q")).agg(*[total(w) for w in weights], *voted).first()
-        for_, any_ = sums[2::2], sums[3::2]
-        chances = [(x + (2 if i < _LABELERS else 1)) / (y + 3) for i, (x, y) in enumerate(zip(for_, any_, strict=True))]
-        model = [(sums[0] + 1) / (sums[0] + sums[1] + 2), *chances]
-        posterior = posterior_of(model, "votes")
+        rows = patterns.select("kind", "votes", "n", posterior.alias("q")).groupBy("kind").agg(*[total(w) for w in weights], *voted).collect()  # a row a kind
+        if not rows:
+            break
+        sums = {r[0]: list(r)[1:] for r in rows}
+        whole = [sum(x) for x in zip(*sums.values(), strict=True)]
+        # before anything is seen, two of four votes are right, one is wrong and one is none
+        pooled = [(x + (2 if (i < half) == (i % 2 == 0) else 1)) / (whole[i // half] + 4) for i, x in enumerate(whole[2:])]
+        share = (whole[0] + 1) / (whole[0] + whole[1] + 2)
+        for kind, own in sums.items():
+            chances = [(x + _POOLED * p) / (own[i // half] + _POOLED) for i, (x, p) in enumerate(zip(own[2:], pooled, strict=True))]
+            model[kind] = [(own[0] + _POOLED * share) / (own[0] + own[1] + _POOLED), *chances]
+        posterior = posterior_of(model, "kind", "votes")
     return model
 
 
-def posterior_of(model: list[float], votes: str) -> Column:
-    """The chance that a span with these votes is true; model as reliabilities gives it."""
-    table = F.array(*[F.lit(x) for x in model])
+def posterior_of(model: dict[str, list[float]], kind: str, votes: str) -> Column:
+    """The chance that a span of this kind with these votes is true; model as reliabilities gives it."""
+    if not model:
+        return F.lit(0.5)
+    table = F.element_at(F.create_map(*[x for k, m in sorted(model.items()) for x in (F.lit(k), F.array(*[F.lit(v) for v in m]))]), F.col(kind))
 
     def likelihood(prior, first):
-        chance = lambda j: F.element_at(table, F.lit(first + j + 1))
-        return reduce(lambda a, j: a * F.when(F.col(votes)[j] > 0, chance(j)).when(F.col(votes)[j] < 0, 1 - chance(j)).otherwise(1.0), range(_LABELERS), prior)
+        chance = lambda j, v: F.element_at(table, F.lit(first + 2 * j + v + 1))
+        of = lambda j: F.when(F.col(votes)[j] > 0, chance(j, 0)).when(F.col(votes)[j] < 0, chance(j, 1)).otherwise(1 - chance(j, 0) - chance(j, 1))
+        return reduce(lambda a, j: a * of(j), range(_LABELERS), prior)
 
-    a, b = likelihood(F.element_at(table, F.lit(1)), 1), likelihood(1 - F.element_at(table, F.lit(1)), 1 + _LABELERS)
+    a, b = likelihood(F.element_at(table, F.lit(1)), 1), likelihood(1 - F.element_at(table, F.lit(1)), 1 + 2 * _LABELERS)
     return a / (a + b)
 
 
@@ -190,19 +211,25 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """docs -> doc_id, and for each kind an array of spans (s, e in code points, end excluded), for each row.
 
     Spans of the base kinds are all that their expression and check give; those
-    of added kinds are the candidates that the classifier takes for true. Null
-    and empty texts have none. Without candidates nothing is trained and nothing
-    added. Repeated rows each get their row and count in training; other columns
-    have no part; no rows give none.
+    of added kinds are the candidates that the classifier takes for true, less
+    those that overlap another one of larger odds (of equal odds: a longer one,
+    one of an earlier kind). Null and empty texts have none. Without candidates
+    nothing is trained and nothing added. Repeated rows each get their row and
+    count in training; other columns have no part; no rows give none.
     """
     rows = stored(candidates(docs, id_col, text_col), "candidates")
-    every = rows.select(F.explode(F.concat(*KINDS)).alias("x")).select("x.votes", "x.features")
+    every = rows.select(F.explode(F.concat(*KINDS)).alias("x")).select("x.kind", "x.votes", "x.features")
     trusted = reliabilities(every)
-    model = stored(classifier(every.withColumn("q", posterior_of(trusted, "votes"))), "pii-classifier")
+    model = stored(classifier(every.withColumn("q", posterior_of(trusted, "kind", "votes"))), "pii-classifier")
     rows = rows.withColumn("weights", model.scalar())
     odds = lambda x: F.aggregate(x["features"], F.element_at(F.col("weights"), 1), lambda a, f: a + F.element_at(F.col("weights"), f + 2))
+    rated = lambda k, i: F.transform(k, lambda x: F.struct(F.struct(odds(x).alias("odds"), (x["e"] - x["s"]).alias("length"), F.lit(-i).alias("kind")).alias("rank"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    rows = rows.withColumn("added", F.filter(F.concat(*[rated(k, i) for i, k in enumerate(ADDED)]), lambda x: x["rank"]["odds"] > 0))
+    apart = F.filter("added", lambda x: ~F.exists("added", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]) & (y["rank"] > x["rank"])))
+    rows = rows.withColumn("apart", apart)
     thin = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    return rows.select(F.when(F.col("o") != LOWEST, F.col("o")).alias("doc_id"), *[thin(F.col(k) if k in BASE else F.filter(k, lambda x: odds(x) > 0)).alias(k) for k in KINDS])
+    own = lambda k: F.filter("apart", lambda x: x["kind"] == k)
+    return rows.select(F.when(F.col("o") != LOWEST, F.col("o")).alias("doc_id"), *[thin(F.col(k) if k in BASE else own(k)).alias(k) for k in KINDS])
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -218,6 +218,24 @@ def test_sharding(docs, texts):
     assert {r["shard"] for r in sharding.sharded(docs, 1 << 40).collect()} == {""}
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(1, "a" * 50, "x"), (1, "a" * 50, "x"), (None, "n" * 80, None), (None, None, "y"), *[(i, "b" * 30, "z") for i in range(2, 40)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    sharding.write_shards(df, 200, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r) for r in back.select(*df.columns).collect()), key=key) == sorted(rows, key=key)
+    placed = sharding.sharded(df, 200)
+    listed = sharding.directory(placed).orderBy("first_entry").collect()
+    depth = placed.first()["global_depth"]
+    assert depth == max(r["depth"] for r in listed) and sum(r["n_rows"] for r in listed) == len(rows)
+    for r in listed:  # an entry's bits begin with its shard's
+        assert format(r["first_entry"], f"0{depth}b")[: r["depth"]] == format(r["last_entry"], f"0{depth}b")[: r["depth"]] == r["shard"]
+    assert all(x["last_entry"] < y["first_entry"] for x, y in zip(listed, listed[1:]))
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(df.withColumnRenamed("h", "shard"), 200, str(tmp_path / "no"))
+
+
 def test_language(docs, texts, spark):
     chance = random.Random(1)
     sets = {"en": ["the", "with", "house", "sing"], "fr": ["élan", "que", "maison", "eau"], "de": ["straße", "und", "haus", "über"]}
@@ -297,6 +315,32 @@ def test_license_suppression(spark):
     assert [x["label"] for x in license.scan(df, rules).first()["kept"]] == ["long", "high", "over"]
 
 
+def test_licenses_against_every_rule_on_every_text(docs, texts, spark):
+    """Each rule by Python's own expressions, and containment by all pairs of detections."""
+    rules = license_rules.rules()
+    said = dict(texts)
+    chance = random.Random(2)
+    parts = ["apache license version 2 0", "licensed under the apache license version 2 0 the license", "mit license", "gnu general public license version 3", "GPL v2 or later", "cc by sa 4.0", "CC-BY", "spdx license identifier mit", "the", "Public Domain", "bsd 3 clause license", "under", "2", "gnu lesser general public license"]
+    for i in range(200, 300):
+        said[i] = " ".join(chance.choice(parts) for _ in range(chance.randint(1, 12)))
+    df = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    for r in license.digest(license.scan(df)).collect():
+        words = alnum(said[r["doc_id"]])
+        text = f" {' '.join(words)} " if words else " "
+        found = []
+        for x in rules:
+            for m in re.finditer(f"(?<= )(?:{x['expression']})(?= )", text):
+                s = text[: m.start()].count(" ") - 1
+                found.append((s, s + m.group().count(" ") + 1, x))
+        inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and b[2]["priority"] >= a[2]["priority"] and (b[1] - b[0], b[2]["priority"], -b[2]["number"]) > (a[1] - a[0], a[2]["priority"], -a[2]["number"])
+        kept = [a for a in found if not any(inside(a, b) for b in found)]
+        base = [a for a in found if a[2]["base"]]
+        starts = [a[0] for a in base]
+        labels = lambda rows: ",".join(sorted({a[2]["label"] for a in rows}))
+        want = (len(words), len(base), min(starts, default=None), max(starts, default=None), labels(base), labels(base + kept), max((license.CONFIDENCE[a[2]["priority"]] for a in kept), default=0.0))
+        assert tuple(r)[1:] == want, said[r["doc_id"]]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -336,6 +380,40 @@ def test_added_spans(spark):
     assert all("secret:" in r["spans"] and r["n_email"] == 1 for r in pii.digest(pii.found(df)).collect())
 
 
+def test_added_kinds_are_found_and_apart(spark):
+    """Planted data of each added kind among plain texts and numbers that aren't personal."""
+    chance = random.Random(6)
+    word = lambda: "".join(chance.choice("abcdefghij") for _ in range(chance.randint(3, 8)))
+    number = lambda n: "".join(chance.choice("23456789") for _ in range(n))
+    plant = {
+        "ssn": lambda: ("social security ", f"{number(3)}-{number(2)}-{number(4)}"), "tel": lambda: ("call my phone ", f"({number(3)}) {number(3)}-{number(4)}"), "iban": lambda: ("pay to bank account ", f"DE{number(2)} {number(4)} {number(4)} {number(4)} {number(4)} {number(2)}"),
+        "name": lambda: ("signed by ", chance.choice(["Dr. Anna Weber", "Mr John Smith", "Frau Meier"])), "secret": lambda: ("token = ", "gh" + "p_" + "".join(chance.choice("abcdef0123456789") for _ in range(24))),
+    }
+    rows, want = [], {}
+    for i in range(400):
+        kind = [*plant, None, None, None][i % 8]
+        before = " ".join(word() for _ in range(6)) + " "
+        cue, said = plant[kind]() if kind else (chance.choice(["order ", "version ", "page "]), f"{number(3)}.{number(3)}.{number(4)}")
+        rows.append((i, f"{before}{cue}{said} {word()}"))
+        if kind:
+            want[i] = f"{kind}:{len(before) + len(cue)}:{len(before) + len(cue) + len(said)}"
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s] for r in pii.digest(pii.found(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for kind in plant:
+        mine = [i for i, s in want.items() if s.startswith(kind)]
+        assert sum(want[i] in got[i] for i in mine) >= 0.9 * len(mine), kind
+    assert sum(bool(got[i]) for i in got if i not in want) <= 0.1 * (len(rows) - len(want))
+    for spans in got.values():
+        ends = sorted((int(s.split(":")[1]), int(s.split(":")[2])) for s in spans)
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_overlapping_added_spans_leave_one(spark):
+    df = spark.createDataFrame([(i, f"token = 212-555-{1000 + i}abcdef call 212-555-{2000 + i}") for i in range(60)], "doc_id long, text string")
+    for r in pii.digest(pii.found(df)).collect():
+        ends = sorted((int(s.split(":")[1]), int(s.split(":")[2])) for s in r["spans"].split(",") if s)
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_bitmap_loses_no_key(spark):
     keys = spark.range(500).select(F.xxhash64("id").alias("k"))
     all_ = spark.range(5000).select(F.xxhash64("id").alias("k"))

@@ -69,8 +69,8 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column
     return left.withColumn("_salt", F.pmod(F.xxhash64(spread, F.lit(11)), F.lit(salts)).cast("int")).join(many, [*on, "_salt"], how).drop("_salt")
 
 
-def among(keys: DataFrame, bits: int = 23) -> Column:
-    """Whether a row's column k can be among keys' (k): a bitmap of 2**bits bits, whatever the number of keys.
+def among(keys: DataFrame, bits: int = 23, column: str = "k") -> Column:
+    """Whether a row's `column` can be among keys' (k): a bitmap of 2**bits bits, whatever the number of keys.
 
     It keeps all rows whose key is there, and others by chance, so that a join
     behind it moves few rows more than it needs.
@@ -80,5 +80,5 @@ def among(keys: DataFrame, bits: int = 23) -> Column:
     marks = keys.select(bit(F.col("k")).alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m"))
     words = spark.range(1 << bits - 6).select(F.col("id").alias("w")).join(marks, "w", "left").select("w", F.coalesce("m", F.lit(0).cast("long")).alias("m"))
     one = stored(words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("words")), "bitmap")
-    at = bit(F.col("k"))
+    at = bit(F.col(column))
     return F.getbit(F.element_at(one.scalar(), F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1

@@ -1,11 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-A line is known by the hash of its words; lines of fewer than `min_words` words
-are common, so a rare key is a run of whole lines with at least that many
-words. Each document pairs with the earliest document that has its key, never
-with all of them. The two line sequences are aligned by patience diff, and each
-aligned common block of at least `min_words` words leaves the later document,
-as do common runs of so many words that no alignment holds.
+A line is known by the hash of its words. Lines of fewer than `min_words` words
+repeat by chance, so a key is a shortest run of whole lines with that many words
+from a line on, or up to a line. The rows that hold a key are counted. By each
+rare key a document pairs with the earliest document that has it; the two line
+sequences are aligned by patience diff, and each aligned common block of at
+least `min_words` words leaves the later document, as do common runs of so many
+words that no alignment holds. By the other keys no lines move: the key's own
+run leaves every document but the first. Either way the lines that go are all
+those in a run of `min_words` words that any earlier document has.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .vecwords import SPACED, chunks, hashes, mix, spans
 
 #: Blocks of fewer words than this stay: such lines repeat by chance or are too short to be a passage.
 MIN_WORDS = 30
+#: A key that more rows hold isn't rare: its run is cut without an alignment, so that a first document's lines don't go to all others.
+RARE = 100
 
 
 def _lines(data, offsets):
@@ -41,16 +46,19 @@ def _lines(data, offsets):
 
 
 def _runs(lines: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, hashes and numbers of lines of the shortest runs of min_words words, one from each line that has enough words from it on."""
+    """Starts, hashes and numbers of lines of the shortest runs of min_words words, from each line on and up to each line."""
     total = np.concatenate(([0], np.cumsum(counts)))
     to = np.searchsorted(total, total[:-1] + min_words)
-    ok = np.flatnonzero(to < len(total))
-    span = to[ok] - ok
-    run_hash = np.zeros(len(ok), np.uint64)
+    first = np.flatnonzero(to < len(total))
+    end = np.flatnonzero(total >= min_words)
+    start = np.searchsorted(total, total[end] - min_words, "right") - 1
+    code = np.unique(np.concatenate((first * len(total) + to[first], start * len(total) + end)))
+    start, span = code // len(total), code % len(total) - code // len(total)
+    run_hash = np.zeros(len(start), np.uint64)
     for step in range(int(span.max(initial=0))):
         live = span > step
-        run_hash[live] = mix(run_hash[live] * np.uint64(0x9E3779B97F4A7C15) + lines[ok[live] + step])
-    return ok, run_hash, span
+        run_hash[live] = mix(run_hash[live] * np.uint64(0x9E3779B97F4A7C15) + lines[start[live] + step])
+    return start, run_hash, span
 
 
 def _sequences(min_words: int):
@@ -144,8 +152,7 @@ def common_blocks(early: np.ndarray, late: np.ndarray, counts: np.ndarray, min_w
         rest += [(x, y) for (_, x), (y, _) in zip([(s, s), *found], [*found, (e, e)], strict=True) if y > x]
     if not gone.all():
         gone |= _in_common_runs(early, late, counts, min_words)
-    ends = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).tolist()
-    return list(zip(ends[::2], ends[1::2], strict=True))
+    return _stretches(gone)
 
 
 def _in_common_runs(early: np.ndarray, late: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarray:
@@ -157,17 +164,42 @@ def _in_common_runs(early: np.ndarray, late: np.ndarray, counts: np.ndarray, min
     own, first = np.unique(late, return_index=True)
     at = np.minimum(np.searchsorted(own, early), len(own) - 1)
     both = np.where(own[at] == early, counts[first[at]], 0)  # a line that late lacks is in no common run, whatever its words
-    edges = np.zeros(len(late) + 1, np.int64)
-    for way in (1, -1):
-        known = _runs(early[::way], both[::way], min_words)[1]
-        start, key, span = _runs(late[::way], counts[::way], min_words)
-        hit = np.isin(key, known)
-        low = start[hit] if way == 1 else len(late) - start[hit] - span[hit]
-        np.add.at(edges, low, 1)
-        np.add.at(edges, low + span[hit], -1)
+    return _covered(late, counts, _runs(early, both, min_words)[1], min_words)
+
+
+def _covered(lines: np.ndarray, counts: np.ndarray, keys: np.ndarray, min_words: int) -> np.ndarray:
+    """Whether each line lies in a run with one of the keys."""
+    start, key, span = _runs(lines, counts, min_words)
+    hit = np.isin(key, keys)
+    edges = np.zeros(len(lines) + 1, np.int64)
+    np.add.at(edges, start[hit], 1)
+    np.add.at(edges, start[hit] + span[hit], -1)
     return np.cumsum(edges[:-1]) > 0
 
 
+def _stretches(gone: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the runs of True."""
+    ends = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).tolist()
+    return list(zip(ends[::2], ends[1::2], strict=True))
+
+
+_BLOCKS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _common(min_words: int):
+    """Rows with lines, counts and the keys of their common runs -> the stretches of these."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for d, n, keys in zip(*(batch.column(c).to_pylist() for c in ("lines", "counts", "keys")), strict=True):
+                gone = _covered(np.frombuffer(d, np.uint64), np.frombuffer(n, np.int32), np.array(keys, np.int64).view(np.uint64), min_words)
+                found.append([{"a": x, "b": y} for x, y in _stretches(gone)])
+            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("k"), pa.array(found, _BLOCKS)], ["o", "k", "blocks"])
+
+    return run
+
+
 def _aligned(min_words: int):
     def run(batches):
         for batch in batches:
@@ -175,29 +207,35 @@ def _aligned(min_words: int):
             for e, d, n in zip(*(batch.column(c).to_pylist() for c in ("early", "lines", "counts")), strict=True):
                 blocks = common_blocks(np.frombuffer(e, np.uint64), np.frombuffer(d, np.uint64), np.frombuffer(n, np.int32), min_words)
                 found.append([{"a": x, "b": y} for x, y in blocks])
-            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("k"), pa.array(found, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["o", "k", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("k"), pa.array(found, _BLOCKS)], ["o", "k", "blocks"])
 
     return run
 
 
-def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> o, k, blocks (a, b: lines from 0 among those that aren't blank, end excluded) for each document that loses some.
 
     The later of two documents is that of larger doc_id (null is the smallest;
     rows of one doc_id and different texts go by a hash). Repeated rows are one
-    document and don't lose lines to each other.
+    document and don't lose lines to each other. `rare` has no effect on the
+    blocks' lines.
     """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).select("o", "k", "text")
     seqs = stored(rows.mapInArrow(_sequences(min_words), "o long, k long, lines binary, counts binary, keys array<long>"), "lines")
     at = F.struct("o", "k")
     keys = seqs.select("o", "k", F.explode("keys").alias("key"))
-    first = keys.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
-    pairs = salted_join(keys, first, ["key"], F.col("k")).select("o", "k", F.col("first.o").alias("eo"), F.col("first.k").alias("ek")).where("o <> eo or k <> ek").distinct()
-    early = seqs.select(F.col("o").alias("eo"), F.col("k").alias("ek"), F.col("lines").alias("early"))
-    wanted = early.join(pairs.select("eo", "ek").distinct(), ["eo", "ek"], "left_semi").dropDuplicates(["eo", "ek"])
-    both = salted_join(pairs, wanted, ["eo", "ek"], F.col("k"), salts=8).join(seqs.select("o", "k", "lines", "counts").dropDuplicates(["o", "k"]), ["o", "k"])
+    first = keys.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    held = salted_join(keys, first, ["key"], F.col("k")).where("o <> first.o or k <> first.k")
+    held = stored(held.select("o", "k", F.col("first.o").alias("eo"), F.col("first.k").alias("ek"), "key", (F.col("n") <= rare).alias("rare")), "held")
+    pairs = held.where("rare").select("o", "k", "eo", "ek").distinct()
+    whole = seqs.select("o", "k", "lines", "counts").dropDuplicates(["o", "k"])
+    early = seqs.select(F.col("o").alias("eo"), F.col("k").alias("ek"), F.col("lines").alias("early")).join(pairs.select("eo", "ek").distinct(), ["eo", "ek"], "left_semi").dropDuplicates(["eo", "ek"])
+    # a document has few rare keys, and each few holders: no side of these joins is hot
+    both = pairs.join(early, ["eo", "ek"]).join(whole, ["o", "k"])
     found = both.select("o", "k", "early", "lines", "counts").mapInArrow(_aligned(min_words), "o long, k long, blocks array<struct<a:int,b:int>>")
+    known = held.where("not rare").groupBy("o", "k").agg(F.collect_set("key").alias("keys"))
+    found = found.union(whole.join(known, ["o", "k"]).select("o", "k", "lines", "counts", "keys").mapInArrow(_common(min_words), "o long, k long, blocks array<struct<a:int,b:int>>"))
     return found.where("size(blocks) > 0").groupBy("o", "k").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
 
 
@@ -218,7 +256,7 @@ def _cut(texts: pd.Series, blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_removed"])
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> row, o, k, text (without the repeated lines), n_lines, n_removed for each row.
 
     Lines end at line feeds and are equal if their words (runs of other bytes
@@ -228,19 +266,19 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     Repeated rows get the same result each; no rows give none; other columns
     stay in `row`.
     """
-    found = repeated_blocks(docs, min_words, id_col, text_col).withColumn("ends", F.flatten(F.transform("blocks", lambda x: F.array(x["a"], x["b"]))))
+    found = repeated_blocks(docs, min_words, rare, id_col, text_col).withColumn("ends", F.flatten(F.transform("blocks", lambda x: F.array(x["a"], x["b"]))))
     whole = keyed(docs, id_col, text_col).join(found.select("o", "k", "ends"), ["o", "k"], "left")
     cut = whole.withColumn("cut", F.pandas_udf(_cut, _CUT)(F.when(F.col("ends").isNotNull(), F.col("text")), F.coalesce("ends", F.expr("cast(array() as array<int>)"))))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
     return cut.select("row", "o", "k", F.coalesce("cut.text", "text").alias("text"), n_lines.alias("n_lines"), F.col("cut.n_removed").alias("n_removed"))
 
 
-def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs' rows with the repeated lines cut from their text and `length_col` (if there is one) set anew.
 
     Rows whose text loses all its lines go; rows that lose nothing stay whole.
     """
-    cut = deduplicated(docs, min_words, id_col, text_col).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    cut = deduplicated(docs, min_words, rare, id_col, text_col).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     row = F.col("row").withField(f"`{text_col}`", F.col("text"))
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType

@@ -3,7 +3,8 @@
 One filter array has a bitmask of languages in each slot; the masks of an
 n-gram's slots, and-ed, are the languages that contain it. A text's languages
 get their popcounts over its n-grams, less what the filter's fill lets through
-by chance, and the largest decides.
+by chance, and the largest decides. Every n-gram is in the filter, for each
+language where it isn't far rarer than where it is most common.
 
 N-grams are four bytes of the text with A-Z lower-cased and every other ASCII
 character as a space.
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from .common import LOWEST, bounded_batches, keyed, stored
 from .vecwords import chunks, mix
 
-SLOTS = 1 << 18
 HASHES = 3
-#: A language contains an n-gram if at least this share of its training n-grams are it: at most 1 / MIN_SHARE n-grams a language.
-MIN_SHARE = 5e-5
+#: Of a language's n-grams one is foreign to it if its share there is less than this part of its largest share in a language.
+FOREIGN = 1 / 32
+#: Slots for each n-gram, and the most slots (8 bytes each for 63 languages); beyond that the filter fills up and more popcounts are corrected.
+_SPARE, _MOST_SLOTS = 8, 1 << 23
 #: A chunk has an n-gram for each byte, and these some dozen arrays.
 _CHUNK_BYTES = 1 << 19
 _LETTERS = np.full(256, 0x20, np.uint8)
@@ -102,31 +104,35 @@ def slots_of(gram: np.ndarray, hashes: int, slots: int) -> list[np.ndarray]:
 def _slotted(hashes: int, slots: int):
     def run(batches):
         for batch in batches:
-            gram = batch.column("gram").to_numpy(zero_copy_only=False)
-            each = slots_of(gram, hashes, slots)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column("lang").combine_chunks() if isinstance(batch.column("lang"), pa.ChunkedArray) else batch.column("lang")] * hashes), pa.array(np.concatenate(each))], ["lang", "slot"])
+            each = slots_of(batch.column("gram").to_numpy(zero_copy_only=False), hashes, slots)
+            again = [np.tile(batch.column(c).to_numpy(zero_copy_only=False), hashes) for c in ("word", "mask")]
+            yield pa.RecordBatch.from_arrays([pa.array(again[0]), pa.array(again[1]), pa.array(np.concatenate(each))], ["word", "mask", "slot"])
 
     return run
 
 
-def train(labelled: DataFrame, min_share: float = MIN_SHARE, slots: int = SLOTS, hashes: int = HASHES, text_col: str = "text", lang_col: str = "lang") -> Filter:
+def train(labelled: DataFrame, foreign: float = FOREIGN, hashes: int = HASHES, text_col: str = "text", lang_col: str = "lang") -> Filter:
     """All rows of labelled with a language -> the filter. Languages are ordered from the most frequent; null texts teach nothing.
 
-    What reaches the driver is the languages and the filter's slots, both of a
-    size that doesn't follow the corpus.
+    What reaches the driver is the languages and the filter's words, at most
+    _MOST_SLOTS for 63 languages.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.concat(F.lit(" "), F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("text"))
     counts = stored(rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = stored(counts.groupBy("lang").agg(F.sum("n").alias("total")), "languages")
     languages = [r["lang"] for r in totals.orderBy(F.desc("total"), "lang").collect()]
-    frequent = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * min_share)
-    masks = np.zeros((slots, max(1, -(-len(languages) // 63))), np.uint64)
-    number = {name: i for i, name in enumerate(languages)}
-    placed = frequent.select("lang", "gram").mapInArrow(_slotted(hashes, slots), "lang string, slot long")
-    for r in placed.groupBy("slot").agg(F.collect_set("lang").alias("langs")).collect():
-        for name in r["langs"]:
-            masks[r["slot"], number[name] // 63] |= np.uint64(1 << number[name] % 63)
+    if not languages:
+        return Filter([], np.zeros((1, 1), np.uint64), hashes)
+    numbers = labelled.sparkSession.createDataFrame(list(enumerate(languages)), "i long, lang string").join(totals, "lang")
+    shares = counts.join(F.broadcast(numbers), "lang").select("gram", (F.col("n") / F.col("total")).alias("share"), F.expr("i div 63").alias("word"), F.expr("shiftleft(1L, cast(i % 63 as int))").alias("mask"))
+    top = shares.groupBy("gram").agg(F.max("share").alias("top"))
+    slots = min(_MOST_SLOTS, 1 << (_SPARE * top.count()).bit_length())
+    own = shares.join(top, "gram").where(F.col("share") >= foreign * F.col("top")).select("gram", "word", "mask")
+    placed = own.mapInArrow(_slotted(hashes, slots), "word long, mask long, slot long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    words = placed.toArrow()
+    masks = np.zeros((slots, -(-len(languages) // 63)), np.uint64)
+    masks[words.column("slot").to_numpy(), words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
     return Filter(languages, masks, hashes)
 
 

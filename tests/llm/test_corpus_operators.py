@@ -91,34 +91,61 @@ def test_near_duplicates_against_all_pairs(docs, texts, num, block):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i in want if want[i] == i)
 
 
-def test_line_dedup(docs, texts):
-    got = {r["row"]["doc_id"]: r for r in linedup.deduplicated(docs).collect() if r["row"]["doc_id"] is not None}
-    seen, first = {}, {}
-    for i in sorted(texts):  # which documents an earlier one shares a run of 30 words with
-        lines = [" ".join(spaced(x)) for x in (texts[i] or "").split("\n") if spaced(x)]
-        runs = set()
+def plain_line_dedup(texts, most=30):
+    """id -> the lines (places among all) in a run of whole lines with `most` words that an earlier document has, by all pairs."""
+    filled = {i: [(n, tuple(w)) for n, x in enumerate((t or "").split("\n")) if (w := spaced(x))] for i, t in texts.items()}
+    seen, gone = set(), {}
+    for i in sorted(filled):
+        lines, own, runs = filled[i], set(), set()
         for s in range(len(lines)):
-            n, e = 0, s
-            while n < 30 and e < len(lines):
-                n, e = n + len(lines[e].split()), e + 1
-            if n >= 30:
-                runs.add(tuple(lines[s:e]))
-        first[i] = any(r in seen for r in runs)
-        for r in runs:
-            seen.setdefault(r, i)
+            n = 0
+            for e in range(s, len(lines)):
+                n += len(lines[e][1])
+                if n >= most:
+                    run = tuple(x for _, x in lines[s : e + 1])
+                    runs.add(run)
+                    if run in seen:
+                        own |= {m for m, _ in lines[s : e + 1]}
+        seen |= runs
+        gone[i] = own
+    return gone
+
+
+@pytest.mark.parametrize("rare", [100, 2, 0])
+def test_line_dedup(docs, texts, rare):
+    few = {i: t for i, t in texts.items() if i != 126}
+    gone = plain_line_dedup(few)
+    got = {r["row"]["doc_id"]: r for r in linedup.deduplicated(docs.where("doc_id <> 126 or doc_id is null"), rare=rare).collect() if r["row"]["doc_id"] is not None}
+    assert any(gone.values())
     for i, r in got.items():
-        assert (r["n_removed"] > 0) == first[i], i
-        assert r["n_lines"] == (0 if texts[i] is None else texts[i].count("\n") + 1)
-        if not r["n_removed"]:
-            assert r["text"] == texts[i]
-    assert all(got[i]["text"] == "" for i in range(60, 70) if len(spaced(texts[3])) >= 30)
-    for i in range(111, 120):
-        a, _, c = texts[i].split("\n")
-        assert got[i]["text"] == f"{a}\n{c}"
+        lines = None if texts[i] is None else texts[i].split("\n")
+        assert (r["n_removed"], r["n_lines"]) == (len(gone[i]), len(lines or [])), i
+        assert r["text"] == (lines if lines is None else "\n".join(x for n, x in enumerate(lines) if n not in gone[i])), i
     left = linedup.without_repeated_lines(docs)
     assert left.columns == docs.columns and left.where("n_chars <> length(text) and doc_id is not null").count() == 0
 
 
+def test_lines_against_every_earlier_document(spark):
+    long, short, other = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 40), ("b", 5), ("c", 40)))
+    rows = [(1, long), (2, f"{long}\n{short}"), (3, f"x\n{long}\n{short}\ny"), (4, f"{short}\n{other}"), (5, f"z\n{short}\n{other}")]
+    for rare in (100, 0):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        cut = lambda df: {r["o"]: r["text"] for r in linedup.deduplicated(df, rare=rare).collect()}
+        assert cut(df) == {1: long, 2: short, 3: "x\ny", 4: f"{short}\n{other}", 5: "z"}
+        assert cut(df.where("doc_id <> 1"))[3] == "x\ny"
+
+
+@pytest.mark.parametrize("rare", [100, 1])
+def test_line_dedup_of_odd_lines(spark, rare):
+    """Short lines in all orders, repeated in a document and over documents."""
+    chance = random.Random(11)
+    pool = [" ".join(f"w{n}x{i}" for i in range(chance.randint(1, 6))) for n in range(7)]
+    texts = {i: "\n".join(chance.choice([*pool, "", " "]) for _ in range(chance.randint(0, 12))) for i in range(40)}
+    gone = plain_line_dedup(texts, 9)
+    got = {r["o"]: r["text"] for r in linedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 9, rare=rare).collect()}
+    assert got == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
+
+
 def test_fingerprints(docs, texts):
     ids = sorted(texts, reverse=True)
     order = [(i, texts[i] or "") for i in ids]
@@ -252,6 +279,39 @@ def test_language(docs, texts, spark):
     assert left.columns == docs.columns and not {120, 121, 122} & {r["doc_id"] for r in left.collect()}
 
 
+def test_language_filter_against_plain_sets(spark):
+    """The filter's popcounts against sets of n-grams, and its decisions against theirs."""
+    chance = random.Random(7)
+    letters = {"en": "abcdeéf", "fr": "abcgéh", "de": "aßbijk"}
+    word = lambda g: "".join(chance.choice(letters[g]) for _ in range(chance.randint(1, 5)))
+    rows = [(i, " ".join(word(g) for _ in range(chance.randint(1, 12))), g) for i in range(200) for g in [["en", "fr", "de"][i % 3]]]
+
+    def grams(text):
+        x = re.sub(rb"[\x00-\x60\x7b-\x7f]", b" ", f" {text} ".lower().encode() if text.isascii() else f" {text} ".translate(LOW).encode())
+        return [x[i : i + 4] for i in range(len(x) - 3) if x[i + 1 : i + 3] != b"  " and x[i : i + 4].strip(b" ")]
+
+    counts = {g: {} for g in letters}
+    for _, t, g in rows:
+        for x in grams(t):
+            counts[g][x] = counts[g].get(x, 0) + 1
+    total = {g: sum(c.values()) for g, c in counts.items()}
+    top = {}
+    for g, c in counts.items():
+        for x, n in c.items():
+            top[x] = max(top.get(x, 0), n / total[g])
+    sets = {g: {x for x, n in c.items() if n / total[g] >= language.FOREIGN * top[x]} for g, c in counts.items()}
+    assert set().union(*sets.values()) == set(top)  # no n-gram is left out
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), hashes=8)
+    assert sorted(model.languages) == sorted(sets)
+    held = [(i, " ".join(word(g) for _ in range(chance.randint(1, 6)))) for i in range(90) for g in [["en", "fr", "de"][i % 3]]]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
+    for i, t in held:
+        own = grams(t)
+        hits = {g: sum(x in sets[g] for x in own) for g in model.languages}
+        name, score = got[i]
+        assert hits[name] == max(hits.values()) and abs(score - hits[name] / max(len(own), 1)) < 0.01, t
+
+
 def test_contamination(docs, texts, spark):
     items = [("7", texts[7]), ("short", "one two"), ("p", texts[115].split("\n")[1]), ("none", "!!"), ("null", None), (None, " ".join(alnum(texts[9])[:13]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
@@ -272,21 +332,28 @@ def test_contamination(docs, texts, spark):
         want[i] = (len(w), len(hit), sorted(x for x in names if x), bool(hit) and 20 * len(hit) >= len(w))
     found = lambda df: {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in df.collect() if r["doc_id"] is not None}
     assert found(decontaminate.contamination(docs, bench)) == want
-    wanted = decontaminate.phrases(bench)
-    index = decontaminate.build_index(docs, segment_bytes=2000)
-    whole = {(r["o"], r["k"]): [(x["a"], x["b"]) for x in r["ranges"]] for r in decontaminate.search(index, wanted).collect()}
-    assert {(r["o"], r["k"]): [(x["a"], x["b"]) for x in r["ranges"]] for r in decontaminate.search(index, wanted, block_bytes=400).collect()} == whole
     left = decontaminate.without_contamination(docs, bench)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect() if r["doc_id"] is not None} == {i for i in want if not want[i][3]}
 
 
-def test_repeated_rows_stay_with_several_blocks(spark):
+def test_repeated_rows_stay_over_blocks_of_any_size(spark):
     text = "one two three four five six"
-    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text), (2, "other")], "doc_id long, text string")
-    wanted = decontaminate.phrases(spark.createDataFrame([("i", text)], "item_id string, text string"), width=3)
-    index = decontaminate.build_index(docs)
-    whole, parts = (sorted((r["o"], r["k"], str(r["ranges"]), r["items"]) for r in decontaminate.search(index, wanted, block_bytes=n).collect()) for n in (1 << 20, 100))
-    assert len(whole) == 5 and parts == whole
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, "other"), (3, "one two"), (4, "six one two three")]
+    items = spark.createDataFrame([("i", text), ("j", "one two three"), ("k", "six")], "item_id string, text string")
+    found = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found.append(sorted((r["o"], r["k"], str(r["ranges"]), r["items"]) for r in decontaminate.search(decontaminate.build_index(docs), decontaminate.phrases(items, width=3)).collect()))
+    assert len(found[0]) == len(rows) and found[0] == found[1]
+    assert [r[3] for r in found[0]].count(["i", "j", "k"]) == 5
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    long = "filler words here " * 150_000
+    docs = spark.createDataFrame([(1, long + "alpha beta gamma delta " + long), (2, "alpha beta gamma delta")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "alpha beta gamma delta"), ("absent", "alpha nowhere")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"]), [tuple(x) for x in r["ranges"]]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (900_004, 4, ["i"], [(450_000, 450_004)]), 2: (4, 4, ["i"], [(0, 4)])}
 
 
 def test_proximity(spark):
@@ -296,6 +363,23 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in near.where("size(items) > 0").collect()} == {1, 2, 5}
 
 
+def test_proximity_against_every_window(spark):
+    chance = random.Random(9)
+    rows = [(i, " ".join(chance.choice("abcdefgh") for _ in range(chance.randint(0, 25)))) for i in range(60)]
+    items = [("1", "a b c"), ("2", "d d"), ("3", "h"), ("4", "a c e g")]
+    for slop in (1, 3):
+        got = {r["doc_id"]: (r["n_hit"], list(r["items"])) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), slop=slop).collect()}
+        for i, t in rows:
+            w, hit, names = t.split(), set(), set()
+            for name, x in items:
+                terms, reach = set(x.split()), len(x.split()) + slop
+                for s in range(len(w)):
+                    if terms <= set(w[s : s + reach]):
+                        hit |= set(range(s, min(s + reach, len(w))))
+                        names.add(name)
+            assert got[i] == (len(hit), sorted(names)), t
+
+
 def test_licenses(docs, texts, spark):
     said = ["Licensed under the Apache License, Version 2.0.", "under the MIT License and cc-by CC BY-NC 4.0", "GNU General Public License v3 or GPL", None, "", "mit  license mit\tlicense", "SPDX-License-Identifier: BSD-3-Clause", "summit licenses"]
     df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")

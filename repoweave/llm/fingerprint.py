@@ -1,7 +1,7 @@
 """Document fingerprints: a digest of the canonical text.
 
-The canonical text is decomposed (NFD), lower-cased and has each run of white
-space as one space. Its digest is two XXH64 sums; buckets of equal digests are
+The canonical text is decomposed (NFD), case-folded in full (so STRASSE and
+straße are one) and has each run of white space as one space. Its digest is two XXH64 sums; buckets of equal digests are
 confirmed by comparing the canonical texts' bytes. DataFrame functions only.
 """
 
@@ -20,8 +20,8 @@ from .common import LOWEST, among, keyed, salted_join, stored
 _DENSE = 0x3400
 _HANGUL = 0xAC00
 _SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-#: Bytes of text in a range of ids, and the most ranges; ranges meet at their ends by a join.
-_RANGE_BYTES, _MOST_RANGES = 16 << 20, 1 << 16
+#: Bytes of text in a range of ids, and the most ranges (a range of 100 TB has 100 MB then); ranges meet at their ends by a join.
+_RANGE_BYTES, _MOST_RANGES = 4 << 20, 1 << 20
 _SPLITS = 1024
 
 
@@ -77,9 +77,30 @@ def nfd(text: Column) -> Column:
     return F.when(text.rlike(r"[\x{300}-\x{10FFFF}]") & apart.rlike(f"[{marks}]{{2}}"), sorted_).otherwise(apart)
 
 
+@cache
+def _folds() -> dict[str, str]:
+    """Of decomposed lower-case characters: those that full case folding takes further, and to what."""
+    out = {}
+    for c in map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)):
+        if unicodedata.normalize("NFD", c) == c == c.lower() and (t := unicodedata.normalize("NFD", c.casefold()).lower()) != c:
+            out[c] = t
+    return out
+
+
+def folded(text: Column) -> Column:
+    """Decomposed text in full case folding; it stays decomposed, as no fold begins or ends with a mark."""
+    low, folds = F.lower(text), _folds()
+    one = {c: t for c, t in folds.items() if len(t) == 1}
+    out = F.translate(low, "".join(one), "".join(one.values()))
+    for c, t in folds.items():
+        if c not in one:
+            out = F.replace(out, F.lit(c), F.lit(t))
+    return F.when(low.rlike(f"[{''.join(folds)}]"), out).otherwise(low)
+
+
 def canonical(text: Column) -> Column:
     """The canonical text; null becomes empty."""
-    return F.trim(F.regexp_replace(F.lower(nfd(F.coalesce(text, F.lit("")))), _SPACE, " "))
+    return F.trim(F.regexp_replace(folded(nfd(F.coalesce(text, F.lit("")))), _SPACE, " "))
 
 
 def fingerprint(text: Column) -> Column:
@@ -88,39 +109,54 @@ def fingerprint(text: Column) -> Column:
     return F.concat(*[F.lower(F.lpad(F.hex(h), 16, "0")) for h in (F.xxhash64(text), F.xxhash64(F.lit("wide"), text))])
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """A number that grows with o, over ranges of about _RANGE_BYTES of text each."""
+def _ranged(docs: DataFrame) -> DataFrame:
+    """docs with `range`, a struct that grows with (o, k), over ranges of about _RANGE_BYTES of text each.
+
+    An o with more text than a range is cut further by k, a hash. What reaches
+    the driver are _SPLITS quantiles; finer ones stay in a small table.
+    """
     shares = lambda n: F.from_json(F.lit(json.dumps([i / n for i in range(1, n)])), "array<double>")
     size, splits = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.percentile_approx("o", shares(_SPLITS), 20 * _SPLITS)).first()
     n = min(_MOST_RANGES, max(1, -(-size // _RANGE_BYTES)))
     if n == 1 or splits is None:
-        return F.lit(0)
-    if n > _SPLITS:
-        splits = docs.agg(F.percentile_approx("o", shares(n), 20 * n)).first()[0]
-    else:
+        return docs.withColumn("range", F.struct(F.lit(0).alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("part")))
+    if n < _SPLITS:
         splits = [splits[i * _SPLITS // n - 1] for i in range(1, n)]
     splits = sorted(set(splits))
-    groups = [splits[i : i + 256] for i in range(0, len(splits), 256)]  # two steps of at most 256 comparisons
+    groups = [splits[i : i + 32] for i in range(0, len(splits), 32)]  # two steps of at most 32 comparisons
     upper = F.size(F.filter(F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>"), lambda s: s <= F.col("o")))
     inner = F.element_at(F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>"), F.greatest(upper, F.lit(1)))
-    return F.greatest(upper - 1, F.lit(0)) * 256 + F.size(F.filter(inner, lambda s: s <= F.col("o")))
+    at = F.greatest(upper - 1, F.lit(0)) * 32 + F.size(F.filter(inner, lambda s: s <= F.col("o")))
+    share = max(_RANGE_BYTES, size // n)
+    hot = stored(docs.groupBy("o").agg(F.sum(F.octet_length("text") + 64).alias("bytes")).where(F.col("bytes") > share).select("o", F.ceil(F.col("bytes") / share).cast("double").alias("parts")), "hot-ids")  # fewer than ranges
+    rows, hot = docs.withColumn("at", at), hot.withColumn("at", at)
+    if n > _SPLITS:
+        each = -(-n // _SPLITS)
+        fine = stored(rows.groupBy("at").agg(F.percentile_approx("o", shares(each), 20 * each).alias("fine")), "splits")
+        rows, hot = (df.join(F.broadcast(fine), "at").withColumn("at", F.col("at") * each + F.size(F.filter("fine", lambda s: s <= F.col("o")))).drop("fine") for df in (rows, hot))
+    hot = hot.groupBy("at").agg(F.collect_list(F.struct("o", "parts")).alias("hot"))
+    rows = rows.join(F.broadcast(hot), "at", "left").withColumn("hot", F.coalesce("hot", F.expr("cast(array() as array<struct<o:bigint,parts:double>>)")))
+    own = F.filter("hot", lambda h: h["o"] == F.col("o"))
+    turn = 2 * F.size(F.filter("hot", lambda h: h["o"] < F.col("o"))) + F.size(own)
+    part = F.floor((F.col("k").cast("double") / 2.0**64 + 0.5) * F.coalesce(F.get(own, 0)["parts"], F.lit(0.0)))
+    return rows.withColumn("range", F.struct(F.col("at"), turn.alias("turn"), part.cast("int").alias("part"))).drop("at", "hot")
 
 
 def with_next(docs: DataFrame, more: dict[str, Column]) -> DataFrame:
     """docs (o, k, text) and more columns -> with next, the row of the next smaller (o, k) as a struct; of the smallest, the largest's.
 
-    One shuffle of the rows by ranges of o. Only the first row of each range is
-    fetched for the range above it: its key is broadcast, one for each of at
-    most _MOST_RANGES ranges.
+    One shuffle of the rows by ranges of (o, k). Only the first row of each range
+    is fetched for the range above it: its key is broadcast, one for each of at
+    most _MOST_RANGES ranges and as many cuts of hot ids.
     """
-    rows = docs.withColumn("range", _ranges(docs).cast("int"))
-    tops = rows.groupBy("range").agg(F.max("o").alias("top"))
+    rows = _ranged(docs)
+    tops = stored(rows.groupBy("range").agg(F.max(F.struct("o", "k")).alias("top")), "tops")
     down = Window.orderBy(F.desc("range"))  # one row for each range
     wrap = F.first("top").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    keys = stored(tops.select("range", F.coalesce(F.lead("top").over(down), wrap).alias("o")), "tops")
-    head = docs.join(F.broadcast(keys.withColumnRenamed("range", "above")), "o").withColumns(more)
+    keys = stored(tops.select(F.col("range").alias("above"), F.coalesce(F.lead("top").over(down), wrap).alias("t")).select("above", "t.o", "t.k"), "heads")
+    head = docs.join(F.broadcast(keys), ["o", "k"]).withColumns(more)
     fields = F.struct("o", "k", "text", *more)
-    heads = head.groupBy("above").agg(F.max_by(fields, F.col("k")).alias("head")).withColumnRenamed("above", "range")
+    heads = head.groupBy("above").agg(F.first(fields).alias("head")).withColumnRenamed("above", "range")
     order = Window.partitionBy("range").orderBy(F.desc("o"), F.desc("k"))
     return rows.withColumns(more).withColumn("next", F.lead(fields).over(order)).join(heads, "range").withColumn("next", F.coalesce("next", "head")).drop("head", "range")
 

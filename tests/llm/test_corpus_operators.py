@@ -149,7 +149,7 @@ def test_line_dedup_of_odd_lines(spark, rare):
 def test_fingerprints(docs, texts):
     ids = sorted(texts, reverse=True)
     order = [(i, texts[i] or "") for i in ids]
-    canon = lambda t: re.sub(r"[\s\x1c-\x1f\x85\xa0]+", " ", unicodedata.normalize("NFD", t).lower()).strip(" ")
+    canon = lambda t: re.sub(r"[\s\x1c-\x1f\x85\xa0]+", " ", unicodedata.normalize("NFD", unicodedata.normalize("NFD", t).casefold())).strip(" ")
     plain = docs.where("source is not null")
     got = {r["o"]: r for r in fingerprint.groups(plain, fingerprint.edited(plain)).collect()}
     for n, (i, t) in enumerate(order):
@@ -166,8 +166,33 @@ def test_fingerprints(docs, texts):
 def test_fingerprints_over_many_ranges(docs, texts, monkeypatch):
     plain = docs.where("source is not null")
     want = {r["o"]: r["edited_sha256"] for r in fingerprint.edited(plain).collect()}
-    monkeypatch.setattr(fingerprint, "_RANGE_BYTES", 2000)
-    assert {r["o"]: r["edited_sha256"] for r in fingerprint.edited(plain).collect()} == want
+    for size, splits in ((2000, 1024), (3000, 8)):
+        monkeypatch.setattr(fingerprint, "_RANGE_BYTES", size)
+        monkeypatch.setattr(fingerprint, "_SPLITS", splits)
+        assert {r["o"]: r["edited_sha256"] for r in fingerprint.edited(plain).collect()} == want
+
+
+def test_hot_ids_are_cut_into_ranges(spark, monkeypatch):
+    chance = random.Random(4)
+    rows = [(None if i % 3 else i, "".join(chance.choice("ab c") for _ in range(40)) + str(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(tuple(r) for r in fingerprint.edited(df).collect())
+    monkeypatch.setattr(fingerprint, "_RANGE_BYTES", 700)
+    assert sorted(tuple(r) for r in fingerprint.edited(df).collect()) == whole
+    ranged = fingerprint._ranged(fingerprint.keyed(df).select("o", "k", "text"))
+    assert ranged.groupBy("range").count().agg(F.max("count")).first()[0] < 60
+
+
+def test_full_case_folding(spark):
+    chance = random.Random(3)
+    pool = ["ß", "ẞ", "SS", "ss", "ﬁ", "FI", "Σ", "σ", "ς", "ſ", "s", "İ", "i\u0307", "ᾳ", "ΑΙ", "α\u0345\u0301", "ά\u0345", "µ", "Μ", "Ꭰ", "ꭰ", "ŉ", " ", "ǰ", "Å", "\u212b", "եւ", "և"]
+    texts = ["".join(chance.choice(pool) for _ in range(chance.randint(1, 3))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: r["f"] for r in rows.select("i", fingerprint.fingerprint(F.col("t")).alias("f")).collect()}
+    canon = lambda t: re.sub(" +", " ", unicodedata.normalize("NFD", unicodedata.normalize("NFD", t).casefold())).strip(" ")
+    by, back = {}, {}
+    for i, t in enumerate(texts):
+        assert by.setdefault(canon(t), got[i]) == got[i] and back.setdefault(got[i], canon(t)) == canon(t), t
 
 
 def test_normal_form(spark):

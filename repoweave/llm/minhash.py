@@ -6,14 +6,16 @@ The ranks within an element are thereby correlated, which lowers the variance,
 and a document is ready as soon as each slot holds a value of a finished step.
 
 Stages: signatures and an exact digest of every distinct shingle set; banding;
-candidate clusters (components of shared bands, a superset of all links between
-banded texts); inside them, verification on the full sets; components of the
+each bucket's sets against one representative, then what that left unlinked
+against the rest of its bucket. A pair is first compared by signatures, and
+confirmed on the full sets if these leave it possible. Components of the
 confirmed links. Copies share a digest and enter once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -74,21 +76,36 @@ def _sets(texts, width: int):
         yield (a, b, *shingle_sets(hashes(data, starts, ends), owner, b - a, width))
 
 
-def _signed(width: int, bands: int, rows: int):
+#: Sets (and elements) that a task compares with each other at a time.
+BLOCK = 256
+_MOST_ELEMENTS = 1 << 20
+
+
+def bands_of(slots: int, bands: int, rows: int) -> np.ndarray:
+    """The slots of each band (bands x rows): cut from permutations of all slots, so that bands of one permutation share none."""
+    chance, each = np.random.default_rng(17), slots // rows
+    return np.concatenate([chance.permutation(slots)[: each * rows].reshape(each, rows) for _ in range(-(-bands // each))])[:bands]
+
+
+def _signed(width: int, slots: int, bands: int, rows: int):
+    picked = bands_of(slots, bands, rows)
+
     def run(batches):
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, sigs = [], [], [], []
             for a, b, flat, bounds in _sets(batch.column("text"), width):
-                sig = super_minhash(flat, bounds, bands * rows)
-                band = np.zeros((b - a, bands), np.uint64)
+                sig = super_minhash(flat, bounds, slots)
+                band = np.tile(np.arange(bands, dtype=np.uint64), (b - a, 1))
                 for r in range(rows):
-                    band = mix(band + sig[:, r::rows][:, :bands] * _GOLD + np.uint64(r))
-                keys += [x.astype(np.int64).tolist() if n else [] for x, n in zip(band, np.diff(bounds), strict=True)]
+                    band = mix(band + sig[:, picked[:, r]] * _GOLD + np.uint64(r))
+                full = np.diff(bounds) > 0
+                keys += [x.astype(np.int64).tolist() if n else [] for x, n in zip(band, full.tolist(), strict=True)]
+                sigs += [x.tobytes() if n else None for x, n in zip(mix(sig).astype(np.uint8), full.tolist(), strict=True)]
                 sizes += np.diff(bounds).tolist()
                 digests += [hashlib.blake2b(flat[s:e].tobytes(), digest_size=16).hexdigest() if e > s else None for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("o"), batch.column("k"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))],
-                ["o", "k", "n_shingles", "digest", "bands"],
+                [batch.column("o"), batch.column("k"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                ["o", "k", "n_shingles", "digest", "bands", "sig"],
             )
 
     return run
@@ -100,13 +117,65 @@ def _shingled(width: int):
             out = []
             for _, _, flat, bounds in _sets(batch.column("text"), width):
                 out += [flat[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("cluster"), batch.column("block"), batch.column("blocks"), pa.array(out, pa.binary())], ["digest", "cluster", "block", "blocks", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("places"), pa.array(out, pa.binary())], ["digest", "places", "elements"])
+
+    return run
+
+
+def least_equal(t: float, slots: int) -> int:
+    """So many slots of two sets of similarity t are equal, but for a chance of some 2e-8 (5.5 standard deviations)."""
+    return max(0, math.floor(slots * t - 5.5 * math.sqrt(slots * t * (1 - t))))
+
+
+def _likely(slots: int, least: int):
+    """Rows of two signatures -> a, b of those with enough equal slots."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, slots) for c in ("sig", "other"))
+            ok = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _likely_pairs(slots: int, least: int, num: int, den: int):
+    """Rows of an item (side 0 and 1: digest, label, size, sig), item by item -> the pairs over the sides that can be linked and aren't."""
+
+    def pairs(rows):
+        sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+        if not all(sides):
+            return []
+        sig = [np.frombuffer(b"".join(r[4] for r in x), np.uint8).reshape(-1, slots) for x in sides]
+        size = [np.array([r[3] for r in x]) for x in sides]
+        out = []
+        for i, r in enumerate(sides[0]):
+            ok = (sig[1] == sig[0][i]).sum(axis=1) >= least
+            ok &= den * np.minimum(size[1], r[3]) >= num * np.maximum(size[1], r[3])
+            out += [(r[1], q[1]) for q in (sides[1][j] for j in np.flatnonzero(ok).tolist()) if q[2] != r[2]]
+        return out
+
+    def run(batches):
+        item, rows = None, []
+        for batch in batches:
+            out = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("item", "side", "digest", "label", "size", "sig")), strict=True):
+                if key != item:
+                    out += pairs(rows)
+                    item, rows = key, []
+                rows.append(row)
+            yield _edges(out)
+        yield _edges(pairs(rows))
 
     return run
 
 
-def _linked(sets: list[np.ndarray], split: int, num: int, den: int, crossed: bool):
-    """A spanning forest of the links den*|A&B| >= num*|A|B| among sets, only across `split` if crossed."""
+def _edges(out):
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["a", "b"])
+
+
+def _linked(sets: list[np.ndarray], split: int, num: int, den: int):
+    """A spanning forest of the links den*|A&B| >= num*|A|B| between the first `split` sets and the others."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     parent = list(range(n))
@@ -130,14 +199,14 @@ def _linked(sets: list[np.ndarray], split: int, num: int, den: int, crossed: boo
     at = np.empty(len(flat), np.int64)
     at[order] = run
     first = np.concatenate(([0], np.cumsum(sizes)))
-    for i in range(split if crossed else n):
+    for i in range(split):
         groups = at[first[i] : first[i + 1]]
         lengths = end[groups] - begin[groups]
         if not len(groups) or lengths.max() < 2:
             continue
         places = np.repeat(begin[groups] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
         common = np.bincount(who[places], minlength=n)
-        common[: (split if crossed else i + 1)] = 0
+        common[:split] = 0
         for j in np.flatnonzero(den * common >= num * (sizes[i] + sizes - common)).tolist():
             a, b = root(i), root(j)
             if common[j] and a != b:
@@ -147,35 +216,50 @@ def _linked(sets: list[np.ndarray], split: int, num: int, den: int, crossed: boo
 
 
 def _verified(num: int, den: int):
+    def edges(rows):
+        rows = sorted(rows, key=lambda r: (r[1], r[0]))
+        split = sum(1 for r in rows if r[1] == 0)
+        found = _linked([np.frombuffer(r[2], np.uint64) for r in rows], split, num, den) if 0 < split < len(rows) else []
+        return [(rows[i][0], rows[j][0]) for i, j in found]
+
     def run(batches):
         left, item = [], None
-
-        def edges(rows):
-            rows = sorted(rows, key=lambda r: (r[1], r[0]))
-            split = sum(1 for r in rows if r[1] == 0)
-            crossed = split < len(rows)
-            found = _linked([np.frombuffer(r[2], np.uint64) for r in rows], split, num, den, crossed)
-            return [(rows[i][0], rows[j][0]) for i, j in found]
-
-        def table(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["a", "b"])
-
         for batch in batches:
             out = []
             for key, side, digest, elements in zip(*(batch.column(c).to_pylist() for c in ("item", "side", "digest", "elements")), strict=True):
-                if key != item and left:
+                if key != item:
                     out += edges(left)
-                    left = []
-                item = key
+                    left, item = [], key
                 left.append((digest, side, elements))
-            yield table(out)
-        if left:
-            yield table(edges(left))
+            yield _edges(out)
+        yield _edges(edges(left))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, bands: int = 32, rows: int = 4, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """pairs (a, b) of digests -> those that are linked, or enough of them to connect the same digests.
+
+    A b's pairs are one item, or several of bounded number and size with b in
+    each; each needed text moves once, its elements once for each item.
+    """
+    pairs = stored(pairs, "pairs")
+    sized = pairs.join(sets.select(F.col("digest").alias("a"), "size"), "a")
+    parts = sized.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / _MOST_ELEMENTS)).alias("parts"))
+    placed = salted_join(pairs, parts, ["b"], F.col("a"), salts=4).select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
+    item = F.concat_ws("/", "b", "part")
+    places = placed.select(F.col("a").alias("digest"), item.alias("item"), F.lit(1).alias("side"))
+    places = places.union(parts.select(F.col("b").alias("digest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "b").select("digest", item.alias("item"), F.lit(0).alias("side")))
+    needed = places.groupBy("digest").agg(F.collect_list(F.struct("item", "side")).alias("places"))
+    needed = needed.join(sets.select("digest", "at.o", "at.k"), "digest")
+    shingled = docs.join(needed, ["o", "k"]).dropDuplicates(["o", "k"]).select("digest", "places", "text").mapInArrow(_shingled(width), "digest string, places array<struct<item:string,side:int>>, elements binary")
+    items = shingled.select("digest", F.explode("places").alias("p"), "elements").select("p.item", "p.side", "digest", "elements")
+    return stored(items.repartition("item").sortWithinPartitions("item").mapInArrow(_verified(num, den), "a string, b string"), "links")
+
+
+def near_duplicates(
+    docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, slots: int = 128, bands: int = 42, rows: int = 6, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """docs -> doc_id, n_shingles, component_id, kept, first, o, k for each row; (o, k) is its key in `keyed`.
 
     Words are runs of other bytes than ASCII white space, A-Z lower-cased; a
@@ -183,7 +267,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     sequence if it is shorter. Documents with den * |A&B| >= num * |A|B| are
     linked; component_id is the smallest doc_id reachable, kept says that it is
     the row's own, first that the row's key is its component's smallest. A pair
-    at similarity s shares no band with chance (1 - s**rows)**bands: 5e-8 at 0.8.
+    at similarity s shares no band with chance (1 - s**rows)**bands, about: 3e-6
+    at 0.8, 2e-9 at 0.85.
 
     Null and blank texts have no set and stay alone. Repeated rows are copies.
     A null doc_id counts only where all of a component's are null; the id is
@@ -192,31 +277,46 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     """
     bounded_batches(docs.sparkSession)
     docs = keyed(docs, id_col, text_col).select("o", "k", "text")
-    signed = stored(docs.mapInArrow(_signed(width, bands, rows), "o long, k long, n_shingles long, digest string, bands array<long>"), "signatures")
+    signed = stored(docs.mapInArrow(_signed(width, slots, bands, rows), "o long, k long, n_shingles long, digest string, bands array<long>, sig binary"), "signatures")
     whole = signed.select("o", "k", "n_shingles", "digest")
-    sets = signed.where("digest is not null").groupBy("digest").agg(F.first("bands").alias("bands"))
-    banded = sets.select("digest", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = salted_join(banded, buckets, ["band", "key"], F.col("digest"), salts=2).select(F.col("digest").alias("a"), "b")
-    clusters = components(shared).withColumnsRenamed({"node": "digest", "label": "cluster"})
-    member = whole.where("digest is not null").groupBy("digest").agg(F.min(F.struct("o", "k")).alias("at"), F.max("n_shingles").alias("size"))
-    member = stored(clusters.join(member, "digest"), "members")
-    # a cluster's sets in blocks of bounded number and size; each pair of blocks is an item of work
-    blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / (1 << 20))).cast("int").alias("blocks"))
-    placed = salted_join(member, blocks, ["cluster"], F.col("digest"), salts=4).select(
-        "digest", "cluster", F.pmod(F.xxhash64("digest"), "blocks").cast("int").alias("block"), "blocks", F.col("at.o").alias("o"), F.col("at.k").alias("k")
-    )
-    shingled = docs.join(placed, ["o", "k"]).select("digest", "cluster", "block", "blocks", "text").mapInArrow(_shingled(width), "digest string, cluster string, block int, blocks int, elements binary")
-    items = shingled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.concat_ws("/", "cluster", F.least("block", "other"), F.greatest("block", "other")).alias("item"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "digest", "elements"
-    )
-    links = items.repartition("item").sortWithinPartitions("item").mapInArrow(_verified(num, den), "a string, b string")
+    sets = signed.where("digest is not null").groupBy("digest").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min(F.struct("o", "k")).alias("at"), F.max("n_shingles").alias("size"))
+    sets = stored(sets, "sets")
+    least = least_equal(num / den, slots)
+    banded = sets.select("digest", F.explode("bands").alias("key"))
+    buckets = stored(banded.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+
+    # each bucket's sets against its first one
+    member = salted_join(banded, buckets, ["key"], F.col("digest"), salts=2).where("digest <> b")
+    member = stored(member.select("key", "digest", "b"), "members")
+    star = member.select(F.col("digest").alias("a"), "b").distinct().join(sets.select(F.col("digest").alias("a"), "sig", F.col("size").alias("m")), "a")
+    others = sets.join(buckets.select(F.col("b").alias("digest")).distinct(), "digest", "left_semi").select(F.col("digest").alias("b"), F.col("sig").alias("other"), F.col("size").alias("n"))
+    star = salted_join(star, others, ["b"], F.col("a"), salts=8).where(den * F.least("m", "n") >= num * F.greatest("m", "n"))
+    star = star.select("a", "b", "sig", "other").mapInArrow(_likely(slots, least), "a string, b string")
+    links = _confirmed(docs, sets, star, width, num, den)
+
+    # where a bucket's sets are in several components now: those outside its largest one against all
+    labels = stored(components(links).withColumnsRenamed({"node": "digest"}), "labels")
+    tagged = member.join(labels, "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
+    several = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    tagged = stored(salted_join(tagged, several, ["key"], F.col("digest"), salts=2), "several")
+    counts = tagged.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"))
+    blocks = counts.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("all"), F.ceil((F.col("n") - F.col("top")) / BLOCK).alias("rest"))
+    sided = salted_join(tagged, blocks, ["key"], F.col("digest"), salts=2)
+    spread = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("digest"), F.col(n))
+    ones = sided.where("label <> main").select("digest", "label", F.explode(F.transform(spread("all"), lambda x: F.concat_ws("/", "key", own("rest"), x))).alias("item"), F.lit(0).alias("side"))
+    alls = sided.select("digest", "label", F.explode(F.transform(spread("rest"), lambda x: F.concat_ws("/", "key", x, own("all")))).alias("item"), F.lit(1).alias("side"))
+    items = ones.union(alls).join(sets.select("digest", "size", "sig"), "digest").select("item", "side", "digest", "label", "size", "sig")
+    more = items.repartition("item").sortWithinPartitions("item").mapInArrow(_likely_pairs(slots, least, num, den), "a string, b string")
+    more = more.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = links.union(_confirmed(docs, sets, more, width, num, den))
+
     labels = components(links).withColumnsRenamed({"node": "digest"})
     tagged = salted_join(whole, labels, ["digest"], F.col("k"), "left").withColumn("label", F.coalesce("label", "digest"))
     tagged = stored(tagged, "tagged")
     known = F.when(F.col("o") != LOWEST, F.col("o"))
-    least = tagged.where("label is not null").groupBy("label").agg(F.min(known).alias("component_id"), F.min(F.struct("o", "k")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = salted_join(tagged, least, ["label"], F.col("k"), "left")
+    least_of = tagged.where("label is not null").groupBy("label").agg(F.min(known).alias("component_id"), F.min(F.struct("o", "k")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = salted_join(tagged, least_of, ["label"], F.col("k"), "left")
     return own.select(
         known.alias("doc_id"),
         "n_shingles",

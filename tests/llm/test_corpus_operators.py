@@ -79,18 +79,39 @@ def components(sets, num, den):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize(("num", "block"), [(85, 256), (80, 8)])
-def test_near_duplicates_against_all_pairs(docs, texts, num, block):
+@pytest.mark.parametrize(("num", "block"), [(85, 256), (80, 4)])
+def test_near_duplicates_against_all_pairs(docs, texts, num, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     words = {i: spaced(t) for i, t in texts.items()}
     sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in words.items()}
     want = components(sets, num, 100)
-    got = by_id(minhash.near_duplicates(docs, num, 100, block=block), texts)
+    got = by_id(minhash.near_duplicates(docs, num, 100), texts)
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in texts}
     kept = minhash.without_near_duplicates(docs, num=num, den=100)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i in want if want[i] == i)
 
 
+def test_links_past_the_first_set_of_a_bucket(spark, monkeypatch):
+    """Chains of edits: with bands that any two share, all links but those to the first must come from the second comparison."""
+    chance = random.Random(21)
+    words = [f"w{i}" for i in range(300)]
+    texts = {}
+    for chain in range(6):
+        text = [chance.choice(words) for _ in range(80)]
+        for step in range(12):
+            texts[100 * chain + step] = " ".join(text)
+            for _ in range(2):
+                text[chance.randrange(len(text))] = chance.choice(words)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    want = components(sets, 80, 100)
+    assert 6 < len(set(want.values())) < len(want) - 6
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for rows, bands in ((1, 100), (6, 42)):
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, rows=rows, bands=bands).collect()} == want
+
+
 def plain_line_dedup(texts, most=30):
     """id -> the lines (places among all) in a run of whole lines with `most` words that an earlier document has, by all pairs."""
     filled = {i: [(n, tuple(w)) for n, x in enumerate((t or "").split("\n")) if (w := spaced(x))] for i, t in texts.items()}

@@ -8,16 +8,14 @@ import sys
 
 from pyspark.sql import functions as F
 
-from .functions.pages import source_tokens
 from .plans import analyze, update
 from .session import session
 
 
 def _components(spark, folder: str, snapshot: str):
-    df = spark.read.parquet(f"{folder}/components").where(F.col("snapshot") == snapshot)
-    edges = spark.read.parquet(f"{folder}/edges").where(F.col("snapshot") == snapshot).groupBy(F.col("caller").alias("id")).agg(F.sort_array(F.collect_set("callee")).alias("depends_on"))
-    rows = df.select("id", F.concat_ws("|", "name", "component_type").alias("signature"), F.array_join(source_tokens(F.coalesce("source_code", F.lit(""))), " ").alias("body"))
-    return rows.join(edges, "id", "left").withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>")))
+    read = lambda name: spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}/snapshot={snapshot}")
+    edges = read("edges").groupBy(F.col("caller").alias("id")).agg(F.sort_array(F.collect_set("callee")).alias("depends_on"))
+    return update.prepared(read("components").join(edges, "id", "left"))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what stands for the text that a cut leaves out.
 MARKER = "\n... [diff truncated] ...\n"
-_CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}"
-#: Words that say nothing as a diagram's label.
-GENERIC_LABELS = ("component", "module", "service", "system", "node", "start", "end", "input", "output", "process", "data")
+#: The ranges of CJK characters, which count one by one.
+_CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2FFFF}"
+#: Labels of diagrams that say nothing, and parts of those that are about building instead of running.
+GENERIC_LABELS = (
+    "caller", "entry", "core", "result", "reader", "readers and listings", "model", "record", "parent", "child", "module", "component", "source", "target", "input", "output",
+    "fixture", "assertion", "all", "other",
+)
+SUPPORT_TERMS = ("build", "test", "release", "smoke", "verify", "packag", "deployment", "ci")
+#: White space within a line.
+_BLANK = r"[^\S\n]"
+#: Blocks whose text isn't the page's; one that isn't closed reaches to the end.
+_OPAQUE = r"(?s)<(code|file|nowiki)(?=[\s>])(?:[^>]*>.*?(?:</\1>|\z)|[^>]*\z)"
+_MERMAID = r"(?s)<mermaid>.*?(?:</mermaid>|\z)"
+_HEADING = rf"(?m)^{_BLANK}*(={{2,}}+)([^\n]*?(?<!=))\1{_BLANK}*$"
 
 
 def token_estimate(text: Column) -> Column:
@@ -22,37 +34,47 @@ def lines(text: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """Two or more = on either side, as many on one as on the other, and something between."""
-    trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
-    return trimmed.rlike(r"^(={2,})[^=](?:.*[^=])?\1$")
+    return line.rlike(_HEADING)
 
 
 def headings(text: Column) -> Column:
-    """The texts of the heading lines, lower-cased."""
-    found = F.filter(lines(text), is_heading)
-    return F.filter(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"^[\s=]+|[\s=]+$", ""))), lambda x: x != "")
+    """The visible texts of the heading lines, A-Z lower-cased."""
+    found = F.regexp_extract_all(text, F.lit(_HEADING), F.lit(2))
+    return F.filter(F.transform(found, lambda x: lower_az(F.trim(visible(x)))), lambda x: x != "")
+
+
+def lower_az(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def visible(text: Column) -> Column:
-    """Without what isn't shown: code and no-format blocks, markup of links, emphasis."""
-    out = F.regexp_replace(text, r"(?s)<(code|file|nowiki|mermaid)\b[^>]*>.*?</\1>", "")
-    out = F.regexp_replace(out, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
-    return F.regexp_replace(out, r"\*\*|//|__|''", "")
+    """What a line shows: labels of links, no markup of emphasis, no tags, nothing between '' or %%."""
+    return F.regexp_replace(text, r"\[\[(?:(?!\]\])[^|\n])*\|((?:(?!\]\])[^\n])*)\]\]|\[\[((?:(?!\]\])[^|\n])*)\]\]|''.*?''|%%.*?%%|\*\*|//|__|~~|<[A-Za-z/][^>\n]*>", "$1$2")
+
+
+def _without(text: Column, blocks: str) -> Column:
+    """text without what the expression finds; a mark and its line feeds stay for each, so that lines keep their beginnings."""
+    left = F.transform(F.regexp_extract_all(text, F.lit(blocks), F.lit(0)), lambda x: F.concat(F.lit("\x01"), F.regexp_replace(x, "[^\n]+", ""), F.lit("\x01")))
+    joined = F.array_join(F.zip_with(F.split(text, blocks, -1), left, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(blocks), joined).otherwise(text)
 
 
-def prose_lines(text: Column) -> Column:
-    """The lines of running text: no headings, lists, quotes, tables or indented lines."""
-    return F.filter(lines(visible(text)), lambda x: x.rlike(r"\S") & ~is_heading(x) & ~x.rlike(r"^\s*[*\->|^]") & ~x.rlike(r"^\s{2}"))
+def shown_source(text: Column) -> Column:
+    """The page without code, file and nowiki blocks."""
+    return _without(text, _OPAQUE)
 
 
-def prose_words(text: Column) -> Column:
-    """Runs of letters, digits and _, outside CJK, in running text."""
-    joined = F.array_join(prose_lines(text), "\n")
-    return F.size(F.regexp_extract_all(joined, F.lit(rf"[[\p{{L}}\p{{N}}_]&&[^{_CJK}]]+"), F.lit(0))).cast("long")
+def prose(text: Column) -> Column:
+    """The running text: no blocks, diagrams, headings, lists, quotes, tables or indented lines, and without markup."""
+    source = _without(shown_source(text), _MERMAID)
+    kept = F.regexp_replace(source, rf"{_HEADING}|(?m)^{_BLANK}*[*\->|^][^\n]*$|(?m)^{_BLANK}{{2,}}[^\n]*$", "")
+    return visible(kept)
 
 
-def prose_cjk(text: Column) -> Column:
-    joined = F.array_join(prose_lines(text), "\n")
-    return F.size(F.regexp_extract_all(joined, F.lit(f"[{_CJK}]"), F.lit(0))).cast("long")
+def prose_counts(text: Column) -> Column:
+    """words (runs of letters, digits and _ outside CJK) and cjk (characters) of the running text, from one pass."""
+    shown = prose(text)
+    return F.struct(F.regexp_count(shown, F.lit(rf"[[\p{{IsAlphabetic}}\p{{N}}_]&&[^{_CJK}]]+")).cast("long").alias("words"), F.regexp_count(shown, F.lit(f"[{_CJK}]")).cast("long").alias("cjk"))
 
 
 def truncated(text: Column, tokens: int) -> Column:
@@ -66,11 +88,7 @@ def truncated(text: Column, tokens: int) -> Column:
 
 def wiki_links(text: Column) -> Column:
     """Targets of [[links]], without label and section."""
-    return F.transform(F.regexp_extract_all(visible_source(text), F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), lambda x: F.trim(x))
-
-
-def visible_source(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)<(code|file|nowiki|mermaid)\b[^>]*>.*?</\1>", " ")
+    return F.transform(F.regexp_extract_all(_without(shown_source(text), _MERMAID), F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def html_links(html: Column) -> Column:
@@ -79,8 +97,8 @@ def html_links(html: Column) -> Column:
 
 def title(text: Column, fallback: Column) -> Column:
     """The first heading as it is written, else the fallback."""
-    first = F.try_element_at(F.filter(lines(text), is_heading), F.lit(1))
-    return F.coalesce(F.regexp_replace(first, r"^[\s=]+|[\s=]+$", ""), fallback)
+    first = F.trim(F.regexp_extract(text, _HEADING, 2))
+    return F.when(first != "", first).otherwise(fallback)
 
 
 def escaped(text: Column) -> Column:
@@ -107,23 +125,28 @@ def rendered(template: Column | str, values: dict[str, Column]) -> Column:
     return out
 
 
-def mermaid_edges(text: Column) -> Column:
-    """a and b of each `a[label] --> b` line of a diagram."""
-    hit = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(\w+)(?:\[[^\]\n]*\])?\s*[-=.]+>(?:\|[^|\n]*\|)?\s*\w+"), F.lit(1))
-    to = F.regexp_extract_all(text, F.lit(r"(?m)^\s*\w+(?:\[[^\]\n]*\])?\s*[-=.]+>(?:\|[^|\n]*\|)?\s*(\w+)"), F.lit(1))
-    return F.arrays_zip(hit.alias("a"), to.alias("b"))
+def mermaid_blocks(text: Column) -> Column:
+    """The bodies of the closed diagrams outside code; an opening tag inside a diagram is text."""
+    return F.regexp_extract_all(shown_source(text), F.lit(r"(?s)<mermaid>(.*?)</mermaid>"), F.lit(1))
 
 
-def mermaid_labels(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\w+\[\"?([^\]\"\n]+)\"?\]"), F.lit(1))
+def mermaid_balanced(text: Column) -> Column:
+    """Whether opening and closing tags of diagrams take turns."""
+    tags = F.array_join(F.regexp_extract_all(shown_source(text), F.lit("<(/?)mermaid>"), F.lit(1)), ",")
+    return tags.rlike("^(?:,/(?:,(?=,/)|$))*$") | ~F.contains(shown_source(text), F.lit("mermaid>"))
 
 
 def diagram_text(label: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(label, r"[^\p{L}\p{N}]+", " ")))
+    """A label as it is compared: ASCII letters and digits in lower case, one space between words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(lower_az(label), r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 
 def is_generic_label(label: Column) -> Column:
-    return F.regexp_replace(diagram_text(label), r"(?: ?[0-9]+| [a-z])$", "").isin(*GENERIC_LABELS, "")
+    return diagram_text(label).isin(*GENERIC_LABELS)
+
+
+def is_support_label(label: Column) -> Column:
+    return diagram_text(label).rlike("|".join(SUPPORT_TERMS))
 
 
 def source_tokens(text: Column) -> Column:

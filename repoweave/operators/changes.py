@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pages import source_tokens
+from ..functions import paths as P
+from ..functions.pages import source_tokens, truncated
 from ..session import checkpointed
+from .graph import within_hops
 
 
 def signature() -> Column:
@@ -36,6 +38,16 @@ def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     return both.select(F.explode(kinds).alias("kind"), "id")
 
 
+def with_renames(changes: DataFrame, previous: DataFrame, current: DataFrame, tau: float = 0.95) -> DataFrame:
+    """snapshot_diff's changes, previous, current (id, component_type, language, body) -> kind, id, old_id: paired additions and deletions as one rename each."""
+    changes = checkpointed(changes)
+    side = lambda df, kind: df.join(changes.where(F.col("kind") == kind), "id", "left_semi").select("id", "component_type", "language", "body")
+    pairs = checkpointed(renamed(side(previous, "deleted"), side(current, "added"), tau).select("old_id", F.col("new_id").alias("id")))
+    gone = pairs.select(F.lit("deleted").alias("kind"), F.col("old_id").alias("id")).union(pairs.select(F.lit("added"), "id"))
+    rest = changes.join(gone, ["kind", "id"], "left_anti").select("kind", "id", F.lit(None).cast(changes.schema["id"].dataType).alias("old_id"))
+    return rest.union(pairs.select(F.lit("renamed"), "id", "old_id"))
+
+
 def active(changes: DataFrame) -> DataFrame:
     """changes (kind, id) -> id: whatever changed but wasn't just deleted. A renamed id counts by its new name."""
     return changes.where("kind <> 'deleted'").select("id").distinct()
@@ -60,6 +72,20 @@ def fallback(ratios: DataFrame, tau_full: float = 0.5, tau_tree: float = 0.3) ->
     return ratios.withColumn("outcome", F.when((F.col("active") == 0) & (F.col("structural") == 0), "no_change").when(full, "full_fallback").otherwise("incremental"))
 
 
+def outcome(ratios: DataFrame, changes: DataFrame, previous: DataFrame, tau_full: float = 0.5, tau_tree: float = 0.3, tau_grow: float = 0.33) -> DataFrame:
+    """change_ratios' row, changes, previous -> the row with added, growth_ratio, fallback (its reason or null), reclustered, outcome.
+
+    An empty previous snapshot is a full fallback. The structural reason goes
+    before the active one. Enough growth, or a fallback, clusters anew.
+    """
+    out = ratios.withColumns({"added": changes.agg(F.count_if(F.col("kind") == "added").alias("n")).scalar(), "empty": previous.agg((F.count("*") == 0).alias("n")).scalar(), "changes": changes.agg(F.count("*").alias("n")).scalar()})
+    reason = F.when(F.col("structural_ratio") >= tau_tree, "structural-threshold").when(F.col("active_ratio") >= tau_full, "active-leaf-threshold")
+    out = out.withColumns({"growth_ratio": F.round(F.col("added") / F.col("total"), 6), "fallback": reason})
+    grown = (F.col("added") > 0) & (F.col("growth_ratio") >= tau_grow)
+    said = F.when(F.col("empty") | F.col("fallback").isNotNull(), "full_fallback").when(F.col("changes") == 0, "no_change").otherwise("incremental")
+    return out.withColumns({"reclustered": F.col("fallback").isNotNull() | grown, "outcome": said}).drop("empty", "changes")
+
+
 def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * LCS / (m + n) of two arrays of tokens, one row of the table at a time; 1 for two empty ones.
 
@@ -252,16 +278,111 @@ def route(edges: DataFrame, pages: DataFrame, fallback_page: str, tau: float = 0
     return total.select("id", F.when(F.col("best.n") / F.col("total") >= tau, F.col("best.page")).otherwise(fallback_page).alias("page"))
 
 
-def write_sets(routed: DataFrame, modules: DataFrame) -> DataFrame:
-    """routed (id, page), modules (page, path) -> page: the routed pages' modules and all above them, as paths."""
+def fallback_page(leaves: DataFrame, overview: str) -> Column:
+    """leaves (id, page) -> a scalar: the page of the first component that has one, else the overview."""
+    return F.coalesce(leaves.agg(F.min_by("page", "id").alias("page")).scalar(), F.lit(overview))
+
+
+def write_sets(active_ids: DataFrame, owners: DataFrame, overview: str) -> DataFrame:
+    """active_ids (id), owners (id, page: of each component's deepest module) -> id, page: what each change writes, its own page and the overview."""
+    own = active_ids.join(owners, "id").select("id", "page")
+    return own.union(active_ids.select("id", F.lit(overview).alias("page"))).distinct()
+
+
+def ancestor_sets(routed: DataFrame, modules: DataFrame) -> DataFrame:
+    """routed (id, page), modules (page, path) -> module: the routed pages' modules and all above them, as paths."""
     hit = modules.join(routed.select("page").distinct(), "page", "left_semi")
     return hit.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.array_join(F.slice("path", F.lit(1), n), "/"))).alias("module")).distinct()
 
 
-def verdicts(raw: DataFrame, allowed: list[str]) -> DataFrame:
-    """raw (page, value: a JSON string or object) -> page, verdict, reason; a verdict that isn't allowed is null."""
-    said = F.coalesce(F.get_json_object("value", "$.verdict"), F.when(F.col("value").rlike(r'^\s*"'), F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")))
-    return raw.select("page", F.when(said.isin(*allowed), said).alias("verdict"), F.get_json_object("value", "$.reason").alias("reason"))
+def applied_routes(members: DataFrame, modules: DataFrame, changes: DataFrame, decisions: DataFrame, known: DataFrame, wiki: str = "wiki") -> tuple[DataFrame, DataFrame]:
+    """A tree after routing decisions -> (members: path, id; decisions: n, component_id, action, outcome).
+
+    members (path, id) and modules (path) are the tree; of changes (kind, id,
+    old_id) the deleted ids leave it and renamed ones go by their new id.
+    decisions (n, component_id, action, leaf, new_leaf, parent) count in order of
+    n: place puts a known component into a leaf's page, create into a new (or
+    present) child of the parent's page or of the top; either adds it to all
+    modules above, too. A page that a decision makes is there for later ones, and
+    what gets a child is no leaf for them. Others are rejected; untracked ones
+    are just that. Rounds of creation go on until no page is new.
+    """
+    gone = changes.where("kind = 'deleted'").select("id")
+    new = changes.where("kind = 'renamed'").select(F.col("old_id").alias("id"), F.col("id").alias("new_id"))
+    kept = members.select("path", "id").join(gone, "id", "left_anti").join(new, "id", "left").select("path", F.coalesce("new_id", "id").alias("id"))
+    asked = checkpointed(decisions.join(known.select(F.col("id").alias("component_id")).distinct().withColumn("known", F.lit(True)), "component_id", "left"))
+    page = lambda path: P.page_id(wiki, path)
+    # pages with the decision that makes them; -1: they were there
+    there = checkpointed(modules.select("path", page(F.col("path")).alias("page"), F.lit(-1).cast("long").alias("since")).where("page is not null").distinct())
+    wanted = asked.where("known and action = 'create' and coalesce(new_leaf, '') <> ''").select("n", "component_id", "new_leaf", F.when(F.col("parent") != "", F.col("parent")).alias("parent"))
+    top = wanted.where("parent is null").select("n", "component_id", F.array("new_leaf").alias("path"))
+    made = top
+    while True:
+        pages = there.union(made.select("path", page(F.col("path")).alias("page"), F.col("n").alias("since")).where("page is not null")).groupBy("path", "page").agg(F.min("since").alias("since"))
+        below = wanted.where("parent is not null").join(pages.select(F.col("page").alias("parent"), F.col("path").alias("up"), "since"), "parent").where("since < n")
+        found = checkpointed(top.union(below.select("n", "component_id", F.concat("up", F.array("new_leaf")))).distinct())
+        if found.join(made, ["n", "path"], "left_anti").isEmpty():
+            break
+        made = found
+    made = made.where(page(F.col("path")).isNotNull())
+    pages = checkpointed(there.union(made.select("path", page(F.col("path")), "n")).groupBy("path", "page").agg(F.min("since").alias("since")))
+    # when a page gets its first child
+    parents = pages.where(F.size("path") > 1).groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.min("since").alias("filled"))
+    leaves = pages.join(parents, "path", "left").withColumn("filled", F.coalesce("filled", F.lit((1 << 63) - 1)))
+    placed = asked.where("known and action = 'place'").join(leaves.select(F.col("page").alias("leaf"), "path", "since", "filled"), "leaf").where("since < n and filled > n").select("n", "component_id", "path")
+    done = checkpointed(placed.union(made))
+    above = done.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i))).alias("path"), F.col("component_id").alias("id"))
+    said = asked.join(done.select("n").distinct().withColumn("done", F.lit(True)), "n", "left")
+    result = F.when(F.col("known").isNull(), "unknown component").when(F.col("action") == "untracked", "untracked").when(F.col("done"), "applied").otherwise("no such page")
+    return kept.union(above).distinct(), said.select("n", "component_id", "action", result.alias("outcome"))
+
+
+#: What a page's verdict can be.
+VERDICTS = ("no-op", "patch", "rewrite", "create", "delete")
+
+
+def verdicts(raw: DataFrame, allowed: tuple[str, ...] = VERDICTS) -> DataFrame:
+    """raw (page, value: a JSON string or object) -> page, verdict, reason, record; a verdict that isn't allowed is null.
+
+    Verdicts are trimmed and lower-cased, a text can hold its reason after a
+    colon. record is the verdict with its reason, as it is kept.
+    """
+    text = F.when(F.col("value").rlike(r'^\s*"'), F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v"))
+    said = F.lower(F.trim(F.coalesce(F.get_json_object("value", "$.verdict"), text)))
+    name, own = F.trim(F.substring_index(said, ":", 1)), F.get_json_object("value", "$.reason")
+    reason = F.coalesce(F.when(own != "", own), F.when(text.isNotNull() & said.contains(":"), F.trim(F.substring(said, F.instr(said, ":") + 1, F.length(said)))))
+    record = F.when(own != "", F.concat_ws(": ", said, own)).otherwise(said)
+    good = name.isin(*allowed)
+    return raw.select("page", F.when(good, name).alias("verdict"), reason.alias("reason"), F.when(good, record).alias("record"))
+
+
+def stale(expected: DataFrame, present: DataFrame, links: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """expected, present (page), links (page, target), carried (page, problem) -> page, problem, target: what a scan before the end of an update finds.
+
+    Missing and extra pages, links to pages that aren't there, and the problems
+    that an earlier check left.
+    """
+    none = F.lit(None).cast("string").alias("target")
+    lost = expected.join(present, "page", "left_anti").select("page", F.lit("missing").alias("problem"), none)
+    extra = present.join(expected, "page", "left_anti").select("page", F.lit("extra").alias("problem"), none)
+    broken = links.join(present.select(F.col("page").alias("target")), "target", "left_anti").select("page", F.lit("broken link").alias("problem"), F.col("target").cast("string"))
+    out = lost.union(extra).union(broken)
+    return (out if carried is None else out.union(carried.select("page", "problem", none))).distinct()
+
+
+def finalized(plan: DataFrame, said: DataFrame, present: DataFrame, problems: DataFrame, started: Column, finished: Column) -> DataFrame:
+    """outcome's row, verdicts (page, record), pages present, stale's rows -> the one row that an update leaves behind.
+
+    It has the plan's columns, wall_seconds (0 at least), pages_written, the
+    verdicts as a map and the counts of stale problems as a map. A verdict that
+    isn't allowed makes an error.
+    """
+    entries = said.select("page", F.coalesce("record", F.raise_error(F.concat(F.lit("no verdict for "), F.col("page").cast("string")))).alias("record"))
+    kept = entries.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page").cast("string").alias("page"), "record")))).alias("m"))
+    counts = problems.groupBy("problem").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("problem", "n")))).alias("m"))
+    pages = present.select("page").distinct().agg(F.count("*").alias("n"))
+    wall = F.greatest(F.unix_millis(finished) - F.unix_millis(started), F.lit(0)) / 1000
+    return plan.withColumns({"wall_seconds": wall, "pages_written": pages.scalar(), "verdicts": kept.scalar(), "stale": counts.scalar()})
 
 
 def hunks_on(hunks: DataFrame, spans: DataFrame, width: int = 256) -> DataFrame:
@@ -276,8 +397,22 @@ def hunks_on(hunks: DataFrame, spans: DataFrame, width: int = 256) -> DataFrame:
     return both.where((F.col("first") <= F.col("end")) & (F.col("start") <= F.col("last")) & (F.col("_at") == F.floor(begin / width))).select("hunk", "id")
 
 
-def context(ids: DataFrame, components: DataFrame, edges: DataFrame, upstream: DataFrame) -> DataFrame:
-    """ids (id), components (id, text), edges, upstream (start, id) -> id, text, referrers, upstream: what a report on each shows."""
+def context(changes: DataFrame, components: DataFrame, edges: DataFrame, hops: int = 1, tokens: int = 8000) -> DataFrame:
+    """changes (kind, id), components (id, relative_path, language, source_code), edges (caller, callee) -> a report's row for each active component.
+
+    id, mode (create for added ones, else edit), own (its source, cut), up (what
+    it depends on within hops), referrers (who depends on it), relative_path,
+    language; lists are sorted.
+    """
+    ids = active(changes)
+    made = changes.where("kind = 'added'").select("id").distinct().withColumn("made", F.lit(True))
     used = edges.join(ids.select(F.col("id").alias("callee")), "callee", "left_semi").groupBy(F.col("callee").alias("id")).agg(F.array_sort(F.collect_set("caller")).alias("referrers"))
-    above = upstream.groupBy(F.col("start").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("upstream"))
-    return components.join(ids, "id", "left_semi").join(used, "id", "left").join(above, "id", "left")
+    up = within_hops(edges, ids, hops).groupBy(F.col("start").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("up"))
+    none = F.array().cast("array<string>")
+    rows = components.join(ids, "id", "left_semi").join(made, "id", "left").join(used, "id", "left").join(up, "id", "left")
+    return rows.select("id", F.when(F.col("made"), "create").otherwise("edit").alias("mode"), truncated(F.col("source_code"), tokens).alias("own"), F.coalesce("up", none).alias("up"), F.coalesce("referrers", none).alias("referrers"), "relative_path", "language")
+
+
+def orphans(routed: DataFrame, components: DataFrame) -> DataFrame:
+    """routed (id, page), components (id, relative_path, name) -> id, relative_path, name, suggested_leaf: what a routing prompt shows."""
+    return components.join(routed.select("id", F.col("page").alias("suggested_leaf")), "id").select("id", "relative_path", "name", "suggested_leaf")

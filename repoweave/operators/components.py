@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pages import token_estimate
+
 #: Component types that are declarations of types or scopes.
 OOP_TYPES = ("class", "record", "interface", "struct", "enum", "trait", "union", "module", "object", "namespace", "type")
-#: From so many candidates on, those that others depend on are left out.
-REDUCTION = 400
+#: From so many candidates on, those that others depend on are left out; so many types, or such a share of them, make functions no candidates.
+REDUCTION, ENOUGH_TYPES, TYPE_SHARE = 400, 20, 0.2
 
 
 def unique_matches(references: DataFrame, names: DataFrame, keys: list[str], ref: str = "ref", own: str = "owner") -> DataFrame:
@@ -28,23 +30,25 @@ def unique_matches(references: DataFrame, names: DataFrame, keys: list[str], ref
 
 def name_index(components: DataFrame) -> DataFrame:
     """components (id, name, qualified_name, language) -> id, language, key, simple: each id's names, and the last part of each."""
-    keys = F.array_distinct(F.array_compact(F.array("id", "name", "qualified_name")))
-    return components.select("id", "language", F.explode(keys).alias("key")).withColumn("simple", F.element_at(F.split("key", r"::|\."), -1)).distinct()
+    keys = F.filter(F.array("id", "name", "qualified_name"), lambda x: x.isNotNull() & (x != ""))
+    return components.select("id", "language", F.explode(F.array_distinct(keys)).alias("key")).withColumn("simple", F.element_at(F.split("key", "[.:]"), -1)).distinct()
 
 
 def resolved(references: DataFrame, components: DataFrame) -> DataFrame:
     """references (ref, owner, language, name) -> ref, target by ordered fallbacks.
 
-    Of the name as it is: the unique id in the language, the unique exact name.
-    Then of what follows its last `::`, and of what follows its last `.`: the
-    unique id in the language, the unique simple name, the unique exact name.
-    The first of these with a target decides; an ambiguous name has no edge.
+    Of the name as it is: the unique id in the language (by a whole or simple
+    name), the unique exact name. Then of what follows its last `::`, and of what
+    follows its last `.`: the unique id in the language, the unique simple name,
+    the unique exact name. The first of these with a target decides; an ambiguous
+    name has no edge.
     """
     index = name_index(components)
-    exact, simple = index.select("id", "language", "key"), index.select("id", F.col("simple").alias("key")).distinct()
+    exact, simple = index.select("id", "key").distinct(), index.where("simple <> ''").select("id", F.col("simple").alias("key")).distinct()
+    spoken = index.select("id", "language", F.explode(F.array("key", "simple")).alias("key")).where("key <> ''").distinct()
     tries = references.select("ref", "owner", "language", F.posexplode(F.array("name", F.substring_index("name", "::", -1), F.substring_index("name", ".", -1))).alias("cut", "key"))
     found = None
-    for rank, (names, keys) in enumerate(((exact, ["language", "key"]), (simple, ["key"]), (exact.drop("language").distinct(), ["key"]))):
+    for rank, (names, keys) in enumerate(((spoken, ["language", "key"]), (simple, ["key"]), (exact, ["key"]))):
         refs = (tries.where("cut > 0") if names is simple else tries).withColumn("try", F.struct("ref", "cut"))
         hit = unique_matches(refs, names, keys, "try").select("try.ref", F.struct(F.col("try.cut").alias("cut"), F.lit(rank).alias("rank")).alias("at"), "target")
         found = hit if found is None else found.union(hit)
@@ -66,8 +70,8 @@ def first_references(calls: DataFrame) -> DataFrame:
 def candidate_policy(components: DataFrame) -> DataFrame:
     """components (component_type) -> one row: oop, functions, include_functions."""
     counts = components.agg(F.count_if(F.col("component_type").isin(*OOP_TYPES)).alias("oop"), F.count_if(F.col("component_type") == "function").alias("functions"))
-    few = (F.col("oop") < 20) & (F.col("functions") > F.col("oop"))
-    thin = (F.col("functions") > 0) & (F.col("oop") / (F.col("oop") + F.col("functions")) < 0.2)
+    few = (F.col("oop") < ENOUGH_TYPES) & (F.col("functions") > F.col("oop"))
+    thin = (F.col("functions") > 0) & (F.col("oop") / (F.col("oop") + F.col("functions")) < TYPE_SHARE)
     return counts.withColumn("include_functions", (F.col("oop") == 0) | few | F.coalesce(thin, F.lit(False)))
 
 
@@ -97,6 +101,22 @@ def referrers(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("callee")), "callee", "left_semi").select(F.col("callee").alias("id"), F.col("caller").alias("referrer")).distinct()
 
 
+def id_differences(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """wanted, known (id) -> id, problem: unknown (wanted, but not there) or omitted (there, but not wanted)."""
+    unknown = wanted.select("id").distinct().join(known, "id", "left_anti").select("id", F.lit("unknown").alias("problem"))
+    return unknown.union(known.select("id").distinct().join(wanted, "id", "left_anti").select("id", F.lit("omitted").alias("problem")))
+
+
+def language_counts(components: DataFrame) -> DataFrame:
+    """components (language, source_code) -> language, n, tokens (estimated, of all sources)."""
+    return components.groupBy("language").agg(F.count("*").alias("n"), F.sum(token_estimate(F.col("source_code"))).alias("tokens"))
+
+
+def by_file(components: DataFrame) -> DataFrame:
+    """components (id, relative_path) -> relative_path, n, ids (sorted, joined by commas): the listing of a prompt, a line a file."""
+    return components.groupBy("relative_path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
+
+
 def artifact_units(artifacts: DataFrame, most: int = 25) -> DataFrame:
     """artifacts (path, class, content) -> path, unit: scripts of packages, targets, stages and jobs, sorted, the first 25."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -42,11 +42,6 @@ def overview(modules: DataFrame, target: str) -> DataFrame:
     return modules.select(name.alias("module"), F.size("path").cast("long").alias("depth"), (name == target).alias("is_target"), F.when((F.array_join(F.slice("path", F.lit(1), F.size("path") - 1), "/") == target), F.col("page")).alias("child_page"))
 
 
-def primary_step(edges: DataFrame) -> DataFrame:
-    """edges (src, dst) -> src, dst: the smallest module that each leads to, from which a primary path is read."""
-    return edges.where("src <> dst").groupBy("src").agg(F.min("dst").alias("dst"))
-
-
 def metadata(pages: DataFrame) -> DataFrame:
     """pages (page, content) -> one row: pages, characters, and a digest over the pages' own digests, whatever their order."""
     each = pages.select(F.length("content").cast("long").alias("n"), F.xxhash64("page", "content").cast("decimal(38,0)").alias("h"))

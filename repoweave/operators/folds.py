@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Files of a class, and bytes of all, that an artifact index takes.
 PER_CLASS, MOST_BYTES = 40, 8 << 20
 
@@ -18,27 +20,30 @@ def within_budget(files: DataFrame, per_class: int = PER_CLASS, most: int = MOST
     A file that doesn't fit is passed over and later ones may. Room only
     shrinks, so each round takes the next `batch` files that would fit as things
     stand, a distributed top-k, and decides them in order; what never fitted
-    isn't looked at again. Taken files are few: per_class for each class.
+    isn't looked at again. `batch` has no effect on the result: rows are numbered,
+    so that equal paths have an order (the number's) and stay rows of their own;
+    null is a class like others, a null size fits nowhere.
     """
+    rows = checkpointed(files.withColumn("_row", F.monotonically_increasing_id()))
     left, room, after, taken = most, {}, None, []
     while True:
-        fits = files.where(F.col("size") <= left)
-        full = [c for c, n in room.items() if n == 0]
-        if full:
-            fits = fits.where(~F.col("class").isin(full))
+        fits = rows.where(F.col("size") <= left)
+        for name, n in room.items():
+            if n == 0:
+                fits = fits.where(~F.col("class").eqNullSafe(F.lit(name)))
         if after is not None:
-            fits = fits.where(F.col("path") > after)
-        rows = fits.select("path", "class", "size").orderBy("path").limit(batch).collect()
-        for r in rows:
+            fits = fits.where(F.struct("path", "_row") > F.struct(F.lit(after["path"]).cast(files.schema["path"].dataType).alias("path"), F.lit(after["_row"]).alias("_row")))
+        found = fits.select("path", "class", "size", "_row").orderBy("path", "_row").limit(batch).collect()
+        for r in found:
             if r["size"] <= left and room.setdefault(r["class"], per_class):
                 room[r["class"]] -= 1
                 left -= r["size"]
-                taken.append((r["path"],))
-        if len(rows) < batch:
+                taken.append((r["_row"],))
+        if len(found) < batch:
             break
-        after = rows[-1]["path"]
-    chosen = files.sparkSession.createDataFrame(taken, f"path {files.schema['path'].dataType.simpleString()}")
-    return files.join(F.broadcast(chosen.withColumn("included", F.lit(True))), "path", "left").withColumn("included", F.coalesce("included", F.lit(False)))
+        after = found[-1]
+    chosen = files.sparkSession.createDataFrame(taken, "_row long").withColumn("included", F.lit(True))
+    return rows.join(chosen, "_row", "left").withColumn("included", F.coalesce("included", F.lit(False))).drop("_row")
 
 
 def kept_sessions(sessions: DataFrame, now, ttl_seconds: int = 7200, newest: int = 10, by: str = "owner") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 EVIDENCE = 4
 
 
@@ -31,15 +33,20 @@ def _first(rows: DataFrame, by: list[str], n: int) -> DataFrame:
     return top.groupBy(*by).agg(F.array_join(text, "; ").alias("evidence"))
 
 
-def flattened(trees: DataFrame, depth: int = 6) -> DataFrame:
-    """trees (parent, name, id) -> id, path, depth, parent id for each node; roots have no parent. `depth` bounds the levels."""
+def flattened(trees: DataFrame) -> DataFrame:
+    """trees (parent, name, id) -> id, path, depth, parent id for each node; roots have no parent, and what no root leads to is left out.
+
+    One join a level, until a level is empty.
+    """
     level = trees.where("parent is null").select("id", F.array("name").alias("path"), F.lit(1).alias("depth"), F.lit(None).cast(trees.schema["parent"].dataType).alias("parent"))
-    out = level
-    for d in range(2, depth + 1):
+    out, depth = level, 1
+    while True:
+        depth += 1
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("up"))
-        level = trees.where("parent is not null").join(up, "parent").select("id", F.concat("up", F.array("name")).alias("path"), F.lit(d).alias("depth"), "parent")
+        level = checkpointed(trees.where("parent is not null").join(up, "parent").select("id", F.concat("up", F.array("name")).alias("path"), F.lit(depth).alias("depth"), "parent"))
+        if level.isEmpty():
+            return out
         out = out.union(level)
-    return out
 
 
 def post_order_key(path: Column) -> Column:
@@ -89,11 +96,45 @@ def claims(groups: DataFrame, known: DataFrame) -> DataFrame:
     return groups.join(known, "id", "left_semi").groupBy("id").agg(F.min("module").alias("module")).select("module", "id")
 
 
+def claim_problems(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """groups (module, id), known (id) -> module, id, problem: ids outside the input, ids that an earlier module claims; id null: a module that keeps none."""
+    outside = groups.join(known, "id", "left_anti").select("module", "id", F.lit("outside its input").alias("problem"))
+    first = claims(groups, known)
+    later = groups.join(known, "id", "left_semi").join(first, ["module", "id"], "left_anti").select("module", "id", F.lit("claimed before").alias("problem"))
+    dropped = groups.select("module").distinct().join(first, "module", "left_anti").select("module", F.lit(None).cast(groups.schema["id"].dataType).alias("id"), F.lit("keeps no component").alias("problem"))
+    return outside.union(later).union(dropped).distinct()
+
+
+def applied_clusters(members: DataFrame, groups: DataFrame, known: DataFrame, parents: DataFrame) -> DataFrame:
+    """members (path, id), groups (parent, module, id), known (parent, id), parents (parent: path) -> path, id: the tree with the groups as children.
+
+    Of each parent (an empty path: the repository) the known ids go to the first
+    group that claims them, and also to the parent and all modules above it.
+    Paths are arrays of names; what is there already stays once.
+    """
+    asked = groups.join(parents, "parent", "left_semi").join(known, ["parent", "id"], "left_semi")
+    first = asked.groupBy("parent", "id").agg(F.min("module").alias("module"))
+    own = first.select(F.concat("parent", F.array("module")).alias("path"), "id")
+    above = first.where(F.size("parent") > 0).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("parent")), lambda n: F.slice("parent", F.lit(1), n))).alias("path"), "id")
+    return members.select("path", "id").union(own).union(above).distinct()
+
+
 def super_groups(members: DataFrame, modules: DataFrame) -> DataFrame:
-    """members (parent, module), modules (module) -> parent, module, of parents with two known members at least; a module goes to the first."""
-    first = claims(members.select(F.col("parent").alias("module"), F.col("module").alias("id")), modules.select(F.col("module").alias("id")))
+    """members (parent, module), modules (module: all of the top level) -> parent, module: the groups that are made.
+
+    A group that names one module alone is passed over; a known module goes to
+    the first other group by name, and a group needs two that it got. Nothing is
+    made unless the top level shrinks.
+    """
+    named = members.distinct()
+    several = named.groupBy("parent").agg(F.count("*").alias("n")).where("n >= 2").select("parent")
+    first = claims(named.join(several, "parent", "left_semi").select(F.col("parent").alias("module"), F.col("module").alias("id")), modules.select(F.col("module").alias("id")))
     big = first.groupBy("module").agg(F.count("*").alias("n")).where("n >= 2").select("module")
-    return first.join(big, "module", "left_semi").select(F.col("module").alias("parent"), F.col("id").alias("module"))
+    made = first.join(big, "module", "left_semi").select(F.col("module").alias("parent"), F.col("id").alias("module"))
+    claimed = first.select(F.col("id").alias("module"))
+    left = modules.select("module").join(claimed, "module", "left_anti").select("module").union(big).distinct()
+    shrinks = left.agg(F.count("*").alias("n")).scalar() < modules.select("module").distinct().agg(F.count("*").alias("n")).scalar()
+    return made.withColumn("_shrinks", shrinks).where("_shrinks").drop("_shrinks")
 
 
 def tree_quality(owned: DataFrame, tokens: DataFrame, limit: int, deepest: int = 4) -> DataFrame:
@@ -111,11 +152,26 @@ def tree_quality(owned: DataFrame, tokens: DataFrame, limit: int, deepest: int =
 
 
 def review_check(reviews: DataFrame) -> DataFrame:
-    """reviews (leaf, decision, risk, reason, tokens, limit) -> leaf, problem for those with one."""
+    """reviews (leaf, is_leaf, decision, risk, reason) -> leaf, problem for those with one.
+
+    A module of several components needs a review with a reason whose decision
+    agrees with its shape: leaves are retained, others split.
+    """
+    expected = F.when(F.col("is_leaf"), "retain_leaf").otherwise("split")
     problem = (
         F.when(F.col("decision").isNull(), "missing")
         .when(F.coalesce(F.trim("reason"), F.lit("")) == "", "empty reason")
-        .when(~F.col("decision").isin("split", "retain_leaf"), "unknown decision")
-        .when((F.col("decision") == "retain_leaf") & (F.col("risk") == "high"), "high-risk leaf")
+        .when(F.col("decision") != expected, "mismatched decision")
+        .when(F.col("is_leaf") & (F.col("risk") == "high"), "high-risk leaf")
     )
     return reviews.select("leaf", problem.alias("problem")).where("problem is not null")
+
+
+def at_path(modules: DataFrame, path: Column | list[str]) -> DataFrame:
+    """modules (path array, ...) -> the rows of one path."""
+    return modules.where(F.col("path") == (F.array(*[F.lit(x) for x in path]) if isinstance(path, list) else path))
+
+
+def tree_ids(members: DataFrame) -> DataFrame:
+    """members (path, id) -> id: the distinct components of the whole tree."""
+    return members.select("id").distinct()

@@ -7,8 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import pages as X
 
-#: Least words of a module's and an overview's running text, and least CJK characters.
-FLOORS = {"module": (150, 500), "overview": (200, 700)}
+#: Least words of a leaf's and another page's running text, and least CJK characters.
+FLOORS = {"leaf": (150, 500), "other": (200, 700)}
+#: Terms of headings that show what a page is about, by area.
+AREAS = {
+    "purpose": ("purpose", "scope", "role", "目的", "职责", "作用", "范围", "简介"),
+    "architecture": (
+        "architecture", "design", "data flow", "dataflow", "dependencies", "execution", "lifecycle", "component interaction", "behavior", "behaviour",
+        "架构", "设计", "数据流", "流程", "执行", "生命周期", "依赖", "组件交互", "行为", "运行",
+    ),
+    "responsibilities": ("responsibilities", "interfaces", "usage", "error", "responsibility", "职责", "接口", "使用", "错误", "异常", "状态", "能力", "实现"),
+}
+#: Headings of a list of components that no one explained, and a sentence of such pages.
+TEMPLATE = ("module location", "source files", "key components", "integration notes")
+BOILERPLATE = "this leaf documents a cohesive implementation area"
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -44,31 +56,57 @@ def grounding(anchors: DataFrame) -> DataFrame:
     return anchors.select("page", "id", (F.contains("content", F.col("id")) | near).alias("grounded"))
 
 
-def scored(pages: DataFrame) -> DataFrame:
-    """pages (page, kind, content, anchors, grounded) -> page, words, cjk, headings, errors (sorted, joined), valid.
+def anchored(anchors: DataFrame) -> DataFrame:
+    """grounding's anchors -> page, anchors, grounded: how many components each page has, and how many it is grounded in."""
+    return grounding(anchors).groupBy("page").agg(F.count_distinct("id").alias("anchors"), F.count_distinct(F.when(F.col("grounded"), F.col("id"))).alias("grounded"))
 
-    A page needs its kind's words or CJK characters, two headings, and
-    min(2, anchors) grounded anchors.
+
+def assessed(pages: DataFrame, anchors: DataFrame, required: DataFrame, found: DataFrame, diagrams: DataFrame) -> DataFrame:
+    """What each page is worth, and why not.
+
+    pages (page, is_leaf, is_overview, content), anchors (as for grounding),
+    required and found links (page, target), diagrams (as quality gives them) ->
+    page, role, mode (cjk, if there are more such characters than words), prose,
+    floor, areas, explanatory, grounded, anchors, template, boilerplate, errors
+    (an array), valid. A page needs its prose, two areas among its headings, as
+    many grounded anchors as it has, but two at most, a diagram that doesn't fail,
+    and all its required links; it must not be a bare list of components.
     """
     content = F.col("content")
-    out = pages.select("page", "kind", "anchors", "grounded", X.prose_words(content).alias("words"), X.prose_cjk(content).alias("cjk"), F.size(X.headings(content)).cast("long").alias("headings"))
-    short = F.lit(False)
-    for kind, (words, cjk) in FLOORS.items():
-        short = F.when(F.col("kind") == kind, (F.col("words") < words) & (F.col("cjk") < cjk)).otherwise(short)
-    errors = F.array_compact(F.array(F.when(F.col("headings") < 2, "few headings"), F.when(short, "short"), F.when(F.col("grounded") < F.least(F.lit(2), F.col("anchors")), "ungrounded")))
-    return out.select("page", "words", "cjk", "headings", F.array_join(errors, ",").alias("errors"), (F.size(errors) == 0).alias("valid"))
+    rows = pages.select("page", "is_leaf", "is_overview", X.prose_counts(content).alias("p"), X.headings(content).alias("headings"), (F.trim(F.regexp_replace(content, r"\s", "")) == "").alias("empty"), F.contains(X.lower_az(content), F.lit(BOILERPLATE)).alias("plain"))
+    area = {name: F.exists("headings", lambda h: h.rlike("|".join(terms))) for name, terms in AREAS.items()}
+    lost = required.select("page", "target").distinct().join(found.select("page", "target"), ["page", "target"], "left_anti").groupBy("page").agg(F.array_sort(F.collect_set(F.col("target").cast("string"))).alias("lost"))
+    rows = rows.withColumns(area).join(anchored(anchors), "page", "left").join(lost, "page", "left").join(diagrams.select("page", "blocks", "verdict", "issues"), "page", "left").fillna(0, ["anchors", "grounded", "blocks"])
+    cjk = F.col("p.cjk") > F.col("p.words")
+    floor = lambda kind: F.when(cjk, FLOORS[kind][1]).otherwise(FLOORS[kind][0])
+    rows = rows.withColumns({"mode": F.when(cjk, "cjk").otherwise("words"), "prose": F.greatest("p.cjk", "p.words"), "floor": F.when(F.col("is_leaf"), floor("leaf")).otherwise(floor("other")).cast("long")})
+    rows = rows.withColumn("areas", sum((F.col(name).cast("long") for name in AREAS), F.lit(0).cast("long")))
+    listed = F.size(F.array_intersect("headings", F.array(*[F.lit(x) for x in TEMPLATE]))) == len(TEMPLATE)
+    rows = rows.withColumn("template", listed & (F.col("blocks") == 0) & ~F.col("architecture") & ~F.col("responsibilities"))
+    none = F.array().cast("array<string>")
+    errors = F.concat(
+        F.array_compact(
+            F.array(
+                F.when(F.col("empty"), "empty"), F.when(F.col("prose") < F.col("floor"), "short"), F.when(F.col("grounded") < F.least(F.lit(2), F.col("anchors")), "ungrounded"), F.when(F.col("areas") < 2, "few areas"),
+            )
+        ),
+        F.when(F.col("verdict") == "fail", F.col("issues")).otherwise(none),
+        F.array_compact(F.array(F.when(F.col("template"), "template"))),
+        F.coalesce(F.transform("lost", lambda x: F.concat(F.lit("no link to "), x)), none),
+    )
+    rows = rows.withColumn("errors", errors)
+    role = F.when(F.col("is_overview"), "repository_overview").when(F.col("is_leaf"), "leaf").otherwise("module_overview")
+    return rows.select(
+        "page", role.alias("role"), "mode", "prose", "floor", "areas", ((F.col("prose") >= F.col("floor")) & (F.col("areas") >= 2)).alias("explanatory"), "grounded", "anchors", "blocks", "template", (F.col("template") | F.col("plain")).alias("boilerplate"), "errors", (F.size("errors") == 0).alias("valid")
+    )
 
 
 def report(scores: DataFrame) -> DataFrame:
-    """scores (valid, words, headings) -> one row of counts, and whether all are valid."""
-    return scores.agg(F.count("*").alias("pages"), F.count_if("valid").alias("valid_pages"), F.count_if(F.col("headings") >= 2).alias("explanatory"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.bool_and("valid"), F.lit(True)).alias("all_valid"))
-
-
-def diagram_quality(pages: DataFrame) -> DataFrame:
-    """pages (page, content) -> page, nodes, edges, generic: of the diagrams' parts and labels without meaning."""
-    edges, labels = X.mermaid_edges(F.col("content")), X.mermaid_labels(F.col("content"))
-    nodes = F.array_distinct(F.concat(F.transform(edges, lambda e: e["a"]), F.transform(edges, lambda e: e["b"])))
-    return pages.select("page", F.size(nodes).cast("long").alias("nodes"), F.size(F.array_distinct(edges)).cast("long").alias("edges"), F.size(F.filter(labels, X.is_generic_label)).cast("long").alias("generic"))
+    """assessed's rows -> one row of counts, and whether all are valid."""
+    return scores.agg(
+        F.count("*").alias("pages"), F.count_if("valid").alias("valid_pages"), F.count_if("explanatory").alias("explanatory"), F.count_if(F.col("blocks") > 0).alias("with_diagram"), F.count_if(F.col("grounded") > 0).alias("grounded"),
+        F.coalesce(F.sum("prose"), F.lit(0)).alias("prose"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("long").alias("errors"), F.coalesce(F.bool_and("valid"), F.lit(True)).alias("all_valid"),
+    )
 
 
 def search_index(pages: DataFrame) -> DataFrame:
@@ -89,5 +127,5 @@ def html_sections(pages: DataFrame) -> DataFrame:
     page, content = F.col("page"), F.col("content")
     name = X.title(content, F.element_at("path", -1))
     nav = F.concat(F.repeat(F.lit("  "), F.size("path") - 1), F.lit('<a href="#'), X.anchor(page), F.lit('">'), X.escaped(name), F.lit("</a>"))
-    section = F.concat(F.lit('<section id="'), X.anchor(page), F.lit('"><h1>'), X.escaped(name), F.lit("</h1><p>"), X.escaped(X.visible(content)), F.lit("</p></section>"))
+    section = F.concat(F.lit('<section id="'), X.anchor(page), F.lit('"><h1>'), X.escaped(name), F.lit("</h1><p>"), X.escaped(X.visible(X.shown_source(content))), F.lit("</p></section>"))
     return pages.select("page", F.array_join("path", "/").alias("position"), nav.alias("nav"), section.alias("section"))

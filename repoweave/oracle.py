@@ -15,8 +15,10 @@ _TREE = """tree AS (
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, [r_name, n_name, c_name], 3 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 _OWNED = """owned AS (
   SELECT DISTINCT l_partkey AS id, m.path AS module, m.depth AS depth FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey,
-  unnest([{'depth': 1, 'path': r_name}, {'depth': 2, 'path': r_name || '/' || n_name}]) AS u(m) WHERE l_partkey % 3 <> 0)"""
-_NATION_EDGES = "edges AS (SELECT DISTINCT c_nationkey::BIGINT AS caller, (c_custkey * 7 + c_nationkey) % 25 AS callee FROM customer WHERE c_custkey % 11 = 0)"
+  unnest([{'depth': 1, 'path': r_name}, {'depth': 2, 'path': r_name || '/' || n_name}]) AS u(m))"""
+_NATION_EDGES = """edges AS (
+  SELECT DISTINCT c_nationkey::BIGINT AS caller, arg_max(s_nationkey, (l_extendedprice, s_nationkey))::BIGINT AS callee
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, o_orderpriority)"""
 _SNAPSHOTS = """old AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS b, o_custkey AS e FROM orders WHERE o_orderkey % 10 <> 0),
 new AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 11 = 0 THEN o_orderpriority || '+' ELSE o_orderpriority END AS b,
   CASE WHEN o_orderkey % 13 = 0 THEN o_custkey + 1 ELSE o_custkey END AS e FROM orders WHERE o_orderkey % 10 <> 1),
@@ -27,14 +29,12 @@ changes AS (
   UNION ALL SELECT 'edge_changes', a FROM both_ WHERE e0 <> e1)"""
 _HREF = """unnest(regexp_extract_all(html, '(?i)href=["'']([^"''#]*)', 1))"""
 _EXPECTED = """expected AS (SELECT DISTINCT '/' || regexp_extract(html, '<a href="/([^"]*)"', 1) AS page FROM pages)"""
-_WORDS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+'))"
-#: running text: documents have no markup, so what counts is which lines are left out
-_PROSE = r"""array_to_string(list_filter(regexp_split_to_array({}, '\r?\n'), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(trim(x), '^==.*==$') AND NOT regexp_matches(x, '^\s*[*\->|^]') AND NOT regexp_matches(x, '^\s\s')), chr(10))"""
-_SHOWN = r"regexp_replace(regexp_replace({}, '\*\*|//|__', '', 'g'), '''''', '', 'g')"
-_SCORES = rf"""content AS (SELECT doc_id, '== ' || source || ' ==' || chr(10) || text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '=== More ===' || chr(10) ELSE '' END AS c FROM documents),
-counted AS (SELECT doc_id AS page, {_WORDS.format(_PROSE.format(_SHOWN.format("c")))}::BIGINT AS words, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS headings FROM content),
-scores AS (SELECT page, words, 0::BIGINT AS cjk, headings, array_to_string(list_filter([CASE WHEN headings < 2 THEN 'few headings' END,
-  CASE WHEN words < CASE WHEN page % 5 = 0 THEN 200 ELSE 150 END THEN 'short' END, CASE WHEN page % 3 < least(2, page % 4) THEN 'ungrounded' END], lambda x: x IS NOT NULL), ',') AS errors FROM counted)"""
+#: documents as pages: what a line becomes by its length
+_WIKI = r"""lines AS (
+  SELECT doc_id, source, unnest(string_split(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N} \n]', ' ', 'g'), chr(10))) AS raw, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N} \n]', ' ', 'g'), chr(10)), 1) AS i FROM documents),
+kinds AS (SELECT doc_id, source, i, trim(raw, ' ') AS x, CASE WHEN trim(raw, ' ') = '' THEN NULL ELSE length(trim(raw, ' ')) % 11 END AS kind FROM lines),
+spoken AS (SELECT *, len(regexp_extract_all(x, '[\p{L}\p{N}]+'))::BIGINT AS n FROM kinds),
+prose AS (SELECT doc_id, sum(CASE WHEN kind = 5 THEN n + 3 WHEN kind = 6 THEN 1 WHEN kind >= 8 THEN n ELSE 0 END)::BIGINT AS words, (3 * count(*) FILTER (kind = 5))::BIGINT AS cjk FROM spoken GROUP BY doc_id)"""
 _ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 _TITLE = "trim(regexp_extract(html, '<title>([^<\\n]*)', 1), ' =')"
 
@@ -49,12 +49,28 @@ SELECT src, dst, count(*) AS weight, string_agg(caller || ' -> ' || callee, '; '
     "unique_name_resolution": f"""
 WITH {_PARTS}, k AS (SELECT id, language, split_part(name, ' ', 1) AS key FROM parts)
 SELECT a.id AS ref, min(b.id) AS target FROM k a JOIN k b ON a.language = b.language AND a.key = b.key AND a.id <> b.id GROUP BY a.id HAVING count(DISTINCT b.id) = 1""",
-    "resolved_references": f"WITH {_PARTS} SELECT a.id AS ref, b.id AS target FROM parts a JOIN parts b ON b.p_partkey = a.p_partkey + 1",
+    "resolved_references": f"""
+WITH parts AS (SELECT 'p' || p_partkey AS id, string_split(p_name, ' ')[1] || (p_partkey % 300) AS name,
+  CASE WHEN p_partkey % 2 = 0 THEN array_to_string(list_filter([p_type, string_split(p_name, ' ')[2], CASE WHEN p_partkey % 3 > 0 THEN p_partkey::VARCHAR END], lambda x: x IS NOT NULL), '::') ELSE array_to_string(list_filter([p_type, string_split(p_name, ' ')[2], CASE WHEN p_partkey % 3 > 0 THEN p_partkey::VARCHAR END], lambda x: x IS NOT NULL), '.') END AS qualified, p_brand AS language FROM part),
+made AS (SELECT DISTINCT 'p' || l_suppkey AS owner, 'p' || l_partkey AS id, l_orderkey % 6 AS form FROM lineitem),
+refs AS (SELECT DISTINCT owner, o.language, CASE form WHEN 0 THEN p.id WHEN 1 THEN p.name WHEN 2 THEN p.qualified WHEN 3 THEN 'a.b.c.d.' || p.name WHEN 4 THEN 'x::y::' || p.name ELSE 'q::' || p.qualified END AS name
+  FROM made JOIN parts p ON p.id = made.id JOIN parts o ON o.id = owner),
+keys AS (SELECT id, language, unnest([id, name, qualified]) AS key FROM parts),
+named AS (SELECT id, language, key, regexp_extract(key, '[^.:]*$') AS simple FROM keys WHERE key <> ''),
+exact AS (SELECT DISTINCT id, NULL::VARCHAR AS language, key FROM named), simple AS (SELECT DISTINCT id, NULL::VARCHAR AS language, simple AS key FROM named WHERE simple <> ''),
+spoken AS (SELECT id, language, key FROM named UNION SELECT id, language, simple FROM named WHERE simple <> ''),
+tries AS (SELECT owner || '|' || name AS ref, owner, language, 0 AS cut, name AS key FROM refs
+  UNION ALL SELECT owner || '|' || name, owner, language, 1, list_last(string_split(name, '::')) FROM refs UNION ALL SELECT owner || '|' || name, owner, language, 2, list_last(string_split(name, '.')) FROM refs),
+hits AS (
+  SELECT ref, cut, 0 AS rank, min(x.id) AS target FROM tries t JOIN spoken x ON x.language = t.language AND x.key = t.key WHERE x.id <> owner GROUP BY ref, cut HAVING count(DISTINCT x.id) = 1
+  UNION ALL SELECT ref, cut, 1, min(x.id) FROM tries t JOIN simple x ON x.key = t.key WHERE x.id <> owner AND cut > 0 GROUP BY ref, cut HAVING count(DISTINCT x.id) = 1
+  UNION ALL SELECT ref, cut, 2, min(x.id) FROM tries t JOIN exact x ON x.key = t.key WHERE x.id <> owner GROUP BY ref, cut HAVING count(DISTINCT x.id) = 1)
+SELECT ref, arg_min(target, cut * 10 + rank) AS target FROM hits GROUP BY ref""",
     "depends_on": f"""WITH {_CALLS} SELECT caller AS id, count(DISTINCT callee) AS n, string_agg(DISTINCT callee, ',' ORDER BY callee) AS depends_on FROM calls WHERE caller <> callee GROUP BY caller""",
     "candidate_policy": f"WITH {_PARTS}, {_POLICY} SELECT * FROM decided",
     "leaf_demotion": f"""
-WITH {_PARTS}, {_CALLS}, {_POLICY}, wanted AS (SELECT id FROM parts, decided WHERE component_type IN ('artifact', 'class') OR include_functions),
-used AS (SELECT callee FROM calls JOIN parts ON parts.id = caller WHERE component_type <> 'artifact' AND substr(caller, 2)::BIGINT % 40 = 1)
+WITH {_PARTS}, {_POLICY}, wanted AS (SELECT id FROM parts, decided WHERE component_type IN ('artifact', 'class') OR include_functions),
+used AS (SELECT 'p' || o_orderkey AS callee FROM orders JOIN parts ON parts.id = 'p' || o_custkey WHERE component_type <> 'artifact')
 SELECT id FROM wanted WHERE (SELECT count(*) FROM wanted) < 400 OR id NOT IN (SELECT callee FROM used)""",
     "builtin_filter": """
 WITH b AS (SELECT lower(split_part(r_name, ' ', 1)) AS name FROM region UNION SELECT split_part(p_name, ' ', 1) FROM part WHERE p_partkey < 3)
@@ -65,10 +81,23 @@ SELECT p_partkey AS ref, p_brand || '.' || split_part(p_name, ' ', 1) AS name FR
 WITH p AS (SELECT page_id, {_PATH} AS path FROM pages)
 SELECT page_id, path FROM p WHERE path <> '' AND (path LIKE '/en/%' OR regexp_matches(path, '^.*/fr/[1-5].*$')) AND path NOT LIKE '%.html' AND NOT regexp_matches(path, '/.7')
 AND len(list_intersect(string_split(path, '/'), ['.git', '.state', 'target', 'node_modules', '.venv', 'venv', '.tox', 'dist', 'build', 'vendor', 'coverage', '__pycache__'])) = 0""",
-    "artifact_classes": """
-SELECT p_partkey, 'repo/' || p_brand || '/' || ['Dockerfile', '.github/workflows/ci.yml', 'package.json', 'Makefile', 'db/migrations/1.txt', 'app/config/x.yml', 'run.sh', 'src/test/a.py', 'yarn.lock', 'src/main.rs'][p_partkey % 10 + 1] AS path,
-['container', 'ci', 'manifest', 'build', 'schema', 'config', 'script', 'test_infra', 'packaging', NULL][p_partkey % 10 + 1] AS class, CASE p_partkey % 10 WHEN 7 THEN 'python' WHEN 9 THEN 'rust' END AS language FROM part""",
-    "language_counts": "SELECT lang, count(*) AS n, sum((length(text) + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY lang",
+    "artifact_classes": f"""
+WITH ends AS (SELECT ['.py', '.sql', '.sh', '.rs', '/package.json', '/Makefile', '.env.example', '/scripts/a', '/test/b.go', '/yarn.lock', '/CONFIG.json', '.kts', '.h++', ''] AS e),
+paths AS (SELECT p_partkey, unnest([replace(p_type, ' ', '/') || '/' || replace(p_name, ' ', '-'), 'src/' || replace(p_type, ' ', '/') || '/Dockerfile.' || p_partkey, p_brand || '/.github/workflows/' || replace(p_name, ' ', '-') || '.yml',
+  'db/' || replace(p_type, ' ', '/') || '/migrations/' || p_partkey || '.txt']) || e[p_partkey % 14 + 1] AS path FROM part, ends),
+low AS (SELECT *, lower(path) AS l, regexp_extract(lower(path), '[^/]*$') AS f FROM paths)
+SELECT p_partkey, path, CASE
+  WHEN f = 'dockerfile' OR starts_with(f, 'dockerfile.') OR contains(l, '/docker/') THEN 'container'
+  WHEN contains(l, '.github/workflows/') OR ends_with(l, '.github/workflows') OR contains(l, 'gitlab-ci') THEN 'ci'
+  WHEN f IN ('cargo.toml', 'go.mod', 'pyproject.toml', 'package.json', 'pom.xml', 'build.gradle', 'setup.py') THEN 'manifest'
+  WHEN f IN ('makefile', 'justfile', 'rakefile', 'gradlew', 'setup.cfg') THEN 'build'
+  WHEN ends_with(l, '.sql') OR contains(l, '/schema') OR contains(l, '/migrations/') THEN 'schema'
+  WHEN starts_with(f, 'config.') OR ends_with(l, '.env.example') OR contains(l, '/config') THEN 'config'
+  WHEN ends_with(l, '.sh') OR contains(l, '/scripts/') OR contains(l, '/bin/') THEN 'script'
+  WHEN contains(l, '/test') OR contains(l, '/fixtures/') THEN 'test_infra'
+  WHEN f IN ('cargo.lock', 'go.sum', 'requirements.txt', 'poetry.lock', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml') THEN 'packaging' END AS class,
+  CASE WHEN contains(f, '.') THEN CASE regexp_extract(f, '[^.]*$') WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' WHEN 'kts' THEN 'kotlin' WHEN 'h++' THEN 'cpp' END END AS language FROM low""",
+    "language_counts": f"""SELECT lang AS language, count(*) AS n, sum((length(text) + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY lang""",
     "class_cap_and_budget": """
 WITH RECURSIVE classes AS (SELECT source, row_number() OVER (ORDER BY source) AS c FROM (SELECT DISTINCT source FROM documents)),
 files AS (SELECT doc_id, source, n_chars, c, row_number() OVER (ORDER BY doc_id) AS i FROM documents JOIN classes USING (source)),
@@ -81,12 +110,15 @@ SELECT doc_id AS path, source AS class, n_chars AS size, included FROM walk JOIN
 SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS safe_name, regexp_replace(url, '[^A-Za-z0-9]', '_', 'g') AS safe_id,
   regexp_replace(substr(url, 1, 180), '[^A-Za-z0-9_.-]', '__', 'g') || '_' || substr(sha256(url), 1, 8) || '.src' AS source_file,
   'change_' || sha256(sha1(url) || '..' || sha1(html)) AS edition, regexp_extract(url, '/([a-z]+)/', 1) <> '' AS segment FROM pages""",
-    "page_ids": """
-WITH p AS (SELECT n_nationkey, CASE WHEN regexp_matches(r_name || n_name, '^[A-Za-z0-9_-]+$') THEN 'wiki:' || lower(r_name) || ':' || lower(n_name) || ':start' END AS page FROM nation JOIN region ON n_regionkey = r_regionkey)
+    "page_ids": f"""
+WITH {_TREE}, p AS (SELECT id, CASE WHEN regexp_matches(array_to_string(path, ''), '^[A-Za-z0-9_-]+$') THEN 'wiki:' || lower(array_to_string(path, ':')) || ':start' END AS page FROM tree)
 SELECT *, replace(page, ':', '/') || '.txt' AS file FROM p""",
-    "role_labels": "SELECT p_partkey, ['state', 'interface', 'execution', 'support', 'integration', 'subsystem'][p_partkey % 6 + 1] AS role FROM part",
+    "role_labels": f"""
+WITH m AS (SELECT doc_id, lower(concat_ws('_', 'm', array_to_string(string_split(text, ' ')[1:3], ' '), CASE WHEN doc_id % 7 = 0 THEN 'Runtime' WHEN doc_id % 5 = 0 THEN 'HttpClient' WHEN doc_id % 11 = 0 THEN 'Database' END)) AS m FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(m, 'storage|database|state') THEN 'state' WHEN regexp_matches(m, 'protocol|api|client|server') THEN 'interface' WHEN regexp_matches(m, 'execution|runtime|pipeline|interpreter') THEN 'execution'
+  WHEN regexp_matches(m, 'build|test|release|packag') THEN 'support' WHEN regexp_matches(m, 'network|integration') THEN 'integration' ELSE 'subsystem' END AS role FROM m""",
     "tree_paths": f"WITH {_TREE} SELECT id, array_to_string(path, '/') AS path, depth::BIGINT AS depth, parent FROM tree",
-    "post_order": f"WITH {_TREE} SELECT id, array_to_string(path, chr(1)) || chr(1) || chr(65535) AS position FROM tree WHERE depth < 3",
+    "post_order": f"""WITH {_TREE} SELECT id, array_to_string(path, chr(1)) || chr(1) || chr(65535) AS position FROM tree""",
     "ancestors": f"""
 WITH {_TREE}, up AS (SELECT path, depth, unnest(range(1, depth + 1)) AS n FROM tree)
 SELECT array_to_string(path[1:n], '/') AS ancestor, count(*) AS n, max(depth - n)::BIGINT AS deepest FROM up GROUP BY array_to_string(path[1:n], '/')""",
@@ -94,57 +126,69 @@ SELECT array_to_string(path[1:n], '/') AS ancestor, count(*) AS n, max(depth - n
     "boundary_owner": rf"""
 WITH files AS (SELECT DISTINCT substr({_PATH}, 2) AS file FROM pages WHERE {_PATH} NOT IN ('', '/')),
 modules AS (SELECT DISTINCT regexp_extract(url, '^[^:]+://[^/]+/([a-z]+)', 1) AS prefix, 1 AS depth FROM pages
-  UNION SELECT regexp_extract(url, '^[^:]+://[^/]+/([a-z]+/[0-9]+)', 1), 2 FROM pages WHERE page_id % 4 = 0)
+  UNION SELECT regexp_extract(url, '^[^:]+://[^/]+/([a-z]+/[0-9]+)', 1), 2 FROM pages)
 SELECT file, 'm:' || arg_max(prefix, length(prefix) * 10 + depth) AS module FROM files JOIN modules ON prefix <> '' AND (file = prefix OR starts_with(file, prefix || '/') OR starts_with(file, prefix || '.')) GROUP BY file""",
     "initial_modules": rf"""
 WITH c AS (SELECT substr({_PATH}, 2) AS p FROM pages)
 SELECT regexp_replace(split_part(p, '/', 1), '[^A-Za-z0-9_-]', '_', 'g') AS module, CASE WHEN contains(min(p), '/') THEN regexp_replace(min(p), '/[^/]*$', '') ELSE '' END AS path, count(*) AS n FROM c WHERE p <> '' GROUP BY 1""",
-    "claims": "SELECT min('s' || l_suppkey) AS module, l_partkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 10 GROUP BY l_partkey",
-    "super_groups": """
-WITH first AS (SELECT min(c_mktsegment) AS parent, c_nationkey AS module FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 AND n_regionkey < 4 GROUP BY c_nationkey)
-SELECT parent, module FROM first WHERE parent IN (SELECT parent FROM first GROUP BY parent HAVING count(*) >= 2)""",
+    "claims": f"""SELECT min('s' || l_suppkey) AS module, l_partkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey""",
+    "super_groups": f"""
+WITH m AS (SELECT DISTINCT o_orderpriority || '/' || l_linestatus || '/' || (o_custkey % 9) AS parent, p_brand AS module FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+f AS (SELECT min(parent) AS parent, module FROM m WHERE parent IN (SELECT parent FROM m GROUP BY parent HAVING count(*) >= 2) GROUP BY module),
+made AS (SELECT * FROM f WHERE parent IN (SELECT parent FROM f GROUP BY parent HAVING count(*) >= 2)),
+kept AS (SELECT DISTINCT p_brand AS x FROM part WHERE p_brand NOT IN (SELECT module FROM f) UNION SELECT parent FROM made)
+SELECT parent, module FROM made WHERE (SELECT count(*) FROM kept) < (SELECT count(DISTINCT p_brand) FROM part)""",
     "tree_quality": """
-WITH owned AS (SELECT DISTINCT l_partkey AS id, 'leaf' || (l_suppkey % 50) AS leaf, l_suppkey % 5 + 1 AS depth FROM lineitem WHERE l_linenumber <= 2),
+WITH owned AS (SELECT DISTINCT l_partkey AS id, 'leaf' || (l_suppkey % 50) AS leaf, l_suppkey % 5 + 1 AS depth FROM lineitem),
 shared AS (SELECT id, count(DISTINCT leaf) AS leaves FROM owned GROUP BY id),
 sums AS (SELECT leaf, max(depth)::BIGINT AS depth, count(*) AS components, sum((length(p_name) + 3) // 4)::BIGINT AS tokens, count(*) FILTER (leaves > 1) AS shared FROM owned JOIN shared USING (id) JOIN part ON p_partkey = id GROUP BY leaf)
 SELECT *, CASE WHEN depth > 4 OR (tokens > 100 AND components > 1) THEN 'error' WHEN tokens > 100 THEN 'warning' ELSE 'ok' END AS verdict FROM sums""",
-    "review_check": """
-SELECT * FROM (SELECT o_orderkey AS leaf, CASE WHEN o_orderkey % 9 = 0 THEN 'missing' WHEN o_orderkey % 4 = 0 OR trim(o_orderpriority) = '' THEN 'empty reason' WHEN o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 THEN 'high-risk leaf' END AS problem FROM orders) WHERE problem IS NOT NULL""",
+    "review_check": f"""
+SELECT * FROM (SELECT o_orderkey AS leaf, CASE WHEN o_orderkey % 9 = 0 THEN 'missing' WHEN o_orderkey % 4 = 0 OR trim(o_orderpriority) = '' THEN 'empty reason'
+  WHEN (o_orderkey % 2 = 1) <> (o_custkey % 3 > 0) THEN 'mismatched decision' WHEN o_custkey % 3 > 0 AND o_orderkey % 5 = 0 THEN 'high-risk leaf' END AS problem FROM orders) WHERE problem IS NOT NULL""",
     "khop_upstream": f"""
-WITH {_NATION_EDGES}, one AS (SELECT n_nationkey::BIGINT AS start, caller AS id FROM nation JOIN edges ON callee = n_nationkey WHERE n_nationkey % 6 = 0),
-two AS (SELECT start, caller AS id FROM one JOIN edges ON callee = id)
+WITH {_PARTS}, {_CALLS}, e AS (SELECT DISTINCT caller, callee FROM calls), one AS (SELECT caller AS start, callee AS id FROM e JOIN parts ON parts.id = caller WHERE component_type = 'artifact'),
+two AS (SELECT start, callee AS id FROM one JOIN e ON caller = one.id)
 SELECT start, id, min(hop)::BIGINT AS hop FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two) GROUP BY start, id""",
     "diagram_paths": """
 WITH e AS (SELECT DISTINCT a.l_orderkey AS page, a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
 SELECT DISTINCT x.page FROM e x JOIN e y ON x.page = y.page AND x.b = y.a JOIN e z ON y.page = z.page AND y.b = z.a WHERE x.a <> x.b AND y.b NOT IN (x.a, x.b) AND z.b NOT IN (x.a, x.b, y.b)""",
     "target_subtree": f"""
-WITH {_NATION_EDGES}, below AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_regionkey = 1 UNION SELECT 'r1')
-SELECT id FROM below UNION SELECT 'n' || callee FROM edges WHERE 'n' || caller IN (SELECT id FROM below) UNION SELECT 'n' || caller FROM edges WHERE 'n' || callee IN (SELECT id FROM below)""",
+WITH RECURSIVE {_NATION_EDGES}, m AS (SELECT n_nationkey::BIGINT AS n, r_name, r_name || ' / ' || n_name AS module FROM nation JOIN region ON n_regionkey = r_regionkey),
+ranked AS (SELECT a.module AS src, b.module AS dst, row_number() OVER (ORDER BY a.module, b.module) AS k FROM edges JOIN m a ON a.n = caller JOIN m b ON b.n = callee WHERE a.module <> b.module),
+modules AS (SELECT module FROM m UNION SELECT r_name FROM m),
+entered AS (SELECT t.module AS target, x.module, 0::BIGINT AS k FROM modules t JOIN modules x ON x.module = t.module OR starts_with(x.module, t.module || ' / ')
+  UNION SELECT e.target, CASE WHEN r.src = e.module THEN r.dst ELSE r.src END, r.k FROM entered e JOIN ranked r ON e.module IN (r.src, r.dst) AND r.k > e.k)
+SELECT DISTINCT target, module FROM entered""",
     "snapshot_diff": f"WITH {_SNAPSHOTS} SELECT kind, id FROM changes",
     "change_ratios": f"""
-WITH {_SNAPSHOTS}, c AS (SELECT count(DISTINCT id) FILTER (kind <> 'deleted') AS active, count(*) FILTER (kind IN ('added', 'deleted')) AS structural, (SELECT greatest(count(*), 1) FROM new) AS total FROM changes),
-r AS (SELECT *, round(active / total, 6) AS active_ratio, round(structural / total, 6) AS structural_ratio FROM c)
-SELECT *, CASE WHEN active = 0 AND structural = 0 THEN 'no_change' WHEN active_ratio >= 0.5 OR structural_ratio >= 0.3 THEN 'full_fallback' ELSE 'incremental' END AS outcome FROM r""",
+WITH {_SNAPSHOTS}, c AS (SELECT count(DISTINCT id) FILTER (kind <> 'deleted') AS active, count(DISTINCT (kind, id)) FILTER (kind IN ('added', 'deleted', 'edge_changes')) AS structural, count(*) FILTER (kind = 'added') AS added, (SELECT greatest(count(*), 1) FROM new) AS total FROM changes),
+r AS (SELECT active, structural, total, round(active / total, 6) AS active_ratio, round(structural / total, 6) AS structural_ratio, added, round(added / total, 6) AS growth_ratio FROM c),
+f AS (SELECT *, CASE WHEN structural_ratio >= 0.3 THEN 'structural-threshold' WHEN active_ratio >= 0.5 THEN 'active-leaf-threshold' END AS fallback FROM r)
+SELECT *, fallback IS NOT NULL OR (added > 0 AND growth_ratio >= 0.33) AS reclustered, CASE WHEN fallback IS NOT NULL OR NOT EXISTS (FROM old) THEN 'full_fallback' WHEN NOT EXISTS (FROM changes) THEN 'no_change' ELSE 'incremental' END AS outcome FROM f""",
     "active_set": f"WITH {_SNAPSHOTS} SELECT DISTINCT id FROM changes WHERE kind <> 'deleted'",
     "neighbour_majority": """
 WITH e AS (SELECT DISTINCT l_partkey AS id, l_suppkey FROM lineitem), n AS (SELECT id, n_name AS page, count(*) AS n FROM e JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY id, n_name),
 r AS (SELECT *, sum(n) OVER (PARTITION BY id) AS total, row_number() OVER (PARTITION BY id ORDER BY n DESC, page) AS k FROM n)
 SELECT id, CASE WHEN n / total >= 0.25 THEN page ELSE 'overview' END AS page FROM r WHERE k = 1""",
-    "write_sets": """
-WITH hit AS (SELECT DISTINCT r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9500)
-SELECT r_name AS module FROM hit UNION SELECT r_name || '/' || n_name FROM hit""",
-    "verdicts": """
-SELECT event_id AS page, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type END AS verdict, CASE WHEN event_id % 2 = 1 THEN 'r' || user_id END AS reason FROM events""",
+    "write_sets": f"""
+WITH {_OWNED}, own AS (SELECT id, arg_min(module, ((9 - depth)::VARCHAR || module)) AS page FROM owned GROUP BY id), a AS (SELECT l_partkey AS id FROM lineitem UNION SELECT c_custkey FROM customer)
+SELECT id, page FROM a JOIN own USING (id) UNION SELECT id, 'overview' FROM a""",
+    "verdicts": f"""
+WITH v AS (SELECT event_id AS page, CASE event_type WHEN 'click' THEN ' Patch ' WHEN 'view' THEN 'no-op' WHEN 'purchase' THEN 'REWRITE' WHEN 'signup' THEN 'create: new' WHEN 'logout' THEN 'perhaps' ELSE event_type END AS said,
+  CASE WHEN event_id % 2 = 1 AND event_id % 3 <> 0 THEN 'r' || user_id END AS own, event_id % 2 = 0 AS bare FROM events),
+w AS (SELECT *, lower(trim(said)) AS s, trim(split_part(lower(trim(said)), ':', 1)) AS name FROM v), ok AS (SELECT *, name IN ('no-op', 'patch', 'rewrite', 'create', 'delete') AS good FROM w)
+SELECT page, CASE WHEN good THEN name END AS verdict, coalesce(own, CASE WHEN bare AND contains(s, ':') THEN trim(split_part(s, ':', 2)) END) AS reason, CASE WHEN good THEN s || coalesce(': ' || own, '') END AS record FROM ok""",
     "hunk_overlap": """
 WITH e AS (SELECT event_id, user_id, event_id % 5000 AS at FROM events)
 SELECT h.event_id AS hunk, c.event_id AS id FROM e h JOIN e c ON h.user_id = c.user_id AND h.at <= c.at + c.event_id % 700 AND c.at <= h.at + h.event_id % 400 WHERE h.event_id % 3 = 0 AND c.event_id % 3 <> 0""",
-    "edge_set_operations": """
-WITH a AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_orderkey % 2 = 1)
+    "edge_set_operations": f"""
+WITH a AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey % 2 = 1)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'deleted' ELSE 'kept' END AS side FROM a FULL JOIN b ON a.id = b.id""",
-    "prose_counts": rf"""SELECT doc_id, {_WORDS.format(_PROSE.format(_SHOWN.format("text")))}::BIGINT AS words, 0::BIGINT AS cjk FROM documents""",
-    "headings": r"""
-WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents), h AS (SELECT *, trim(substr(regexp_replace(coalesce(x[2], 'none'), '[^A-Za-z ]', '', 'g'), 1, 30), ' ') AS second FROM l)
-SELECT doc_id, lower('part ' || source) || CASE WHEN second = '' THEN '' ELSE '|' || lower(second) END AS headings, 'Part ' || source AS title FROM h""",
+    "prose_counts": f"""WITH {_WIKI} SELECT doc_id, words, cjk FROM prose""",
+    "headings": f"""
+WITH {_WIKI}, h AS (SELECT doc_id, string_agg(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '|' ORDER BY i) FILTER (kind = 0) AS headings, arg_min(x, i) FILTER (kind = 0) AS title FROM kinds GROUP BY doc_id)
+SELECT doc_id, coalesce(headings, '') AS headings, coalesce(title, '-') AS title FROM h""",
     "truncation": """
 WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 187) || chr(10) || '... [diff truncated] ...' || chr(10) || right(text, 187) END AS t FROM documents)
 SELECT doc_id, length(t) AS n, sha256(t) AS sha FROM c""",
@@ -159,29 +203,28 @@ SELECT page, 'missing' AS problem FROM expected WHERE page NOT IN (SELECT page F
     "grounding": r"""
 WITH w AS (SELECT doc_id AS page, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS content, source || '::' || doc_id AS id, regexp_split_to_array(text, '\s+') AS w FROM documents)
 SELECT page, id, contains(content, id) OR len(list_filter(string_split(content, chr(10) || chr(10)), lambda p: contains(p, w[1]) AND contains(p, coalesce(w[41], 'none')))) > 0 AS grounded FROM w""",
-    "page_scores": f"WITH {_SCORES} SELECT page, words, cjk, headings, errors, errors = '' AS valid FROM scores",
-    "report_rollup": f"""WITH {_SCORES} SELECT count(*) AS pages, count(*) FILTER (errors = '') AS valid_pages, count(*) FILTER (headings >= 2) AS explanatory, sum(words)::BIGINT AS words, bool_and(errors = '') AS all_valid FROM scores""",
-    "diagram_quality": "SELECT n_regionkey AS page, count(*) + 1 AS nodes, count(*) AS edges, count(*) FILTER (n_nationkey % 4 = 0) AS generic FROM nation GROUP BY n_regionkey",
     "scoped_search": r"""
 WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: lower(t)), lambda t: t IN ('the', 'with')) AS h FROM documents WHERE lang = 'en')
 SELECT doc_id AS page, len(h) AS hits FROM w WHERE len(list_distinct(h)) = 2""",
-    "search_index": r"""
-WITH t AS (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: lower(t))) AS term FROM benchmark)
-SELECT term, count(DISTINCT item_id) AS pages, count(*) AS n FROM t GROUP BY term""",
+    "search_index": f"""
+WITH t AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda t: lower(t))) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS pages, count(*) AS n FROM t GROUP BY term""",
     "html_export": rf"""
 WITH p AS (SELECT page_id, url, {_TITLE} AS t FROM pages), q AS (SELECT page_id, url AS u, {_ESCAPE.format("CASE WHEN t = '' THEN url ELSE t END")} AS e FROM p)
 SELECT 'wiki:p' || page_id AS page, 'wiki/' || u AS position, '  <a href="#page-wiki-p' || page_id || '">' || e || '</a>' AS nav,
-  '<section id="page-wiki-p' || page_id || '"><h1>' || e || '</h1><p>' || {_ESCAPE.format("regexp_replace(replace('=== ' || regexp_extract(html, '<title>([^<\\n]*)', 1) || ' ===' || chr(10) || 'b & c <x>', '''''', ''), '\\*\\*|//|__', '', 'g')")} || '</p></section>' AS section FROM q JOIN pages USING (page_id)""",
-    "prompt_render": """
-WITH p AS (SELECT n_nationkey, 'Module ' || n_name || ' of ' || r_name || ': ' || n_name || '.' AS prompt FROM nation JOIN region ON n_regionkey = r_regionkey)
+  '<section id="page-wiki-p' || page_id || '"><h1>' || e || '</h1><p>' || {_ESCAPE.format("regexp_replace('=== ' || regexp_extract(html, '<title>([^<\\n]*)', 1) || ' ===', '%%.*?%%|.*?|\\*\\*|//|__|~~|<[A-Za-z/][^>\\n]*>', '', 'g') || chr(10) || 'b & c ' || chr(10) || trim(regexp_replace(html, '[^\\pL\\pN ]+', ' ', 'g'), ' ')")} || '</p></section>' AS section FROM q JOIN pages USING (page_id)""",
+    "prompt_render": f"""
+WITH p AS (SELECT c_custkey, 'Document ' || c_name || ' in ' || n_name || '/' || c_mktsegment || '. ' || c_name || ' is a leaf.' AS prompt FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT *, sha256(prompt) AS sha, length(prompt) AS chars FROM p""",
     "session_prune": """
 SELECT id, owner, ts FROM (SELECT event_id AS id, user_id AS owner, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 1728000 SECOND) WHERE n <= 10""",
-    "orphan_locks": "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+    "orphan_locks": f"""SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT o_custkey FROM orders)""",
     "graph_load": "SELECT s_nationkey AS graph, 's' || s_suppkey AS id, s_name AS name, 'n' || s_nationkey AS depends_on FROM supplier",
-    "tree_load": """
-SELECT r_regionkey AS tree, r_name AS path, 1::BIGINT AS depth, NULL::VARCHAR AS parent, false AS is_leaf, '' AS components FROM region
-UNION ALL SELECT r_regionkey, r_name || '/' || n_name, 2, r_name, true, 'n' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "tree_load": f"""
+WITH c AS (SELECT r_regionkey AS tree, r_name, n_name, c_mktsegment, string_agg(c_name, ',' ORDER BY c_name) AS ids FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
+SELECT DISTINCT tree, r_name AS path, 1::BIGINT AS depth, NULL::VARCHAR AS parent, false AS is_leaf, '' AS components FROM c
+UNION ALL SELECT DISTINCT tree, r_name || '/' || n_name, 2, r_name, false, '' FROM c
+UNION ALL SELECT tree, r_name || '/' || n_name || '/' || c_mktsegment, 3, r_name || '/' || n_name, true, ids FROM c""",
     "cluster_groups": "SELECT o_orderkey AS response, o_orderpriority AS module, unnest(['c' || o_custkey, 'o' || o_orderkey]) AS id FROM orders",
     "patch_hunks": """
 SELECT o_orderkey AS patch, 'f' || (o_orderkey % 7) || '.py' AS path, o_custkey AS first, o_custkey + greatest(o_orderkey % 4 - 1, 0) AS last FROM orders
@@ -192,13 +235,38 @@ SELECT o_orderkey AS page, o_orderstatus AS content, CASE WHEN o_orderkey % 3 =
     "edition_merge": """
 SELECT c_mktsegment AS edition, c_nationkey AS page, CASE WHEN c_nationkey % 2 = 0 THEN max(c_name) ELSE max(n_name) END AS content FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_mktsegment, c_nationkey
 UNION ALL SELECT 'repository', n_nationkey, n_name FROM nation""",
-    "edition_catalog": "SELECT source AS edition, count(*) AS pages, min(doc_id) AS first_page, arg_min(substr(text, 1, 20), doc_id) AS title FROM documents GROUP BY source",
+    "edition_catalog": "SELECT source AS edition, count(*) AS pages, min(doc_id) AS first_page, arg_min(text, doc_id) AS title FROM documents GROUP BY source",
     "history_scan": """
 SELECT user_id AS path, date_trunc('day', ts)::TIMESTAMP AS ts, value AS mtime, event_id AS file FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, value DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
-    "overview_context": """
-SELECT r_name AS module, 1::BIGINT AS depth, r_name = 'ASIA' AS is_target, NULL::VARCHAR AS child_page FROM region
-UNION ALL SELECT r_name || '/' || n_name, 2, false, CASE WHEN r_name = 'ASIA' THEN 'wiki:' || lower(r_name) || ':' || lower(n_name) || ':start' END FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "primary_steps": f"WITH {_NATION_EDGES} SELECT caller AS src, min(callee) AS dst FROM edges WHERE caller <> callee GROUP BY caller",
+    "overview_context": f"""
+WITH {_TREE}
+SELECT array_to_string(path, '/') AS module, depth::BIGINT AS depth, array_to_string(path, '/') = 'ASIA/CHINA' AS is_target,
+  CASE WHEN depth = 3 AND array_to_string(path[1:2], '/') = 'ASIA/CHINA' THEN 'wiki:asia:china:' || replace(lower(path[3]), '#', '-') || ':start' END AS child_page FROM tree""",
+    "id_differences": f"""
+SELECT DISTINCT l_suppkey AS id, 'unknown' AS problem FROM lineitem WHERE l_suppkey NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT DISTINCT p_partkey, 'omitted' FROM part WHERE p_partkey NOT IN (SELECT l_suppkey FROM lineitem)""",
+    "component_listing": f"""SELECT c_nationkey AS relative_path, count(*) AS n, string_agg(DISTINCT c_name, ',' ORDER BY c_name) AS ids FROM customer GROUP BY c_nationkey""",
+    "claim_problems": f"""
+WITH g AS (SELECT DISTINCT 's' || l_suppkey AS module, l_partkey AS id FROM lineitem), f AS (SELECT id, min(module) AS module FROM g WHERE id IN (SELECT c_custkey FROM customer) GROUP BY id)
+SELECT module, id, 'outside its input' AS problem FROM g WHERE id NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT g.module, g.id, 'claimed before' FROM g JOIN f USING (id) WHERE g.module <> f.module
+UNION ALL SELECT DISTINCT module, NULL, 'keeps no component' FROM g WHERE module NOT IN (SELECT module FROM f)""",
+    "applied_clusters": f"""
+WITH c AS (SELECT c_custkey AS id, r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT id, r_name, n_name, min(o_orderpriority) AS m FROM c JOIN orders ON o_custkey = id GROUP BY ALL)
+SELECT r_name AS path, id FROM c UNION SELECT r_name, id FROM f UNION SELECT r_name || '/' || n_name, id FROM f UNION SELECT r_name || '/' || n_name || '/' || m, id FROM f""",
+    "ancestor_sets": f"""
+WITH hit AS (SELECT DISTINCT r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name AS module FROM hit UNION SELECT r_name || '/' || n_name FROM hit""",
+    "stale_scan": f"""
+WITH p AS (SELECT {_PATH} AS page, html FROM pages), l AS (SELECT page, {_HREF} AS target FROM p WHERE page <> ''), present AS (SELECT DISTINCT target AS page FROM l), expected AS (SELECT DISTINCT page FROM p WHERE page <> ''),
+a AS (SELECT page, target FROM l UNION SELECT page, target || 'x' FROM l)
+SELECT page, 'missing' AS problem, NULL::VARCHAR AS target FROM expected WHERE page NOT IN (SELECT page FROM present)
+UNION ALL SELECT page, 'extra', NULL FROM present WHERE page NOT IN (SELECT page FROM expected) UNION ALL SELECT page, 'broken link', target FROM a WHERE target NOT IN (SELECT page FROM present)""",
+    "tree_outline": f"""
+WITH f AS (SELECT n_regionkey AS tree, n_name, c_mktsegment, string_agg(c_name, ', ' ORDER BY c_name) AS names FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+n AS (SELECT tree, n_name, '    ' || n_name || chr(10) || string_agg('      ' || c_mktsegment || ': ' || names, chr(10) ORDER BY c_mktsegment) AS t FROM f GROUP BY tree, n_name)
+SELECT tree, 'top (current module)' || chr(10) || '  Children:' || chr(10) || string_agg(t, chr(10) ORDER BY n_name) AS outline FROM n GROUP BY tree""",
 }
 
 

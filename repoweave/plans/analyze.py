@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import components as C
 from ..operators import modules as M
+from ..session import checkpointed
 from ..sources import declarations, tree
 
 
@@ -15,8 +16,8 @@ def analyze(spark: SparkSession, root: str, include: list[str] = (), exclude: li
     files = tree.files(spark, root, include, exclude, focus)
     code = declarations.components(files)
     artifacts = files.where("class is not null").select(F.col("relative_path").alias("id"), F.element_at(F.split("relative_path", "/"), -1).alias("name"), F.lit("artifact").alias("component_type"), "relative_path", "language")
-    components = code.unionByName(artifacts, allowMissingColumns=True)
-    references = declarations.calls(code)
+    components = checkpointed(code.unionByName(artifacts, allowMissingColumns=True))
+    references = declarations.references(code)
     found = C.resolved(references, code).join(references.select("ref", "owner"), "ref").select(F.col("owner").alias("caller"), F.col("target").alias("callee"))
     edges = found.where("caller <> callee").distinct()
     chosen = C.candidates(components, edges)
@@ -24,6 +25,6 @@ def analyze(spark: SparkSession, root: str, include: list[str] = (), exclude: li
 
 
 def written(tables: dict[str, DataFrame], folder: str, snapshot: str) -> None:
-    """Write the tables under folder, a partition for each snapshot; earlier ones stay."""
+    """Write the tables under folder, a partition for each snapshot: earlier snapshots stay, this one is replaced if it is there."""
     for name, df in tables.items():
-        df.withColumn("snapshot", F.lit(snapshot)).write.mode("append").partitionBy("snapshot").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").parquet(f"{folder}/{name}/snapshot={snapshot}")

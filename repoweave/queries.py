@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from .functions import pages as X
 from .functions import paths as P
+from .functions import prompts as Q
 from .operators import changes as D
 from .operators import components as C
+from .operators import diagrams as G2
 from .operators import editions as E
 from .operators import folds as O
 from .operators import graph as G
 from .operators import modules as M
 from .operators import pages as W
+from .plans import update as U
 from .session import table as T
 from .sources import documents as J
 
@@ -36,6 +39,10 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
     return T(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("qualified_name"), F.col("p_brand").alias("language"), kind.alias("component_type"))
 
 
+def _part_id():
+    return F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+
+
 def _calls(s: SparkSession, d: str) -> DataFrame:
     """The first and any other line of an order tie their parts."""
     line = T(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"))
@@ -66,10 +73,15 @@ def unique_name_resolution(s, d):
 
 
 def resolved_references(s, d):
-    """2.5: ordered fallbacks over suffixes, languages, simple and exact names."""
-    parts = _parts(s, d).withColumn("name", F.concat_ws(".", F.split("name", " ")[0], F.col("id")))
-    refs = parts.select(F.col("id").alias("ref"), F.concat(F.lit("p"), (F.substring("id", 2, 9).cast(_L) + 1).cast("string")).alias("next"), F.col("id").alias("owner"), "language")
-    refs = refs.select("ref", "owner", "language", F.concat(F.lit("x::"), "next").alias("name"))
+    """2.5: names resolved by ordered fallbacks; types of parts are qualified names that some share, brands are languages, and references use every form of a name."""
+    word = lambda i: F.split("p_name", " ")[i]
+    pieces = ("p_type", word(1), F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey").cast("string")))
+    qualified = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("::", *pieces)).otherwise(F.concat_ws(".", *pieces))
+    parts = T(s, d, "part").select(_part_id().alias("id"), F.concat(word(0), (F.col("p_partkey") % 300).cast("string")).alias("name"), qualified.alias("qualified_name"), F.col("p_brand").alias("language"))
+    made = T(s, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("owner"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"), F.pmod("l_orderkey", F.lit(6)).alias("form")).distinct()
+    whole = made.join(parts.select("id", "name", "qualified_name"), "id").join(parts.select(F.col("id").alias("owner"), "language"), "owner")
+    form = F.when(F.col("form") == 0, F.col("id")).when(F.col("form") == 1, F.col("name")).when(F.col("form") == 2, F.col("qualified_name")).when(F.col("form") == 3, F.concat(F.lit("a.b.c.d."), "name")).when(F.col("form") == 4, F.concat(F.lit("x::y::"), "name")).otherwise(F.concat(F.lit("q::"), "qualified_name"))
+    refs = whole.select("owner", "language", form.alias("name")).distinct().withColumn("ref", F.concat_ws("|", "owner", "name"))
     return C.resolved(refs, parts)
 
 
@@ -85,8 +97,9 @@ def candidate_policy(s, d):
 
 
 def leaf_demotion(s, d):
-    """2.5: candidates, without those that others depend on from 400 on."""
-    return C.candidates(_parts(s, d), _calls(s, d).where("cast(substring(caller, 2) as bigint) % 40 = 1").select("caller", "callee"))
+    """2.5: candidates, without those that others depend on from 400 on; the parts of customers' keys use those of their orders' keys."""
+    used = T(s, d, "orders").select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("caller"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("callee"))
+    return C.candidates(_parts(s, d), used)
 
 
 def builtin_filter(s, d):
@@ -119,15 +132,28 @@ def path_glob_filter(s, d):
 
 
 def artifact_classes(s, d):
-    """2.3: classes of files by ordered rules; parts are files."""
-    names = ["Dockerfile", ".github/workflows/ci.yml", "package.json", "Makefile", "db/migrations/1.txt", "app/config/x.yml", "run.sh", "src/test/a.py", "yarn.lock", "src/main.rs"]
-    path = F.concat(F.lit("repo/"), F.col("p_brand"), F.lit("/"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 10 + 1).cast("int")))
-    return T(s, d, "part").select("p_partkey", path.alias("path")).withColumns({"class": P.artifact_class(F.col("path")), "language": P.language(F.col("path"))})
+    """2.3: classes of files by ordered rules; URLs with parts' names are paths, and every part is in four forms."""
+    forms = ("{t}/{n}", "src/{t}/Dockerfile.{k}", "{b}/.github/workflows/{n}.yml", "db/{t}/migrations/{k}.txt")
+    ends = [".py", ".sql", ".sh", ".rs", "/package.json", "/Makefile", ".env.example", "/scripts/a", "/test/b.go", "/yarn.lock", "/CONFIG.json", ".kts", ".h++", ""]
+    values = {"t": F.regexp_replace("p_type", " ", "/"), "n": F.regexp_replace("p_name", " ", "-"), "b": F.col("p_brand"), "k": F.col("p_partkey").cast("string")}
+    path = F.transform(F.array(*[X.rendered(f, values) for f in forms]), lambda x: F.concat(x, F.element_at(F.array(*[F.lit(e) for e in ends]), (F.pmod(F.col("p_partkey"), F.lit(len(ends))) + 1).cast("int"))))
+    rows = T(s, d, "part").select("p_partkey", F.explode(path).alias("path"))
+    return rows.withColumns({"class": P.artifact_class(F.col("path")), "language": P.language(F.col("path"))})
 
 
 def language_counts(s, d):
-    """2.6: documents of each language."""
-    return T(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(X.token_estimate(F.col("text"))).alias("tokens"))
+    """2.6: documents of each language, with their tokens."""
+    return C.language_counts(T(s, d, "documents").select(F.col("lang").alias("language"), F.col("text").alias("source_code")))
+
+
+def id_differences(s, d):
+    """2.5: ids that are asked for but unknown, and known ones that are omitted; suppliers' keys against parts'."""
+    return C.id_differences(T(s, d, "lineitem").select(F.col("l_suppkey").alias("id")), T(s, d, "part").select(F.col("p_partkey").alias("id")))
+
+
+def component_listing(s, d):
+    """2.6: components by file; customers by nation."""
+    return C.by_file(T(s, d, "customer").select(F.col("c_name").alias("id"), F.col("c_nationkey").alias("relative_path")))
 
 
 def class_cap_and_budget(s, d):
@@ -145,15 +171,13 @@ def safe_ids(s, d):
 
 def page_ids(s, d):
     """2.9: page ids of modules; a path with a name that can't be one has none."""
-    path = F.array("r_name", "n_name")
-    rows = T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("n_nationkey", P.page_id("wiki", path).alias("page")).withColumn("file", P.page_file(F.col("page")))
+    return _tree_rows(s, d).select("id", P.page_id("wiki", F.col("path")).alias("page")).withColumn("file", P.page_file(F.col("page")))
 
 
 def role_labels(s, d):
-    """2.9: what a module does by its name."""
-    words = F.array(*[F.lit(w) for w in ("Storage", "apiclient", "Runtime", "unit_test", "network", "ui")])
-    return T(s, d, "part").select("p_partkey", P.role(F.concat_ws("_", F.element_at(words, (F.col("p_partkey") % 6 + 1).cast("int")), "p_brand")).alias("role"))
+    """2.9: what a module does by its name; documents' first words name modules."""
+    names = F.concat_ws("_", F.lit("m"), F.substring_index("text", " ", 3), F.when(F.pmod("doc_id", F.lit(7)) == 0, "Runtime").when(F.pmod("doc_id", F.lit(5)) == 0, "HttpClient").when(F.pmod("doc_id", F.lit(11)) == 0, "Database"))
+    return T(s, d, "documents").select("doc_id", P.role(names).alias("role"))
 
 
 # modules
@@ -166,20 +190,24 @@ def _tree(s, d):
     return region.union(nation).union(customer)
 
 
+def _tree_rows(s, d):
+    """_tree with its paths, a join a level."""
+    return M.flattened(_tree(s, d))
+
+
 def tree_paths(s, d):
     """2.9: the paths of a tree of regions, nations and customers."""
-    return M.flattened(_tree(s, d), 3).select("id", F.array_join("path", "/").alias("path"), F.col("depth").cast(_L).alias("depth"), "parent")
+    return _tree_rows(s, d).select("id", F.array_join("path", "/").alias("path"), F.col("depth").cast(_L).alias("depth"), "parent")
 
 
 def post_order(s, d):
-    """2.7: modules with the first and last position key of post-order, which children precede."""
-    rows = M.flattened(_tree(s, d).where("id not like 'c%'"), 2)
-    return rows.select("id", M.post_order_key(F.col("path")).alias("position"))
+    """2.7: modules with the key of their place in post-order, in which children come first."""
+    return _tree_rows(s, d).select("id", M.post_order_key(F.col("path")).alias("position"))
 
 
 def ancestors(s, d):
     """2.9: how many modules stand below each ancestor, and how deep."""
-    up = M.ancestors(M.flattened(_tree(s, d), 3))
+    up = M.ancestors(_tree_rows(s, d))
     return up.groupBy(F.array_join("ancestor", "/").alias("ancestor")).agg(F.count("*").alias("n"), F.max("above").cast(_L).alias("deepest"))
 
 
@@ -188,39 +216,56 @@ def deepest_owner(s, d):
     lines = T(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     place = T(s, d, "supplier").join(T(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     place = place.select(F.col("s_suppkey").alias("l_suppkey"), F.explode(F.array(F.struct(F.lit(1).alias("depth"), F.col("r_name").alias("path")), F.struct(F.lit(2).alias("depth"), F.concat_ws("/", "r_name", "n_name").alias("path")))).alias("m"))
-    owned = lines.where("l_partkey % 3 <> 0").join(place, "l_suppkey").select(F.col("l_partkey").alias("id"), F.col("m.path").alias("module"), "m.depth", "m.path").distinct()
+    owned = lines.join(place, "l_suppkey").select(F.col("l_partkey").alias("id"), F.col("m.path").alias("module"), "m.depth", "m.path").distinct()
     return M.deepest_owner(owned).join(M.last_owner(owned).withColumnRenamed("module", "last_module"), "id")
 
 
 def boundary_owner(s, d):
     """2.5: URLs belong to the module whose path is their longest prefix."""
-    files = T(s, d, "pages").select(F.substring(_url_path(), 2, 500).alias("file")).where("file <> ''").distinct()
+    files = T(s, d, "pages").withColumn("path", _url_path()).select(F.expr("substring(path, 2)").alias("file")).where("file <> ''").distinct()
     base = T(s, d, "pages").select(F.regexp_extract("url", r"^[^:]+://[^/]+/([a-z]+)", 1).alias("a"), F.regexp_extract("url", r"^[^:]+://[^/]+/([a-z]+/[0-9]+)", 1).alias("b"), "page_id")
-    modules = base.select(F.col("a").alias("prefix"), F.lit(1).alias("depth")).union(base.where("page_id % 4 = 0").select("b", F.lit(2))).distinct().where("prefix <> ''")
+    modules = base.select(F.col("a").alias("prefix"), F.lit(1).alias("depth")).union(base.select("b", F.lit(2))).distinct().where("prefix <> ''")
     return M.boundary_owner(files, modules.withColumn("module", F.concat(F.lit("m:"), "prefix")))
 
 
 def initial_modules(s, d):
     """2.9: candidates by the first part of their path."""
-    comps = T(s, d, "pages").select("page_id", F.substring(_url_path(), 2, 500).alias("relative_path")).where("relative_path <> ''")
+    comps = T(s, d, "pages").withColumn("path", _url_path()).select("page_id", F.expr("substring(path, 2)").alias("relative_path")).where("relative_path <> ''")
     return M.initial_modules(comps.withColumnRenamed("page_id", "id"))
 
 
 def claims(s, d):
-    """2.9: suppliers claim parts; each goes to the first claimant, unknown parts to none."""
+    """2.9: suppliers claim parts; each goes to the first claimant."""
     groups = T(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("module"), F.col("l_partkey").alias("id"))
-    return M.claims(groups, T(s, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("id")))
+    return M.claims(groups, T(s, d, "part").select(F.col("p_partkey").alias("id")))
+
+
+def claim_problems(s, d):
+    """2.9: ids outside the input (parts of which no customer has the key), those claimed before, suppliers that keep none."""
+    groups = T(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("module"), F.col("l_partkey").alias("id")).distinct()
+    return M.claim_problems(groups, T(s, d, "customer").select(F.col("c_custkey").alias("id")))
+
+
+def applied_clusters(s, d):
+    """2.9: a tree after responses: in each nation the segments claim its customers by their lines' suppliers."""
+    nation = T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.array("r_name", "n_name").alias("parent"))
+    customer = T(s, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    members = customer.select(F.slice("parent", 1, 1).alias("path"), F.col("c_custkey").alias("id"))
+    groups = T(s, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("parent", F.col("o_orderpriority").alias("module"), F.col("c_custkey").alias("id"))
+    tree = M.applied_clusters(members, groups, customer.select("parent", F.col("c_custkey").alias("id")), nation.select("parent"))
+    return tree.select(F.array_join("path", "/").alias("path"), "id")
 
 
 def super_groups(s, d):
-    """2.9: segments claim nations; a group needs two."""
-    members = T(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_mktsegment").alias("parent"), F.col("c_nationkey").alias("module"))
-    return M.super_groups(members, T(s, d, "nation").where("n_regionkey < 4").select(F.col("n_nationkey").alias("module")))
+    """2.9: order priorities group brands; a group needs two, and the top level must shrink."""
+    lines = T(s, d, "lineitem").join(T(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(T(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    members = lines.select(F.concat_ws("/", "o_orderpriority", "l_linestatus", F.pmod("o_custkey", F.lit(9)).cast("string")).alias("parent"), F.col("p_brand").alias("module"))
+    return M.super_groups(members, T(s, d, "part").select(F.col("p_brand").alias("module")).distinct())
 
 
 def tree_quality(s, d):
-    """2.6: leaves over their tokens; brands are leaves, parts' names their text."""
-    line = T(s, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_partkey").alias("id"), F.concat(F.lit("leaf"), (F.col("l_suppkey") % 50).cast("string")).alias("leaf"), (F.col("l_suppkey") % 5 + 1).alias("depth")).distinct()
+    """2.6: leaves over their tokens; suppliers by fifty are leaves, parts' names their text."""
+    line = T(s, d, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("leaf"), F.pmod("l_suppkey", F.lit(50)).cast("string")).alias("leaf"), (F.col("l_suppkey") % 5 + 1).alias("depth")).distinct()
     tokens = T(s, d, "part").select(F.col("p_partkey").alias("id"), X.token_estimate(F.col("p_name")).alias("tokens"))
     return M.tree_quality(line.withColumn("depth", F.col("depth").cast("int")), tokens, limit=100)
 
@@ -228,7 +273,7 @@ def tree_quality(s, d):
 def review_check(s, d):
     """2.6: reviews that are missing, empty or of high risk."""
     k = F.col("o_orderkey")
-    reviews = T(s, d, "orders").select(k.alias("leaf"), F.when(k % 9 != 0, F.when(k % 2 == 0, "split").otherwise("retain_leaf")).alias("decision"), F.when(k % 5 == 0, "high").otherwise("low").alias("risk"), F.when(k % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("reason"))
+    reviews = T(s, d, "orders").select(k.alias("leaf"), (F.col("o_custkey") % 3 > 0).alias("is_leaf"), F.when(k % 9 != 0, F.when(k % 2 == 0, "split").otherwise("retain_leaf")).alias("decision"), F.when(k % 5 == 0, "high").otherwise("low").alias("risk"), F.when(k % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("reason"))
     return M.review_check(reviews)
 
 
@@ -236,12 +281,15 @@ def review_check(s, d):
 
 
 def _nation_edges(s, d):
-    return T(s, d, "customer").where("c_custkey % 11 = 0").select(F.col("c_nationkey").cast(_L).alias("caller"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 25).alias("callee"))
+    """A customers' nation leads, by order priority, to that of the supplier of its dearest line."""
+    lines = T(s, d, "lineitem").join(T(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(T(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(T(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    best = lines.groupBy("c_nationkey", "o_orderpriority").agg(F.max_by("s_nationkey", F.struct("l_extendedprice", "s_nationkey")).alias("callee"))
+    return best.select(F.col("c_nationkey").cast(_L).alias("caller"), F.col("callee").cast(_L).alias("callee")).distinct()
 
 
 def khop_upstream(s, d):
-    """2.9: what depends on a component within two steps."""
-    out = G.within_hops(_nation_edges(s, d), T(s, d, "nation").where("n_nationkey % 6 = 0").select(F.col("n_nationkey").cast(_L).alias("id")), 2)
+    """2.9: what each part depends on within two steps; orders tie the parts of their lines."""
+    out = G.within_hops(_calls(s, d).select("caller", "callee"), _parts(s, d).where("component_type = 'artifact'").select("id"), 2)
     return out.withColumn("hop", F.col("hop").cast(_L))
 
 
@@ -253,11 +301,24 @@ def diagram_paths(s, d):
     return G.simple_paths(edges, 3)
 
 
+def _module_graph(s, d):
+    """Regions and nations as modules, and the edges between nations."""
+    rows = T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast(_L).alias("n"), F.col("r_name").alias("region"), F.concat_ws(" / ", "r_name", "n_name").alias("module"))
+    edges = _nation_edges(s, d).join(rows.select(F.col("n").alias("caller"), F.col("module").alias("src")), "caller").join(rows.select(F.col("n").alias("callee"), F.col("module").alias("dst")), "callee").select("src", "dst")
+    return rows.select(F.col("region").alias("module")).union(rows.select("module")).distinct(), edges
+
+
 def target_subtree(s, d):
-    """2.9: a region's nations and the nations tied to them."""
-    ancestry = T(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("ancestor"))
-    edges = _nation_edges(s, d).select(F.concat(F.lit("n"), F.col("caller").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("callee").cast("string")).alias("dst"))
-    return G.subtree(ancestry, T(s, d, "region").where("r_regionkey = 1").select(F.lit("r1").alias("id")), edges)
+    """2.9: for each module, what its diagram shows: what is below it, and what the edges bring in their order."""
+    modules, edges = _module_graph(s, d)
+    return G.target_subgraph(modules, modules.select(F.col("module").alias("target")), edges)
+
+
+def primary_paths(s, d):
+    """2.9: the primary path of each module's diagram."""
+    modules, edges = _module_graph(s, d)
+    targets = modules.select(F.col("module").alias("target"))
+    return G.primary_paths(G.target_subgraph(modules, targets, edges), edges).select("target", F.array_join("path", " > ").alias("path"))
 
 
 # snapshots
@@ -282,9 +343,20 @@ def snapshot_diff(s, d):
 
 
 def change_ratios(s, d):
-    """2.10: ratios of active and structural changes, and the outcome. As its SQL, it doesn't count changed edges as structural."""
+    """2.10: ratios of active and structural changes, and the outcome with its reason."""
     old, new = _snapshots(s, d)
-    return D.fallback(D.change_ratios(D.snapshot_diff(old, new), new.select("id"), structural=("added", "deleted", "renamed")))
+    changes = D.snapshot_diff(old, new)
+    return D.outcome(D.change_ratios(changes, new.select("id")), changes, old)
+
+
+def update_plan(s, d):
+    """2.10: changes of a snapshot with renames taken out of added and deleted components; documents are components, those of odd ids get new ones or changes."""
+    k = F.col("doc_id")
+    docs = T(s, d, "documents").select(k, "lang", "text")
+    rows = lambda id_, text: docs.select(id_.alias("id"), F.lit("text").alias("name"), F.lit("file").alias("component_type"), F.col("lang").alias("language"), text.alias("source_code"))
+    old = rows(k, F.col("text"))
+    new = rows(F.when(k % 4 == 1, k + 10_000_000).otherwise(k), F.when(k % 4 == 3, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    return U.plan(U.prepared(old), U.prepared(new))["changes"]
 
 
 def active_set(s, d):
@@ -306,16 +378,60 @@ def neighbour_majority(s, d):
 
 
 def write_sets(s, d):
-    """2.9: modules of the routed pages and all above them."""
+    """2.10: the pages that each changed component writes; parts belong to the deepest module of their suppliers."""
+    owners = deepest_owner(s, d).select("id", F.col("module").alias("page"))
+    active = T(s, d, "lineitem").select(F.col("l_partkey").alias("id")).union(T(s, d, "customer").select(F.col("c_custkey").alias("id"))).distinct()
+    return D.write_sets(active, owners, "overview")
+
+
+def ancestor_sets(s, d):
+    """2.9: modules of the customers' pages and all above them."""
     rows = T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("page"), F.array("r_name", "n_name").alias("path"))
-    return D.write_sets(T(s, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("page")), rows)
+    return D.ancestor_sets(T(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("page")), rows)
+
+
+def applied_routes(s, d):
+    """2.9: a tree after routing decisions; orders place their customers in nations and create leaves by priority."""
+    name = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z]", ""))
+    nation = T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", name(F.col("r_name")).alias("r"), name(F.col("n_name")).alias("n"))
+    modules = nation.select(F.array("r").alias("path")).union(nation.select(F.array("r", "n"))).distinct()
+    members = T(s, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.array("r", "n").alias("path"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    changes = T(s, d, "supplier").select(F.when(F.col("s_suppkey") % 3 == 0, "deleted").otherwise("renamed").alias("kind"), F.concat(F.when(F.col("s_suppkey") % 3 == 0, "s").otherwise("t"), F.col("s_suppkey").cast("string")).alias("id"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("old_id"))
+    asked = T(s, d, "orders").join(T(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    page = F.concat_ws(":", F.lit("wiki"), "r", "n", F.lit("start"))
+    k = F.col("o_orderkey")
+    asked = asked.select(
+        k.alias("n"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("component_id"), F.when(k % 7 == 0, "untracked").when(k % 5 == 0, "create").otherwise("place").alias("action"), page.alias("leaf"),
+        F.when(k % 2 == 0, name(F.col("o_orderpriority"))).alias("new_leaf"), F.when(k % 3 == 0, page).alias("parent"),
+    )
+    tree, _ = D.applied_routes(members, modules, changes, asked, asked.where("n % 11 > 0").select(F.col("component_id").alias("id")))
+    return tree.select(F.array_join("path", "/").alias("path"), "id")
 
 
 def verdicts(s, d):
-    """2.10: verdicts in either JSON form."""
+    """2.10: verdicts in either JSON form, with reasons; events' types stand for them."""
     e = T(s, d, "events")
-    value = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise(F.concat(F.lit('{"verdict":"'), "event_type", F.lit('","reason":"r'), F.col("user_id").cast("string"), F.lit('"}')))
-    return D.verdicts(e.select(F.col("event_id").alias("page"), value.alias("value")), ["click", "view", "purchase"])
+    names = F.create_map(*[F.lit(x) for pair in (("click", " Patch "), ("view", "no-op"), ("purchase", "REWRITE"), ("signup", "create: new"), ("logout", "perhaps")) for x in pair])
+    said = F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type"))
+    value = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), said, F.lit('"'))).otherwise(F.concat(F.lit('{"verdict":"'), said, F.lit('","reason":"'), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("r"), F.col("user_id").cast("string"))), F.lit('"}')))
+    return D.verdicts(e.select(F.col("event_id").alias("page"), value.alias("value")))
+
+
+def stale_scan(s, d):
+    """2.10: missing and extra pages and broken links of the web pages; a page is expected by its path, and there if a page links it."""
+    pages = T(s, d, "pages")
+    expected = pages.select(_url_path().alias("page")).where("page <> ''").distinct()
+    links = pages.select(_url_path().alias("page"), F.explode(X.html_links(F.col("html"))).alias("target")).where("page <> ''")
+    present = links.select(F.col("target").alias("page")).distinct()
+    return D.stale(expected, present, links.select("page", F.concat(F.col("target"), F.lit("x")).alias("target")).union(links.select("page", "target")))
+
+
+def report_contexts(s, d):
+    """2.10: what a report on each changed part shows."""
+    parts = T(s, d, "part").select(_part_id().alias("id"), F.col("p_type").alias("relative_path"), F.col("p_brand").alias("language"), F.repeat(F.col("p_name"), F.lit(4)).alias("source_code"))
+    changes = parts.select(F.when(F.length("source_code") % 3 == 0, "added").when(F.length("source_code") % 3 == 1, "modified_body").otherwise("deleted").alias("kind"), "id")
+    out = D.context(changes, parts, _calls(s, d).where("caller <> callee").select("caller", "callee"), 1, 20)
+    return out.select("id", "mode", "own", F.array_join("up", ",").alias("up"), F.array_join("referrers", ",").alias("referrers"))
 
 
 def hunk_overlap(s, d):
@@ -328,25 +444,32 @@ def hunk_overlap(s, d):
 
 def edge_set_operations(s, d):
     """2.8: dependencies that only one, or both, of two halves of the orders have."""
-    line = T(s, d, "lineitem").select("l_orderkey", "l_suppkey")
-    a, b = (line.where(f"l_orderkey % 2 = {i}").select(F.col("l_suppkey").alias("id")).distinct() for i in (0, 1))
-    sides = a.withColumn("a", F.lit(True)).join(b.withColumn("b", F.lit(True)), "id", "full_outer")
-    return sides.select("id", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").otherwise("kept").alias("side"))
+    line = T(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("id"))
+    a, b = (line.where(f"l_orderkey % 2 = {i}").select("id").distinct() for i in (0, 1))
+    out = a.intersect(b).withColumn("side", F.lit("kept"))
+    return out.union(a.subtract(b).withColumn("side", F.lit("deleted"))).union(b.subtract(a).withColumn("side", F.lit("added")))
 
 
 # pages
 
 
+def _wiki(text="text"):
+    """A document as a page: by its length a line becomes a heading, a list, a quote, code, a diagram, CJK text or an indented one, and words get markup."""
+    line = lambda x: (F.when(x == "", x).when(F.length(x) % 11 == 0, F.concat(F.lit("== "), x, F.lit(" =="))).when(F.length(x) % 11 == 1, F.concat(F.lit("  * "), x)).when(F.length(x) % 11 == 2, F.concat(F.lit("> "), x))
+        .when(F.length(x) % 11 == 3, F.concat(F.lit("<code>\n"), x, F.lit("\n</code>"))).when(F.length(x) % 11 == 4, F.concat(F.lit("   "), x)).when(F.length(x) % 11 == 5, F.concat(F.lit("so **bold** [[a:b|"), x, F.lit("]] <sub>is</sub> ''gone'' 中文字")))
+        .when(F.length(x) % 11 == 6, F.concat(F.lit("<mermaid>\n"), x, F.lit("\n</mermaid> after"))).when(F.length(x) % 11 == 7, F.concat(F.lit("| "), x)).otherwise(x))
+    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N} \n]", " ")
+    return F.array_join(F.transform(F.split(plain, "\n"), lambda x: line(F.trim(x))), "\n")
+
+
 def prose_counts(s, d):
-    """2.11: words and CJK characters of running text."""
-    return T(s, d, "documents").select("doc_id", X.prose_words(F.col("text")).alias("words"), X.prose_cjk(F.col("text")).alias("cjk"))
+    """2.11: words and CJK characters of pages' running text."""
+    return T(s, d, "documents").select("doc_id", X.prose_counts(_wiki()).alias("p")).select("doc_id", "p.words", "p.cjk")
 
 
 def headings(s, d):
-    """2.11: heading lines; a document's second line is made one."""
-    line = F.split("text", "\n")
-    text = F.concat(F.lit("== Part "), F.col("source"), F.lit(" ==\n"), line[0], F.lit("\n==== "), F.substring(F.regexp_replace(F.coalesce(F.get(line, 1), F.lit("none")), "[^A-Za-z ]", ""), 1, 30), F.lit(" ====\n== odd ===\n"))
-    return T(s, d, "documents").select("doc_id", F.array_join(X.headings(text), "|").alias("headings"), X.title(text, F.lit("-")).alias("title"))
+    """2.11: heading lines of the documents as pages, and their titles."""
+    return T(s, d, "documents").select("doc_id", F.array_join(X.headings(_wiki()), "|").alias("headings"), X.title(_wiki(), F.lit("-")).alias("title"))
 
 
 def truncation(s, d):
@@ -403,22 +526,39 @@ def grounding(s, d):
     return W.grounding(rows)
 
 
+def _assessed(s, d):
+    docs = T(s, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), _wiki().alias("wiki"))
+    k = F.col("doc_id")
+    head = F.when(k % 3 == 0, "=== Purpose and scope ===\n").when(k % 3 == 1, "== Design ==\n==== Error handling ====\n").otherwise("")
+    tail = F.when(k % 4 == 0, F.concat(F.lit("\nsee "), F.col("source"), F.lit("/a.py and Main\n<mermaid>\ngraph TD\n A[Store"), k.cast("string"), F.lit("] --> B\n B --> C(Build it)\n</mermaid>"))).otherwise("")
+    pages = docs.select(k.alias("page"), (k % 2 == 0).alias("is_leaf"), (k % 10 == 1).alias("is_overview"), F.concat(head, "wiki", tail).alias("content"), "source")
+    anchors = pages.select("page", "content", F.explode(F.array(F.struct(F.concat("source", F.lit("/a.py::Main")).alias("id"), F.lit("Main").alias("symbol"), F.concat("source", F.lit("/a.py")).alias("path")), F.struct(F.lit("design").alias("id"), F.lit("zz").alias("symbol"), F.lit("zz").alias("path")))).alias("x")).select("page", "content", "x.*")
+    labels = pages.select("page", F.concat(F.lit("Store "), F.col("page").cast("string")).alias("label"))
+    required = pages.where("page % 6 = 0").select("page", F.lit("b").alias("target"))
+    return W.assessed(pages, anchors, required, W.links(pages).withColumn("target", F.regexp_extract("target", ":(.*)", 1)), G2.quality(pages, labels))
+
+
 def page_scores(s, d):
-    """2.11: pages that are too short, without headings or not grounded."""
-    content = F.concat(F.lit("== "), "source", F.lit(" ==\n"), "text", F.when(F.col("doc_id") % 3 == 0, "\n=== More ===\n").otherwise(""))
-    return W.scored(T(s, d, "documents").select(F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 5 == 0, "overview").otherwise("module").alias("kind"), content.alias("content"), (F.col("doc_id") % 4).cast("int").alias("anchors"), (F.col("doc_id") % 3).cast("int").alias("grounded")))
+    """2.11: what documents as pages are worth: prose, areas, anchors, diagrams, links."""
+    return _assessed(s, d).withColumn("errors", F.array_join("errors", ","))
 
 
 def report_rollup(s, d):
     """2.6: counts over all pages' scores."""
-    return W.report(page_scores(s, d))
+    return W.report(_assessed(s, d))
 
 
 def diagram_quality(s, d):
-    """2.11: nodes, edges and labels of diagrams; each region's nations form one."""
-    part = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("["), F.when(F.col("n_nationkey") % 4 == 0, "Module 1").otherwise(F.col("n_name")), F.lit("] --> r"), F.col("n_regionkey").cast("string"))
-    text = T(s, d, "nation").groupBy(F.col("n_regionkey").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(part)), "\n").alias("content"))
-    return W.diagram_quality(text)
+    """2.11: the quality of diagrams; an order's diagram ties its lines' suppliers in turn, labelled by their parts' brands."""
+    line = T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_partkey").join(T(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_name"), "l_partkey")
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("to"))
+    label = F.when(F.pmod("l_partkey", F.lit(9)) == 0, "Module").when(F.pmod("l_partkey", F.lit(9)) == 1, "Release it").otherwise(F.col("p_brand"))
+    text = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("["), label, F.lit("] "), F.when(F.col("l_returnflag") == "R", "==>").otherwise("-->"), F.lit(" s"), F.col("to").cast("string"))
+    text = line.join(after, ["l_orderkey", "l_linenumber"]).select("l_orderkey", F.struct("l_linenumber", text.alias("t")).alias("x"))
+    body = text.groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("b"))
+    pages = body.select("page", (F.col("page") % 3 == 0).alias("is_leaf"), (F.col("page") % 3 == 1).alias("is_overview"), F.concat(F.lit("<mermaid>\nflowchart LR\n"), "b", F.lit("\n</mermaid>")).alias("content"))
+    labels = line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("page"), F.col("p_brand").alias("label"))
+    return G2.quality(pages, labels).withColumn("issues", F.array_join("issues", ","))
 
 
 def scoped_search(s, d):
@@ -428,21 +568,30 @@ def scoped_search(s, d):
 
 
 def search_index(s, d):
-    """2.2: the inverted index of the benchmark's items, by term."""
-    rows = T(s, d, "benchmark").select(F.col("item_id").alias("page"), F.lit("b").alias("namespace"), F.col("text").alias("content"))
+    """2.2: the inverted index of the documents, by term."""
+    rows = T(s, d, "documents").select(F.col("doc_id").alias("page"), F.col("source").alias("namespace"), F.col("text").alias("content"))
     return W.search_index(rows).groupBy("term").agg(F.count("*").alias("pages"), F.sum("n").alias("n"))
 
 
 def html_export(s, d):
     """2.2: navigation and sections of the export."""
-    rows = T(s, d, "pages").select(F.concat(F.lit("wiki:p"), F.col("page_id").cast("string")).alias("page"), F.array(F.lit("wiki"), F.col("url")).alias("path"), F.concat(F.lit("=== "), F.regexp_extract("html", "<title>([^<\n]*)", 1), F.lit(" ===\n[[a|b & c]] <x>")).alias("content"))
+    rows = T(s, d, "pages").select(F.concat(F.lit("wiki:p"), F.col("page_id").cast("string")).alias("page"), F.array(F.lit("wiki"), F.col("url")).alias("path"), F.concat(F.lit("=== "), F.regexp_extract("html", "<title>([^<\n]*)", 1), F.lit(" ===\n[[a|b & c]] <x>\n"), F.trim(F.regexp_replace("html", r"[^\p{L}\p{N} ]+", " "))).alias("content"))
     return W.html_sections(rows)
 
 
 def prompt_render(s, d):
-    """2.11: prompts with their variables replaced."""
-    text = X.rendered("Module {name} of {region}: {name}.", {"name": F.col("n_name"), "region": F.col("r_name")})
-    return T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", text.alias("prompt"), F.sha2(text, 256).alias("sha"), F.length(text).cast(_L).alias("chars"))
+    """2.11: prompts of a type with their variables replaced; customers are modules."""
+    rows = T(s, d, "customer").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = Q.typed("system_leaf", "Document {module_name} in {doc_path}. {module_name} is a leaf.", {"module_name": F.col("c_name"), "doc_path": F.concat_ws("/", "n_name", "c_mktsegment")})
+    return rows.select("c_custkey", text.alias("prompt"), F.sha2(text, 256).alias("sha"), F.length(text).cast(_L).alias("chars"))
+
+
+def tree_outline(s, d):
+    """2.11: outlines of trees for prompts; each region is a tree of its nations with their customers by segment."""
+    c = T(s, d, "customer").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    leaf = c.groupBy(F.col("n_regionkey").alias("tree"), F.array(F.lit("top"), F.col("n_name")).alias("path")).agg(F.array_sort(F.collect_list(F.concat_ws("::", "c_mktsegment", "c_name"))).alias("ids"))
+    top = leaf.select("tree", F.array(F.lit("top")).alias("path"), F.array().cast("array<string>").alias("ids")).distinct()
+    return Q.outline(top.union(leaf), "top")
 
 
 # state
@@ -455,15 +604,15 @@ def session_prune(s, d):
 
 
 def orphan_locks(s, d):
-    """2.12: locks without a session."""
-    return O.orphan_locks(T(s, d, "orders").select(F.col("o_custkey").alias("id")).distinct(), T(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
+    """2.12: locks without a session; suppliers' keys against customers' of the first segments."""
+    return O.orphan_locks(T(s, d, "lineitem").select(F.col("l_partkey").alias("id")).distinct(), T(s, d, "orders").select(F.col("o_custkey").alias("id")))
 
 
 def edit_log_fold(s, d):
     """2.12: pages after their logs; a conversation's turns are operations."""
-    t = T(s, d, "conversations").where("conv_id is not null")
+    t = T(s, d, "conversations")
     kind = F.when(F.col("turn") % 5 == 4, "undo").when(F.col("turn") % 3 == 2, "replace").otherwise("insert")
-    ops = t.select(F.col("conv_id").cast("string").alias("page"), F.col("turn").alias("seq"), kind.alias("kind"), F.col("role").alias("old"), F.concat_ws(" ", "role", F.substring("text", 1, 20)).alias("new"), F.lit(0).cast(_L).alias("line"))
+    ops = t.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("page"), F.col("turn").alias("seq"), kind.alias("kind"), F.col("role").alias("old"), F.concat_ws(" ", "role", "text").alias("new"), F.lit(0).cast(_L).alias("line"))
     return O.edit_log(ops)
 
 
@@ -478,11 +627,15 @@ def graph_load(s, d):
 
 
 def tree_load(s, d):
-    """2.1: a nested JSON tree as rows; each region is a tree of its nations."""
-    leaf = F.concat(F.lit('"'), "n_name", F.lit('":{"components":["n'), F.col("n_nationkey").cast("string"), F.lit('"],"children":{}}'))
-    children = T(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(leaf), ",").alias("c"))
-    trees = children.join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey").alias("tree"), F.concat(F.lit('{"'), "r_name", F.lit('":{"components":[],"children":{'), "c", F.lit("}}}")).alias("value"))
-    return J.module_rows(trees, 3).select("tree", F.array_join("path", "/").alias("path"), "depth", "parent", "is_leaf", F.array_join("components", ",").alias("components"))
+    """2.1: a nested JSON tree as rows; each region is a tree of its nations, their segments and customers."""
+    c = T(s, d, "customer").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    object_ = lambda ids, children: F.concat(F.lit('{"components":['), ids, F.lit('],"children":{'), children, F.lit("}}"))
+    named = lambda name, value: F.concat(F.lit('"'), F.col(name), F.lit('":'), value)
+    joined = lambda x: F.array_join(F.collect_list(x), ",")
+    leaf = c.groupBy("r_regionkey", "r_name", "n_name", "c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("c_name"), F.lit('"')))), ",").alias("ids"))
+    nation = leaf.groupBy("r_regionkey", "r_name", "n_name").agg(joined(named("c_mktsegment", object_(F.col("ids"), F.lit("")))).alias("below"))
+    trees = nation.groupBy("r_regionkey", "r_name").agg(joined(named("n_name", object_(F.lit(""), F.col("below")))).alias("below")).select(F.col("r_regionkey").alias("tree"), F.concat(F.lit("{"), named("r_name", object_(F.lit(""), F.col("below"))), F.lit("}")).alias("value"))
+    return J.module_rows(trees).select("tree", F.array_join("path", "/").alias("path"), "depth", "parent", "is_leaf", F.array_join("components", ",").alias("components"))
 
 
 def cluster_groups(s, d):
@@ -521,7 +674,7 @@ def edition_merge(s, d):
 
 def edition_catalog(s, d):
     """2.1: an entry for each edition; sources are editions."""
-    return E.catalog(T(s, d, "documents").select(F.col("source").alias("edition"), F.col("doc_id").alias("page"), F.substring("text", 1, 20).alias("title")))
+    return E.catalog(T(s, d, "documents").select(F.col("source").alias("edition"), F.col("doc_id").alias("page"), F.col("text").alias("title")))
 
 
 def history_scan(s, d):
@@ -531,20 +684,16 @@ def history_scan(s, d):
 
 def overview_context(s, d):
     """2.9: the tree as an overview shows it, with the pages of the target's children."""
-    rows = M.flattened(_tree(s, d).where("id not like 'c%'"), 2)
-    return E.overview(rows.withColumn("page", P.page_id("wiki", F.transform("path", lambda x: F.replace(x, F.lit(" "), F.lit("-"))))), "ASIA")
-
-
-def primary_steps(s, d):
-    """2.9: the smallest module that each leads to."""
-    return E.primary_step(_nation_edges(s, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst")))
+    rows = _tree_rows(s, d)
+    return E.overview(rows.withColumn("page", P.page_id("wiki", F.transform("path", lambda x: F.replace(F.replace(x, F.lit(" "), F.lit("-")), F.lit("#"), F.lit("-"))))), "ASIA/CHINA")
 
 
-_NAMES = """graph_load tree_load cluster_groups patch_hunks id_lists page_creation edition_merge edition_catalog history_scan overview_context primary_steps module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
+_NAMES = """graph_load tree_load cluster_groups patch_hunks id_lists page_creation edition_merge edition_catalog history_scan overview_context primary_paths module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
 path_glob_filter artifact_classes language_counts class_cap_and_budget safe_ids page_ids role_labels tree_paths post_order ancestors deepest_owner boundary_owner initial_modules
 claims super_groups tree_quality review_check khop_upstream diagram_paths target_subtree snapshot_diff change_ratios active_set rename_pairs neighbour_majority write_sets verdicts
 hunk_overlap edge_set_operations prose_counts headings truncation token_estimate_oversized link_extract broken_links page_differences unlinked_children page_id_collisions grounding
-page_scores report_rollup diagram_quality scoped_search search_index html_export prompt_render session_prune orphan_locks edit_log_fold"""
+page_scores report_rollup diagram_quality scoped_search search_index html_export prompt_render session_prune orphan_locks edit_log_fold
+id_differences component_listing claim_problems applied_clusters update_plan ancestor_sets applied_routes stale_scan report_contexts tree_outline"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

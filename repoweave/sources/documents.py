@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 NODE = "struct<name:string,component_type:string,relative_path:string,language:string,source_code:string,depends_on:array<string>,parameters:array<string>,base_classes:array<string>>"
 MODULE = "map<string,struct<path:string,components:array<string>,children:string>>"
 
@@ -15,22 +17,23 @@ def graph_nodes(graphs: DataFrame) -> DataFrame:
     return graphs.select("graph", F.explode(nodes).alias("id", "node")).select("graph", "id", "node.*")
 
 
-def module_rows(trees: DataFrame, depth: int = 6) -> DataFrame:
+def module_rows(trees: DataFrame) -> DataFrame:
     """trees (tree, value: a JSON object of name -> path, components, children) -> tree, path, depth, parent, is_leaf, components.
 
-    Children are read as text and taken apart a level at a time, to `depth`.
+    Children are read as text and taken apart a level at a time, until none is left.
     """
     level = trees.select("tree", F.array().cast("array<string>").alias("up"), F.col("value").alias("json"))
-    out = None
-    for d in range(1, depth + 1):
+    out, depth = None, 0
+    while depth == 0 or not level.isEmpty():
+        depth += 1
         here = level.select("tree", "up", F.explode(F.from_json("json", MODULE)).alias("name", "m"))
         inner = F.coalesce(F.col("m.children"), F.lit("{}"))
         rows = here.select(
-            "tree", F.concat("up", F.array("name")).alias("path"), F.lit(d).cast("long").alias("depth"), F.when(F.size("up") > 0, F.array_join("up", "/")).alias("parent"),
+            "tree", F.concat("up", F.array("name")).alias("path"), F.lit(depth).cast("long").alias("depth"), F.when(F.size("up") > 0, F.array_join("up", "/")).alias("parent"),
             inner.rlike(r"^\s*\{\s*\}\s*$").alias("is_leaf"), F.coalesce("m.components", F.array().cast("array<string>")).alias("components"),
         )
         out = rows if out is None else out.union(rows)
-        level = here.where(~inner.rlike(r"^\s*\{\s*\}\s*$")).select("tree", F.concat("up", F.array("name")).alias("up"), inner.alias("json"))
+        level = checkpointed(here.where(~inner.rlike(r"^\s*\{\s*\}\s*$")).select("tree", F.concat("up", F.array("name")).alias("up"), inner.alias("json")))
     return out
 
 

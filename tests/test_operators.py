@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from repoweave.operators import changes as D
 from repoweave.operators import components as C
+from repoweave.operators import diagrams as DG
 from repoweave.operators import folds as O
 from repoweave.operators import graph as G
 from repoweave.operators import modules as M
@@ -47,6 +48,34 @@ def test_artifact_units(spark):
     assert rows(C.artifact_units(spark.createDataFrame(data, "path string, class string, content string"))) == [(".github/workflows/c.yml", "test"), ("Dockerfile", "stage_1"), ("Dockerfile", "stage_2"), ("Makefile", "all"), ("Makefile", "z-1"), ("package.json", "a"), ("package.json", "b")]
 
 
+def test_names_of_a_language_go_before_all(spark):
+    """The language's index has whole and simple names; without a language's match the whole name counts, never the simple one."""
+    parts = [("a.py::Box", "Box", "pkg.a.Box", "python"), ("b.go::Box", "Box", "b.Box", "go"), ("c.go::Crate", "Crate", "m::Crate", "go"), ("d.rs::Only", "Only", "x:Only", "rust"), ("m.py::main", "main", None, "python")]
+    comps = spark.createDataFrame(parts, "id string, name string, qualified_name string, language string")
+    names = [("m.py::main", "python", "Box"), ("m.py::main", "python", "pkg.a.Box"), ("m.py::main", "python", "Crate"), ("m.py::main", "python", "m::Crate"), ("m.py::main", "ruby", "Box"), ("a.py::Box", "python", "Box"), ("m.py::main", "python", "Only"), ("m.py::main", "python", "zz.")]
+    refs = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "ref long, owner string, language string, name string")
+    assert rows(C.resolved(refs, comps)) == [(0, "a.py::Box"), (1, "a.py::Box"), (2, "c.go::Crate"), (3, "c.go::Crate"), (5, "b.go::Box"), (6, "d.rs::Only")]
+
+
+def test_budget_whatever_the_batch(spark):
+    import random
+
+    chance = random.Random(8)
+    data = [(chance.randint(0, 60), chance.choice(["a", "b", None]), chance.choice([chance.randint(0, 40), 500, None])) for _ in range(200)]
+    files = spark.createDataFrame(data, "path long, class string, size long").coalesce(1)
+    order = sorted(range(len(data)), key=lambda i: (data[i][0], i))
+    left, room, want = 700, {}, []
+    for i in order:
+        p, c, n = data[i]
+        ok = n is not None and n <= left and room.get(c, 0) < 12
+        if ok:
+            left, room[c] = left - n, room.get(c, 0) + 1
+        want.append((p, str(c), str(n), ok))
+    for batch in (1, 3, 2000):
+        got = O.within_budget(files, per_class=12, most=700, batch=batch).collect()
+        assert sorted((r["path"], str(r["class"]), str(r["size"]), r["included"]) for r in got) == sorted(want)
+
+
 def test_budget_goes_on_after_a_large_file(spark):
     files = spark.createDataFrame([(1, "a", 5), (2, "a", 90), (3, "b", 5), (4, "a", 1), (5, "a", 1)], "path long, class string, size long")
     got = {r["path"]: r["included"] for r in O.within_budget(files, per_class=2, most=11, batch=2).collect()}
@@ -183,11 +212,66 @@ def test_post_order(spark):
 def test_hops_and_paths(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "caller string, callee string")
     starts = spark.createDataFrame([("c",)], "id string")
-    assert rows(G.within_hops(edges, starts, 3)) == [("c", "a", 2), ("c", "b", 1), ("c", "c", 3)]
+    assert rows(G.within_hops(edges, starts, 3)) == [("c", "a", 1), ("c", "b", 2), ("c", "c", 3)]
     drawn = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("q", "a", "b"), ("q", "b", "a")], "page string, a string, b string")
     assert rows(G.simple_paths(drawn, 2)) == [("p",)]
 
 
+def test_target_graphs_against_a_scan(spark):
+    """Edges scanned in order, the set growing as it goes; then the walk, both in plain Python."""
+    import random
+
+    chance = random.Random(5)
+    modules = [f"m{i}" for i in range(8)] + [f"m{i} / s{j}" for i in range(8) for j in range(3)]
+    edges = sorted({(chance.choice(modules), chance.choice(modules)) for _ in range(30)})
+    edges = [e for e in edges if e[0] != e[1]]
+    want, paths = set(), {}
+    for target in modules:
+        chosen = {m for m in modules if m == target or m.startswith(target + " / ")}
+        for a, b in edges:
+            if a in chosen or b in chosen:
+                chosen |= {a, b}
+        want |= {(target, m) for m in chosen}
+        inside = [e for e in edges if e[0] in chosen and e[1] in chosen]
+        starts = sorted(chosen - {b for _, b in inside})
+        path, at = [], starts[0] if starts else None
+        while at is not None:
+            path.append(at)
+            at = next((b for a, b in inside if a == at and b not in path), None)
+        if len(path) < 2:
+            path = sorted((m for m in modules if m == target or m.startswith(target + " / ")), key=lambda m: m.split(" / "))[:8]
+        paths[target] = path
+    m = spark.createDataFrame([(x,) for x in modules], "module string")
+    e = spark.createDataFrame(edges, "src string, dst string")
+    found = G.target_subgraph(m, m.select(F.col("module").alias("target")), e)
+    assert {tuple(r) for r in found.select("target", "module").collect()} == want
+    assert {r["target"]: r["path"] for r in G.primary_paths(found, e).collect()} == paths
+
+
+def test_deep_trees_are_whole(spark):
+    trees = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, f"x{i}") for i in range(12)], "id string, parent string, name string")
+    got = {r["id"]: (r["depth"], len(r["path"])) for r in M.flattened(trees).collect()}
+    assert got == {f"n{i}": (i + 1, i + 1) for i in range(12)}
+
+
+def test_clusters_go_into_the_tree(spark):
+    members = spark.createDataFrame([(["a"], "1")], "path array<string>, id string")
+    groups = spark.createDataFrame([(["a", "b"], "y", "2"), (["a", "b"], "x", "2"), (["a", "b"], "x", "9"), ([], "top", "3")], "parent array<string>, module string, id string")
+    known = spark.createDataFrame([(["a", "b"], "2"), ([], "3")], "parent array<string>, id string")
+    got = M.applied_clusters(members, groups, known, groups.select("parent").distinct())
+    assert sorted(("/".join(r["path"]), r["id"]) for r in got.collect()) == [("a", "1"), ("a", "2"), ("a/b", "2"), ("a/b/x", "2"), ("top", "3")]
+    flat = spark.createDataFrame([("g1", "a"), ("g1", "b"), ("g2", "b"), ("g2", "c"), ("g3", "c"), ("g4", "zz"), ("g4", "d")], "parent string, module string")
+    tops = spark.createDataFrame([(x,) for x in "abcde"], "module string")
+    assert rows(M.super_groups(flat, tops)) == [("g1", "a"), ("g1", "b")]
+    assert rows(M.super_groups(flat.where("parent = 'g3'"), tops)) == []
+
+
+def test_reviews(spark):
+    data = [("a", True, None, None, None), ("b", True, "retain_leaf", "low", " "), ("c", True, "split", "low", "x"), ("d", False, "retain_leaf", "low", "x"), ("e", True, "retain_leaf", "high", "x"), ("f", False, "split", "high", "x")]
+    df = spark.createDataFrame(data, "leaf string, is_leaf boolean, decision string, risk string, reason string")
+    assert rows(M.review_check(df)) == [("a", "missing"), ("b", "empty reason"), ("c", "mismatched decision"), ("d", "mismatched decision"), ("e", "high-risk leaf")]
+
+
 def test_edit_log(spark):
     ops = [("p", 1, "insert", "", "one", 0), ("p", 2, "insert", "", "two", 99), ("p", 3, "replace", "one", "1", 0), ("p", 4, "undo", "", "", 0), ("p", 5, "replace", "x", "y", 0), ("q", 1, "undo", "", "", 0)]
     got = {r["page"]: tuple(r)[1:] for r in O.edit_log(spark.createDataFrame(ops, "page string, seq long, kind string, old string, new string, line long")).collect()}
@@ -208,8 +292,72 @@ def test_page_checks(spark):
     assert rows(W.page_differences(pages.select("page"), spark.createDataFrame([("b",), ("c",)], "page string"))) == [("a", "missing"), ("c", "extra")]
     tree = spark.createDataFrame([("b", "a"), ("c", "a"), ("a", None)], "page string, parent string")
     assert rows(W.unlinked_children(tree, found)) == [("a", "c")]
-    diagram = spark.createDataFrame([("d", "graph TD\n a[Module 1] --> b\n b[Parser] -.-> c[Store]\n")], "page string, content string")
-    assert rows(W.diagram_quality(diagram)) == [("d", 3, 2, 1)]
+
+
+PAGE = """== Purpose ==
+Plain words here_1 and [[wiki:a|a label]] ''code here'' **bold**
+  * listed words
+> quoted
+  indented words
+<code python>
+hidden words
+== No ==
+</code> after it <sub>low</sub>
+<mermaid>
+graph TD
+ A[Store] --> B
+ B -->|x| C
+ %% A --> Z
+ C[Build it]; --> A
+ subgraph S --> T
+ D((alone))
+</mermaid>
+中文 mixed词 end
+=== Data flow ===
+==== ====
+"""
+
+
+def test_prose_and_diagrams_of_a_page(spark):
+    pages = spark.createDataFrame([("p", PAGE, False, True), ("q", "<mermaid>\nsequenceDiagram\nparticipant U\nU->>V: hello\nV-->>U: re\n</mermaid>\n<mermaid>", True, False), ("r", "text", False, False)], "page string, content string, is_leaf boolean, is_overview boolean")
+    from repoweave.functions import pages as X
+
+    p = pages.where("page = 'p'").select(X.prose_counts(F.col("content")).alias("c"), X.headings(F.col("content")).alias("h"), X.wiki_links(F.col("content")).alias("l"), X.title(F.col("content"), F.lit("-")).alias("t")).first()
+    # Plain words here_1 and a label bold | after it low | mixed end
+    assert (p["c"]["words"], p["c"]["cjk"], p["h"], p["l"], p["t"]) == (12, 3, ["purpose", "no", "data flow"], ["wiki:a"], "Purpose")
+    assert rows(DG.nodes(pages.where("page = 'p'"))) == [("p", "A", "Store"), ("p", "B", "B"), ("p", "C", "Build it"), ("p", "D", "alone")]
+    assert rows(DG.edges(pages.where("page = 'p'"))) == [("p", "A", "B"), ("p", "B", "|x| C"), ("p", "C", "A")]
+    assert rows(DG.edges(pages.where("page = 'q'"))) == [("q", "U", "V"), ("q", "V", "U")]
+    labels = spark.createDataFrame([("p", "store"), ("q", "U")], "page string, label string")
+    got = {r["page"]: r for r in DG.quality(pages, labels).collect()}
+    assert (got["p"]["nodes"], got["p"]["edges"], got["p"]["grounded_nodes"], got["p"]["grounded_edges"], got["p"]["disconnected"], got["p"]["support"]) == (4, 3, 1, 2, 1, 1)
+    assert got["p"]["issues"] == ["ungrounded diagram", "support nodes"] and got["p"]["has_path"] and got["p"]["verdict"] == "fail"
+    assert (got["q"]["blocks"], got["q"]["balanced"], got["q"]["issues"], got["q"]["verdict"]) == (1, False, ["unbalanced"], "warning")
+    assert got["r"]["issues"] == ["no diagram", "few nodes", "few edges", "no path"]
+
+
+def test_chains_may_end_where_they_were(spark):
+    drawn = lambda *lines: "<mermaid>\nflowchart LR\n" + "\n".join(lines) + "\n</mermaid>"
+    data = [("ring", drawn("a --> b", "b --> c", "c --> a")), ("star", drawn("a --> b", "a --> c", "a --> d")), ("pair", drawn("a --> b")), ("loop", drawn("a --> b", "b --> a", "c --> a")), ("self", drawn("a[x] --> a"))]
+    pages = spark.createDataFrame([(p, c, False, True) for p, c in data], "page string, content string, is_leaf boolean, is_overview boolean")
+    got = {r["page"]: r["has_path"] for r in DG.quality(pages, spark.createDataFrame([], "page string, label string")).collect()}
+    assert got == {"ring": True, "star": False, "pair": True, "loop": True, "self": True}
+
+
+def test_assessment(spark):
+    words = "word " * 160
+    data = [("good", True, False, f"== Purpose ==\n{words}\n== Usage ==\nsee a.py Main"), ("bad", True, False, "== Module location ==\n== Source files ==\n== Key components ==\n== Integration notes ==\nfew words"), ("cjk", True, False, "== 目的 ==\n== 架构 ==\n" + "字" * 600), ("void", False, True, "  \n")]
+    pages = spark.createDataFrame(data, "page string, is_leaf boolean, is_overview boolean, content string")
+    anchors = pages.where("page in ('good', 'bad')").select("page", "content", F.lit("a.py::Main").alias("id"), F.lit("Main").alias("symbol"), F.lit("a.py").alias("path"))
+    required = spark.createDataFrame([("good", "x"), ("bad", "x")], "page string, target string")
+    found = spark.createDataFrame([("good", "x")], "page string, target string")
+    got = {r["page"]: r for r in W.assessed(pages, anchors, required, found, DG.quality(pages, spark.createDataFrame([], "page string, label string"))).collect()}
+    assert got["good"]["errors"] == [] and got["good"]["valid"] and (got["good"]["grounded"], got["good"]["areas"]) == (1, 2)
+    assert got["bad"]["errors"] == ["short", "ungrounded", "few areas", "template", "no link to x"] and got["bad"]["boilerplate"]
+    assert (got["cjk"]["mode"], got["cjk"]["prose"], got["cjk"]["floor"], got["cjk"]["errors"]) == ("cjk", 600, 500, [])
+    assert got["void"]["errors"][:3] == ["empty", "short", "few areas"] and got["void"]["role"] == "repository_overview"
+    total = W.report(W.assessed(pages, anchors, required, found, DG.quality(pages, spark.createDataFrame([], "page string, label string")))).first()
+    assert (total["pages"], total["valid_pages"], total["explanatory"], total["all_valid"]) == (4, 2, 2, False)
 
 
 def test_claims(spark):

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from repoweave.operators import changes as D
 from repoweave.plans import analyze, update
 from repoweave.sources import tree
 from repoweave.streaming.edits import edit_stream
@@ -18,7 +19,7 @@ def test_analyze_a_tree(spark, tmp_path):
     out = analyze.analyze(spark, str(root))
     assert {r["relative_path"] for r in out["files"].collect()} == {"app/__init__.py", "app/core.py", "lib/a.go", "lib/b.rs", "web/c.ts", "Makefile"}
     parts = {r["id"]: (r["component_type"], r["start_line"], r["end_line"]) for r in out["components"].collect()}
-    assert parts["app/core.py::Engine"][0] == "class" and parts["app/core.py::Engine.run"] == ("method", 2, 4)
+    assert parts["app/core.py::Engine"][0] == "class" and parts["app/core.py::Engine.run"] == ("method", 2, 3)
     assert {"lib/a.go::Start", "lib/a.go::Box", "lib/b.rs::S", "lib/b.rs::go", "web/c.ts::View", "web/c.ts::load", "Makefile"} <= set(parts)
     assert ("app/core.py::Engine.run", "app/core.py::helper") in {tuple(r) for r in out["edges"].collect()}
     assert {r["module"] for r in out["modules"].collect()} >= {"app", "lib", "web"}
@@ -34,17 +35,78 @@ def test_page_source(spark, tmp_path):
 
 
 def test_update_plan(spark):
-    kind = "id string, signature string, body string, depends_on array<string>"
-    old = spark.createDataFrame([(f"c{i}", "s", "b", ["c0"]) for i in range(10)], kind)
-    new = old.withColumn("body", F.when(F.col("id") == "c3", "new").otherwise(F.col("body")))
-    out = update.plan(old, new)
-    assert out["outcome"].first()["outcome"] == "incremental" and [r["id"] for r in out["active"].collect()] == ["c3"]
-    edges = new.select(F.col("id").alias("caller"), F.explode("depends_on").alias("callee"))
-    pages = spark.createDataFrame([("c0", "p")], "id string, page string")
-    modules = spark.createDataFrame([("p", ["top", "low"])], "page string, path array<string>")
-    routed = update.routes(out["active"], edges, pages, modules, "overview")
-    assert [tuple(r) for r in routed["routed"].collect()] == [("c3", "p")]
-    assert sorted(r["module"] for r in routed["write_sets"].collect()) == ["top", "top/low"]
+    kind = "id string, component_type string, language string, body string, signature string, tokens string, depends_on array<string>"
+    text = " ".join(f"t{i}" for i in range(40))
+    data = [(f"c{i}", "class", "py", f"{text} own{i}", "s", f"{text} own{i}", ["c0"]) for i in range(40)]
+    old = spark.createDataFrame(data, kind)
+    new = [list(r) for r in data]
+    new[3][5] = "new"
+    new[7][0] = "moved"  # an unchanged body under a new id
+    new[8][0], new[8][3] = "other", "nothing alike"
+    out = update.plan(old, spark.createDataFrame(new, kind), spark.createDataFrame([("c3", "p3"), ("moved", "p7")], "id string, page string"))
+    assert sorted(tuple(r) for r in out["changes"].collect()) == [("added", "other", None), ("deleted", "c8", None), ("modified_body", "c3", None), ("renamed", "moved", "c7")]
+    said = out["outcome"].first()
+    assert (said["active"], said["structural"], said["outcome"], said["fallback"], said["added"], said["reclustered"]) == (3, 3, "incremental", None, 1, False)
+    assert sorted(tuple(r) for r in out["write_sets"].collect()) == [("c3", "p3"), ("c3", "wiki:start"), ("moved", "p7"), ("moved", "wiki:start"), ("other", "wiki:start")]
+    assert update.plan(old.limit(0), old)["outcome"].first()["outcome"] == "full_fallback"
+    assert update.plan(old, old)["outcome"].first()["outcome"] == "no_change"
+    few = update.plan(old, old.limit(20))["outcome"].first()
+    assert (few["outcome"], few["fallback"]) == ("full_fallback", "structural-threshold")
+    edges = spark.createDataFrame([("moved", "c0"), ("moved", "c1"), ("moved", "c2"), ("other", "c9")], "caller string, callee string")
+    leaves = spark.createDataFrame([("c0", "q"), ("c1", "q"), ("c2", "r"), ("a", "first")], "id string, page string")
+    modules = spark.createDataFrame([("q", ["top", "low"]), ("first", ["f"])], "page string, path array<string>")
+    routed = update.routes(out["changes"], edges, leaves, modules)
+    assert sorted(tuple(r) for r in routed["routed"].collect()) == [("moved", "q"), ("other", "first")]
+    assert sorted(r["module"] for r in routed["ancestors"].collect()) == ["f", "top", "top/low"]
+
+
+def test_options_are_checked():
+    import pytest
+
+    for bad in ({"tau_ren": 1.5}, {"tau_nb": float("nan")}, {"max_diff_tokens": 0}, {"rung": "4"}):
+        with pytest.raises(ValueError):
+            update.Options(**bad)
+
+
+def test_routes_are_applied_in_order(spark):
+    modules = spark.createDataFrame([(["a"],), (["a", "x"],), (["b"],)], "path array<string>")
+    members = spark.createDataFrame([(["a"], "1"), (["a", "x"], "1"), (["b"], "2"), (["b"], "3")], "path array<string>, id string")
+    changes = spark.createDataFrame([("deleted", "2", None), ("renamed", "n3", "3")], "kind string, id string, old_id string")
+    asked = [
+        (1, "4", "place", "wiki:a:x:start", None, None), (2, "5", "place", "wiki:a:start", None, None), (3, "6", "create", None, "y", "wiki:b:start"), (4, "7", "place", "wiki:b:start", None, None),
+        (5, "8", "place", "wiki:b:y:start", None, None), (6, "9", "create", None, "top", ""), (7, "10", "create", None, "deep", "wiki:top:start"), (8, "11", "untracked", None, None, None),
+        (9, "zz", "place", "wiki:a:x:start", None, None), (10, "12", "place", "wiki:late:start", None, None), (11, "13", "create", None, "late", None), (12, "14", "fly", None, None, None),
+    ]
+    decisions = spark.createDataFrame(asked, "n long, component_id string, action string, leaf string, new_leaf string, parent string")
+    known = spark.createDataFrame([(str(i),) for i in range(1, 15)], "id string")
+    tree, said = D.applied_routes(members, modules, changes, decisions, known)
+    assert {r["n"]: r["outcome"] for r in said.collect()} == {1: "applied", 2: "no such page", 3: "applied", 4: "no such page", 5: "applied", 6: "applied", 7: "applied", 8: "untracked", 9: "unknown component", 10: "no such page", 11: "applied", 12: "no such page"}
+    got = {}
+    for r in tree.collect():
+        got.setdefault("/".join(r["path"]), set()).add(r["id"])
+    assert got == {"a": {"1", "4"}, "a/x": {"1", "4"}, "b": {"n3", "6", "8"}, "b/y": {"6", "8"}, "top": {"9", "10"}, "top/deep": {"10"}, "late": {"13"}}
+
+
+def test_stale_and_final(spark):
+    page = lambda *x: spark.createDataFrame([(v,) for v in x], "page string")
+    links = spark.createDataFrame([("a", "b"), ("a", "gone")], "page string, target string")
+    problems = D.stale(page("a", "b", "c"), page("a", "b", "x"), links, spark.createDataFrame([("b", "short")], "page string, problem string"))
+    assert sorted(tuple(r) for r in problems.select("page", "problem", F.coalesce("target", F.lit("-"))).collect()) == [("a", "broken link", "gone"), ("b", "short", "-"), ("c", "missing", "-"), ("x", "extra", "-")]
+    raw = spark.createDataFrame([("a", '"Patch"'), ("b", '{"verdict":" rewrite ","reason":"Moved"}'), ("c", '"no-op: same"'), ("d", '"perhaps"')], "page string, value string")
+    said = D.verdicts(raw)
+    assert sorted(tuple(r) for r in said.collect()) == [("a", "patch", None, "patch"), ("b", "rewrite", "Moved", "rewrite: Moved"), ("c", "no-op", "same", "no-op: same"), ("d", None, None, None)]
+    plan = spark.createDataFrame([("incremental",)], "outcome string")
+    at = lambda x: F.to_timestamp(F.lit(x))
+    row = D.finalized(plan, said.where("page <> 'd'"), page("a", "b"), problems, at("2024-01-01 00:00:00"), at("2024-01-01 00:00:02")).first()
+    assert (row["outcome"], row["wall_seconds"], row["pages_written"], row["verdicts"]["b"], row["stale"]["missing"]) == ("incremental", 2.0, 2, "rewrite: Moved", 1)
+
+
+def test_contexts(spark):
+    changes = spark.createDataFrame([("added", "a"), ("modified_body", "b"), ("deleted", "z")], "kind string, id string")
+    parts = spark.createDataFrame([(i, f"{i}.py", "python", i * 50) for i in "abc"], "id string, relative_path string, language string, source_code string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "caller string, callee string")
+    got = {r["id"]: (r["mode"], r["up"], r["referrers"], len(r["own"])) for r in D.context(changes, parts, edges, 2, 10).collect()}
+    assert got == {"a": ("create", ["b", "c"], ["c"], 40), "b": ("edit", ["a", "c"], ["a"], 40)}
 
 
 def test_edit_stream(spark, tmp_path):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from repoweave import __main__ as cli
 from repoweave.functions import prompts
 from repoweave.operators import editions as E
+from repoweave.sources import declarations as D
 from repoweave.sources import documents as J
 
 
@@ -43,6 +44,65 @@ def test_pages_are_made_once(spark):
     assert m.first() == E.metadata(new.repartition(3)).first() and m.first()["characters"] == 3
 
 
+def test_a_deep_tree_is_whole(spark):
+    tree = {}
+    for i in range(12, 0, -1):
+        tree = {f"l{i}": {"components": [str(i)], "children": tree}}
+    df = spark.createDataFrame([(1, json.dumps(tree))], "tree long, value string")
+    assert sorted(r["depth"] for r in J.module_rows(df).collect()) == list(range(1, 13))
+
+
+SOURCES = {
+    "a.py": ("python", 'import os\n\nclass Base(Root, metaclass=Meta):\n    """Says so."""\n    def run(self, x: Box, *rest, key=(1, 2)) -> Lid:\n        def inner():\n            return 1\n        from pkg.mod import thing\n        return self.helper(x) + os.path.join(x)\n\n    class Deep:\n        pass\n\ndef free(a, b=[1, 2]):\n    \'short\'\n    return Base(a)\n'),
+    "b.java": ("java", "import java.util.List;\npublic class Car extends Vehicle implements Wheeled, Driven<Road> {\n    public void go(Engine e, Map<String, Part> m) {\n        new Horn(e).blow();\n    }\n}\ninterface Wheeled {\n}\n"),
+    "c.ts": ("typescript", "export class View extends Panel implements Shown {\n}\nexport const load = (x: Item) => render(x)\nfunction draw(a: Shape) {\n  return new Brush(a)\n}\n"),
+    "d.rs": ("rust", "pub struct Tank {\n    a: u8,\n}\npub trait Swim: Move + Float {\n}\npub fn dive(t: &Tank) -> Depth {\n    water::sink(t)\n}\n"),
+    "e.cs": ("csharp", "public class Bird : Animal, IFly\n{\n    public void Sing(Song s)\n    {\n        Play(s);\n    }\n}\n"),
+    "f.rb": ("ruby", "class Dog < Pets::Animal\n  def bark(loud)\n    shout(loud)\n  end\nend\n"),
+    "g.go": ("go", "type Box struct {\n}\nfunc (b *Box) Open(k Key) error {\n\treturn unlock(k)\n}\n"),
+}
+
+
+def test_declarations_of_many_languages(spark):
+    files = spark.createDataFrame([(p, lang, t) for p, (lang, t) in SOURCES.items()], "relative_path string, language string, content string")
+    found = D.components(files)
+    got = {r["id"]: r for r in found.collect()}
+    assert set(got) == {
+        "a.py::Base", "a.py::Base.run", "a.py::Base.Deep", "a.py::free", "b.java::Car", "b.java::Car.go", "b.java::Wheeled", "c.ts::View", "c.ts::load", "c.ts::draw", "d.rs::Tank", "d.rs::Swim", "d.rs::dive", "e.cs::Bird", "e.cs::Bird.Sing",
+        "f.rb::Dog", "f.rb::Dog.bark", "g.go::Box", "g.go::Open",
+    }
+    assert {k: r["base_classes"] for k, r in got.items() if r["base_classes"]} == {
+        "a.py::Base": ["Root"], "b.java::Car": ["Driven", "Vehicle", "Wheeled"], "c.ts::View": ["Panel", "Shown"], "d.rs::Swim": ["Float", "Move"], "e.cs::Bird": ["Animal", "IFly"], "f.rb::Dog": ["Pets.Animal"],
+    }
+    params = {k: r["parameters"] for k, r in got.items() if r["parameters"]}
+    assert params == {
+        "a.py::Base.run": ["self", "x: Box", "*rest", "key=(1, 2)"], "a.py::free": ["a", "b=[1, 2]"], "b.java::Car.go": ["Engine e", "Map<String, Part> m"], "c.ts::load": ["x: Item"], "c.ts::draw": ["a: Shape"], "d.rs::dive": ["t: &Tank"],
+        "e.cs::Bird.Sing": ["Song s"], "f.rb::Dog.bark": ["loud"], "g.go::Open": ["k Key"],
+    }
+    assert (got["a.py::Base"]["docstring"], got["a.py::free"]["docstring"], got["a.py::Base.run"]["docstring"]) == ('"""Says so."""', "'short'", None)
+    spans = {k: (r["start_line"], r["end_line"], r["component_type"]) for k, r in got.items()}
+    assert spans["a.py::Base"] == (3, 12, "class") and spans["a.py::Base.run"] == (5, 9, "method") and spans["b.java::Car"] == (2, 6, "class") and spans["b.java::Car.go"] == (3, 5, "method")
+    assert spans["e.cs::Bird"] == (1, 7, "class") and spans["f.rb::Dog"] == (1, 5, "class") and spans["f.rb::Dog.bark"] == (2, 4, "method") and spans["c.ts::load"] == (3, 3, "function")
+    refs = {(r["owner"], r["name"], r["kind"]) for r in D.references(found).collect()}
+    assert {
+        ("a.py::Base.run", "self.helper", "call"), ("a.py::Base.run", "os.path.join", "call"), ("a.py::Base.run", "thing", "import"), ("a.py::Base.run", "Box", "type"), ("a.py::Base.run", "Lid", "type"), ("a.py::Base", "Root", "base"),
+        ("a.py::free", "Base", "call"), ("b.java::Car.go", "Horn", "call"), ("b.java::Car", "Vehicle", "base"), ("c.ts::draw", "Shape", "type"), ("d.rs::dive", "water::sink", "call"), ("d.rs::dive", "Tank", "type"), ("e.cs::Bird.Sing", "Play", "call"),
+        ("b.java::Car.go", "Engine", "type"),
+    } <= refs
+
+
+def test_outlines_and_contracts(spark):
+    data = [(1, ["b"], ["x.py::B", "lone"]), (1, ["a"], []), (1, ["a", "z"], ["x.py::K.m", "x.py::A", "y.py::C"]), (1, ["a", "c"], [])]
+    df = spark.createDataFrame(data, "tree long, path array<string>, ids array<string>")
+    assert prompts.outline(df, "z").first()["outline"] == "a\n  Children:\n    c\n    z (current module)\n      x.py: K.m, A\n      y.py: C\nb\n  lone\n  x.py: B"
+    assert prompts.outline(df, components=False).first()["outline"] == "a\n  Children:\n    c\n    z\nb"
+    assert len(prompts.CONTRACTS) == 14
+    prompts.checked("cluster", {"component_ids"})
+    for kind, given, scope in (("cluster", {"scope"}, "repo"), ("cluster", {"component_ids"}, "module"), ("user", {"module_name", "module_tree"}, "repo"), ("routing_user", {"orphans"}, "repo"), ("stale_fix_system", {"page"}, "repo"), ("none", set(), "repo")):
+        with pytest.raises(ValueError):
+            prompts.checked(kind, given, scope)
+
+
 def test_prompts_are_strict(spark):
     df = spark.createDataFrame([("N" * 50, "R")], "n string, r string")
     out = prompts.rendered("{name} in {region}", {"name": F.col("n"), "region": F.col("r")}, "name", 20)

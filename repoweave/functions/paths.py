@@ -9,31 +9,42 @@ from pyspark.sql import functions as F
 
 #: Languages by file extension.
 LANGUAGES = {
-    "python": "py pyx", "java": "java", "javascript": "js jsx mjs", "typescript": "ts tsx", "go": "go", "rust": "rs", "c": "c h", "cpp": "cc cpp cxx c++ hpp hxx h++",
-    "csharp": "cs", "kotlin": "kt kts", "php": "php phtml inc", "ruby": "rb rake", "scala": "scala sc",
-}
+    "python": ("py", "pyx"),
+    "java": ("java",),
+    "javascript": ("js", "jsx", "mjs"),
+    "typescript": ("ts", "tsx"),
+    "go": ("go",),
+    "rust": ("rs",),
+    "c": ("c", "h"),
+    "cpp": ("cc", "cpp", "cxx", "c++", "hpp", "hxx", "h++"),
+    "csharp": ("cs",),
+    "kotlin": ("kt", "kts"),
+    "php": ("php", "phtml", "inc"),
+    "ruby": ("rb", "rake"),
+    "scala": ("scala", "sc"),
+}
 #: Folders that are never walked.
 EXCLUDED_DIRS = (".git", ".state", "target", "node_modules", ".venv", "venv", ".tox", "dist", "build", "vendor", "coverage", "__pycache__")
 
 #: Artifact classes in order, with file names, starts of file names, ends of paths and parts of paths.
 ARTIFACT_RULES = (
-    ("container", "dockerfile", "dockerfile.", "", "/docker/"),
-    ("ci", "", "", ".github/workflows", ".github/workflows/ gitlab-ci"),
-    ("manifest", "cargo.toml go.mod pyproject.toml package.json pom.xml build.gradle setup.py", "", "", ""),
-    ("build", "makefile justfile rakefile build.gradle gradlew setup.cfg", "", "", ""),
-    ("schema", "", "", ".sql", "/schema /migrations/"),
-    ("config", "", "config.", ".env.example", "/config"),
-    ("script", "", "", ".sh", "/scripts/ /bin/"),
-    ("test_infra", "", "", "", "/test /fixtures/"),
-    ("packaging", "cargo.lock go.sum requirements.txt poetry.lock package-lock.json yarn.lock pnpm-lock.yaml", "", "", ""),
+    ("container", ("dockerfile",), ("dockerfile.",), (), ("/docker/",)),
+    ("ci", (), (), (".github/workflows",), (".github/workflows/", "gitlab-ci")),
+    ("manifest", ("cargo.toml", "go.mod", "pyproject.toml", "package.json", "pom.xml", "build.gradle", "setup.py"), (), (), ()),
+    ("build", ("makefile", "justfile", "rakefile", "build.gradle", "gradlew", "setup.cfg"), (), (), ()),
+    ("schema", (), (), (".sql",), ("/schema", "/migrations/")),
+    ("config", (), ("config.",), (".env.example",), ("/config",)),
+    ("script", (), (), (".sh",), ("/scripts/", "/bin/")),
+    ("test_infra", (), (), (), ("/test", "/fixtures/")),
+    ("packaging", ("cargo.lock", "go.sum", "requirements.txt", "poetry.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml"), (), (), ()),
 )
 #: Roles in order, with the words that a module's name has.
 ROLES = (
-    ("state", "storage database state"),
-    ("interface", "protocol api client server"),
-    ("execution", "execution runtime pipeline interpreter"),
-    ("support", "build test release packag"),
-    ("integration", "network integration"),
+    ("state", ("storage", "database", "state")),
+    ("interface", ("protocol", "api", "client", "server")),
+    ("execution", ("execution", "runtime", "pipeline", "interpreter")),
+    ("support", ("build", "test", "release", "packag")),
+    ("integration", ("network", "integration")),
 )
 
 
@@ -114,7 +125,7 @@ def skipped(path: Column, include: list[str] = (), exclude: list[str] = (), focu
 
 def language(path: Column) -> Column:
     """The language of a file by its extension, or null."""
-    known = F.create_map(*[F.lit(x) for name, ends in LANGUAGES.items() for e in ends.split() for x in (e, name)])
+    known = F.create_map(*[F.lit(x) for name, ends in LANGUAGES.items() for e in ends for x in (e, name)])
     name = file_name(path)
     return F.try_element_at(known, F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise(F.lit("")))
 
@@ -125,12 +136,12 @@ def artifact_class(path: Column) -> Column:
     name = file_name(low)
     out = F.lit(None).cast("string")
     for kind, names, starts, ends, parts in reversed(ARTIFACT_RULES):
-        hit = name.isin(*names.split()) if names else F.lit(False)
-        for x in starts.split():
+        hit = name.isin(*names) if names else F.lit(False)
+        for x in starts:
             hit = hit | name.startswith(x)
-        for x in ends.split():
+        for x in ends:
             hit = hit | low.endswith(x)
-        for x in parts.split():
+        for x in parts:
             hit = hit | low.contains(x)
         out = F.when(hit, kind).otherwise(out)
     return out
@@ -155,6 +166,30 @@ def is_page_segment(value: Column) -> Column:
     return value.rlike("^(?!.*__)[a-z0-9](?:[a-z0-9_-]*[a-z0-9])?$")
 
 
+def is_module_name(value: Column) -> Column:
+    """ASCII letters, digits, _ and -, and in lower case a page's segment."""
+    return value.rlike("^[A-Za-z0-9_-]+$") & is_page_segment(F.lower(value))
+
+
+def is_wiki_id(value: Column) -> Column:
+    """Segments of pages with colons between them."""
+    return F.forall(F.split(value, ":"), is_page_segment)
+
+
+def is_session_id(value: Column) -> Column:
+    return value.rlike("^[A-Za-z0-9_-]{1,64}$")
+
+
+def is_change_id(value: Column) -> Column:
+    """Two full hashes of one length with .. between them."""
+    return value.rlike(r"^(?:[0-9A-Fa-f]{40}\.\.[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}\.\.[0-9A-Fa-f]{64})$")
+
+
+def is_safe_path(value: Column) -> Column:
+    """Relative, and nowhere up."""
+    return ~value.startswith("/") & ~F.array_contains(F.split(value, "/"), "..")
+
+
 def page_id(wiki: str, path: Column) -> Column:
     """The page of a module's path (an array of names); null if a name can't be in a page id."""
     names = F.transform(path, lambda s: F.lower(s))
@@ -168,13 +203,12 @@ def page_file(page: Column) -> Column:
 
 def edition_id(change: Column) -> Column:
     """The edition of a change, two full hashes with .. between them; null for others."""
-    good = change.rlike(r"^(?:[0-9A-Fa-f]{40}\.\.[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}\.\.[0-9A-Fa-f]{64})$")
-    return F.when(good, F.concat(F.lit("change_"), F.sha2(F.lower(change), 256)))
+    return F.when(is_change_id(change), F.concat(F.lit("change_"), F.sha2(F.lower(change), 256)))
 
 
 def role(module: Column) -> Column:
     """What a module does, by the first group of words of which its name has one."""
     low, out = F.lower(module), F.lit("subsystem")
     for name, words in reversed(ROLES):
-        out = F.when(low.rlike(words.replace(" ", "|")), name).otherwise(out)
+        out = F.when(low.rlike("|".join(words)), name).otherwise(out)
     return out

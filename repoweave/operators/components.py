@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pages import token_estimate
@@ -13,6 +13,33 @@ OOP_TYPES = ("class", "record", "interface", "struct", "enum", "trait", "union",
 REDUCTION, ENOUGH_TYPES, TYPE_SHARE = 400, 20, 0.2
 
 
+#: Names that are no component's in any language, and in single ones.
+BUILTINS = (
+    "if", "else", "for", "while", "switch", "catch", "return", "throw", "try", "finally", "new", "self", "this", "super", "true", "false", "null", "nil", "None", "Some", "Ok", "Err", "Option", "Result", "String",
+    "Integer", "Boolean", "Object", "Exception", "println", "print", "len", "make", "append", "require", "include", "raise", "to_s",
+)
+_JVM = ("int", "long", "float", "double", "char", "void", "Int", "Long", "Float", "Double", "Char", "Boolean", "Unit", "Any", "Nothing", "String")
+BUILTINS_OF = {
+    "python": ("list", "dict", "set", "tuple", "int", "str"),
+    "go": ("byte", "rune", "error", "complex64", "complex128"),
+    "rust": ("Vec", "Box", "Arc", "Rc", "Result"),
+    "c": ("size_t", "NULL"),
+    "cpp": ("size_t", "NULL"),
+    "java": _JVM,
+    "csharp": _JVM,
+    "kotlin": _JVM,
+}
+
+
+def is_builtin(language: Column, name: Column) -> Column:
+    """Whether a name's last part is one of the language or of any."""
+    last = F.element_at(F.split(name, "[.:]"), -1)
+    out = last.isin(*BUILTINS)
+    for lang, names in BUILTINS_OF.items():
+        out = out | ((language == lang) & last.isin(*names))
+    return F.coalesce(out, F.lit(False))
+
+
 def unique_matches(references: DataFrame, names: DataFrame, keys: list[str], ref: str = "ref", own: str = "owner") -> DataFrame:
     """references (ref, owner, keys), names (id, keys) -> ref, target: the only other id under the reference's keys.
 
@@ -91,9 +118,9 @@ def candidates(components: DataFrame, edges: DataFrame, reduction: int = REDUCTI
     return marked.where("used is null or not many").select("id")
 
 
-def without_builtins(references: DataFrame, builtins: DataFrame) -> DataFrame:
-    """references (name) without those whose last part is a built-in name (builtins: name)."""
-    return references.withColumn("_last", F.element_at(F.split("name", r"::|\."), -1)).join(builtins.select(F.col("name").alias("_last")), "_last", "left_anti").drop("_last")
+def without_builtins(references: DataFrame) -> DataFrame:
+    """references (language, name) without those to built-in names."""
+    return references.where(~is_builtin(F.col("language"), F.col("name")))
 
 
 def referrers(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -64,33 +64,56 @@ def orphan_locks(locks: DataFrame, sessions: DataFrame) -> DataFrame:
     return locks.join(sessions.select("id"), "id", "left_anti")
 
 
-def edited(text: str, history: list[str], op: dict) -> tuple[str, list[str], str]:
+def edited(text: str, history: list[list], op: dict) -> tuple[str, list[list], str]:
     """One operation on a page: (text, history, outcome).
 
     replace: `old` must be there exactly once; insert: `new` before line `line`,
-    clamped; undo: the text before the last change.
+    clamped; undo: the text before the last change. The history has what takes
+    each change back, not the texts: place, old and new text, or the lines that
+    came in.
     """
     if op["kind"] == "undo":
-        return (history[-1], history[:-1], "undone") if history else (text, history, "nothing to undo")
+        if not history:
+            return text, history, "nothing to undo"
+        *rest, last = history
+        if last[0] == "insert":
+            lines = text.split("\n")
+            return "\n".join([*lines[: last[1]], *lines[last[1] + last[2] :]]), rest, "undone"
+        return text[: last[1]] + last[2] + text[last[1] + last[3] :], rest, "undone"
     if op["kind"] == "insert":
-        lines = text.split("\n")
+        lines, new = text.split("\n"), op["new"] or ""
         at = min(max(int(op["line"] or 0), 0), len(lines))
-        return "\n".join([*lines[:at], op["new"], *lines[at:]]), [*history, text], "inserted"
+        return "\n".join([*lines[:at], new, *lines[at:]]), [*history, ["insert", at, new.count("\n") + 1]], "inserted"
     n = text.count(op["old"]) if op["old"] else 0
     if n != 1:
         return text, history, "not found" if n == 0 else "not unique"
-    return text.replace(op["old"], op["new"]), [*history, text], "replaced"
+    at, new = text.index(op["old"]), op["new"] or ""
+    return text[:at] + new + text[at + len(op["old"]) :], [*history, ["replace", at, op["old"], len(new)]], "replaced"
 
 
-def _folded(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    text, history, done = "", [], 0
-    for part in parts:
-        for op in part.sort_values("seq", kind="stable").to_dict("records"):
+_PAGE = "page string, content string, applied long, undoable long"
+
+
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Operations in order, page by page -> a row for each page; a batch's rows are held, not a page's log."""
+    page, text, history, done = None, None, [], 0
+    row = lambda: pd.DataFrame({"page": [page], "content": [text], "applied": [done], "undoable": [len(history)]})
+    for batch in batches:
+        for op in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+            if text is None or op["page"] != page:
+                if text is not None:
+                    yield row()
+                page, text, history, done = op["page"], "", [], 0
             text, history, outcome = edited(text, history, op)
             done += outcome in ("replaced", "inserted", "undone")
-    yield pd.DataFrame({"page": [key[0]], "content": [text], "applied": [done], "undoable": [len(history)]})
+    if text is not None:
+        yield row()
 
 
 def edit_log(operations: DataFrame) -> DataFrame:
-    """operations (page, seq, kind, old, new, line) -> page, content, applied, undoable: each page's text after its log."""
-    return operations.groupBy("page").applyInPandas(lambda key, rows: next(_folded(key, iter([rows]))), "page string, content string, applied long, undoable long")
+    """operations (page, seq, kind, old, new, line) -> page, content, applied, undoable: each page's text after its log.
+
+    Equal numbers go by the operations' other columns; a null page is one, too.
+    """
+    ordered = operations.select(F.col("page").cast("string"), "seq", "kind", "old", "new", "line").repartition("page").sortWithinPartitions("page", "seq", "kind", "old", "new", "line")
+    return ordered.mapInPandas(_folded, _PAGE)

@@ -73,8 +73,17 @@ WITH {_PARTS}, {_POLICY}, wanted AS (SELECT id FROM parts, decided WHERE compone
 used AS (SELECT 'p' || o_orderkey AS callee FROM orders JOIN parts ON parts.id = 'p' || o_custkey WHERE component_type <> 'artifact')
 SELECT id FROM wanted WHERE (SELECT count(*) FROM wanted) < 400 OR id NOT IN (SELECT callee FROM used)""",
     "builtin_filter": """
-WITH b AS (SELECT lower(split_part(r_name, ' ', 1)) AS name FROM region UNION SELECT split_part(p_name, ' ', 1) FROM part WHERE p_partkey < 3)
-SELECT p_partkey AS ref, p_brand || '.' || split_part(p_name, ' ', 1) AS name FROM part WHERE split_part(p_name, ' ', 1) NOT IN (SELECT name FROM b)""",
+WITH r AS (SELECT l_orderkey, l_linenumber, ['python', 'go', 'rust', 'c', 'java', 'ruby', 'kotlin'][l_suppkey % 7 + 1] AS language, ['len', 'list', 'Vec', 'rune', 'size_t', 'Int', 'run', 'Box', 'to_s', 'error', 'Boolean', 'main'][l_partkey % 12 + 1] AS last, l_suppkey FROM lineitem)
+SELECT l_orderkey, l_linenumber, language, CASE WHEN l_suppkey % 2 = 0 THEN 'pkg.' ELSE 'm::' END || last AS name FROM r
+WHERE last NOT IN ('len', 'to_s', 'Boolean') AND NOT (language = 'python' AND last = 'list') AND NOT (language = 'go' AND last IN ('rune', 'error')) AND NOT (language = 'rust' AND last IN ('Vec', 'Box'))
+  AND NOT (language = 'c' AND last = 'size_t') AND NOT (language IN ('java', 'kotlin') AND last = 'Int')""",
+    "id_checks": r"""
+WITH p AS (SELECT page_id, url, sha1(url) AS a, sha1(html) AS b, sha256(url) AS c FROM pages),
+t AS (SELECT page_id, unnest(range(0, 11)) AS i, unnest([url, a || '..' || b, a || '..' || c, regexp_extract(url, '^[^:]+://([^/]*)', 1), regexp_replace(url, '^[^:]+://', ''), substr(a, 1, 7), '_' || a, c, c || '-x', 'wiki:' || substr(a, 1, 3), 'x/../' || a]) AS value FROM p)
+SELECT *, regexp_full_match(value, '[A-Za-z0-9_-]+') AND regexp_full_match(lower(value), '[a-z0-9]|[a-z0-9][a-z0-9_-]*[a-z0-9]') AND NOT contains(value, '__') AS module,
+  len(list_filter(string_split(value, ':'), lambda x: NOT (regexp_full_match(x, '[a-z0-9]|[a-z0-9][a-z0-9_-]*[a-z0-9]') AND NOT contains(x, '__')))) = 0 AS wiki,
+  regexp_full_match(value, '[A-Za-z0-9_-]{1,64}') AS session, regexp_full_match(value, '[0-9A-Fa-f]{40}\.\.[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}\.\.[0-9A-Fa-f]{64}') AS change,
+  NOT starts_with(value, '/') AND NOT list_contains(string_split(value, '/'), '..') AS path FROM t""",
     "referrers": f"WITH {_PARTS}, {_CALLS} SELECT DISTINCT callee AS id, caller AS referrer FROM calls JOIN parts ON parts.id = callee WHERE component_type = 'artifact'",
     "artifact_units": "SELECT 'c' || conv_id || '/Makefile' AS path, role || '_' || turn AS unit FROM conversations",
     "path_glob_filter": rf"""
@@ -206,13 +215,13 @@ SELECT page, id, contains(content, id) OR len(list_filter(string_split(content,
     "scoped_search": r"""
 WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: lower(t)), lambda t: t IN ('the', 'with')) AS h FROM documents WHERE lang = 'en')
 SELECT doc_id AS page, len(h) AS hits FROM w WHERE len(list_distinct(h)) = 2""",
-    "search_index": f"""
+    "search_index": rf"""
 WITH t AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda t: lower(t))) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS pages, count(*) AS n FROM t GROUP BY term""",
     "html_export": rf"""
 WITH p AS (SELECT page_id, url, {_TITLE} AS t FROM pages), q AS (SELECT page_id, url AS u, {_ESCAPE.format("CASE WHEN t = '' THEN url ELSE t END")} AS e FROM p)
 SELECT 'wiki:p' || page_id AS page, 'wiki/' || u AS position, '  <a href="#page-wiki-p' || page_id || '">' || e || '</a>' AS nav,
-  '<section id="page-wiki-p' || page_id || '"><h1>' || e || '</h1><p>' || {_ESCAPE.format("regexp_replace('=== ' || regexp_extract(html, '<title>([^<\\n]*)', 1) || ' ===', '%%.*?%%|.*?|\\*\\*|//|__|~~|<[A-Za-z/][^>\\n]*>', '', 'g') || chr(10) || 'b & c ' || chr(10) || trim(regexp_replace(html, '[^\\pL\\pN ]+', ' ', 'g'), ' ')")} || '</p></section>' AS section FROM q JOIN pages USING (page_id)""",
+  '<section id="page-wiki-p' || page_id || '"><h1>' || e || '</h1><p>' || {_ESCAPE.format("regexp_replace('=== ' || regexp_extract(html, '<title>([^<\\n]*)', 1) || ' ===', '%%.*?%%|''''.*?''''|\\*\\*|//|__|~~|<[A-Za-z/][^>\\n]*>', '', 'g') || chr(10) || 'b & c ' || chr(10) || trim(regexp_replace(html, '[^\\pL\\pN ]+', ' ', 'g'), ' ')")} || '</p></section>' AS section FROM q JOIN pages USING (page_id)""",
     "prompt_render": f"""
 WITH p AS (SELECT c_custkey, 'Document ' || c_name || ' in ' || n_name || '/' || c_mktsegment || '. ' || c_name || ' is a leaf.' AS prompt FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT *, sha256(prompt) AS sha, length(prompt) AS chars FROM p""",

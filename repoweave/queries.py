@@ -103,10 +103,12 @@ def leaf_demotion(s, d):
 
 
 def builtin_filter(s, d):
-    """2.3: references whose last name isn't built in."""
-    builtins = T(s, d, "region").select(F.lower(F.split("r_name", " ")[0]).alias("name")).union(T(s, d, "part").where("p_partkey < 3").select(F.split("p_name", " ")[0].alias("name"))).distinct()
-    refs = T(s, d, "part").select(F.col("p_partkey").alias("ref"), F.concat_ws(".", "p_brand", F.split("p_name", " ")[0]).alias("name"))
-    return C.without_builtins(refs, builtins)
+    """2.3: references whose last name isn't built in; parts refer to names of all kinds in all languages."""
+    names = ("len", "list", "Vec", "rune", "size_t", "Int", "run", "Box", "to_s", "error", "Boolean", "main")
+    languages = ("python", "go", "rust", "c", "java", "ruby", "kotlin")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(i, F.lit(len(values))) + 1).cast("int"))
+    line = T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.when(F.col("l_suppkey") % 2 == 0, "pkg.").otherwise("m::"), pick(names, F.col("l_partkey"))).alias("name"), pick(languages, F.col("l_suppkey")).alias("language"))
+    return C.without_builtins(line).select("l_orderkey", "l_linenumber", "language", "name")
 
 
 def referrers(s, d):
@@ -169,6 +171,15 @@ def safe_ids(s, d):
     return T(s, d, "pages").select("page_id", P.safe_name(c).alias("safe_name"), P.safe_id(c).alias("safe_id"), P.source_file_name(c).alias("source_file"), P.edition_id(change).alias("edition"), P.is_page_segment(F.regexp_extract("url", "/([a-z]+)/", 1)).alias("segment"))
 
 
+def id_checks(s, d):
+    """2.3: whether texts can be modules, wikis, sessions, changes and safe paths; URLs, their parts and hashes of pages are tried."""
+    p = T(s, d, "pages").select("page_id", "url", F.sha1("url").alias("a"), F.sha1("html").alias("b"), F.sha2("url", 256).alias("c"))
+    tried = F.array("url", F.concat_ws("..", "a", "b"), F.concat_ws("..", "a", "c"), F.regexp_extract("url", "^[^:]+://([^/]*)", 1), F.regexp_replace("url", "^[^:]+://", ""), F.substring("a", 1, 7), F.concat(F.lit("_"), "a"), "c", F.concat("c", F.lit("-x")), F.concat_ws(":", F.lit("wiki"), F.substring("a", 1, 3)), F.concat(F.lit("x/../"), "a"))
+    rows = p.select("page_id", F.posexplode(tried).alias("i", "value")).select("page_id", F.col("i").cast(_L).alias("i"), "value")
+    v = F.col("value")
+    return rows.withColumns({"module": P.is_module_name(v), "wiki": P.is_wiki_id(v), "session": P.is_session_id(v), "change": P.is_change_id(v), "path": P.is_safe_path(v)})
+
+
 def page_ids(s, d):
     """2.9: page ids of modules; a path with a name that can't be one has none."""
     return _tree_rows(s, d).select("id", P.page_id("wiki", F.col("path")).alias("page")).withColumn("file", P.page_file(F.col("page")))
@@ -693,7 +704,7 @@ path_glob_filter artifact_classes language_counts class_cap_and_budget safe_ids
 claims super_groups tree_quality review_check khop_upstream diagram_paths target_subtree snapshot_diff change_ratios active_set rename_pairs neighbour_majority write_sets verdicts
 hunk_overlap edge_set_operations prose_counts headings truncation token_estimate_oversized link_extract broken_links page_differences unlinked_children page_id_collisions grounding
 page_scores report_rollup diagram_quality scoped_search search_index html_export prompt_render session_prune orphan_locks edit_log_fold
-id_differences component_listing claim_problems applied_clusters update_plan ancestor_sets applied_routes stale_scan report_contexts tree_outline"""
+id_differences component_listing id_checks claim_problems applied_clusters update_plan ancestor_sets applied_routes stale_scan report_contexts tree_outline"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

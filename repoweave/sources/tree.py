@@ -1,4 +1,4 @@
-"""A source tree as rows: one task for each top folder walks it, and files are read where they are listed."""
+"""A source tree as rows: folders are dealt to tasks, and files are read where they are listed."""
 
 from __future__ import annotations
 
@@ -11,7 +11,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import paths as P
 
-_SCHEMA = "relative_path string, size long, content string"
+_SCHEMA = "relative_path string, size long, content string, link boolean"
+#: Folders are taken apart, level by level, until there are so many tasks.
+_TASKS = 64
 
 
 class _Folder(InputPartition):
@@ -25,24 +27,30 @@ class _TreeReader(DataSourceReader):
         self.skip = set(options.get("skipdirs", ",".join(P.EXCLUDED_DIRS)).split(","))
 
     def partitions(self) -> list[InputPartition]:
-        """The root's own files, and each folder below it."""
-        folders = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name not in self.skip)
-        return [_Folder("", False), *[_Folder(f, True) for f in folders]]
+        """Folders with all below them; those that were taken apart have a task for their own files."""
+        whole, own = [""], []
+        while whole and len(whole) + len(own) < _TASKS:
+            own += whole
+            whole = sorted(os.path.join(f, e.name) for f in whole for e in os.scandir(os.path.join(self.root, f)) if e.is_dir(follow_symlinks=False) and e.name not in self.skip)
+        return [*(_Folder(f, False) for f in own), *(_Folder(f, True) for f in whole)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """Regular files with their text, and links without one."""
         folder, deep = partition.value
         for at, dirs, names in os.walk(os.path.join(self.root, folder)):
             dirs[:] = sorted(d for d in dirs if d not in self.skip) if deep else []
             for name in sorted(names):
                 path = os.path.join(at, name)
-                if os.path.islink(path) or not os.path.isfile(path):
+                relative = os.path.relpath(path, self.root).replace(os.sep, "/")
+                if os.path.islink(path):
+                    yield relative, None, None, True
                     continue
                 try:
                     with open(path, encoding="utf-8", newline="") as f:
                         text = f.read()
                 except (OSError, UnicodeDecodeError):  # unreadable files and such that aren't UTF-8 are left out
                     continue
-                yield os.path.relpath(path, self.root).replace(os.sep, "/"), os.path.getsize(path), text
+                yield relative, os.path.getsize(path), text, False
 
 
 class SourceTree(DataSource):
@@ -62,14 +70,14 @@ class SourceTree(DataSource):
 def files(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), focus: list[str] = ()) -> DataFrame:
     """The files of a tree that a walk takes: relative_path, size, content, language, class."""
     spark.dataSource.register(SourceTree)
-    rows = spark.read.format("source_tree").load(root)
+    rows = spark.read.format("source_tree").load(root).where("not link").drop("link")
     path = F.col("relative_path")
     return rows.where(~P.skipped(path, include, exclude, focus)).withColumns({"language": P.language(path), "class": P.artifact_class(path)})
 
 
 def pages(spark: SparkSession, root: str) -> DataFrame:
-    """The .txt files of a page folder: page, content, canonical."""
+    """The .txt files of a page folder: page, content, canonical, link. A link isn't read and isn't canonical."""
     spark.dataSource.register(SourceTree)
     rows = spark.read.format("source_tree").load(root).where("relative_path like '%.txt'")
     bare = F.regexp_replace("relative_path", r"\.txt$", "")
-    return rows.select(F.replace(bare, F.lit("/"), F.lit(":")).alias("page"), "content", F.forall(F.split(bare, "/"), P.is_page_segment).alias("canonical"))
+    return rows.select(F.replace(bare, F.lit("/"), F.lit(":")).alias("page"), "content", (~F.col("link") & F.forall(F.split(bare, "/"), P.is_page_segment)).alias("canonical"), "link")

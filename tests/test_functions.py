@@ -53,6 +53,8 @@ def test_paths(spark):
 
 def test_page_ids(spark):
     assert one(spark, P.page_id("w", F.col("p")), p=["Core", "Io-1"]) == "w:core:io-1:start"
+    assert one(spark, F.array(P.is_session_id(F.col("t")), P.is_change_id(F.col("t")), P.is_safe_path(F.col("t")), P.is_wiki_id(F.col("t")), P.is_module_name(F.col("t"))), t="a" * 40 + ".." + "B" * 40) == [False, True, True, False, False]
+    assert one(spark, F.array(P.is_safe_path(F.lit("/x")), P.is_safe_path(F.lit("a/../b")), P.is_safe_path(F.col("t")), P.is_module_name(F.col("t")), P.is_session_id(F.col("t"))), t="a..b") == [False, False, True, False, False]
     for bad in (["_x"], ["a__b"], ["ä"], ["a b"], []):
         assert one(spark, P.page_id("w", F.col("p")), p=bad) is None
 
@@ -60,8 +62,9 @@ def test_page_ids(spark):
 def test_pages(spark):
     text = "== One ==\nsome words here\n  code line\n* item\n<code>x y</code> 漢字 tail\n=== odd ==\n"
     assert one(spark, X.headings(F.col("t")), t=text) == ["one"]
-    assert one(spark, X.prose_words(F.col("t")), t=text) == 3 + 1 + 1
-    assert one(spark, X.prose_cjk(F.col("t")), t=text) == 2
+    assert tuple(one(spark, X.prose_counts(F.col("t")), t=text)) == (3 + 1 + 1, 2)
+    assert tuple(one(spark, X.prose_counts(F.col("t")), t="a <code>\nhidden\n</code> b\n<nowiki> c\nnever closed")) == (2, 0)
+    assert one(spark, X.visible(F.col("t")), t="[[a|b c]] [[d]] ''e'' %%f%% **g** //h// <sub>i</sub> 1 < 2") == "b c d   g h i 1 < 2"
     assert one(spark, X.wiki_links(F.col("t")), t="[[a:b|x]] [[c#d]] <code>[[no]]</code>") == ["a:b", "c"]
     assert one(spark, X.escaped(F.col("t")), t="<a & 'b'>") == "&lt;a &amp; &#39;b&#39;&gt;"
     assert one(spark, X.unquoted(F.col("t")), t="a%20b+c") == "a b+c"
@@ -69,4 +72,4 @@ def test_pages(spark):
     cut = one(spark, X.truncated(F.col("t"), 100), t=long)
     assert len(cut) == 400 and X.MARKER in cut
     assert one(spark, X.truncated(F.col("t"), 3), t=long) == "x" * 12
-    assert one(spark, X.is_generic_label(F.col("t")), t="Module 1") and not one(spark, X.is_generic_label(F.col("t")), t="Parser")
+    assert one(spark, X.is_generic_label(F.col("t")), t=" Module!") and not one(spark, X.is_generic_label(F.col("t")), t="Parser")

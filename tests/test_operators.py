@@ -43,6 +43,12 @@ def test_candidates_below_the_threshold_stay(spark):
     assert rows(C.candidates(comps, edges, reduction=2)) == [("a",)]
 
 
+def test_builtin_names(spark):
+    names = [("python", "a.list"), ("go", "list"), ("rust", "std::Vec"), ("java", "Int"), (None, "self"), (None, "Int"), ("c", "x.NULL"), ("ruby", "to_s")]
+    df = spark.createDataFrame(names, "language string, name string")
+    assert sorted(r["name"] for r in C.without_builtins(df).collect()) == ["Int", "list"]
+
+
 def test_artifact_units(spark):
     data = [("package.json", "manifest", '{"scripts":{"b":"x","a":"y"}}'), ("Makefile", "build", "all: x\n\ty\nall:\nz-1 :\n"), ("Dockerfile", "container", "FROM a\nRUN x\nFROM b AS c\n"), (".github/workflows/c.yml", "ci", "jobs:\n  test:\n    x: 1\n"), ("x", "script", "")]
     assert rows(C.artifact_units(spark.createDataFrame(data, "path string, class string, content string"))) == [(".github/workflows/c.yml", "test"), ("Dockerfile", "stage_1"), ("Dockerfile", "stage_2"), ("Makefile", "all"), ("Makefile", "z-1"), ("package.json", "a"), ("package.json", "b")]
@@ -278,6 +284,33 @@ def test_edit_log(spark):
     assert got == {"p": ("one\n\ntwo", 4, 2), "q": ("", 0, 0)}
 
 
+def test_undo_goes_back_through_all_changes(spark):
+    import random
+
+    chance = random.Random(2)
+    ops, want = [], {}
+    for page in ("p", "q", None):
+        text, past = "", []
+        for seq in range(60):
+            kind, new, line = chance.choice(["insert", "insert", "replace", "undo"]), chance.choice(["a", "b\nc", "xy", ""]), chance.randint(-1, 5)
+            old = chance.choice(["a", "b", "xy", "zz"])
+            ops.append((page, seq, kind, old, new, line))
+            if kind == "undo":
+                text = past.pop() if past else text
+            elif kind == "insert":
+                lines = text.split("\n")
+                at = min(max(line, 0), len(lines))
+                past.append(text)
+                text = "\n".join([*lines[:at], new, *lines[at:]])
+            elif text.count(old) == 1:
+                past.append(text)
+                text = text.replace(old, new)
+        want[page] = (text, len(past))
+    chance.shuffle(ops)
+    df = spark.createDataFrame(ops, "page string, seq long, kind string, old string, new string, line long").repartition(3)
+    assert {r["page"]: (r["content"], r["undoable"]) for r in O.edit_log(df).collect()} == want
+
+
 def test_sessions(spark):
     now = datetime(2024, 1, 1, tzinfo=UTC)
     data = [(i, "u", now - timedelta(minutes=i)) for i in range(30)] + [(99, "v", now - timedelta(hours=3))]

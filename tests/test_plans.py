@@ -31,7 +31,13 @@ def test_page_source(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/start.txt").write_text("x")
     (tmp_path / "a/_B.txt").write_text("y")
-    assert sorted(tuple(r) for r in tree.pages(spark, str(tmp_path)).collect()) == [("a:_B", "y", False), ("a:start", "x", True)]
+    (tmp_path / "a/tie.txt").symlink_to(tmp_path / "a/start.txt")
+    deep = tmp_path / "b/c/d/e/f"
+    deep.mkdir(parents=True)
+    (deep / "low.txt").write_text("z")
+    assert sorted(tuple(r)[0::2] for r in tree.pages(spark, str(tmp_path)).collect()) == [("a:_B", False), ("a:start", True), ("a:tie", False), ("b:c:d:e:f:low", True)]
+    assert {r["page"]: r["content"] for r in tree.pages(spark, str(tmp_path)).where("not link").collect()} == {"a:_B": "y", "a:start": "x", "b:c:d:e:f:low": "z"}
+    assert sum(r["relative_path"].endswith(".txt") for r in tree.files(spark, str(tmp_path)).collect()) == 3
 
 
 def test_update_plan(spark):

@@ -35,6 +35,23 @@ _WIKI = r"""lines AS (
 kinds AS (SELECT doc_id, source, i, trim(raw, ' ') AS x, CASE WHEN trim(raw, ' ') = '' THEN NULL ELSE length(trim(raw, ' ')) % 11 END AS kind FROM lines),
 spoken AS (SELECT *, len(regexp_extract_all(x, '[\p{L}\p{N}]+'))::BIGINT AS n FROM kinds),
 prose AS (SELECT doc_id, sum(CASE WHEN kind = 5 THEN n + 3 WHEN kind = 6 THEN 1 WHEN kind >= 8 THEN n ELSE 0 END)::BIGINT AS words, (3 * count(*) FILTER (kind = 5))::BIGINT AS cjk FROM spoken GROUP BY doc_id)"""
+_SCORED = rf"""{_WIKI},
+areas AS (SELECT doc_id, string_agg(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '|') FILTER (kind = 0) AS h, count(*) FILTER (kind = 5) AS links, count(*) FILTER (kind = 6) AS drawn,
+  coalesce(bool_or(contains(x, 'design')), false) AS a_design, coalesce(bool_or(contains(x, 'zz')), false) AS a_zz, bool_and(x = '') AS blank FROM kinds GROUP BY doc_id),
+d AS (SELECT doc_id AS k, source, text FROM documents),
+joined AS (SELECT k AS page, k % 2 = 0 AS leaf, k % 10 = 1 AS overview, k % 4 = 0 AS tail, links, a_design OR a_zz AS second, blank AND k % 3 = 2 AND k % 4 <> 0 AS is_empty,
+  coalesce(h, '') || '|' || CASE k % 3 WHEN 0 THEN 'purpose and scope' WHEN 1 THEN 'design|error handling' ELSE '' END AS h, drawn + (k % 4 = 0)::INT AS blocks, cjk,
+  words + CASE WHEN k % 4 = 0 THEN len(regexp_extract_all('see ' || source || '/a.py and Main', '[\p{{L}}\p{{N}}_]+')) ELSE 0 END AS words
+  FROM d JOIN areas ON areas.doc_id = k JOIN prose ON prose.doc_id = k),
+marked AS (SELECT *, cjk > words AS is_cjk, greatest(cjk, words)::BIGINT AS prose,
+  (regexp_matches(h, 'purpose|scope|role|目的|职责|作用|范围|简介')::INT + regexp_matches(h, 'architecture|design|data flow|dataflow|dependencies|execution|lifecycle|component interaction|behavior|behaviour|架构|设计|数据流|流程|执行|生命周期|依赖|组件交互|行为|运行')::INT
+  + regexp_matches(h, 'responsibilities|interfaces|usage|error|responsibility|职责|接口|使用|错误|异常|状态|能力|实现')::INT)::BIGINT AS areas, (tail::INT + second::INT)::BIGINT AS grounded FROM joined),
+floors AS (SELECT *, CASE WHEN leaf THEN CASE WHEN is_cjk THEN 500 ELSE 150 END ELSE CASE WHEN is_cjk THEN 700 ELSE 200 END END::BIGINT AS floor FROM marked),
+errs AS (SELECT *, list_filter([CASE WHEN is_empty THEN 'empty' END, CASE WHEN prose < floor THEN 'short' END, CASE WHEN grounded < 2 THEN 'ungrounded' END, CASE WHEN areas < 2 THEN 'few areas' END,
+  CASE WHEN NOT leaf AND blocks = 0 THEN 'no diagram' END, CASE WHEN NOT leaf THEN 'few nodes' END, CASE WHEN NOT leaf THEN 'few edges' END, CASE WHEN NOT leaf THEN 'no path' END, CASE WHEN NOT leaf THEN 'ungrounded diagram' END,
+  CASE WHEN page % 6 = 0 AND links = 0 THEN 'no link to b' END], lambda x: x IS NOT NULL) AS e FROM floors),
+scored AS (SELECT page, CASE WHEN overview THEN 'repository_overview' WHEN leaf THEN 'leaf' ELSE 'module_overview' END AS role, CASE WHEN is_cjk THEN 'cjk' ELSE 'words' END AS mode, prose, floor, areas, prose >= floor AND areas >= 2 AS explanatory,
+  grounded, 2::BIGINT AS anchors, blocks::BIGINT AS blocks, false AS template, false AS boilerplate, array_to_string(e, ',') AS errors, len(e) AS n, len(e) = 0 AS valid FROM errs)"""
 _ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 _TITLE = "trim(regexp_extract(html, '<title>([^<\\n]*)', 1), ' =')"
 
@@ -276,6 +293,29 @@ UNION ALL SELECT page, 'extra', NULL FROM present WHERE page NOT IN (SELECT page
 WITH f AS (SELECT n_regionkey AS tree, n_name, c_mktsegment, string_agg(c_name, ', ' ORDER BY c_name) AS names FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 n AS (SELECT tree, n_name, '    ' || n_name || chr(10) || string_agg('      ' || c_mktsegment || ': ' || names, chr(10) ORDER BY c_mktsegment) AS t FROM f GROUP BY tree, n_name)
 SELECT tree, 'top (current module)' || chr(10) || '  Children:' || chr(10) || string_agg(t, chr(10) ORDER BY n_name) AS outline FROM n GROUP BY tree""",
+    "page_scores": f"WITH {_SCORED} SELECT * EXCLUDE (n) FROM scored",
+    "report_rollup": f"""WITH {_SCORED} SELECT count(*) AS pages, count(*) FILTER (valid) AS valid_pages, count(*) FILTER (explanatory) AS explanatory, count(*) FILTER (blocks > 0) AS with_diagram, count(*) FILTER (grounded > 0) AS grounded, sum(prose)::BIGINT AS prose, sum(n)::BIGINT AS errors, bool_and(valid) AS all_valid FROM scored""",
+    "report_contexts": f"""
+WITH {_CALLS}, e AS (SELECT DISTINCT caller, callee FROM calls WHERE caller <> callee), k AS (SELECT 'p' || p_partkey AS id, repeat(p_name, 4) AS t, length(repeat(p_name, 4)) % 3 AS m FROM part),
+up AS (SELECT caller AS id, string_agg(callee, ',' ORDER BY callee) AS up FROM e GROUP BY caller), used AS (SELECT callee AS id, string_agg(caller, ',' ORDER BY caller) AS referrers FROM e GROUP BY callee)
+SELECT k.id, CASE m WHEN 0 THEN 'create' ELSE 'edit' END AS mode, CASE WHEN length(t) <= 80 THEN t ELSE substr(t, 1, 27) || chr(10) || '... [diff truncated] ...' || chr(10) || right(t, 27) END AS own, coalesce(up, '') AS up, coalesce(referrers, '') AS referrers
+FROM k LEFT JOIN up USING (id) LEFT JOIN used USING (id) WHERE m <> 2""",
+    "diagram_quality": """
+WITH l AS (SELECT l_orderkey AS page, l_linenumber AS n, 's' || l_suppkey AS a, CASE l_partkey % 9 WHEN 0 THEN 'Module' WHEN 1 THEN 'Release it' ELSE p_brand END AS label, p_brand, CASE WHEN l_returnflag = 'R' THEN '==>' ELSE '-->' END AS arrow FROM lineitem JOIN part ON l_partkey = p_partkey),
+e AS (SELECT x.page, row_number() OVER (PARTITION BY x.page ORDER BY x.n, x.a || '[' || x.label || '] ' || x.arrow || ' ' || y.a) AS n, x.a, x.label, y.a AS b FROM l x JOIN l y ON x.page = y.page AND y.n = x.n + 1),
+node AS (SELECT page, id, arg_min(label, w) AS label FROM (SELECT page, a AS id, label, n * 2 AS w FROM e UNION ALL SELECT page, b, b, n * 2 + 1 FROM e) GROUP BY page, id),
+t AS (SELECT *, trim(regexp_replace(lower(label), '[^a-z0-9 ]', '', 'g')) AS text FROM node),
+allowed AS (SELECT DISTINCT page, trim(regexp_replace(lower(p_brand), '[^a-z0-9 ]', '', 'g')) AS x FROM l WHERE n = 1),
+near AS (SELECT page, id, text, coalesce(bool_or(contains(text, x) OR contains(x, text)), false) AS near, bool_or(x IS NOT NULL) AS known FROM t LEFT JOIN allowed USING (page) GROUP BY page, id, text),
+ns AS (SELECT page, count(*) AS nodes, count(*) FILTER (near) AS grounded_nodes, count(*) FILTER (text = 'module') AS generic, count(*) FILTER (contains(text, 'release')) AS support, bool_or(known) AS known FROM near GROUP BY page),
+es AS (SELECT e.page, count(*) AS edges, count(*) FILTER (p.near OR q.near) AS grounded_edges FROM e JOIN near p ON p.page = e.page AND p.id = e.a JOIN near q ON q.page = e.page AND q.id = e.b GROUP BY e.page),
+long AS (SELECT DISTINCT x.page FROM e x JOIN e y ON x.page = y.page AND y.a = x.b AND x.a <> x.b JOIN e z ON z.page = y.page AND z.a = y.b AND y.b NOT IN (x.a, x.b)),
+r AS (SELECT *, page % 3 = 0 AS leaf, page % 3 = 1 AS overview, CASE WHEN page % 3 = 1 AND nodes > 2 THEN page IN (SELECT page FROM long) ELSE true END AS has_path FROM ns JOIN es USING (page)),
+i AS (SELECT *, list_filter([CASE WHEN NOT leaf AND nodes < 2 THEN 'few nodes' END, CASE WHEN NOT leaf AND NOT has_path THEN 'no path' END, CASE WHEN NOT leaf AND generic * 2 > greatest(nodes, 1) THEN 'generic' END,
+  CASE WHEN NOT leaf AND known AND grounded_nodes < CASE WHEN nodes <= 2 THEN 1 ELSE greatest(nodes // 2, 2) END THEN 'ungrounded diagram' END, CASE WHEN overview AND support > 0 THEN 'support nodes' END], lambda x: x IS NOT NULL) AS list FROM r)
+SELECT page, 1::BIGINT AS blocks, true AS balanced, nodes, edges, grounded_nodes, grounded_edges, generic, support, 0::BIGINT AS disconnected, has_path, array_to_string(list, ',') AS issues, CASE WHEN len(list) = 0 THEN 'pass' WHEN leaf THEN 'warning' ELSE 'fail' END AS verdict FROM i""",
+    "metadata": """
+SELECT count(*) AS pages, sum(length(text))::BIGINT AS characters, sum(('0x' || substr(md5(doc_id::VARCHAR || chr(1) || coalesce(text, '')), 1, 15))::BIGINT)::VARCHAR AS digest FROM documents""",
 }
 
 

@@ -688,6 +688,11 @@ def edition_catalog(s, d):
     return E.catalog(T(s, d, "documents").select(F.col("source").alias("edition"), F.col("doc_id").alias("page"), F.col("text").alias("title")))
 
 
+def metadata(s, d):
+    """2.2: counts and a digest of all documents as pages."""
+    return E.metadata(T(s, d, "documents").select(F.col("doc_id").alias("page"), F.col("text").alias("content")))
+
+
 def history_scan(s, d):
     """2.1: the last edit snapshot of each path; users are paths."""
     return E.latest(T(s, d, "events").select(F.col("user_id").alias("path"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("mtime"), F.col("event_id").alias("file")))
@@ -704,7 +709,7 @@ path_glob_filter artifact_classes language_counts class_cap_and_budget safe_ids
 claims super_groups tree_quality review_check khop_upstream diagram_paths target_subtree snapshot_diff change_ratios active_set rename_pairs neighbour_majority write_sets verdicts
 hunk_overlap edge_set_operations prose_counts headings truncation token_estimate_oversized link_extract broken_links page_differences unlinked_children page_id_collisions grounding
 page_scores report_rollup diagram_quality scoped_search search_index html_export prompt_render session_prune orphan_locks edit_log_fold
-id_differences component_listing id_checks claim_problems applied_clusters update_plan ancestor_sets applied_routes stale_scan report_contexts tree_outline"""
+id_differences component_listing id_checks claim_problems applied_clusters update_plan ancestor_sets applied_routes stale_scan report_contexts tree_outline metadata"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -316,6 +316,20 @@ i AS (SELECT *, list_filter([CASE WHEN NOT leaf AND nodes < 2 THEN 'few nodes' E
 SELECT page, 1::BIGINT AS blocks, true AS balanced, nodes, edges, grounded_nodes, grounded_edges, generic, support, 0::BIGINT AS disconnected, has_path, array_to_string(list, ',') AS issues, CASE WHEN len(list) = 0 THEN 'pass' WHEN leaf THEN 'warning' ELSE 'fail' END AS verdict FROM i""",
     "metadata": """
 SELECT count(*) AS pages, sum(length(text))::BIGINT AS characters, sum(('0x' || substr(md5(doc_id::VARCHAR || chr(1) || coalesce(text, '')), 1, 15))::BIGINT)::VARCHAR AS digest FROM documents""",
+    "primary_paths": f"""
+WITH RECURSIVE {_NATION_EDGES}, m AS (SELECT n_nationkey::BIGINT AS n, r_name, r_name || ' / ' || n_name AS module FROM nation JOIN region ON n_regionkey = r_regionkey),
+ranked AS (SELECT a.module AS src, b.module AS dst, row_number() OVER (ORDER BY a.module, b.module) AS k FROM edges JOIN m a ON a.n = caller JOIN m b ON b.n = callee WHERE a.module <> b.module),
+modules AS (SELECT module FROM m UNION SELECT r_name FROM m),
+entered AS (SELECT t.module AS target, x.module, 0::BIGINT AS k FROM modules t JOIN modules x ON x.module = t.module OR starts_with(x.module, t.module || ' / ')
+  UNION SELECT e.target, CASE WHEN r.src = e.module THEN r.dst ELSE r.src END, r.k FROM entered e JOIN ranked r ON e.module IN (r.src, r.dst) AND r.k > e.k),
+chosen AS (SELECT DISTINCT target, module FROM entered),
+inside AS (SELECT a.target, src, dst FROM ranked JOIN chosen a ON a.module = src JOIN chosen b ON b.module = dst AND b.target = a.target),
+walk AS (SELECT target, [min(module)] AS path FROM chosen c WHERE NOT EXISTS (FROM inside i WHERE i.target = c.target AND i.dst = c.module) GROUP BY target
+  UNION ALL SELECT w.target, list_append(w.path, min(i.dst)) FROM walk w JOIN inside i ON i.target = w.target AND i.src = w.path[len(w.path)] AND NOT list_contains(w.path, i.dst) GROUP BY w.target, w.path),
+longest AS (SELECT target, arg_max(path, len(path)) AS path FROM walk GROUP BY target),
+nth AS (SELECT t.module AS target, x.module, row_number() OVER (PARTITION BY t.module ORDER BY string_split(x.module, ' / ')) AS n FROM modules t JOIN modules x ON x.module = t.module OR starts_with(x.module, t.module || ' / ')),
+listed AS (SELECT target, list(module ORDER BY n) AS path FROM nth WHERE n <= 8 GROUP BY target)
+SELECT l.target, array_to_string(CASE WHEN len(w.path) >= 2 THEN w.path ELSE l.path END, ' > ') AS path FROM listed l LEFT JOIN longest w USING (target)""",
 }
 
 

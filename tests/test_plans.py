@@ -129,3 +129,16 @@ def test_edit_stream(spark, tmp_path):
         assert {(r["content"], r["applied"]) for r in spark.table("edits").collect()} == {("one\n", 1), ("two\n", 2)}
     finally:
         q.stop()
+
+
+def test_snapshots_are_followed(spark, tmp_path):
+    from repoweave.streaming.snapshots import follow
+
+    kind = "id string, signature string, body string, depends_on array<string>"
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(([("a", "s", "x"), ("b", "s", "x")], [("a", "s", "y"), ("c", "s", "x")])):
+        (tmp_path / f"in/{n}.json").write_text("\n".join(json.dumps({"id": i, "signature": t, "body": b, "depends_on": []}) for i, t, b in rows))
+        stream = spark.readStream.schema(kind).json(str(tmp_path / "in"))
+        follow(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out/changes=1"))
+    assert sorted(tuple(r) for r in found.select("kind", "id").collect()) == [("added", "c"), ("deleted", "b"), ("modified_body", "a")]

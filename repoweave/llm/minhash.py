@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWEST, bounded_batches, keyed, salted_join, stored
@@ -175,8 +175,9 @@ def _edges(out):
 
 
 def _linked(sets: list[np.ndarray], split: int, num: int, den: int):
-    """A spanning forest of the links den*|A&B| >= num*|A|B| between the first `split` sets and the others."""
+    """A spanning forest of the links den*|A&B| >= num*|A|B| between the first `split` sets and the others, or among all sets if there are no others."""
     n = len(sets)
+    crossed = split < n
     sizes = np.array([len(s) for s in sets], np.int64)
     parent = list(range(n))
 
@@ -206,7 +207,7 @@ def _linked(sets: list[np.ndarray], split: int, num: int, den: int):
             continue
         places = np.repeat(begin[groups] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
         common = np.bincount(who[places], minlength=n)
-        common[:split] = 0
+        common[: split if crossed else i + 1] = 0
         for j in np.flatnonzero(den * common >= num * (sizes[i] + sizes - common)).tolist():
             a, b = root(i), root(j)
             if common[j] and a != b:
@@ -219,7 +220,7 @@ def _verified(num: int, den: int):
     def edges(rows):
         rows = sorted(rows, key=lambda r: (r[1], r[0]))
         split = sum(1 for r in rows if r[1] == 0)
-        found = _linked([np.frombuffer(r[2], np.uint64) for r in rows], split, num, den) if 0 < split < len(rows) else []
+        found = _linked([np.frombuffer(r[2], np.uint64) for r in rows], split, num, den) if split else []
         return [(rows[i][0], rows[j][0]) for i, j in found]
 
     def run(batches):
@@ -237,19 +238,11 @@ def _verified(num: int, den: int):
     return run
 
 
-def _confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b) of digests -> those that are linked, or enough of them to connect the same digests.
+def _compared(docs: DataFrame, sets: DataFrame, places: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """places (digest, item, side) -> the links (a, b) between the sides of each item, or in it if it has side 0 alone; enough of them to connect what is linked.
 
-    A b's pairs are one item, or several of bounded number and size with b in
-    each; each needed text moves once, its elements once for each item.
+    Each text moves once, its elements once for each of its places.
     """
-    pairs = stored(pairs, "pairs")
-    sized = pairs.join(sets.select(F.col("digest").alias("a"), "size"), "a")
-    parts = sized.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / _MOST_ELEMENTS)).alias("parts"))
-    placed = salted_join(pairs, parts, ["b"], F.col("a"), salts=4).select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
-    item = F.concat_ws("/", "b", "part")
-    places = placed.select(F.col("a").alias("digest"), item.alias("item"), F.lit(1).alias("side"))
-    places = places.union(parts.select(F.col("b").alias("digest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "b").select("digest", item.alias("item"), F.lit(0).alias("side")))
     needed = places.groupBy("digest").agg(F.collect_list(F.struct("item", "side")).alias("places"))
     needed = needed.join(sets.select("digest", "at.o", "at.k"), "digest")
     shingled = docs.join(needed, ["o", "k"]).dropDuplicates(["o", "k"]).select("digest", "places", "text").mapInArrow(_shingled(width), "digest string, places array<struct<item:string,side:int>>, elements binary")
@@ -257,6 +250,35 @@ def _confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, n
     return stored(items.repartition("item").sortWithinPartitions("item").mapInArrow(_verified(num, den), "a string, b string"), "links")
 
 
+def _parts() -> Column:
+    """So many parts keep each to BLOCK sets and _MOST_ELEMENTS elements, about."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / _MOST_ELEMENTS))
+
+
+def _with_one(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Places for pairs (a, b) with few b: a b's pairs are one item, or several with b in each."""
+    pairs = stored(pairs, "pairs")
+    parts = pairs.join(sets.select(F.col("digest").alias("a"), "size"), "a").groupBy("b").agg(_parts().alias("parts"))
+    placed = salted_join(pairs, parts, ["b"], F.col("a"), salts=4).select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
+    item = F.concat_ws("/", "b", "part")
+    places = placed.select(F.col("a").alias("digest"), item.alias("item"), F.lit(1).alias("side"))
+    return places.union(parts.select(F.col("b").alias("digest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "b").select("digest", item.alias("item"), F.lit(0).alias("side")))
+
+
+def _with_blocks(sets: DataFrame, pairs: DataFrame, homes: DataFrame) -> DataFrame:
+    """Places for any pairs (a, b): sets of one home (digest, home) stand in blocks, and two blocks with a pair between them are an item."""
+    pairs = stored(pairs, "pairs")
+    some = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    some = some.join(homes, "digest").join(sets.select("digest", "size"), "digest")
+    parts = some.groupBy("home").agg(_parts().alias("parts"))
+    block = stored(salted_join(some, parts, ["home"], F.col("digest"), salts=4).select("digest", F.concat_ws("/", "home", F.pmod(F.xxhash64("digest"), "parts")).alias("block")), "blocks")
+    of = lambda x: block.select(F.col("digest").alias(x), F.col("block").alias(f"{x}_block"))
+    items = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("a_block", "b_block").alias("x"), F.greatest("a_block", "b_block").alias("y")).distinct()
+    items = items.withColumn("item", F.concat_ws("|", "x", "y"))
+    sides = items.select(F.col("x").alias("block"), "item", F.lit(0).alias("side")).union(items.where("x <> y").select("y", "item", F.lit(1)))
+    return block.join(sides, "block").select("digest", "item", "side")
+
+
 def near_duplicates(
     docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, slots: int = 128, bands: int = 42, rows: int = 6, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -292,7 +314,7 @@ def near_duplicates(
     others = sets.join(buckets.select(F.col("b").alias("digest")).distinct(), "digest", "left_semi").select(F.col("digest").alias("b"), F.col("sig").alias("other"), F.col("size").alias("n"))
     star = salted_join(star, others, ["b"], F.col("a"), salts=8).where(den * F.least("m", "n") >= num * F.greatest("m", "n"))
     star = star.select("a", "b", "sig", "other").mapInArrow(_likely(slots, least), "a string, b string")
-    links = _confirmed(docs, sets, star, width, num, den)
+    links = _compared(docs, sets, _with_one(sets, star), width, num, den)
 
     # where a bucket's sets are in several components now: those outside its largest one against all
     labels = stored(components(links).withColumnsRenamed({"node": "digest"}), "labels")
@@ -309,7 +331,8 @@ def near_duplicates(
     items = ones.union(alls).join(sets.select("digest", "size", "sig"), "digest").select("item", "side", "digest", "label", "size", "sig")
     more = items.repartition("item").sortWithinPartitions("item").mapInArrow(_likely_pairs(slots, least, num, den), "a string, b string")
     more = more.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = links.union(_confirmed(docs, sets, more, width, num, den))
+    homes = member.select("digest", "b").union(buckets.select("b", "b")).groupBy("digest").agg(F.min("b").alias("home"))
+    links = links.union(_compared(docs, sets, _with_blocks(sets, more, homes), width, num, den))
 
     labels = components(links).withColumnsRenamed({"node": "digest"})
     tagged = salted_join(whole, labels, ["digest"], F.col("k"), "left").withColumn("label", F.coalesce("label", "digest"))

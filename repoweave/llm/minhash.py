@@ -139,33 +139,36 @@ def _likely(slots: int, least: int):
     return run
 
 
-def _likely_pairs(slots: int, least: int, num: int, den: int):
-    """Rows of an item (side 0 and 1: digest, label, size, sig), item by item -> the pairs over the sides that can be linked and aren't."""
+def _likely_blocks(slots: int, least: int, num: int, den: int):
+    """Rows of an item (side 0 and 1: digest, label, block, size, sig), item by item -> the pairs of blocks (x, y) with a pair over the sides that can be linked and isn't."""
 
     def pairs(rows):
         sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
         if not all(sides):
-            return []
-        sig = [np.frombuffer(b"".join(r[4] for r in x), np.uint8).reshape(-1, slots) for x in sides]
-        size = [np.array([r[3] for r in x]) for x in sides]
-        out = []
+            return set()
+        sig = [np.frombuffer(b"".join(r[5] for r in x), np.uint8).reshape(-1, slots) for x in sides]
+        size = [np.array([r[4] for r in x]) for x in sides]
+        out = set()
         for i, r in enumerate(sides[0]):
             ok = (sig[1] == sig[0][i]).sum(axis=1) >= least
-            ok &= den * np.minimum(size[1], r[3]) >= num * np.maximum(size[1], r[3])
-            out += [(r[1], q[1]) for q in (sides[1][j] for j in np.flatnonzero(ok).tolist()) if q[2] != r[2]]
+            ok &= den * np.minimum(size[1], r[4]) >= num * np.maximum(size[1], r[4])
+            out |= {(min(r[3], q[3]), max(r[3], q[3])) for q in (sides[1][j] for j in np.flatnonzero(ok).tolist()) if q[2] != r[2]}
         return out
 
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["x", "y"])
+
     def run(batches):
         item, rows = None, []
         for batch in batches:
-            out = []
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("item", "side", "digest", "label", "size", "sig")), strict=True):
+            out = set()
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("item", "side", "digest", "label", "block", "size", "sig")), strict=True):
                 if key != item:
-                    out += pairs(rows)
+                    out |= pairs(rows)
                     item, rows = key, []
                 rows.append(row)
-            yield _edges(out)
-        yield _edges(pairs(rows))
+            yield table(sorted(out))
+        yield table(sorted(pairs(rows)))
 
     return run
 
@@ -265,16 +268,16 @@ def _with_one(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return places.union(parts.select(F.col("b").alias("digest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "b").select("digest", item.alias("item"), F.lit(0).alias("side")))
 
 
-def _with_blocks(sets: DataFrame, pairs: DataFrame, homes: DataFrame) -> DataFrame:
-    """Places for any pairs (a, b): sets of one home (digest, home) stand in blocks, and two blocks with a pair between them are an item."""
-    pairs = stored(pairs, "pairs")
-    some = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    some = some.join(homes, "digest").join(sets.select("digest", "size"), "digest")
+def _blocks(sets: DataFrame, some: DataFrame, homes: DataFrame) -> DataFrame:
+    """some (digest), homes (digest, home) -> digest, block, size, sig: sets of one home in blocks of bounded number and size."""
+    some = some.join(homes, "digest").join(sets.select("digest", "size", "sig"), "digest")
     parts = some.groupBy("home").agg(_parts().alias("parts"))
-    block = stored(salted_join(some, parts, ["home"], F.col("digest"), salts=4).select("digest", F.concat_ws("/", "home", F.pmod(F.xxhash64("digest"), "parts")).alias("block")), "blocks")
-    of = lambda x: block.select(F.col("digest").alias(x), F.col("block").alias(f"{x}_block"))
-    items = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("a_block", "b_block").alias("x"), F.greatest("a_block", "b_block").alias("y")).distinct()
-    items = items.withColumn("item", F.concat_ws("|", "x", "y"))
+    return stored(salted_join(some, parts, ["home"], F.col("digest"), salts=4).select("digest", F.concat_ws("/", "home", F.pmod(F.xxhash64("digest"), "parts")).alias("block"), "size", "sig"), "blocks")
+
+
+def _with_blocks(block: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Places for pairs of blocks (x, y): each pair is an item with both blocks' sets as sides, or one block's."""
+    items = pairs.distinct().withColumn("item", F.concat_ws("|", "x", "y"))
     sides = items.select(F.col("x").alias("block"), "item", F.lit(0).alias("side")).union(items.where("x <> y").select("y", "item", F.lit(1)))
     return block.join(sides, "block").select("digest", "item", "side")
 
@@ -328,11 +331,11 @@ def near_duplicates(
     own = lambda n: F.pmod(F.xxhash64("digest"), F.col(n))
     ones = sided.where("label <> main").select("digest", "label", F.explode(F.transform(spread("all"), lambda x: F.concat_ws("/", "key", own("rest"), x))).alias("item"), F.lit(0).alias("side"))
     alls = sided.select("digest", "label", F.explode(F.transform(spread("rest"), lambda x: F.concat_ws("/", "key", x, own("all")))).alias("item"), F.lit(1).alias("side"))
-    items = ones.union(alls).join(sets.select("digest", "size", "sig"), "digest").select("item", "side", "digest", "label", "size", "sig")
-    more = items.repartition("item").sortWithinPartitions("item").mapInArrow(_likely_pairs(slots, least, num, den), "a string, b string")
-    more = more.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     homes = member.select("digest", "b").union(buckets.select("b", "b")).groupBy("digest").agg(F.min("b").alias("home"))
-    links = links.union(_compared(docs, sets, _with_blocks(sets, more, homes), width, num, den))
+    block = _blocks(sets, tagged.select("digest").distinct(), homes)
+    items = ones.union(alls).join(block, "digest").select("item", "side", "digest", "label", "block", "size", "sig")
+    near = items.repartition("item").sortWithinPartitions("item").mapInArrow(_likely_blocks(slots, least, num, den), "x string, y string")
+    links = links.union(_compared(docs, sets, _with_blocks(block, near), width, num, den))
 
     labels = components(links).withColumnsRenamed({"node": "digest"})
     tagged = salted_join(whole, labels, ["digest"], F.col("k"), "left").withColumn("label", F.coalesce("label", "digest"))

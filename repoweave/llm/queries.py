@@ -19,46 +19,55 @@ def _doc_id():
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all documents by the ordered rules."""
     return license.digest(license.scan(_table(spark, sf_dir, "documents")))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked at a similarity of 0.85."""
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that each document loses to earlier ones, and a digest of what is left."""
     found = linedup.deduplicated(_table(spark, sf_dir, "documents"))
     return found.select(_doc_id(), "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op4_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, with groups of equal ones."""
     docs = _table(spark, sf_dir, "documents")
     found = fingerprint.groups(docs, stored(fingerprint.edited(docs), "prints"))
     return found.select(_doc_id(), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
     import public_tokenizers
 
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' URLs."""
     return urlfilter.judged(_table(spark, sf_dir, "pages"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of at most 1 MB of text each, and the directory's entries."""
     return sharding.sharded(_table(spark, sf_dir, "documents"), limit=1 << 20)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; learned outside those that are held out."""
     docs = _table(spark, sf_dir, "documents")
     found = language.predict(docs, language.train(docs.where(~language.held_out())))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in windows of the benchmark's items."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated"
@@ -66,6 +75,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
     return pii.digest(pii.found(_table(spark, sf_dir, "documents")))
 
 

@@ -1,7 +1,10 @@
 import os
+import random
+import zlib
 
 import duckdb
 import pytest
+from test_corpus_operators import alnum, components, plain_line_dedup, spaced
 
 import corpus_pipeline
 from repoweave.llm import oracle, queries
@@ -44,3 +47,57 @@ def test_query_matches_its_sql(spark, name):
     at = [found.columns.index(x) for x in columns]
     key = lambda r: tuple((v is None, str(v)) for v in r)
     assert sorted((tuple(r[x] for x in columns) for r in df.collect()), key=key) == sorted((tuple(r[i] for i in at) for r in found.fetchall()), key=key)
+
+
+def test_the_whole_pipeline_against_plain_stages(spark, tmp_path):
+    """run() on a small corpus against each stage in plain Python: what stays, its text, and its tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    chance = random.Random(13)
+    letters = {"en": "abcdefg", "fr": "hijéklm", "de": "nopßqrs"}
+    word = lambda g: "".join(chance.choice(letters[g]) for _ in range(chance.randint(3, 7)))
+    line = lambda g, n: " ".join(word(g) for _ in range(n))
+    passage, known = line("en", 45), [line("en", 20), line("fr", 30)]
+    rows = []
+    for i in range(150):
+        g = ["en", "fr", "de"][i % 3]
+        text = "\n".join(line(g, chance.randint(8, 40)) for _ in range(chance.randint(1, 4)))
+        if i % 10 == 4:
+            text = f"{line(g, 12)}\n{passage}\n{line(g, 9)}"
+        elif i % 10 == 7:
+            text = rows[i - 3][1]
+        elif i % 10 == 8:
+            w = rows[i - 6][1].split(" ")
+            w[len(w) // 2] = word(g)
+            text = " ".join(w)
+        elif i % 15 == 11:
+            text = f"{text} {known[i % 2]}"
+        rows.append((i, text, g if i % 5 else None, "s", len(text)))
+    rows += [(150, None, "en", "s", None), (151, "12 !", "en", "s", 4), (152, "", None, "s", 0), (153, "数字数字数字数字 数字", None, "s", 11)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", known[0]), ("b", known[1])], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    texts = {i: t for i, t, *_ in rows[:150]}  # the others have no letter, or none that a language has
+    gone = plain_line_dedup(texts)
+    cut = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
+    cut = {i: t for i, t in cut.items() if spaced(t)}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for i, t in cut.items() for w in [spaced(t)]}
+    same = components(sets, 80, 100)
+    left = {i: t for i, t in cut.items() if same[i] == i}
+    windows = {tuple(w[j : j + 13]) for t in known for w in [alnum(t)] for j in range(len(w) - 12)}
+    clean = {}
+    for i, t in left.items():
+        w = alnum(t)
+        hit = {x for j in range(len(w) - 12) if tuple(w[j : j + 13]) in windows for x in range(j, j + 13)}
+        if not hit or 20 * len(hit) < len(w):
+            clean[i] = t
+    assert len(texts) > len(cut) > len(left) > len(clean)
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for i, t in clean.items():
+        ids = [*encode.encode(t, add_special_tokens=False).ids, 2]
+        want.add((i, 0, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)), len(ids)))
+    got = {(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want

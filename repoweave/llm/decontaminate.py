@@ -34,10 +34,32 @@ def _words(texts):
         yield a, b, hashes(data, starts, ends), np.searchsorted(owner, np.arange(b - a + 1))
 
 
-def _binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """The stretches of data between bounds as binary values."""
-    ends = (bounds * data.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+def _coded(place: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The rising places between bounds as binary values: the first place and the steps to the next, seven bits a byte, the lowest first, all bytes but a number's last with the eighth bit set."""
+    step = np.diff(place, prepend=0)
+    step[bounds[:-1]] = place[bounds[:-1]]
+    size = np.ones(len(step), np.int64)
+    for bits in (7, 14, 21, 28):
+        size += step >= 1 << bits
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(ends[-1], np.uint8)
+    for i in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > i)
+        out[ends[live] + i] = (step[live] >> 7 * i & 127) | (size[live] > i + 1) << 7
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends[bounds].astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _decoded(lists: pa.Array, n: np.ndarray) -> np.ndarray:
+    """All places of coded lists of n places each, flat."""
+    data = np.frombuffer(b"".join(lists.to_pylist()), np.uint8).astype(np.int64)
+    if not len(data):
+        return data
+    ends = np.flatnonzero(data < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    shift = 7 * (np.arange(len(data)) - np.repeat(starts, ends - starts + 1))
+    total = np.cumsum(np.add.reduceat((data & 127) << shift, starts))
+    first = np.cumsum(n) - n
+    return total - np.repeat(np.where(first > 0, total[first - 1], 0), n)
 
 
 def _indexed(batches):
@@ -62,7 +84,7 @@ def _indexed(batches):
         number += 1
         nothing = pa.nulls(m, pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(words[first].astype(np.int64)), pa.array(np.full(m, block)), pa.array(np.diff(bounds).astype(np.int32)), _binaries(place[order].astype(np.uint32), bounds), nothing, nothing, nothing], ["term", "block", "n", "positions", "owners", "keys", "starts"]
+            [pa.array(words[first].astype(np.int64)), pa.array(np.full(m, block)), pa.array(np.diff(bounds).astype(np.int32)), _coded(place[order], bounds), nothing, nothing, nothing], ["term", "block", "n", "positions", "owners", "keys", "starts"]
         )
         o, k = (batch.column(c).to_numpy(zero_copy_only=False).tobytes() for c in ("o", "k"))
         whole = [pa.nulls(1, pa.int64()), pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in (o, k, starts.tobytes()))]
@@ -110,7 +132,7 @@ def _fetched(batches):
     """Each place of the rows' postings as a row."""
     for batch in batches:
         n = batch.column("n").to_numpy(zero_copy_only=False)
-        at = np.frombuffer(b"".join(batch.column("positions").to_pylist()), np.uint32).astype(np.int64)
+        at = _decoded(batch.column("positions"), n)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)) for c in ("block", "phrase")] + [pa.array(at)], ["block", "phrase", "at"])
 
 
@@ -130,7 +152,7 @@ def _checked(batches):
         phrase, at, delta, reach = (needs.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         n = batch.column("n").to_numpy(zero_copy_only=False)
         # one sorted array of all rows' places
-        places = np.frombuffer(b"".join(batch.column("positions").to_pylist()), np.uint32).astype(np.int64) + (np.repeat(np.arange(batch.num_rows), n) << 34)
+        places = _decoded(batch.column("positions"), n) + (np.repeat(np.arange(batch.num_rows), n) << 34)
         base = (row << 34) + at
         rank = lambda x: np.searchsorted(places, x)
         mask = np.zeros(len(row), np.int64)

@@ -6,6 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from repoweave.llm import decontaminate
 from repoweave.llm import vecwords as V
 from repoweave.llm.linedup import common_blocks, patience
 from repoweave.llm.minhash import super_minhash
@@ -94,6 +95,15 @@ def test_blocks_are_all_common_runs(a, b, most):
     assert {x for s, e in got for x in range(s, e)} == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.one_of(st.integers(0, 300), st.integers(0, 1 << 31)), min_size=1, max_size=20), max_size=8))
+def test_lists_of_places_are_decoded(lists):
+    place = np.array([x for part in lists for x in sorted(part)], np.int64)
+    n = np.array([len(x) for x in lists], np.int64)
+    coded = decontaminate._coded(place, np.concatenate(([0], np.cumsum(n))).astype(np.int64))
+    assert decontaminate._decoded(coded, n).tolist() == place.tolist()
+
+
 def test_first_fit_decreasing_is_first_fit():
     chance = random.Random(3)
     for _ in range(50):

@@ -154,11 +154,12 @@ def with_next(docs: DataFrame, more: dict[str, Column]) -> DataFrame:
     down = Window.orderBy(F.desc("range"))  # one row for each range
     wrap = F.first("top").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     keys = stored(tops.select(F.col("range").alias("above"), F.coalesce(F.lead("top").over(down), wrap).alias("t")).select("above", "t.o", "t.k"), "heads")
-    head = docs.join(F.broadcast(keys), ["o", "k"]).withColumns(more)
+    # the first row of the range below stands behind a range's own rows, so that nothing is joined to them
+    head = docs.join(F.broadcast(keys), ["o", "k"]).select(F.col("above").alias("range"), F.lit(1).alias("extra"), "o", "k", "text")
+    both = rows.select("range", F.lit(0).alias("extra"), "o", "k", "text").union(head).withColumns(more)
+    order = Window.partitionBy("range").orderBy("extra", F.desc("o"), F.desc("k"))
     fields = F.struct("o", "k", "text", *more)
-    heads = head.groupBy("above").agg(F.first(fields).alias("head")).withColumnRenamed("above", "range")
-    order = Window.partitionBy("range").orderBy(F.desc("o"), F.desc("k"))
-    return rows.withColumns(more).withColumn("next", F.lead(fields).over(order)).join(heads, "range").withColumn("next", F.coalesce("next", "head")).drop("head", "range")
+    return both.withColumn("next", F.lead(fields).over(order)).where("extra = 0").drop("range", "extra")
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -156,7 +156,7 @@ def with_next(docs: DataFrame, more: dict[str, Column]) -> DataFrame:
     keys = stored(tops.select(F.col("range").alias("above"), F.coalesce(F.lead("top").over(down), wrap).alias("t")).select("above", "t.o", "t.k"), "heads")
     # the first row of the range below stands behind a range's own rows, so that nothing is joined to them
     head = docs.join(F.broadcast(keys), ["o", "k"]).select(F.col("above").alias("range"), F.lit(1).alias("extra"), "o", "k", "text")
-    both = rows.select("range", F.lit(0).alias("extra"), "o", "k", "text").union(head).withColumns(more)
+    both = rows.select("range", F.lit(0).alias("extra"), "o", "k", "text").union(head).repartition("range").withColumns(more)  # dealt before the columns are made, or either side would make its own
     order = Window.partitionBy("range").orderBy("extra", F.desc("o"), F.desc("k"))
     fields = F.struct("o", "k", "text", *more)
     return both.withColumn("next", F.lead(fields).over(order)).where("extra = 0").drop("range", "extra")

@@ -94,5 +94,16 @@ FROM sizes JOIN fit USING (h) JOIN buckets ON buckets.depth = fit.depth AND buck
 """
 
 
+_OP13 = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word,
+    unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 19 <= len(w) THEN array_to_string(list_slice(w, i, i + 19), ' ') END)) AS win FROM split),
+repeats AS (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM places),
+covered AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM repeats),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS words FROM covered GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": _OP2, "op6_url_filter": _OP6, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9}
+    return {"op2_minhash_near_dedup": _OP2, "op6_url_filter": _OP6, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9, "op13_substring_dedup": _OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, license, linedup, minhash, packing, pii, sharding, urlfilter
+from . import decontaminate, fingerprint, language, license, linedup, minhash, packing, pii, sharding, substrings, urlfilter
 from .common import LOWEST, stored
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,5 +79,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.found(_table(spark, sf_dir, "documents")))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each document loses to earlier windows of 20 words, and a digest of what is left."""
+    found = substrings.deduplicated(_table(spark, sf_dir, "documents"))
+    return found.select(_doc_id(), "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

@@ -52,8 +52,8 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have
 
 
-def chunks(texts: pa.Array, most: int = CHUNK_BYTES):
-    """(first row, last row + 1, lower-cased bytes, offsets) of about `most` bytes; null is the empty text."""
+def chunks(texts: pa.Array, most: int = CHUNK_BYTES, fold: np.ndarray = LOWER):
+    """(first row, last row + 1, bytes folded (A-Z lower-cased), offsets) of about `most` bytes; null is the empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -67,7 +67,7 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES):
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         to = min(to, n)
-        yield at, to, LOWER[data[offsets[at] : offsets[to]]], offsets[at : to + 1] - offsets[at]
+        yield at, to, fold[data[offsets[at] : offsets[to]]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
@@ -107,6 +107,16 @@ def joined(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def rolling(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` words, by its first word, with a few passes whatever the width."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _power("up", _BASE, len(words))[: len(words)], out=total[1:])
+    return mix((total[width:] - total[:-width]) * _power("down", _INVERSE, len(words))[:n] + np.uint64(width))
+
+
 def shingle_sets(hashed: np.ndarray, owner: np.ndarray, n_docs: int, width: int):
     """The sorted distinct shingles of each document, flat, and their bounds.
 

@@ -94,6 +94,28 @@ FROM sizes JOIN fit USING (h) JOIN buckets ON buckets.depth = fit.depth AND buck
 """
 
 
+_OP12 = r"""
+WITH ids AS (
+  SELECT conv_id, (4294967295 - list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), list_transform(range(8), lambda i: i::UBIGINT)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+built AS (
+  SELECT conv_id, list_concat(CASE WHEN h = 0 OR b.t IS NULL THEN [] ELSE list_slice(b.t, 1, h::BIGINT) END, list_slice(own.t, h::BIGINT + 1, len(own.t))) AS t
+  FROM own JOIN ids USING (conv_id) LEFT JOIN (SELECT conv_id AS base, t FROM own) b ON b.base = conv_id - conv_id % 20),
+prefixes AS (SELECT conv_id, len(t) AS n, d, list_slice(t, 1, d) AS p FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM built)),
+made AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM prefixes GROUP BY p, d),
+children AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM made WHERE d > 0 GROUP BY ALL),
+tops AS (SELECT made.*, coalesce(c.n, 0) AS n_children FROM made LEFT JOIN children c ON c.p = made.p),
+up AS (SELECT list_slice(p, 1, a) AS p, n_children = 0 AS leaf, saved FROM (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS a FROM tops)),
+under AS (SELECT p, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved FROM up GROUP BY p)
+SELECT t.conv_id, t.d::BIGINT AS depth, q.conv_id AS parent_conv_id, t.n_convs, t.n_children, u.n_leaves, u.saved::BIGINT AS saved_tokens, sha256(t.ends) AS ends_sha256
+FROM tops t JOIN under u ON u.p = t.p LEFT JOIN made q ON t.d > 0 AND q.p = list_slice(t.p, 1, t.d - 1)
+"""
+
 _OP13 = r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 places AS (
@@ -106,4 +128,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": _OP2, "op6_url_filter": _OP6, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9, "op13_substring_dedup": _OP13}
+    return {"op2_minhash_near_dedup": _OP2, "op6_url_filter": _OP6, "op7_sharding": _OP7, "op9_benchmark_decontamination": _OP9, "op12_conversation_trie": _OP12, "op13_substring_dedup": _OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, license, linedup, minhash, packing, pii, sharding, substrings, urlfilter
+from . import decontaminate, fingerprint, language, license, linedup, minhash, packing, pii, sharding, substrings, trie, urlfilter, whitening
 from .common import LOWEST, stored
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.found(_table(spark, sf_dir, "documents")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the 16 leading components of the distinct ones' covariance."""
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    each = found.select("row.vec_id", "n", F.col("deviation").cast("long").alias("deviation"), F.posexplode(F.arrays_zip("whitened", "explained")), "identity_error")
+    return each.select("vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", "col.whitened", "col.explained", "identity_error")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, which share the first turns of every twentieth."""
+    return trie.nodes(trie.rebuilt(trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that each document loses to earlier windows of 20 words, and a digest of what is left."""
     found = substrings.deduplicated(_table(spark, sf_dir, "documents"))

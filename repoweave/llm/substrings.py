@@ -123,7 +123,7 @@ class _Bundle:
 def _parts(bucket: np.ndarray):
     """(bucket, first, end) of the stretches of a rising array."""
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-    return zip(bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True)
+    return zip(bucket[cut].tolist(), cut.tolist(), np.append(cut, len(bucket))[1:].tolist(), strict=True)
 
 
 def _bits(data: bytes, n: int) -> np.ndarray:

@@ -8,7 +8,7 @@ around it, and these are told apart by their full hashes: a window whose words
 start earlier (smaller doc_id, or earlier in the same document) is a repeat, and
 runs of repeats are the maximal repeats whose words go.
 
-Documents travel in bundles (what one Arrow batch holds), as a row of word codes
+Documents travel in bundles (what one Arrow batch holds), compressed as a row
 each; hashes are dealt to buckets as one packed row for each bundle and bucket,
 with each hash once, so that a hash that all documents hold adds one entry a
 bundle. The buckets answer with one bit for each entry.
@@ -16,62 +16,50 @@ bundle. The buckets answer with one bit for each entry.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import among, bounded_batches, keyed, stored
+from .common import bounded_batches, keyed, stored
 from .vecwords import SPACED, chunks, hashes, mix, rolling, spans
 
 WIDTH = 20
 #: Words of the corpus for each bucket of hashes: what one task holds at once.
 BUCKET_WORDS = 2_000_000
+_WORD_BYTES = 6  # of a text, about, for each word
 _KEPT_CASE = np.arange(256, dtype=np.uint8)
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
 def _bundles(batches):
-    """Rows of o, k, text -> a row for each batch: its documents' keys and word counts, its distinct words' hashes and each word's code."""
+    """A row for each batch that isn't empty: its rows as they are, compressed."""
     part, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        words, n = [], []
-        for a, b, data, offsets in chunks(batch.column("text"), fold=_KEPT_CASE):
-            starts, ends, owner = spans(data, offsets, SPACED)
-            words.append(hashes(data, starts, ends))
-            n.append(np.bincount(owner, minlength=b - a))
-        vocab, code = np.unique(np.concatenate(words), return_inverse=True)
-        kind = "<u2" if len(vocab) <= 1 << 16 else "<u4"
-        yield pa.RecordBatch.from_pylist(
-            [
-                {
-                    "bundle": part << 32 | number,
-                    "o": batch.column("o").to_numpy().astype("<i8").tobytes(),
-                    "k": batch.column("k").to_numpy().astype("<i8").tobytes(),
-                    "n": np.concatenate(n).astype("<i8").tobytes(),
-                    "vocab": vocab.astype("<u8").tobytes(),
-                    "words": code.astype(kind).tobytes(),
-                }
-            ],
-            _BUNDLE_ARROW,
-        )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([part << 32 | number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bundle", "rows"])
         number += 1
 
 
-_BUNDLE = "bundle long, o binary, k binary, n binary, vocab binary, words binary"
-_BUNDLE_ARROW = pa.schema([("bundle", pa.int64()), *((c, pa.binary()) for c in ("o", "k", "n", "vocab", "words"))])
-
-
 class _Bundle:
-    """A bundle's words, and the places of its documents' runs of words."""
+    """A bundle's rows, its words' hashes, and the places of its documents' runs of words."""
 
     def __init__(self, row: dict):
-        self.o, self.k, n = (np.frombuffer(row[c], "<i8") for c in ("o", "k", "n"))
-        vocab = np.frombuffer(row["vocab"], "<u8")
-        self.words = vocab[np.frombuffer(row["words"], "<u2" if len(vocab) <= 1 << 16 else "<u4")]
+        self.batch = pa.ipc.open_stream(row["rows"]).read_next_batch()
+        self.o, self.k = (self.batch.column(c).to_numpy() for c in ("o", "k"))
+        words, n = [], []
+        for a, b, data, offsets in chunks(self.batch.column("text"), fold=_KEPT_CASE):
+            starts, ends, owner = spans(data, offsets, SPACED)
+            words.append(hashes(data, starts, ends))
+            n.append(np.bincount(owner, minlength=b - a))
+        self.words, n = np.concatenate(words), np.concatenate(n)
         self.ends = np.cumsum(n)
         self.doc = np.repeat(np.arange(len(n)), n)
         self.place = np.arange(len(self.words)) - np.repeat(self.ends - n, n)
@@ -226,44 +214,62 @@ def _owned(table: pa.Table) -> pa.Table:
     return _answer(rows, sizes, lost, False)
 
 
-_GONE = "o long, k long, ends array<long>"
-
-
-def _repeats(width: int, block: int, buckets: tuple[int, int]):
-    """A bundle, its hot runs and lost windows -> the maximal repeats that its documents lose."""
+def _repeats(own: _Bundle, answers: list[dict], width: int, block: int, buckets: tuple[int, int]) -> list[list[int]]:
+    """The maximal repeats that each document of a bundle loses: first, end, first, end, ... in words."""
+    start, number, bucket, code = own.windows(width, block, buckets, {r["bucket"]: r["bits"] for r in answers if r["hot"]})
+    lost, other = np.zeros(len(code), bool), {r["bucket"]: r["bits"] for r in answers if not r["hot"]}
+    for b, a, e in _parts(bucket):
+        if b in other:
+            lost[a:e] = _bits(other[b], e - a)
+    value = own.ranks()[own.doc[start]] * (len(own.words) + 1) + own.place[start]
+    first = np.full(len(code), np.iinfo(np.int64).max)
+    np.minimum.at(first, number, value)
+    start = start[lost[number] | (value > first[number])]
+    edge = np.zeros(len(own.words) + 1, np.int64)
+    edge[start] += 1
+    edge[start + width] -= 1
+    gone = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
+    # a repeat that reaches the end of its document ends there, and another can start
+    inner = np.unique(own.ends[(own.ends > 0) & (own.ends < len(own.words))])
+    inner = inner[gone[inner] & gone[inner + 1]]
+    at = np.sort(np.concatenate((np.flatnonzero(gone[1:] != gone[:-1]), inner, inner)))
+    out: list[list[int]] = [[] for _ in own.ends]
+    doc, shift = own.doc[at[::2]], at[::2] - own.place[at[::2]]
+    for d, a, e in zip(doc.tolist(), (at[::2] - shift).tolist(), (at[1::2] - shift).tolist(), strict=True):
+        out[d] += [a, e]
+    return out
+
+
+def _cut(text: bytes | None, ends: list[int]) -> tuple[bytes | None, int, int]:
+    """The words that stay, joined by one space; the number of words, and of those that go."""
+    words = (text or b"").split()  # at ASCII white space
+    bounds = [0, *ends, len(words)]
+    left = [w for a, b in zip(bounds[::2], bounds[1::2], strict=True) for w in words[a:b]]
+    return (None if text is None else b" ".join(left)), len(words), len(words) - len(left)
+
+
+def _settled(rows: DataFrame, width: int, bucket_words: int, result: Callable[[_Bundle, list[list[int]]], pa.Table], schema: str) -> DataFrame:
+    """rows (o, k, text and more) -> result of each bundle and the repeats that its documents lose."""
+    if width < 2:
+        raise ValueError("a window has two words at least")
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    block = width // 2
+    n_bytes = Observation()
+    seen = rows.observe(n_bytes, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"))
+    bundles = stored(seen.mapInArrow(_bundles, "bundle long, rows binary"), "bundles", compression="none")
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes.get["n"] // (_WORD_BYTES * bucket_words)))
+    buckets = (most, most)
+    hot = stored(bundles.mapInArrow(_probes(block, most), _PROBES).groupBy("bucket").applyInArrow(_hits, _FOUND), "hits")
+    both = lambda bits: bundles.groupBy("bundle").cogroup(bits.groupBy("bundle"))
+    lost = both(hot).applyInArrow(_reached(width, block, buckets), _WINDOWS).groupBy("bucket").applyInArrow(_owned, _FOUND)
+    bits = stored(hot.union(lost), "bits")
 
-    def run(bundles: pa.Table, bits: pa.Table) -> pa.Table:
-        out = []
-        for row in bundles.to_pylist():
-            own, answers = _Bundle(row), bits.to_pylist()
-            start, number, bucket, code = own.windows(width, block, buckets, {r["bucket"]: r["bits"] for r in answers if r["hot"]})
-            lost, other = np.zeros(len(code), bool), {r["bucket"]: r["bits"] for r in answers if not r["hot"]}
-            for b, a, e in _parts(bucket):
-                if b in other:
-                    lost[a:e] = _bits(other[b], e - a)
-            rank = own.ranks()
-            value = rank[own.doc[start]] * (len(own.words) + 1) + own.place[start]
-            first = np.full(len(code), np.iinfo(np.int64).max)
-            np.minimum.at(first, number, value)
-            start = start[lost[number] | (value > first[number])]
-            edge = np.zeros(len(own.words) + 1, np.int64)
-            edge[start] += 1
-            edge[start + width] -= 1
-            edge = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
-            # a repeat that reaches into the next document ends there and starts anew
-            turn = edge[1:] != edge[:-1]
-            inner = own.ends[:-1][(own.ends[:-1] > 0) & (own.ends[:-1] < len(own.words))]
-            inner = np.unique(inner[edge[inner] & edge[inner + 1]])
-            at = np.sort(np.concatenate((np.flatnonzero(turn), inner, inner)))
-            begin, end = at[::2], at[1::2]
-            doc = own.doc[begin]
-            from_doc = begin - own.place[begin]
-            for d, a, e in _parts(doc):
-                pairs = np.stack((begin[a:e] - from_doc[a], end[a:e] - from_doc[a]), 1).ravel().tolist()
-                out.append({"o": int(own.o[d]), "k": int(own.k[d]), "ends": pairs})
-        return pa.Table.from_pylist(out, pa.schema([("o", pa.int64()), ("k", pa.int64()), ("ends", pa.list_(pa.int64()))]))
+    def last(found: pa.Table, answers: pa.Table) -> pa.Table:
+        own, answers = [_Bundle(row) for row in found.to_pylist()], answers.to_pylist()
+        return pa.concat_tables([result(x, _repeats(x, answers, width, block, buckets)) for x in own]) if own else None
 
-    return run
+    return both(bits).applyInArrow(last, schema)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", bucket_words: int = BUCKET_WORDS) -> DataFrame:
@@ -273,36 +279,12 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     doc_id (null is the smallest; rows of one doc_id and different texts go by a
     hash). Repeated rows are one document and don't lose words to each other.
     """
-    if width < 2:
-        raise ValueError("a window has two words at least")
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    block = width // 2
-    bundles = stored(keyed(docs, id_col, text_col).select("o", "k", "text").mapInArrow(_bundles, _BUNDLE), "bundles", compression="zstd")
-    words = bundles.agg(F.sum(F.length("words"))).first()[0] or 0
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (2 * bucket_words)))
-    buckets = (most, most)
-    probes = bundles.mapInArrow(_probes(block, most), _PROBES)
-    hot = stored(probes.groupBy("bucket").applyInArrow(_hits, _FOUND), "hits")
-    both = lambda bits: bundles.groupBy("bundle").cogroup(bits.groupBy("bundle"))
-    lost = both(hot).applyInArrow(_reached(width, block, buckets), _WINDOWS).groupBy("bucket").applyInArrow(_owned, _FOUND)
-    bits = stored(hot.union(lost), "bits")
-    return both(bits).applyInArrow(_repeats(width, block, buckets), _GONE).dropDuplicates(["o", "k"])
 
+    def result(own: _Bundle, gone: list[list[int]]) -> pa.Table:
+        return pa.table({"o": own.o, "k": own.k, "ends": pa.array(gone, pa.list_(pa.int64()))})
 
-def _cut(batches):
-    """Rows with text and ends -> the words that stay, joined by one space."""
-    for batch in batches:
-        kept, n, removed = [], [], []
-        for text, ends in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ends").to_pylist(), strict=True):
-            words = (text or b"").split()  # at ASCII white space
-            n.append(len(words))
-            bounds = [0, *(ends or []), len(words)]
-            left = [w for a, b in zip(bounds[::2], bounds[1::2], strict=True) for w in words[a:b]]
-            removed.append(len(words) - len(left))
-            kept.append(None if text is None else b" ".join(left))
-        names = ["row", "o", "k", "text", "n_words", "n_removed"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names)
+    rows = keyed(docs, id_col, text_col).select("o", "k", "text")
+    return _settled(rows, width, bucket_words, result, "o long, k long, ends array<long>").where("size(ends) > 0").dropDuplicates(["o", "k"])
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", bucket_words: int = BUCKET_WORDS) -> DataFrame:
@@ -314,11 +296,13 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     text of fewer words than a window loses none. Repeated rows get the same
     result each; no rows give none; the columns beside the text stay in `row`.
     """
-    gone = stored(repeats(docs, width, id_col, text_col, bucket_words), "repeats")
+
+    def result(own: _Bundle, gone: list[list[int]]) -> pa.Table:
+        texts = own.batch.column("text").cast(pa.binary()).to_pylist()
+        kept, n, removed = zip(*map(_cut, texts, gone), strict=True)
+        columns = [*(own.batch.column(c) for c in ("row", "o", "k")), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())]
+        return pa.Table.from_arrays(columns, ["row", "o", "k", "text", "n_words", "n_removed"])
+
     rows = keyed(docs, id_col, text_col).withColumn("row", F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text_col]))
-    some = among(gone)
-    ends = F.lit(None).cast("array<long>").alias("ends")
-    hit = rows.where(some).join(gone, ["o", "k"], "left").select("row", "o", "k", "text", "ends")
-    rest = rows.where(~some).select("row", "o", "k", "text", ends)
     row_type = rows.schema["row"].dataType.simpleString()
-    return hit.union(rest).mapInArrow(_cut, f"row {row_type}, o long, k long, text string, n_words long, n_removed long")
+    return _settled(rows, width, bucket_words, result, f"row {row_type}, o long, k long, text string, n_words long, n_removed long")

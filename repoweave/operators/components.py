@@ -82,6 +82,26 @@ def resolved(references: DataFrame, components: DataFrame) -> DataFrame:
     return found.groupBy("ref").agg(F.min_by("target", "at").alias("target"))
 
 
+def local_matches(references: DataFrame, components: DataFrame) -> DataFrame:
+    """references (ref, owner, relative_path, name), components (id, name, qualified_name, relative_path) -> ref, target: the only other component of the same file under the name or its last part."""
+    names = components.select("relative_path", "id", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("key")).where("key <> ''")
+    tries = references.select("ref", "owner", "relative_path", F.explode(F.array_distinct(F.array("name", F.element_at(F.split("name", "[.:]"), -1)))).alias("key"))
+    both = tries.join(names, ["relative_path", "key"]).where("id <> owner")
+    # one target by either key: the least and the greatest are the same
+    return both.groupBy("ref").agg(F.min("id").alias("target"), F.max("id").alias("most")).where("target = most").select("ref", "target")
+
+
+def artifact_components(files: DataFrame) -> DataFrame:
+    """files (relative_path, class, content) -> the artifact component of each file, and of each of its units but one named as the file."""
+    units = artifact_units(files.select(F.col("relative_path").alias("path"), "class", "content")).select(F.col("path").alias("relative_path"), "unit")
+    file_name = F.element_at(F.split("relative_path", "/"), -1)
+    rows = files.select("relative_path", F.col("class").alias("artifact_class"), file_name.alias("name"), F.col("content").alias("source_code"), F.lit("artifact_file").alias("node_type"))
+    more = files.select("relative_path", F.col("class").alias("artifact_class"), file_name.alias("own")).join(units, "relative_path").where("unit <> own")
+    rows = rows.unionByName(more.select("relative_path", "artifact_class", F.col("unit").alias("name"), F.lit("artifact_unit").alias("node_type")), allowMissingColumns=True)
+    id_ = F.concat_ws("::", "relative_path", "name")
+    return rows.withColumns({"id": id_, "qualified_name": id_, "component_type": F.lit("artifact"), "language": F.lit("Artifact")})
+
+
 def dependencies(edges: DataFrame, components: DataFrame) -> DataFrame:
     """edges (caller, callee) -> id, depends_on: the sorted distinct other components that a known caller uses."""
     ids = components.select(F.col("id").alias("caller"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,35 +15,61 @@ from ..session import checkpointed
 PER_CLASS, MOST_BYTES = 40, 8 << 20
 
 
-def within_budget(files: DataFrame, per_class: int = PER_CLASS, most: int = MOST_BYTES, batch: int = 2000) -> DataFrame:
-    """files (path, class, size) -> with included: in path order a file is taken if its class has room and the bytes still fit.
+def _first_fits(per_class: int):
+    """Sorted rows (class, size) -> those that fewer than per_class rows of the class, no larger, precede."""
 
-    A file that doesn't fit is passed over and later ones may. Room only
-    shrinks, so each round takes the next `batch` files that would fit as things
-    stand, a distributed top-k, and decides them in order; what never fitted
-    isn't looked at again. `batch` has no effect on the result: rows are numbered,
-    so that equal paths have an order (the number's) and stay rows of their own;
-    null is a class like others, a null size fits nowhere.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least: dict = {}  # of each class the smallest sizes so far, as a heap of their negatives
+        for batch in batches:
+            keep = []
+            for name, size in zip(batch["class"].astype(object).where(batch["class"].notna(), None), batch["size"].tolist(), strict=True):
+                heap = least.setdefault(name, [])
+                fits = len(heap) < per_class or size < -heap[0]
+                if fits:
+                    (heapq.heappush if len(heap) < per_class else heapq.heappushpop)(heap, -size)
+                keep.append(fits)
+            yield batch[keep]
+
+    return run
+
+
+def _taken(per_class: int, most: int):
+    """Rows in order -> the _row of those that are taken."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, room = most, {}
+        for batch in batches:
+            out = []
+            for row, name, size in zip(batch["_row"].tolist(), batch["class"].astype(object).where(batch["class"].notna(), None), batch["size"].tolist(), strict=True):
+                if size <= left and room.setdefault(name, per_class):
+                    room[name] -= 1
+                    left -= size
+                    out.append(row)
+            yield pd.DataFrame({"_row": out}, dtype="int64")
+
+    return run
+
+
+def within_budget(files: DataFrame, per_class: int = PER_CLASS, most: int = MOST_BYTES, order: str = "path") -> DataFrame:
+    """files (path, class, size) -> with included: in `order` a file is taken if its class has room and the bytes still fit.
+
+    A file that doesn't fit is passed over and later ones may. What earlier files
+    of its class, no larger, fill the class's room with is never taken: if the
+    file fitted, they did. So each range of the order first offers what is left,
+    then ranges of these offers do, and the rest, which grows with the logarithm
+    of the files (with their number only where sizes fall all along), is decided
+    in order by one task. Equal places have an order of their own (the row's);
+    null is a class like others, a null or too large size fits nowhere.
     """
     rows = checkpointed(files.withColumn("_row", F.monotonically_increasing_id()))
-    left, room, after, taken = most, {}, None, []
+    offers = rows.where(F.col("size") <= most).select(F.col(order).alias("_at"), "_row", "class", F.col("size").cast("long").alias("size"))
+    ranges = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        fits = rows.where(F.col("size") <= left)
-        for name, n in room.items():
-            if n == 0:
-                fits = fits.where(~F.col("class").eqNullSafe(F.lit(name)))
-        if after is not None:
-            fits = fits.where(F.struct("path", "_row") > F.struct(F.lit(after["path"]).cast(files.schema["path"].dataType).alias("path"), F.lit(after["_row"]).alias("_row")))
-        found = fits.select("path", "class", "size", "_row").orderBy("path", "_row").limit(batch).collect()
-        for r in found:
-            if r["size"] <= left and room.setdefault(r["class"], per_class):
-                room[r["class"]] -= 1
-                left -= r["size"]
-                taken.append((r["_row"],))
-        if len(found) < batch:
+        offers = offers.repartitionByRange(ranges, "_at", "_row").sortWithinPartitions("_at", "_row").mapInPandas(_first_fits(per_class), offers.schema)
+        if ranges == 1:
             break
-        after = found[-1]
-    chosen = files.sparkSession.createDataFrame(taken, "_row long").withColumn("included", F.lit(True))
+        ranges = max(1, ranges // 64)
+    chosen = offers.mapInPandas(_taken(per_class, most), "_row long").withColumn("included", F.lit(True))
     return rows.join(chosen, "_row", "left").withColumn("included", F.coalesce("included", F.lit(False))).drop("_row")
 
 

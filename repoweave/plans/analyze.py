@@ -6,22 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components as C
+from ..operators import folds as O
 from ..operators import modules as M
 from ..session import checkpointed
 from ..sources import declarations, tree
 
 
-def analyze(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), focus: list[str] = ()) -> dict[str, DataFrame]:
-    """The tables of a source tree: files, components, edges (caller, callee), candidates, modules."""
-    files = tree.files(spark, root, include, exclude, focus)
+def analyze(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), focus: list[str] = (), gitignore: bool = True, artifact_bytes: int = O.MOST_BYTES) -> dict[str, DataFrame]:
+    """The tables of a source tree: files, components, edges (caller, callee), candidates, modules, artifacts, summary.
+
+    Artifacts are taken in walk order while their class and `artifact_bytes` have
+    room; those that are taken are components, each with its units. A reference
+    goes to the only match in its own file, or else in the whole tree; names that
+    are built in go nowhere.
+    """
+    files = checkpointed(tree.files(spark, root, include, exclude, focus, gitignore))
     code = declarations.components(files)
-    artifacts = files.where("class is not null").select(F.col("relative_path").alias("id"), F.element_at(F.split("relative_path", "/"), -1).alias("name"), F.lit("artifact").alias("component_type"), "relative_path", "language")
-    components = checkpointed(code.unionByName(artifacts, allowMissingColumns=True))
-    references = declarations.references(code)
-    found = C.resolved(references, code).join(references.select("ref", "owner"), "ref").select(F.col("owner").alias("caller"), F.col("target").alias("callee"))
-    edges = found.where("caller <> callee").distinct()
-    chosen = C.candidates(components, edges)
-    return {"files": files, "components": components, "edges": edges, "candidates": chosen, "modules": M.initial_modules(components.join(chosen, "id", "left_semi"))}
+    artifacts = O.within_budget(files.where("class is not null").select(F.col("relative_path").alias("path"), "class", "size", "walk"), most=artifact_bytes, order="walk").drop("walk")
+    taken = files.join(artifacts.where("included").select(F.col("path").alias("relative_path")), "relative_path", "left_semi")
+    components = checkpointed(code.drop("refs").unionByName(C.artifact_components(taken), allowMissingColumns=True))
+    references = checkpointed(declarations.references(code))
+    near = C.local_matches(references, code)
+    far = C.resolved(references.join(near, "ref", "left_anti"), components)
+    found = near.union(far).join(references.select("ref", "owner"), "ref").select(F.col("owner").alias("caller"), F.col("target").alias("callee"))
+    edges = checkpointed(found.where("caller <> callee").distinct())
+    chosen = checkpointed(C.candidates(components, edges))
+    spoken = files.where("language is not null").agg(F.count("*").alias("supported_files"), F.array_sort(F.collect_set("language")).alias("languages"))
+    return {
+        "files": files.drop("walk"),
+        "components": components,
+        "edges": edges,
+        "candidates": chosen,
+        "modules": M.initial_modules(components.join(chosen, "id", "left_semi")),
+        "artifacts": artifacts,
+        "languages": C.language_counts(components),
+        "summary": spoken.withColumns({"total_components": components.agg(F.count("*")).scalar(), "leaf_nodes": chosen.agg(F.count("*")).scalar()}),
+    }
 
 
 def written(tables: dict[str, DataFrame], folder: str, snapshot: str) -> None:

@@ -21,6 +21,7 @@ from .operators import modules as M
 from .operators import pages as W
 from .plans import update as U
 from .session import table as T
+from .sources import declarations as S
 from .sources import documents as J
 
 _L = "long"
@@ -123,6 +124,35 @@ def artifact_units(s, d):
     return C.artifact_units(talk)
 
 
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    """Documents as Python (even ids) and Java files: a class with a method for each line, which quotes the line in a comment and a string and calls by its first word."""
+    quoted = lambda x: F.translate(line(x), "\\\"", "/'")
+    line = lambda x: F.translate(x, "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "         ")
+    word = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, "([A-Za-z]+)", 1), F.lit("")), F.lit("none"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    python = lambda x, i: F.concat(F.lit("    def m"), i.cast("string"), F.lit("(self, a=(1, 2), *b):\n        # def no(): if {\n        x = \""), quoted(x), F.lit(" class No: def no(\"\n        return f_"), word(x), F.lit("(x)\n"))
+    java = lambda x, i: F.concat(F.lit("  int m"), i.cast("string"), F.lit("(Map<K, V> a, int b) { // "), line(x), F.lit("\n    String x = \""), quoted(x), F.lit(" } class No { \"; return f_"), word(x), F.lit("(x); }\n"))
+    even = F.col("doc_id") % 2 == 0
+    body = F.array_join(F.when(even, F.transform(lines, python)).otherwise(F.transform(lines, java)), "")
+    name = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    content = F.when(even, F.concat(F.lit("class "), name, F.lit("(Base):\n"), body)).otherwise(F.concat(F.lit("class "), name, F.lit(" extends Base<A, B> {\n"), body, F.lit("}\n")))
+    return T(s, d, "documents").select("doc_id", F.concat(name, F.when(even, ".py").otherwise(".java")).alias("relative_path"), F.when(even, "python").otherwise("java").alias("language"), content.alias("content"))
+
+
+def source_components(s, d):
+    """2.4: components of all documents as files: how many, their parameters, bases and last lines."""
+    found = S.components(_sources(s, d))
+    return found.groupBy("relative_path").agg(
+        F.count("*").alias("n"), F.count_if(F.col("component_type") == "method").alias("methods"), F.sum(F.size("parameters")).alias("parameters"), F.max(F.array_join("base_classes", ",")).alias("bases"), F.sum("end_line").alias("end_lines")
+    )
+
+
+def source_references(s, d):
+    """2.4: what the documents' components call, by the innermost one; built-in names and keywords are out."""
+    found = S.references(S.components(_sources(s, d))).where("kind = 'call'")
+    return found.groupBy("name").agg(F.count("*").alias("callers"), F.count_if(F.col("owner").contains(".m")).alias("methods"), F.sum("line").alias("lines"))
+
+
 # files and paths
 
 
@@ -705,7 +735,7 @@ def overview_context(s, d):
 
 
 _NAMES = """graph_load tree_load cluster_groups patch_hunks id_lists page_creation edition_merge edition_catalog history_scan overview_context primary_paths module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
-path_glob_filter artifact_classes language_counts class_cap_and_budget safe_ids page_ids role_labels tree_paths post_order ancestors deepest_owner boundary_owner initial_modules
+source_components source_references path_glob_filter artifact_classes language_counts class_cap_and_budget safe_ids page_ids role_labels tree_paths post_order ancestors deepest_owner boundary_owner initial_modules
 claims super_groups tree_quality review_check khop_upstream diagram_paths target_subtree snapshot_diff change_ratios active_set rename_pairs neighbour_majority write_sets verdicts
 hunk_overlap edge_set_operations prose_counts headings truncation token_estimate_oversized link_extract broken_links page_differences unlinked_children page_id_collisions grounding
 page_scores report_rollup diagram_quality scoped_search search_index html_export prompt_render session_prune orphan_locks edit_log_fold

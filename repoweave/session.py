@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,8 +20,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the shared checkpoint folder; a local one is set only where none is, as in tests."""
+    """df in the checkpoint folder that the session names (spark.checkpoint.dir, or one set on its context), which all executors must see; where driver and executors are one machine, one is made."""
     context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
-        context.setCheckpointDir("/tmp/checkpoints")
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def whole_texts(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Set the session's Arrow batches to what whole texts need: few rows, few bytes; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key)).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))

@@ -1,186 +1,88 @@
-"""Declarations and references in source files, by tables of expressions for each language.
-
-A declaration's span reaches to the end of its indented block, or to the brace
-that closes it, or over its own lines where it has neither. That finds what
-begins on a line of its own in common style, not what a grammar would find.
-"""
+"""Components of source files and what they refer to, from one scan of each file."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-
-_TYPE = r"^\s*(?:(?:public|private|protected|internal|abstract|final|sealed|static|partial|data|case|export|default|open|pub(?:\([^)]*\))?|unsafe)\s+)*"
-#: (languages, component type, expression whose first group is the name)
-RULES = (
-    ("python", "class", r"^\s*class\s+(\w+)"),
-    ("python", "function", r"^\s*(?:async\s+)?def\s+(\w+)"),
-    ("java csharp kotlin typescript javascript scala php", "class", _TYPE + r"class\s+(\w+)"),
-    ("java csharp kotlin typescript php", "interface", _TYPE + r"interface\s+(\w+)"),
-    ("java csharp kotlin typescript rust c cpp scala php", "enum", _TYPE + r"enum\s+(?:class\s+)?(\w+)"),
-    ("java csharp", "record", _TYPE + r"record\s+(?:class\s+|struct\s+)?(\w+)"),
-    ("csharp rust c cpp", "struct", _TYPE + r"struct\s+(\w+)"),
-    ("go", "struct", r"^\s*type\s+(\w+)\s+struct\b"),
-    ("go", "interface", r"^\s*type\s+(\w+)\s+interface\b"),
-    ("go", "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"),
-    ("rust scala php", "trait", _TYPE + r"trait\s+(\w+)"),
-    ("rust", "function", _TYPE + r"(?:async\s+|const\s+|extern\s+\"[^\"]*\"\s+)*fn\s+(\w+)"),
-    ("cpp", "class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(\w+)"),
-    ("c cpp", "function", r"^(?:[\w:*&<>,]+\s+)+\*?(\w+)\s*\([^;]*\)\s*(?:const\s*)?\{?\s*$"),
-    ("kotlin", "function", _TYPE + r"(?:suspend\s+|inline\s+|override\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)"),
-    ("kotlin scala", "object", _TYPE + r"object\s+(\w+)"),
-    ("scala", "function", _TYPE + r"(?:override\s+|implicit\s+)*def\s+(\w+)"),
-    ("javascript typescript php", "function", r"^\s*(?:(?:export|default|async|public|private|protected|static)\s+)*function\s*\*?\s*&?(\w+)"),
-    ("javascript typescript", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"),
-    ("typescript", "type", r"^\s*(?:export\s+)?type\s+(\w+)\s*(?:<[^>]*>)?\s*="),
-    ("java csharp", "function", r"^\s+(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|synchronized)\s+)+[\w<>\[\],.?]+\s+(\w+)\s*\([^;]*$"),
-    ("ruby", "class", r"^\s*class\s+([A-Z]\w*)"),
-    ("ruby", "module", r"^\s*module\s+([A-Z]\w*)"),
-    ("ruby", "function", r"^\s*def\s+(?:self\.)?(\w+[?!]?)"),
-)
-#: Languages whose blocks are indented; in all others braces close them.
-INDENTED = ("python",)
-ENDED = ("ruby",)
-_NAME = r"[A-Za-z_]\w*"
-#: (kind, languages or all, expression whose first group is what is referred to)
-REFERENCES = (
-    ("call", "", rf"(?<![\w.:])((?:{_NAME}(?:\.|::|->))*{_NAME}[!?]?)\s*\("),
-    ("instantiate", "java csharp javascript typescript php cpp scala", rf"\bnew\s+((?:{_NAME}(?:\.|::))*{_NAME})"),
-    ("import", "python", r"(?m)^\s*(?:import\s+([\w.]+)|from\s+[\w.]+\s+import\s+(\w+))"),
-    ("import", "java kotlin scala", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"),
-    ("import", "rust", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"),
-    ("import", "csharp php", r"(?m)^\s*us(?:ing|e)\s+([\w.\\]+)\s*;"),
-    ("import", "c cpp", r"(?m)^\s*#\s*include\s*[<\"]([^>\"]+)"),
-    ("import", "javascript typescript", r"(?:from|require\(|import)\s*[\"']([^\"']+)"),
-    ("type", "python typescript rust kotlin scala", rf"(?:[\w)\]]\s*:|->)\s*&?((?:{_NAME}(?:\.|::))*[A-Z]\w*)"),
-    ("type", "java csharp cpp go c php", rf"[(,]\s*(?:const\s+|final\s+|ref\s+|out\s+)?((?:{_NAME}(?:\.|::))*[A-Z]\w*)(?:<[^<>()]*>)?[\s*&]+\w+\s*(?=[,)])"),
-)
-#: Words before a parenthesis that call nothing.
-_KEYWORDS = ("if", "for", "while", "switch", "return", "catch", "def", "class", "fn", "func", "fun", "function", "elif", "and", "or", "not", "in", "match", "when", "sizeof", "typeof", "new", "super", "print", "await", "yield", "throw", "assert", "lambda")
-#: What follows a type's name and names those that it builds on.
-BASES = (
-    ("python", r"^\s*class\s+\w+\s*\(([^)]*)\)"),
-    ("java typescript javascript php", r"\b(?:extends|implements)\s+([^{]*?)(?=\bimplements\b|\bextends\b|\{|$)"),
-    ("scala", r"\b(?:extends|with)\s+([\w.\[\]]+)"),
-    ("csharp cpp kotlin", r"(?:class|struct|interface|record|enum|object)\s+\w+(?:\s*<[^>]*>)?(?:\s*\([^)]*\))?\s*:\s*([^{]*)"),
-    ("ruby", r"^\s*class\s+\w+\s*<\s*([\w:]+)"),
-    ("rust", r"(?:\btrait\s+\w+\s*:|\G\s*\+)\s*([\w:]+)"),
-)
-_TYPES = ("class", "interface", "enum", "record", "struct", "trait", "object", "type", "module")
-
-
-def _found(lines: DataFrame) -> DataFrame:
-    """lines (relative_path, language, line, line_no) -> those that declare, with kind, name, indent."""
-    kind = name = F.lit(None).cast("string")
-    for languages, what, expression in reversed(RULES):
-        hit = F.col("language").isin(*languages.split()) & F.col("line").rlike(expression)
-        kind = F.when(hit, what).otherwise(kind)
-        name = F.when(hit, F.regexp_extract("line", expression, 1)).otherwise(name)
-    return lines.withColumns({"kind": kind, "name": name, "indent": F.length(F.regexp_extract("line", r"^\s*", 0))}).where("kind is not null")
-
-
-def _ends(lines: DataFrame) -> DataFrame:
-    """lines -> relative_path, lines: an array of (line, depth: of braces after it, indent: null for a blank one), in order."""
-    braces = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c)))
-    depth = F.sum(braces("{") - braces("}")).over(Window.partitionBy("relative_path").orderBy("line_no"))
-    indent = F.when(F.trim(F.col("line")) != "", F.length(F.regexp_extract("line", r"^\s*", 0)))
-    rows = lines.withColumns({"depth": depth, "indent": indent})
-    return rows.groupBy("relative_path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "depth", "indent"))).alias("lines"))
-
-
-def _span_end(language, start, indent) -> Column:
-    """The last line of the block that begins at line `start`: before the next line that isn't deeper, or where braces or an `end` close it."""
-    total = F.size("lines")
-    later = lambda found: F.array_min(F.transform(found, lambda x: x["line_no"]))
-    before = F.coalesce(F.get("lines", start - 2)["depth"], F.lit(0))
-    shallow = later(F.filter("lines", lambda x: (x["line_no"] > start) & (x["indent"] <= indent) & ~x["line"].rlike(r"^\s*[{)]")))
-    block = F.coalesce(shallow - 1, total)
-    filled = F.array_max(F.transform(F.filter("lines", lambda x: (x["line_no"] <= block) & x["indent"].isNotNull()), lambda x: x["line_no"]))
-    opened = later(F.filter("lines", lambda x: (x["line_no"] >= start) & (x["depth"] > before)))
-    one_line = F.contains(F.get("lines", start - 1)["line"], F.lit("{")) | F.get("lines", start - 1)["line"].rlike(r";\s*$")
-    closed = later(F.filter("lines", lambda x: (x["line_no"] >= F.coalesce(opened, start)) & (x["depth"] <= before)))
-    braced = F.when(opened.isNull() | F.coalesce(opened >= shallow, F.lit(False)) | (one_line & (F.get("lines", start - 1)["depth"] <= before)), start).otherwise(F.coalesce(closed, total))
-    ended = F.coalesce(later(F.filter("lines", lambda x: (x["line_no"] > start) & (x["indent"] == indent) & x["line"].rlike(r"^\s*end\b"))), filled)
-    return F.when(language.isin(*INDENTED), filled).when(language.isin(*ENDED), ended).otherwise(braced)
+from ..operators.components import is_builtin
+from ..session import checkpointed, whole_texts
+from .scanner import KEYWORDS, scan
+
+_FOUND = "relative_path string, language string, id string, name string, component_type string, qualified_name string, start_line int, end_line int, source_code string, inside string, bases string, refs array<struct<name:string,kind:string,line:int>>"
+_TYPES = ("class", "interface", "enum", "record", "struct", "trait", "object", "type", "module", "namespace", "union")
+
+
+def _scanned(batches):
+    """Files -> a row for each component, with what it refers to."""
+    for batch in batches:
+        out: dict[str, list] = {c.split()[0]: [] for c in _FOUND.split(" array")[0].split(", ")}
+        for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("relative_path", "language", "content")), strict=True):
+            for d, refs in scan(text or "", language, path):
+                code = text[d.start : d.end].rstrip()
+                row = (path, language, d.id, d.name, d.kind, d.path, d.line, d.line + code[d.name_at - d.start :].count("\n"), code, d.inside, d.bases, [{"name": n, "kind": k, "line": at} for (n, k), at in refs.items()])
+                for values, value in zip(out.values(), row, strict=True):
+                    values.append(value)
+        kinds = {"start_line": pa.int32(), "end_line": pa.int32(), "refs": pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("line", pa.int32())]))}
+        yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.string())) for c, v in out.items()], list(out))
 
 
 def split_parameters(text: Column) -> Column:
-    """What stands between the commas that aren't inside brackets of any kind."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?:[^,()\[\]<>{}]|\((?:[^()]|\([^()]*\))*\)|\[[^\[\]]*\]|<(?:[^<>]|<[^<>]*>)*>|\{[^{}]*\}|->|=>|[<>])+"), F.lit(0))
-    return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    """What stands between the commas that are in no round, square or angle bracket, however deep; a closing one too many counts for nothing."""
+    state = "struct<at:int,round:int,square:int,angle:int,cuts:array<int>>"
+
+    def step(s: Column, c: Column) -> Column:
+        depth = lambda name, a, b: F.when(c == a, s[name] + 1).when(c == b, F.greatest(s[name] - 1, F.lit(0))).otherwise(s[name]).alias(name)
+        cut = (c == ",") & (s["round"] == 0) & (s["square"] == 0) & (s["angle"] == 0)
+        cuts = F.when(cut, F.array_append(s["cuts"], s["at"])).otherwise(s["cuts"])
+        return F.struct((s["at"] + 1).alias("at"), depth("round", "(", ")"), depth("square", "[", "]"), depth("angle", "<", ">"), cuts.alias("cuts")).cast(state)
+
+    start = F.expr(f"cast(named_struct('at', 1, 'round', 0, 'square', 0, 'angle', 0, 'cuts', array()) as {state})")
+    cuts = F.aggregate(F.split(text, ""), start, step, lambda s: s["cuts"])
+    starts, ends = F.concat(F.array(F.lit(1)), F.transform(cuts, lambda c: c + 1)), F.concat(cuts, F.array(F.length(text) + 1))
+    parts = F.zip_with(starts, ends, lambda a, b: F.regexp_replace(F.substring(text, a, b - a), r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda x: x != "")
 
 
 def _attributes(df: DataFrame) -> DataFrame:
-    """Declarations with source_code -> with parameters, base_classes, docstring (Python's)."""
-    code, is_type = F.col("source_code"), F.col("component_type").isin(*_TYPES)
-    head = F.regexp_extract(code, r"(?s)^([^{]*)", 1)
-    inside = F.regexp_extract(code, r"(?s)^(?:func\s*\([^)]*\))?[^(){]*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", 1)
-    bases = F.array().cast("array<string>")
-    for languages, expression in BASES:
-        found = F.flatten(F.transform(F.regexp_extract_all(F.when(F.col("language") == "python", F.regexp_extract(code, r"(?s)^([^:]*)", 1)).otherwise(head), F.lit(expression), F.lit(1)), split_parameters))
-        bases = F.when(F.col("language").isin(*languages.split()) & is_type, found).otherwise(bases)
+    """Scanned components -> with parameters, base_classes, docstring (Python's)."""
     # a base's name: no keyword argument, access word, generic part or arguments
-    named = F.transform(F.filter(bases, lambda x: ~x.contains("=")), lambda x: F.replace(F.trim(F.regexp_replace(F.regexp_replace(x, r"^(?:public|private|protected|virtual)\s+", ""), r"(?s)[<(\[].*$", "")), F.lit("::"), F.lit(".")))
-    doc = F.regexp_extract(code, r'(?s)^\s*(?:async\s+)?(?:def|class)\b.*?:[ \t]*\n\s*([rRuU]?(?:"""(?:.*?)"""|\'\'\'(?:.*?)\'\'\'|"[^"\n]*"|\'[^\'\n]*\'))', 1)
+    bases = F.filter(split_parameters(F.col("bases")), lambda x: ~x.contains("="))
+    named = F.transform(bases, lambda x: F.replace(F.trim(F.regexp_replace(F.regexp_replace(x, r"^(?:(?:public|private|protected|virtual)\s+)+", ""), r"(?s)[<(\[{].*$", "")), F.lit("::"), F.lit(".")))
+    doc = F.regexp_extract("source_code", r'(?s)^\s*(?:async\s+)?(?:def|class)\b.*?:[ \t]*\n\s*([rRuU]?(?:"""(?:.*?)"""|\'\'\'(?:.*?)\'\'\'|"[^"\n]*"|\'[^\'\n]*\'))', 1)
     return df.withColumns({
-        "parameters": F.when(is_type, F.array().cast("array<string>")).otherwise(split_parameters(inside)),
-        "base_classes": F.array_sort(F.array_distinct(F.filter(named, lambda x: x != ""))),
+        "parameters": split_parameters(F.col("inside")),
+        "base_classes": F.array_sort(F.array_distinct(F.filter(named, lambda x: (x != "") & ~is_builtin(F.col("language"), x)))),
         "docstring": F.when((F.col("language") == "python") & (doc != ""), doc),
-    })
+    }).drop("inside", "bases")
 
 
 def components(files: DataFrame) -> DataFrame:
-    """files (relative_path, language, content) -> id, name, component_type, relative_path, language, start_line, end_line, source_code, qualified_name, parameters, base_classes, docstring.
+    """files (relative_path, language, content) -> id, name, component_type, relative_path, language, start_line, end_line, source_code, qualified_name, parameters, base_classes, docstring, refs.
 
     An id is the path, :: and the names of the types around it and its own; of
     repeated ones the later have their line added. A function in a type is a
-    method; what a function declares inside itself is no component. Declarations
-    are compared with those of their own file only.
+    method; what a function declares inside itself is no component. `refs` holds
+    what each component refers to outside of the components inside it. Files
+    without language give none; a null text is empty.
     """
-    lines = files.where("language is not null").select("relative_path", "language", F.posexplode(F.split("content", "\r?\n")).alias("i", "line")).withColumn("line_no", F.col("i") + 1)
-    found = _found(lines).join(_ends(lines), "relative_path")
-    found = found.withColumn("end_line", F.greatest(F.col("line_no"), _span_end(F.col("language"), F.col("line_no"), F.col("indent"))))
-    code = F.array_join(F.transform(F.slice("lines", F.col("line_no"), F.col("end_line") - F.col("line_no") + 1), lambda x: x["line"]), "\n")
-    found = checkpointed(found.select("relative_path", "language", "kind", "name", "line_no", "end_line", code.alias("source_code")))
-    around = found.select("relative_path", F.col("kind").alias("outer_kind"), F.col("name").alias("outer"), F.col("line_no").alias("from"), F.col("end_line").alias("to"))
-    outer = found.select("relative_path", "line_no").join(around, "relative_path").where("line_no > from and line_no <= to")
-    outer = outer.groupBy("relative_path", "line_no").agg(F.array_sort(F.collect_list(F.struct("from", "outer"))).alias("outer"), F.max(F.col("outer_kind") == "function").alias("inside"))
-    found = found.join(outer, ["relative_path", "line_no"], "left").where("not coalesce(inside, false)")
-    scope = F.coalesce(F.transform("outer", lambda x: x["outer"]), F.array().cast("array<string>"))
-    method = (F.col("kind") == "function") & (F.size(scope) > 0)
-    found = found.withColumns({"component_type": F.when(method, "method").otherwise(F.col("kind")), "qualified_name": F.array_join(F.concat(scope, F.array("name")), ".")})
-    n = F.row_number().over(Window.partitionBy("relative_path", "qualified_name").orderBy("line_no"))
-    id_ = F.concat_ws("::", "relative_path", "qualified_name")
-    found = found.withColumn("id", F.when(n == 1, id_).otherwise(F.concat_ws("#", id_, "line_no")))
-    return _attributes(found.select("id", "name", "component_type", "relative_path", "language", F.col("line_no").alias("start_line"), "end_line", "source_code", "qualified_name"))
+    whole_texts(files.sparkSession)
+    texts = files.where("language is not null").select("relative_path", "language", F.col("content").cast("string").alias("content"))
+    return _attributes(checkpointed(texts.mapInArrow(_scanned, _FOUND)))
 
 
 def references(components_: DataFrame) -> DataFrame:
-    """components -> ref, owner, language, name, kind (call, instantiate, import, type, base): what each component refers to, each name once, by its first kind.
+    """components -> ref, owner, relative_path, language, name, kind (call, instantiate, import, type, base), line: what each component refers to, each name once, by its first kind and line.
 
-    A component's own name, and words that call nothing, are left out.
+    A component's own name, its type's, words that call nothing and built-in
+    names are left out.
     """
-    # its own head is no reference: the text after the declaration's name counts
-    own = F.substring(F.col("source_code"), F.instr(F.col("source_code"), F.col("name")) + F.length("name"), F.length("source_code"))
-    kinds = []
-    for n, (kind, languages, expression) in enumerate(REFERENCES):
-        names = F.regexp_extract_all(own, F.lit(expression), F.lit(1))
-        if "|from" in expression:
-            names = F.filter(F.concat(names, F.regexp_extract_all(own, F.lit(expression), F.lit(2))), lambda x: x != "")
-        each = _of_kind(names, n, kind)
-        kinds.append(F.when(F.col("language").isin(*languages.split()), each).otherwise(F.array().cast(_REF)) if languages else each)
-    kinds.append(_of_kind(F.col("base_classes"), len(REFERENCES), "base"))
-    rows = components_.select(F.col("id").alias("owner"), "language", F.col("name").alias("own"), F.explode(F.concat(*kinds)).alias("r"))
-    rows = rows.select("owner", "language", "own", F.replace(F.replace("r.name", F.lit("->"), F.lit(".")), F.lit("\\"), F.lit(".")).alias("name"), "r.n", "r.kind")
-    rows = rows.where(~F.col("name").isin(*_KEYWORDS) & (F.col("name") != F.col("own")))
-    first = rows.groupBy("owner", "language", "name").agg(F.min_by("kind", "n").alias("kind"))
+    kinds = F.array(*[F.lit(k) for k in ("call", "instantiate", "import", "type", "base")])
+    based = F.transform("base_classes", lambda x: F.struct(x.alias("name"), F.lit("base").alias("kind"), F.col("start_line").cast("int").alias("line")))
+    rows = components_.select(F.col("id").alias("owner"), "relative_path", "language", "qualified_name", F.explode(F.concat("refs", based)).alias("r")).select("owner", "relative_path", "language", "qualified_name", "r.name", "r.kind", "r.line")
+    path = F.split("qualified_name", r"\.")
+    own = (F.col("name") == F.element_at(path, -1)) | (F.col("name") == F.col("qualified_name")) | F.coalesce(F.col("name") == F.try_element_at(path, F.lit(-2)), F.lit(False)) | F.endswith("qualified_name", F.concat(F.lit("."), F.col("name")))
+    rows = rows.where(~own & ~F.col("name").isin(*KEYWORDS) & ~is_builtin(F.col("language"), F.col("name")))
+    first = rows.groupBy("owner", "relative_path", "language", "name").agg(F.min_by("kind", F.array_position(kinds, F.col("kind"))).alias("kind"), F.min("line").alias("line"))
     return first.withColumn("ref", F.concat_ws("\x01", "owner", "name"))
-
-
-_REF = "array<struct<name:string,n:int,kind:string>>"
-
-
-def _of_kind(names: Column, n: int, kind: str) -> Column:
-    return F.transform(F.array_distinct(names), lambda x: F.struct(x.alias("name"), F.lit(n).alias("n"), F.lit(kind).alias("kind")))

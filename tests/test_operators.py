@@ -77,14 +77,19 @@ def test_budget_whatever_the_batch(spark):
         if ok:
             left, room[c] = left - n, room.get(c, 0) + 1
         want.append((p, str(c), str(n), ok))
-    for batch in (1, 3, 2000):
-        got = O.within_budget(files, per_class=12, most=700, batch=batch).collect()
+    now = spark.conf.get("spark.sql.shuffle.partitions")
+    for ranges in ("1", "3", "130"):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        try:
+            got = O.within_budget(files, per_class=12, most=700).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", now)
         assert sorted((r["path"], str(r["class"]), str(r["size"]), r["included"]) for r in got) == sorted(want)
 
 
 def test_budget_goes_on_after_a_large_file(spark):
     files = spark.createDataFrame([(1, "a", 5), (2, "a", 90), (3, "b", 5), (4, "a", 1), (5, "a", 1)], "path long, class string, size long")
-    got = {r["path"]: r["included"] for r in O.within_budget(files, per_class=2, most=11, batch=2).collect()}
+    got = {r["path"]: r["included"] for r in O.within_budget(files, per_class=2, most=11).collect()}
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False}
 
 
@@ -98,7 +103,7 @@ def test_budget_like_a_plain_walk(spark):
         want[p] = n <= left and room.get(c, 0) < 15
         if want[p]:
             left, room[c] = left - n, room.get(c, 0) + 1
-    got = O.within_budget(spark.createDataFrame(data, "path long, class string, size long"), per_class=15, most=900, batch=7)
+    got = O.within_budget(spark.createDataFrame(data, "path long, class string, size long"), per_class=15, most=900)
     assert {r["path"]: r["included"] for r in got.collect()} == want
 
 

@@ -20,13 +20,31 @@ def test_analyze_a_tree(spark, tmp_path):
     assert {r["relative_path"] for r in out["files"].collect()} == {"app/__init__.py", "app/core.py", "lib/a.go", "lib/b.rs", "web/c.ts", "Makefile"}
     parts = {r["id"]: (r["component_type"], r["start_line"], r["end_line"]) for r in out["components"].collect()}
     assert parts["app/core.py::Engine"][0] == "class" and parts["app/core.py::Engine.run"] == ("method", 2, 3)
-    assert {"lib/a.go::Start", "lib/a.go::Box", "lib/b.rs::S", "lib/b.rs::go", "web/c.ts::View", "web/c.ts::load", "Makefile"} <= set(parts)
+    assert {"lib/a.go::Start", "lib/a.go::Box", "lib/b.rs::S", "lib/b.rs::go", "web/c.ts::View", "web/c.ts::load"} <= set(parts)
     assert ("app/core.py::Engine.run", "app/core.py::helper") in {tuple(r) for r in out["edges"].collect()}
     assert {r["module"] for r in out["modules"].collect()} >= {"app", "lib", "web"}
+    assert "Makefile::Makefile" in parts and "Makefile::all" in parts
     analyze.written({"candidates": out["candidates"]}, str(tmp_path / "out"), "1")
     assert spark.read.parquet(str(tmp_path / "out/candidates")).where("snapshot = 1").count() == out["candidates"].count()
 
 
+def test_references_stay_in_their_file_if_they_can(spark, tmp_path):
+    for path, text in {
+        "a.py": "def helper():\n    return len(1)\n\nclass A:\n    def run(self):\n        return helper() + far() + print(2) + both()\n", "b.py": "def helper():\n    pass\n\ndef far():\n    pass\n\ndef both():\n    pass\n", "c.py": "def both():\n    pass\n\ndef print():\n    pass\n",
+        "package.json": '{"scripts": {"build": "x", "test": "y"}}', "d/Makefile": "all: one\n\ttrue\nMakefile:\n",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    out = analyze.analyze(spark, str(tmp_path), artifact_bytes=45)
+    assert {tuple(r) for r in out["edges"].collect()} == {("a.py::A.run", "a.py::helper"), ("a.py::A.run", "b.py::far")}
+    # in walk order: the second artifact has no bytes left
+    assert {r["path"]: r["included"] for r in out["artifacts"].collect()} == {"d/Makefile": True, "package.json": False}
+    assert {r["id"] for r in out["components"].where("component_type = 'artifact'").collect()} == {"d/Makefile::Makefile", "d/Makefile::all"}
+    (summary,) = out["summary"].collect()
+    assert (summary["supported_files"], summary["languages"], summary["total_components"]) == (3, ["python"], 10)
+    assert {r["language"]: r["n"] for r in out["languages"].collect()} == {"python": 8, "Artifact": 2}
+
+
 def test_page_source(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/start.txt").write_text("x")

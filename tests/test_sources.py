@@ -1,13 +1,16 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from repoweave import __main__ as cli
+from repoweave.functions import paths as P
 from repoweave.functions import prompts
 from repoweave.operators import editions as E
 from repoweave.sources import declarations as D
 from repoweave.sources import documents as J
+from repoweave.sources import tree
 
 
 def rows(df):
@@ -69,7 +72,7 @@ def test_declarations_of_many_languages(spark):
     got = {r["id"]: r for r in found.collect()}
     assert set(got) == {
         "a.py::Base", "a.py::Base.run", "a.py::Base.Deep", "a.py::free", "b.java::Car", "b.java::Car.go", "b.java::Wheeled", "c.ts::View", "c.ts::load", "c.ts::draw", "d.rs::Tank", "d.rs::Swim", "d.rs::dive", "e.cs::Bird", "e.cs::Bird.Sing",
-        "f.rb::Dog", "f.rb::Dog.bark", "g.go::Box", "g.go::Open",
+        "f.rb::Dog", "f.rb::Dog.bark", "g.go::Box", "g.go::Box.Open",
     }
     assert {k: r["base_classes"] for k, r in got.items() if r["base_classes"]} == {
         "a.py::Base": ["Root"], "b.java::Car": ["Driven", "Vehicle", "Wheeled"], "c.ts::View": ["Panel", "Shown"], "d.rs::Swim": ["Float", "Move"], "e.cs::Bird": ["Animal", "IFly"], "f.rb::Dog": ["Pets.Animal"],
@@ -77,7 +80,7 @@ def test_declarations_of_many_languages(spark):
     params = {k: r["parameters"] for k, r in got.items() if r["parameters"]}
     assert params == {
         "a.py::Base.run": ["self", "x: Box", "*rest", "key=(1, 2)"], "a.py::free": ["a", "b=[1, 2]"], "b.java::Car.go": ["Engine e", "Map<String, Part> m"], "c.ts::load": ["x: Item"], "c.ts::draw": ["a: Shape"], "d.rs::dive": ["t: &Tank"],
-        "e.cs::Bird.Sing": ["Song s"], "f.rb::Dog.bark": ["loud"], "g.go::Open": ["k Key"],
+        "e.cs::Bird.Sing": ["Song s"], "f.rb::Dog.bark": ["loud"], "g.go::Box.Open": ["k Key"],
     }
     assert (got["a.py::Base"]["docstring"], got["a.py::free"]["docstring"], got["a.py::Base.run"]["docstring"]) == ('"""Says so."""', "'short'", None)
     spans = {k: (r["start_line"], r["end_line"], r["component_type"]) for k, r in got.items()}
@@ -91,6 +94,93 @@ def test_declarations_of_many_languages(spark):
     } <= refs
 
 
+MATRIX = {
+    "service.py": "def run(x):\n    return x\n", "Service.java": "class Service { void run() {} }\n", "app.js": "function run(x) { return x; }\n", "app.ts": "function run(x: number) { return x; }\n",
+    "main.go": "package main\nfunc run(x int) int { return x }\n", "main.rs": "fn run(x: i32) -> i32 { x }\n", "main.c": "int run(int x) { return x; }\n", "main.cpp": "int run(int x) { return x; }\n",
+    "Program.cs": "class Program { void Run() {} }\n", "Main.kt": "fun run(x: Int): Int = x\n", "index.php": "<?php function run($x) { return $x; }\n", "lib.rb": "def run(x)\n  x\nend\n", "Main.scala": "def run(x: Int): Int = x\n",
+}
+
+
+def test_every_language_has_its_function(spark):
+    files = spark.createDataFrame(list(MATRIX.items()), "relative_path string, content string").withColumn("language", P.language(F.col("relative_path")))
+    got = {r["id"]: r for r in D.components(files).collect()}
+    assert {k.split("::")[0] for k in got} == set(MATRIX) and len({r["language"] for r in got.values()}) == 13
+    for path in MATRIX:
+        (name,) = {k.split("::")[1] for k in got if k.startswith(path) and k.lower().endswith("run")}
+        kind = got[f"{path}::{name}"]["component_type"]
+        assert kind == ("method" if "." in name else "function"), path
+        if "x" in MATRIX[path].split("run", 1)[-1].split(")")[0].lower():
+            assert len(got[f"{path}::{name}"]["parameters"]) == 1, path
+
+
+def test_variables_and_bodiless_members(spark):
+    sources = {
+        "a.js": "const callback = () => 1;\nconst value = 1;\nlet late = async function (x) { go(x); };\n", "b.ts": "const callback = (value: number) => value;\nconst value: number = 1;\n",
+        "c.go": "type Runner interface {\n    Run() error\n    Stop(now bool)\n}\nfunc (s *Service) Execute() error {\n    return helper()\n}\n",
+        "d.rs": "pub struct Service;\n\ntrait Runner {\n    fn run(&self) -> i32;\n}\nimpl Service {\n    pub fn execute(&self) -> i32 {\n        helper()\n    }\n}\nimpl Runner for Service {\n    fn run(&self) -> i32 { helper() }\n}\nfn helper() -> i32 { 1 }\n",
+        "e.kt": "class Small(val x: Int) : Base(x), Named\nclass Large {\n    val p = 1\n    fun go() = other()\n}\nfun interface One { fun only() }\n", "f.cpp": "struct P { int x; };\nint A::h(int z) { return g(z); }\nnamespace n { class A : public B { int f() const { return 1; } A() {} }; }\n",
+    }
+    files = spark.createDataFrame(list(sources.items()), "relative_path string, content string").withColumn("language", P.language(F.col("relative_path")))
+    found = D.components(files)
+    assert {r["id"]: r["component_type"] for r in found.collect()} == {
+        "a.js::callback": "function", "a.js::value": "variable", "a.js::late": "function", "b.ts::callback": "function", "b.ts::value": "variable", "c.go::Runner": "interface", "c.go::Runner.Run": "method", "c.go::Runner.Stop": "method",
+        "c.go::Service.Execute": "method", "d.rs::Service": "struct", "d.rs::Runner": "trait", "d.rs::Runner.run": "method", "d.rs::Service.execute": "method", "d.rs::Service.run": "method", "d.rs::helper": "function",
+        "e.kt::Small": "class", "e.kt::Large": "class", "e.kt::Large.p": "property", "e.kt::Large.go": "method", "e.kt::One": "interface", "e.kt::One.only": "method",
+        "f.cpp::P": "struct", "f.cpp::A.h": "method", "f.cpp::n": "namespace", "f.cpp::A": "class", "f.cpp::A.f": "method",
+    }
+    refs = {(r["owner"], r["name"]) for r in D.references(found).collect()}
+    assert {("d.rs::Service.execute", "helper"), ("d.rs::Service.run", "helper"), ("d.rs::Service", "Runner"), ("c.go::Service.Execute", "helper"), ("e.kt::Large.go", "other"), ("e.kt::Small", "Base"), ("f.cpp::A.h", "g")} <= refs
+    assert not {o for o, n in refs if n == "helper"} - {"d.rs::Service.execute", "d.rs::Service.run", "c.go::Service.Execute"}
+
+
+def test_comments_and_strings_declare_and_call_nothing(spark):
+    sources = {
+        "a.py": 'def top():\n    """def no(): helper(1)"""\n    # class No: helper(2)\n    s = "def no2(): helper(3)" + \'}\'\n    return real("(")\n\nclass A:\n    def m(self):\n        def inner():\n            deep()\n        return top()\n',
+        "b.rs": "/* outer /* fn no() {} */ fn no2() {} */\nfn yes<'a>(c: &'a str) -> char { let x = '{'; let r = r#\"fn no3() { \"#; go(x) }\nfn last() { }\n",
+        "c.java": 'class K { String s = "class No {"; // class No2 {\n  char c = \'}\';\n  @Deprecated(since = "x") int f(int a) { return g(a); }\n  K() { h(); }\n}\n',
+    }
+    files = spark.createDataFrame(list(sources.items()), "relative_path string, content string").withColumn("language", P.language(F.col("relative_path")))
+    found = D.components(files)
+    spans = {r["id"]: (r["start_line"], r["end_line"]) for r in found.collect()}
+    assert spans == {"a.py::top": (1, 5), "a.py::A": (7, 11), "a.py::A.m": (8, 11), "b.rs::yes": (2, 2), "b.rs::last": (3, 3), "c.java::K": (1, 5), "c.java::K.f": (3, 3)}
+    refs = {(r["owner"], r["name"]) for r in D.references(found).where("kind = 'call'").collect()}
+    # innermost: nothing of a method belongs to its class
+    assert refs == {("a.py::top", "real"), ("a.py::A.m", "deep"), ("a.py::A.m", "top"), ("b.rs::yes", "go"), ("c.java::K.f", "g"), ("c.java::K", "h")}
+
+
+def plain_split(text):
+    out, start, depth = [], 0, {"(": 0, "[": 0, "<": 0}
+    for i, c in enumerate(text):
+        if c in depth:
+            depth[c] += 1
+        elif c in ")]>":
+            k = "([<"[")]>".index(c)]
+            depth[k] = max(0, depth[k] - 1)
+        elif c == "," and not any(depth.values()):
+            out.append(text[start:i])
+            start = i + 1
+    return [x for x in (y.strip() for y in [*out, text[start:]]) if x]
+
+
+def test_parameters_split_at_any_depth(spark):
+    chance = random.Random(6)
+    texts = ["".join(chance.choice("ab, ()[]<>\n\u00e9") for _ in range(chance.randint(0, 40))) for _ in range(400)] + ["(" * 50 + "a,b" + ")" * 50 + ",c", "", " , ,"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", D.split_parameters(F.col("t")).alias("p")).collect()
+    assert {r["i"]: r["p"] for r in got} == {i: plain_split(t) for i, t in enumerate(texts)}
+
+
+def test_walk_with_nested_ignore_files(spark, tmp_path):
+    for path, text in {
+        ".gitignore": "*.log\n!keep.log\n/only_top.py\nout/\ndocs/**/draft.py\n# note\n\\#odd.py\ntrail.py   \n", "a.py": "", "x.log": "", "keep.log": "", "only_top.py": "", "sub/only_top.py": "", "out/z.py": "", "sub/out": "", "docs/draft.py": "", "docs/a/b/draft.py": "", "docs/final.py": "",
+        "#odd.py": "", "trail.py": "", "sub/.gitignore": "!*.log\nt[ae]st.py\ndeep/\n", "sub/y.log": "", "sub/test.py": "", "sub/tast.py": "", "sub/tost.py": "", "sub/deep/q.py": "", "sub/more/.ignore": "!tast.py\n", "sub/more/tast.py": "", ".hidden/h.py": "", ".dot.py": "", "sub.py": "",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    walk = lambda **o: [r["relative_path"] for r in tree.files(spark, str(tmp_path), **o).orderBy("walk").collect()]
+    assert walk() == ["a.py", "docs/final.py", "keep.log", "sub/more/tast.py", "sub/only_top.py", "sub/out", "sub/tost.py", "sub/y.log", "sub.py"]
+    assert "x.log" in walk(gitignore=False) and ".dot.py" not in walk(gitignore=False)
+
+
 def test_outlines_and_contracts(spark):
     data = [(1, ["b"], ["x.py::B", "lone"]), (1, ["a"], []), (1, ["a", "z"], ["x.py::K.m", "x.py::A", "y.py::C"]), (1, ["a", "c"], [])]
     df = spark.createDataFrame(data, "tree long, path array<string>, ids array<string>")

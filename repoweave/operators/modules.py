@@ -119,6 +119,58 @@ def applied_clusters(members: DataFrame, groups: DataFrame, known: DataFrame, pa
     return members.select("path", "id").union(own).union(above).distinct()
 
 
+def cluster_outcomes(responses: DataFrame, groups: DataFrame, requested: DataFrame, known: DataFrame) -> DataFrame:
+    """responses (response, scope, parent, review), groups (response, path, components: nested), requested (response, id), known (id) -> response, error, decision, selected, omitted, groups.
+
+    Of the top groups' components those count that were requested, each for the
+    first group by name. A response of scope `repo` needs a group that keeps one;
+    of scope `module` (under `parent`) it needs a review that retains the leaf if
+    there is none, and if there are groups a review, where given, that splits.
+    """
+    asked = requested.groupBy("response").agg(F.count_distinct("id").alias("asked"))
+    unknown = requested.join(known.select("id"), "id", "left_anti").select("response").distinct().withColumn("unknown", F.lit(True))
+    kept = _claimed(groups, requested).groupBy("response").agg(F.count("*").alias("selected"), F.count_distinct("module").alias("groups"))
+    rows = responses.join(asked, "response", "left").join(unknown, "response", "left").join(kept, "response", "left").fillna(0, ["selected", "groups", "asked"])
+    module, none, decision = F.col("scope") == "module", F.col("groups") == 0, F.col("review.decision")
+    error = (
+        F.when(~F.col("scope").isin("repo", "module"), "scope is repo or module")
+        .when(module & (F.coalesce(F.size("parent"), F.lit(0)) == 0), "a module has a path")
+        .when(F.col("asked") == 0, "no component was asked for")
+        .when(F.col("unknown"), "an unknown component was asked for")
+        .when(module & F.col("review").isNotNull() & decision.isNull(), "the review can't be read")
+        .when(module & none & F.col("review").isNull(), "no groups and no review")
+        .when(module & none & (decision != "retain_leaf"), "no groups, but the leaf isn't retained")
+        .when(none & ~module, "no groups")
+        .when(module & ~none & (decision != "split"), "groups, but the decision isn't split")
+    )
+    fine = F.when(error.isNull(), 1).otherwise(0)
+    omitted = F.when(none, 0).otherwise(F.col("asked") - F.col("selected"))
+    return rows.select("response", error.alias("error"), F.when(error.isNull() & module, decision).alias("decision"), (fine * F.col("selected")).alias("selected"), (fine * omitted).alias("omitted"), (fine * F.col("groups")).alias("groups"))
+
+
+def _claimed(groups: DataFrame, requested: DataFrame) -> DataFrame:
+    """response, module, id: requested components of the top groups, each of the first by name."""
+    top = groups.where(F.size("path") == 1).select("response", F.col("path")[0].alias("module"), F.explode("components").alias("id"))
+    return top.join(requested.select("response", "id").distinct(), ["response", "id"], "left_semi").groupBy("response", "id").agg(F.min("module").alias("module")).select("response", "module", "id")
+
+
+def clustered(responses: DataFrame, groups: DataFrame, requested: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """As cluster_outcomes, and its outcomes -> response, path, id: what the responses without an error add to the tree.
+
+    A group's claimed components, what its nested groups hold as they are, and
+    all that is claimed for the parent and the modules above it. Groups that keep
+    no component go with all below them.
+    """
+    good = outcomes.where("error is null").select("response").join(responses.select("response", "scope", F.coalesce("parent", F.array().cast("array<string>")).alias("parent")), "response")
+    first = checkpointed(_claimed(groups, requested).join(good, "response"))
+    base = F.when(F.col("scope") == "module", F.col("parent")).otherwise(F.array().cast("array<string>"))
+    own = first.select("response", F.concat(base, F.array("module")).alias("path"), "id")
+    nested = groups.where(F.size("path") > 1).withColumn("module", F.col("path")[0]).join(first.select("response", "module", "scope", "parent").distinct(), ["response", "module"])
+    nested = nested.select("response", F.concat(base, F.col("path")).alias("path"), F.explode("components").alias("id"))
+    above = first.where("scope = 'module'").select("response", F.explode(F.transform(F.sequence(F.lit(1), F.size("parent")), lambda n: F.slice("parent", F.lit(1), n))).alias("path"), "id")
+    return own.union(nested).union(above).distinct()
+
+
 def super_groups(members: DataFrame, modules: DataFrame) -> DataFrame:
     """members (parent, module), modules (module: all of the top level) -> parent, module: the groups that are made.
 

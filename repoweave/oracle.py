@@ -124,6 +124,26 @@ SELECT p_partkey, path, CASE
   WHEN f IN ('cargo.lock', 'go.sum', 'requirements.txt', 'poetry.lock', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml') THEN 'packaging' END AS class,
   CASE WHEN contains(f, '.') THEN CASE regexp_extract(f, '[^.]*$') WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' WHEN 'kts' THEN 'kotlin' WHEN 'h++' THEN 'cpp' END END AS language FROM low""",
     "language_counts": f"""SELECT lang AS language, count(*) AS n, sum((length(text) + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY lang""",
+    "cluster_responses": """
+WITH line AS (SELECT l_orderkey AS response, l_returnflag AS flag, l_linestatus AS status, l_linenumber AS n, l_quantity AS q, 'p' || l_partkey AS id FROM lineitem),
+asked AS (SELECT response, id FROM line WHERE q > 25 UNION SELECT o_orderkey, 'o' || o_orderkey FROM orders WHERE o_custkey % 5 <> 0),
+unknown AS (SELECT DISTINCT response FROM asked WHERE starts_with(id, 'o') AND response % 7 = 0),
+claimed AS (SELECT response, id, min(flag) AS flag FROM line SEMI JOIN asked USING (response, id) GROUP BY ALL),
+kept AS (SELECT response, count(*) AS selected, count(DISTINCT flag) AS groups FROM claimed GROUP BY response),
+o AS (
+  SELECT o_orderkey AS response, o_custkey % 2 = 1 AS module, o_orderpriority AS top, CASE o_orderstatus WHEN 'F' THEN 'split' WHEN 'O' THEN 'retain_leaf' END AS decision,
+    (SELECT count(*) FROM asked a WHERE a.response = o_orderkey) AS n, o_orderkey IN (FROM unknown) AS unknown, coalesce(selected, 0) AS selected, coalesce(groups, 0) AS groups
+  FROM orders LEFT JOIN kept ON kept.response = o_orderkey),
+judged AS (SELECT *, CASE WHEN n = 0 THEN 'no component was asked for' WHEN unknown THEN 'an unknown component was asked for' WHEN module AND groups = 0 AND decision IS NULL THEN 'no groups and no review'
+  WHEN module AND groups = 0 AND decision <> 'retain_leaf' THEN 'no groups, but the leaf isn''t retained' WHEN groups = 0 AND NOT module THEN 'no groups' WHEN module AND decision <> 'split' AND groups > 0 THEN 'groups, but the decision isn''t split' END AS error FROM o),
+good AS (SELECT response, module, top FROM judged WHERE error IS NULL),
+made AS (
+  SELECT response, CASE WHEN module THEN [top, 'x', flag] ELSE [flag] END AS path, id FROM claimed JOIN good USING (response)
+  UNION SELECT response, CASE WHEN module THEN [top, 'x', flag, status] ELSE [flag, status] END, id FROM line JOIN good USING (response) SEMI JOIN (SELECT DISTINCT response, flag FROM claimed) USING (response, flag) WHERE n % 2 = 0
+  UNION SELECT response, p, id FROM claimed JOIN good USING (response), unnest([[top], [top, 'x']]) AS u(p) WHERE module),
+counted AS (SELECT response, count(*) AS members, max(len(path)) AS deepest FROM made GROUP BY response)
+SELECT response, error, CASE WHEN error IS NULL AND module THEN decision END AS decision, CASE WHEN error IS NULL THEN selected ELSE 0 END AS selected, CASE WHEN error IS NULL AND groups > 0 THEN n - selected ELSE 0 END AS omitted,
+  CASE WHEN error IS NULL THEN groups ELSE 0 END AS groups, members, deepest FROM judged LEFT JOIN counted USING (response)""",
     "source_components": """
 SELECT 'D' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.java' END AS relative_path, n + 1 AS n, n AS methods, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END * n AS parameters, 'Base' AS bases,
   CASE WHEN doc_id % 2 = 0 THEN 1 + 9 * n + 2 * n * (n - 1) ELSE 2 + 5 * n + n * (n - 1) END AS end_lines

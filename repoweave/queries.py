@@ -20,6 +20,7 @@ from .operators import graph as G
 from .operators import modules as M
 from .operators import pages as W
 from .plans import update as U
+from .session import checkpointed
 from .session import table as T
 from .sources import declarations as S
 from .sources import documents as J
@@ -685,6 +686,26 @@ def cluster_groups(s, d):
     return J.cluster_groups(T(s, d, "orders").select(F.col("o_orderkey").alias("response"), body.alias("text")))
 
 
+def cluster_responses(s, d):
+    """2.9: nested responses of all orders: lines' flags group their parts, with a group inside for each status; outcome and rows of the tree."""
+    line = T(s, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"))
+    inner = line.groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.collect_list("id").alias("ids"), F.collect_list(F.when(F.col("l_linenumber") % 2 == 0, F.col("id"))).alias("even"))
+    outer = inner.groupBy("l_orderkey", "l_returnflag").agg(F.flatten(F.collect_list("ids")).alias("components"), F.map_from_entries(F.collect_list(F.struct("l_linestatus", F.struct(F.col("even").alias("components"))))).alias("children"))
+    body = outer.groupBy("l_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("l_returnflag", F.struct("components", "children"))))).alias("body"))
+    review = F.when(F.col("o_orderstatus") == "F", "split").when(F.col("o_orderstatus") == "O", "retain_leaf")
+    note = F.coalesce(F.concat(F.lit('<DECOMPOSITION_REVIEW>```{"decision":"'), review, F.lit('","risk":"low","reason":"r"}```</DECOMPOSITION_REVIEW>')), F.lit(""))
+    text = F.concat(F.lit("so <GROUPED_COMPONENTS>\n"), F.coalesce("body", F.lit("{}")), F.lit("\n</GROUPED_COMPONENTS> "), note)
+    orders = T(s, d, "orders").join(body, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("response"), "o_custkey", F.when(F.col("o_custkey") % 2 == 0, "repo").otherwise("module").alias("scope"), F.array("o_orderpriority", F.lit("x")).alias("parent"), text.alias("text"))
+    orders = checkpointed(orders)
+    responses = orders.withColumn("review", J.reviews(F.col("text")))
+    asked = line.where("l_quantity > 25").select(F.col("l_orderkey").alias("response"), "id").union(orders.where("o_custkey % 5 <> 0").select("response", F.concat(F.lit("o"), F.col("response").cast("string"))))
+    known = line.select("id").distinct().union(orders.where("response % 7 <> 0").select(F.concat(F.lit("o"), F.col("response").cast("string"))))
+    groups = J.cluster_modules(orders.select("response", "text"))
+    outcomes = checkpointed(M.cluster_outcomes(responses, groups, asked, known))
+    rows = M.clustered(responses, groups, asked, outcomes).groupBy("response").agg(F.count("*").alias("members"), F.max(F.size("path")).cast(_L).alias("deepest"))
+    return outcomes.join(rows, "response", "left")
+
+
 def patch_hunks(s, d):
     """2.1: hunks of patches; each order's patch changes a file by its lines."""
     k, n = F.col("o_orderkey"), F.col("o_custkey")
@@ -734,7 +755,7 @@ def overview_context(s, d):
     return E.overview(rows.withColumn("page", P.page_id("wiki", F.transform("path", lambda x: F.replace(F.replace(x, F.lit(" "), F.lit("-")), F.lit("#"), F.lit("-"))))), "ASIA/CHINA")
 
 
-_NAMES = """graph_load tree_load cluster_groups patch_hunks id_lists page_creation edition_merge edition_catalog history_scan overview_context primary_paths module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
+_NAMES = """graph_load tree_load cluster_groups cluster_responses patch_hunks id_lists page_creation edition_merge edition_catalog history_scan overview_context primary_paths module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
 source_components source_references path_glob_filter artifact_classes language_counts class_cap_and_budget safe_ids page_ids role_labels tree_paths post_order ancestors deepest_owner boundary_owner initial_modules
 claims super_groups tree_quality review_check khop_upstream diagram_paths target_subtree snapshot_diff change_ratios active_set rename_pairs neighbour_majority write_sets verdicts
 hunk_overlap edge_set_operations prose_counts headings truncation token_estimate_oversized link_extract broken_links page_differences unlinked_children page_id_collisions grounding

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,14 +21,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the checkpoint folder that the session names (spark.checkpoint.dir, or one set on its context), which all executors must see; where driver and executors are one machine, one is made."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        if not folder and not context.master.startswith("local"):
+    """df as a table in the folder that the session names (spark.checkpoint.dir, or one set on its context), which all executors must see: short lineage, computed once.
+
+    Where driver and executors are one machine and no folder is named, one is made.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def whole_texts(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:

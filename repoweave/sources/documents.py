@@ -51,6 +51,58 @@ def cluster_groups(responses: DataFrame, tag: str = "GROUPED_COMPONENTS") -> Dat
     return responses.select("response", F.explode(groups).alias("module", "g")).select("response", "module", F.explode("g.components").alias("id")).distinct()
 
 
+_OBJECT = "coalesce(schema_of_variant({0}) like 'OBJECT%', false)"
+_STRINGS = "transform(filter(coalesce(try_variant_get({0}, '$', 'array<variant>'), array()), x -> schema_of_variant(x) = 'STRING'), x -> cast(x as string))"
+#: What a review can decide, and the risks that it can name.
+DECISIONS, RISKS = ("split", "retain_leaf"), ("low", "medium", "high")
+
+
+def tagged(text: Column, tag: str) -> Column:
+    """What stands between a tag and its end, or else the whole text, without a code fence."""
+    start, end = F.instr(text, F.lit(f"<{tag}>")), F.instr(text, F.lit(f"</{tag}>"))
+    body = F.when((start > 0) & (end > start), F.substring(text, start + len(tag) + 2, end - start - len(tag) - 2)).otherwise(text)
+    return F.regexp_replace(body, r"^\s*(?:```)*(?:json\b)?\s*|\s*(?:```)*\s*$", "")
+
+
+def reviews(text: Column, tag: str = "DECOMPOSITION_REVIEW") -> Column:
+    """The review of a response as a struct (decision, risk, reason); null without the tag; one that can't be read has a null decision."""
+    parsed = F.from_json(tagged(text, tag), "decision string, risk string, reason string")
+    known = parsed["decision"].isin(*DECISIONS) & parsed["risk"].isin(*RISKS)
+    none = F.lit(None).cast("string")
+    review = F.struct(*[F.when(known, parsed[c]).otherwise(none).alias(c) for c in ("decision", "risk", "reason")])
+    return F.when(F.contains(text, F.lit(f"<{tag}>")), review)
+
+
+def cluster_modules(responses: DataFrame, tag: str = "GROUPED_COMPONENTS") -> DataFrame:
+    """responses (response, text with a tagged JSON object of nested groups) -> response, path (names from the top group down), folder, components, review.
+
+    A group is an object with path, components and children (or modules: an
+    object of groups, or a list of names of empty ones). What has another kind is
+    passed over: groups that aren't objects, components that aren't strings,
+    reviews that name other decisions or risks. JSON is read once as VARIANT and
+    taken apart a level at a time.
+    """
+    spark = responses.sparkSession
+    level = responses.select("response", F.array().cast("array<string>").alias("up"), F.try_parse_json(tagged(F.col("text"), tag)).alias("v"))
+    out = None
+    while out is None or not level.isEmpty():
+        level = level.where(F.expr(_OBJECT.format("v")))
+        each = spark.sql("select l.response, concat(l.up, array(e.key)) as path, e.value as v from {level} l, lateral variant_explode(l.v) e", level=level)
+        each = each.where(F.expr(_OBJECT.format("v")))
+        review = F.expr("struct(try_variant_get(v, '$.decomposition_review.decision', 'string') as decision, try_variant_get(v, '$.decomposition_review.risk', 'string') as risk, try_variant_get(v, '$.decomposition_review.reason', 'string') as reason)")
+        here = each.select(
+            "response", "path", F.expr("case when schema_of_variant(try_variant_get(v, '$.path', 'variant')) = 'STRING' then try_variant_get(v, '$.path', 'string') end").alias("folder"),
+            F.expr(_STRINGS.format("try_variant_get(v, '$.components', 'variant')")).alias("components"), review.alias("review"), F.expr("coalesce(try_variant_get(v, '$.children', 'variant'), try_variant_get(v, '$.modules', 'variant'))").alias("v"),
+        )
+        here = here.withColumn("review", F.when(F.col("review.decision").isin(*DECISIONS) & F.col("review.risk").isin(*RISKS), F.col("review")))
+        here = checkpointed(here)
+        bare = here.select("response", F.explode(F.transform(F.expr(_STRINGS.format("v")), lambda n: F.concat("path", F.array(n)))).alias("path")).distinct()
+        rows = here.drop("v").unionByName(bare, allowMissingColumns=True).withColumn("components", F.coalesce("components", F.array().cast("array<string>")))
+        out = rows if out is None else out.union(rows)
+        level = here.where(F.expr(_OBJECT.format("v"))).select("response", F.col("path").alias("up"), "v")
+    return out
+
+
 def patch_hunks(patches: DataFrame) -> DataFrame:
     """patches (patch, text: unified diff) -> patch, path, first, last: the new lines of each hunk; a pure deletion is the line before it.
 

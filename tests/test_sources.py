@@ -8,6 +8,7 @@ from repoweave import __main__ as cli
 from repoweave.functions import paths as P
 from repoweave.functions import prompts
 from repoweave.operators import editions as E
+from repoweave.operators import modules as M
 from repoweave.sources import declarations as D
 from repoweave.sources import documents as J
 from repoweave.sources import tree
@@ -28,6 +29,27 @@ def test_graph_with_missing_fields(spark):
     assert rows(J.graph_nodes(df).select("id", "name", "depends_on")) == [("x", "X", ["y"]), ("y", None, None)]
 
 
+def test_nested_cluster_responses(spark):
+    one = {"b": {"path": "src", "components": ["1", "2", 7, "9"], "children": {"in": {"components": ["1"], "modules": ["x", "y", 3]}}, "decomposition_review": {"decision": "split", "risk": "low", "reason": "r"}}, "a": {"components": ["2"]}, "no": "text", "bad": {"components": 5, "decomposition_review": {"decision": "maybe", "risk": "low"}}}
+    two = {"deep": {"children": {"er": {"children": {"still": {"components": ["1"]}}}}}}
+    texts = [f"so <GROUPED_COMPONENTS>```{json.dumps(one)}```</GROUPED_COMPONENTS> <DECOMPOSITION_REVIEW>{json.dumps({'decision': 'split', 'risk': 'high', 'reason': 'why'})}</DECOMPOSITION_REVIEW>", json.dumps(two), "no json", "[1]", None, '<DECOMPOSITION_REVIEW>{"decision":"retain_leaf","risk":"low"}</DECOMPOSITION_REVIEW><GROUPED_COMPONENTS>{}</GROUPED_COMPONENTS>', "<GROUPED_COMPONENTS>{}</GROUPED_COMPONENTS><DECOMPOSITION_REVIEW>{</DECOMPOSITION_REVIEW>"]
+    responses = spark.createDataFrame([(i, "module" if i in (0, 5, 6) else "repo", ["top", "mid"], t) for i, t in enumerate(texts)], "response int, scope string, parent array<string>, text string").withColumn("review", J.reviews(F.col("text")))
+    groups = J.cluster_modules(responses.select("response", "text"))
+    got = {(r["response"], "/".join(r["path"])): (r["folder"], r["components"], r["review"] and r["review"]["decision"]) for r in groups.collect()}
+    assert got == {
+        (0, "b"): ("src", ["1", "2", "9"], "split"), (0, "b/in"): (None, ["1"], None), (0, "b/in/x"): (None, [], None), (0, "b/in/y"): (None, [], None), (0, "a"): (None, ["2"], None), (0, "bad"): (None, [], None),
+        (1, "deep"): (None, [], None), (1, "deep/er"): (None, [], None), (1, "deep/er/still"): (None, ["1"], None),
+    }
+    asked = spark.createDataFrame([(i, x) for i in range(7) for x in ("1", "2", "3")] + [(3, "z")], "response int, id string")
+    known = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
+    outcomes = M.cluster_outcomes(responses, groups, asked, known)
+    assert {r["response"]: (r["error"], r["decision"], r["selected"], r["omitted"], r["groups"]) for r in outcomes.collect()} == {
+        0: (None, "split", 2, 1, 2), 1: ("no groups", None, 0, 0, 0), 2: ("no groups", None, 0, 0, 0), 3: ("an unknown component was asked for", None, 0, 0, 0), 4: ("no groups", None, 0, 0, 0), 5: (None, "retain_leaf", 0, 0, 0), 6: ("the review can't be read", None, 0, 0, 0),
+    }
+    made = {("/".join(r["path"]), r["id"]) for r in M.clustered(responses, groups, asked, outcomes).collect()}
+    assert made == {("top/mid/b", "1"), ("top/mid/a", "2"), ("top/mid/b/in", "1"), ("top", "1"), ("top", "2"), ("top/mid", "1"), ("top/mid", "2")}
+
+
 def test_id_lists(spark):
     df = spark.createDataFrame([('["a", "b"]',), ("a\r\n\n b ",), ('{"a":1}',)], "t string")
     assert [r[0] for r in df.select(J.id_list(F.col("t"))).collect()] == [["a", "b"], ["a", "b"], None]

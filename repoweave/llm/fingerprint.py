@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from bisect import bisect_left
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +44,11 @@ def _mark_ranges() -> str:
     return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once and once in the plan, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _decomposed_character(c: Column, code: Column) -> Column:
     dense, above, _ = _decompositions()
     jamo = lambda first, n: F.split(F.lit(",".join(chr(first + i) if first + i != 0x11A7 else "" for i in range(n))), ",")
@@ -72,9 +78,13 @@ def nfd(text: Column) -> Column:
         return F.array_join(F.transform(F.array_sort(marks), lambda x: x["c"]), "")
 
     marks = _mark_ranges()
-    runs = F.regexp_extract_all(apart, F.lit(f"[{marks}]+|[^{marks}]+"), F.lit(0))
-    sorted_ = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{marks}]{{2}}"), ordered(r)).otherwise(r)), "")
-    return F.when(text.rlike(r"[\x{300}-\x{10FFFF}]") & apart.rlike(f"[{marks}]{{2}}"), sorted_).otherwise(apart)
+
+    def put_in_order(apart: Column) -> Column:
+        runs = F.regexp_extract_all(apart, F.lit(f"[{marks}]+|[^{marks}]+"), F.lit(0))
+        sorted_ = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{marks}]{{2}}"), ordered(r)).otherwise(r)), "")
+        return F.when(text.rlike(r"[\x{300}-\x{10FFFF}]") & apart.rlike(f"[{marks}]{{2}}"), sorted_).otherwise(apart)
+
+    return _with(apart, put_in_order)
 
 
 @cache
@@ -89,13 +99,17 @@ def _folds() -> dict[str, str]:
 
 def folded(text: Column) -> Column:
     """Decomposed text in full case folding; it stays decomposed, as no fold begins or ends with a mark."""
-    low, folds = F.lower(text), _folds()
+    folds = _folds()
     one = {c: t for c, t in folds.items() if len(t) == 1}
-    out = F.translate(low, "".join(one), "".join(one.values()))
-    for c, t in folds.items():
-        if c not in one:
-            out = F.replace(out, F.lit(c), F.lit(t))
-    return F.when(low.rlike(f"[{''.join(folds)}]"), out).otherwise(low)
+
+    def further(low: Column) -> Column:
+        out = F.translate(low, "".join(one), "".join(one.values()))
+        for c, t in folds.items():
+            if c not in one:
+                out = F.replace(out, F.lit(c), F.lit(t))
+        return F.when(low.rlike(f"[{''.join(folds)}]"), out).otherwise(low)
+
+    return _with(F.lower(text), further)
 
 
 def canonical(text: Column) -> Column:
@@ -105,8 +119,7 @@ def canonical(text: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """128 bits, as hex, of the canonical text: XXH64 under two seeds."""
-    text = canonical(text)
-    return F.concat(*[F.lower(F.lpad(F.hex(h), 16, "0")) for h in (F.xxhash64(text), F.xxhash64(F.lit("wide"), text))])
+    return _with(canonical(text), lambda t: F.concat(*[F.lower(F.lpad(F.hex(h), 16, "0")) for h in (F.xxhash64(t), F.xxhash64(F.lit("wide"), t))]))
 
 
 def _ranged(docs: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 A line is known by the hash of its words. Lines of fewer than `min_words` words
 repeat by chance, so a key is a shortest run of whole lines with that many words
-from a line on, or up to a line. The rows that hold a key are counted. By each
-rare key a document pairs with the earliest document that has it; the two line
-sequences are aligned by patience diff, and each aligned common block of at
-least `min_words` words leaves the later document, as do common runs of so many
-words that no alignment holds. By the other keys no lines move: the key's own
-run leaves every document but the first. Either way the lines that go are all
-those in a run of `min_words` words that any earlier document has.
+from a line on, or up to a line. A key that several documents have pairs each of
+them with the earliest one, and brings along where the run stands there and its
+lines (at most `min_words`): a hot document's lines don't travel whole. The
+stretches that a pair shares are aligned by patience diff, and each aligned
+common block of at least `min_words` words leaves the later document. A run that
+moved past another one is no part of such an alignment and is aligned alone.
+The lines that go are so all those in a run of `min_words` words that any
+earlier document has.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from .vecwords import SPACED, chunks, hashes, mix, spans
 
 #: Blocks of fewer words than this stay: such lines repeat by chance or are too short to be a passage.
 MIN_WORDS = 30
-#: A key that more rows hold isn't rare: its run is cut without an alignment, so that a first document's lines don't go to all others.
-RARE = 100
 
 
 def _lines(data, offsets):
@@ -64,19 +63,29 @@ def _runs(lines: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.nda
 def _sequences(min_words: int):
     def run(batches):
         for batch in batches:
-            seqs, counts, keys = [], [], []
+            seqs, counts, n_keys, keys, at, spans_of, runs = [], [], [0], [], [], [], []
             for a, b, data, offsets in chunks(batch.column("text")):
                 h, n, owner = _lines(data, offsets)
                 bounds = np.searchsorted(owner, np.arange(b - a + 1))
                 for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     filled = s + np.flatnonzero(n[s:e])  # blank lines have no part
-                    seqs.append(h[filled].tobytes())
+                    lines = h[filled]
+                    seqs.append(lines.tobytes())
                     counts.append(n[filled].astype(np.int32).tobytes())
-                    _, run_hash, _ = _runs(h[filled], n[filled], min_words)
-                    keys.append(np.unique(run_hash).astype(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("o"), batch.column("k"), pa.array(seqs, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["o", "k", "lines", "counts", "keys"]
-            )
+                    start, run_hash, span = _runs(lines, n[filled], min_words)
+                    key, first = np.unique(run_hash, return_index=True)
+                    start, span = start[first], span[first]
+                    keys.append(key.view(np.int64))
+                    at.append(start)
+                    spans_of.append(span)
+                    runs.append(lines[np.arange(span.sum()) + np.repeat(start - np.cumsum(span) + span, span)])
+                    n_keys.append(n_keys[-1] + len(key))
+            ends = np.concatenate(([0], np.cumsum(np.concatenate([*spans_of, np.zeros(0, np.int64)])))).astype(np.int32) * 8
+            lines = np.concatenate([*runs, np.zeros(0, np.uint64)])
+            run_lines = pa.Array.from_buffers(pa.binary(), n_keys[-1], [None, pa.py_buffer(ends), pa.py_buffer(lines)])
+            each = [pa.array(np.concatenate([*x, np.zeros(0, kind)]).astype(kind)) for x, kind in ((keys, np.int64), (at, np.int32))]
+            held = pa.ListArray.from_arrays(pa.array(n_keys, pa.int32()), pa.StructArray.from_arrays([*each, run_lines], ["key", "at", "run"]))
+            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("k"), pa.array(seqs, pa.binary()), pa.array(counts, pa.binary()), held], ["o", "k", "lines", "counts", "keys"])
 
     return run
 
@@ -132,49 +141,56 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
     return blocks
 
 
-def common_blocks(early: np.ndarray, late: np.ndarray, counts: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """(first, end) in late of the blocks with at least min_words words that early has too.
-
-    A block that moved past another is no part of an ordered alignment, so what
-    stays of the later document is aligned again until nothing more is found.
-    Shorter common lines can still anchor an alignment that leaves a moved block
-    out; so the lines of every common run of min_words words go in the end.
-    """
-    gone, rest = np.zeros(len(late), bool), [(0, len(late))]
-    a = early.tolist()
-    while rest:
-        s, e = rest.pop()
-        found = [(s + j, s + j + n) for _, j, n in patience(a, late[s:e].tolist()) if counts[s + j : s + j + n].sum() >= min_words]
-        if not found:
-            continue
-        for x, y in found:
-            gone[x:y] = True
-        rest += [(x, y) for (_, x), (y, _) in zip([(s, s), *found], [*found, (e, e)], strict=True) if y > x]
-    if not gone.all():
-        gone |= _in_common_runs(early, late, counts, min_words)
-    return _stretches(gone)
+def _joined(parts: list[tuple[int, list]], mark: int) -> tuple[list, list]:
+    """(place, lines) in order of place -> the lines of the stretches that they cover, and their places; marks, each its own, part stretches."""
+    out, places, end = [], [], 0
+    for at, lines in parts:
+        if out and at > end:
+            out.append(mark - 2 * len(out))
+            places.append(-1)
+        new = lines[max(0, end - at) if out else 0 :]
+        end = max(end, at + len(lines)) if out else at + len(lines)
+        out += new
+        places += range(end - len(new), end)
+    return out, places
 
 
-def _in_common_runs(early: np.ndarray, late: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarray:
-    """Whether each line of late lies in a run of lines with min_words words that early has too.
+def common_blocks(lines: np.ndarray, counts: np.ndarray, shared: list[np.ndarray], runs: list[bytes], min_words: int) -> list[tuple[int, int]]:
+    """(first, end) of the blocks of lines with at least min_words words that earlier documents have.
 
-    A line of such a run lies in the shortest one from it on, or else in the
-    shortest one that ends where the run ends.
+    shared has, for each of the document's keys, the earlier document's o and k,
+    the key and where its run stands there; runs has their lines. Each pair's
+    stretches are aligned first. A run that is left then has moved, or overlaps
+    one from elsewhere, and is aligned alone.
     """
-    own, first = np.unique(late, return_index=True)
-    at = np.minimum(np.searchsorted(own, early), len(own) - 1)
-    both = np.where(own[at] == early, counts[first[at]], 0)  # a line that late lacks is in no common run, whatever its words
-    return _covered(late, counts, _runs(early, both, min_words)[1], min_words)
+    gone = np.zeros(len(lines), bool)
+    o, k, key, at = shared
+    start, own, span = _runs(lines, counts, min_words)
+    own, by_key = own.view(np.int64), np.argsort(key)
+    which = by_key[np.minimum(np.searchsorted(key[by_key], own), len(key) - 1)]
+    start, span, which = (x[key[which] == own] for x in (start, span, which))
+    order = np.lexsort((at, k, o))
+    number = np.cumsum(np.concatenate(([0], (np.diff(o[order]) != 0) | (np.diff(k[order]) != 0))))
+    pair = np.empty(len(order), np.int64)
+    pair[order] = number
+    late = np.lexsort((start, pair[which]))
+    starts = np.arange(number[-1] + 2)
+    early_ends, late_ends = (np.searchsorted(x, starts).tolist() for x in (number, pair[which][late]))
+    for a0, a1, b0, b1 in zip(early_ends[:-1], early_ends[1:], late_ends[:-1], late_ends[1:], strict=True):
+        early, _ = _joined([(int(at[i]), np.frombuffer(runs[i], np.uint64).tolist()) for i in order[a0:a1].tolist()], -1)
+        rest, places = _joined([(int(start[i]), lines[start[i] : start[i] + span[i]].tolist()) for i in late[b0:b1].tolist()], -2)
+        _mark(gone, counts, [(places[j], n) for _, j, n in patience(early, rest)], min_words)
+    for s, n, w in zip(start.tolist(), span.tolist(), which.tolist(), strict=True):
+        if not gone[s : s + n].all():
+            _mark(gone, counts, [(s + j, m) for _, j, m in patience(np.frombuffer(runs[w], np.uint64).tolist(), lines[s : s + n].tolist())], min_words)
+    return _stretches(gone)
 
 
-def _covered(lines: np.ndarray, counts: np.ndarray, keys: np.ndarray, min_words: int) -> np.ndarray:
-    """Whether each line lies in a run with one of the keys."""
-    start, key, span = _runs(lines, counts, min_words)
-    hit = np.isin(key, keys)
-    edges = np.zeros(len(lines) + 1, np.int64)
-    np.add.at(edges, start[hit], 1)
-    np.add.at(edges, start[hit] + span[hit], -1)
-    return np.cumsum(edges[:-1]) > 0
+def _mark(gone: np.ndarray, counts: np.ndarray, blocks: list[tuple[int, int]], min_words: int) -> None:
+    """Sets gone for the blocks (first line, lines) that have min_words words."""
+    for s, n in blocks:
+        if counts[s : s + n].sum() >= min_words:
+            gone[s : s + n] = True
 
 
 def _stretches(gone: np.ndarray) -> list[tuple[int, int]]:
@@ -186,57 +202,44 @@ def _stretches(gone: np.ndarray) -> list[tuple[int, int]]:
 _BLOCKS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _common(min_words: int):
-    """Rows with lines, counts and the keys of their common runs -> the stretches of these."""
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for d, n, keys in zip(*(batch.column(c).to_pylist() for c in ("lines", "counts", "keys")), strict=True):
-                gone = _covered(np.frombuffer(d, np.uint64), np.frombuffer(n, np.int32), np.array(keys, np.int64).view(np.uint64), min_words)
-                found.append([{"a": x, "b": y} for x, y in _stretches(gone)])
-            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("k"), pa.array(found, _BLOCKS)], ["o", "k", "blocks"])
-
-    return run
-
-
 def _aligned(min_words: int):
+    """Rows with lines, counts and what they share with earlier documents -> the blocks that go."""
+
     def run(batches):
         for batch in batches:
-            found = []
-            for e, d, n in zip(*(batch.column(c).to_pylist() for c in ("early", "lines", "counts")), strict=True):
-                blocks = common_blocks(np.frombuffer(e, np.uint64), np.frombuffer(d, np.uint64), np.frombuffer(n, np.int32), min_words)
+            found, shared = [], batch.column("shared")
+            ends = (np.asarray(shared.offsets) - shared.offsets[0].as_py()).tolist()
+            flat = shared.flatten()
+            columns = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("eo", "ek", "key", "at")]
+            runs = flat.field("run").to_pylist()
+            for s, e, d, n in zip(ends[:-1], ends[1:], batch.column("lines").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                blocks = common_blocks(np.frombuffer(d, np.uint64), np.frombuffer(n, np.int32), [x[s:e] for x in columns], runs[s:e], min_words)
                 found.append([{"a": x, "b": y} for x, y in blocks])
             yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("k"), pa.array(found, _BLOCKS)], ["o", "k", "blocks"])
 
     return run
 
 
-def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> o, k, blocks (a, b: lines from 0 among those that aren't blank, end excluded) for each document that loses some.
 
     The later of two documents is that of larger doc_id (null is the smallest;
     rows of one doc_id and different texts go by a hash). Repeated rows are one
-    document and don't lose lines to each other. `rare` has no effect on the
-    blocks' lines.
+    document and don't lose lines to each other.
     """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).select("o", "k", "text")
-    seqs = stored(rows.mapInArrow(_sequences(min_words), "o long, k long, lines binary, counts binary, keys array<long>"), "lines")
+    seqs = stored(rows.mapInArrow(_sequences(min_words), "o long, k long, lines binary, counts binary, keys array<struct<key:long,at:int,run:binary>>"), "lines")
+    keys = seqs.select("o", "k", F.explode("keys").alias("x"))
     at = F.struct("o", "k")
-    keys = seqs.select("o", "k", F.explode("keys").alias("key"))
-    first = keys.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
-    held = salted_join(keys, first, ["key"], F.col("k")).where("o <> first.o or k <> first.k")
-    held = stored(held.select("o", "k", F.col("first.o").alias("eo"), F.col("first.k").alias("ek"), "key", (F.col("n") <= rare).alias("rare")), "held")
-    pairs = held.where("rare").select("o", "k", "eo", "ek").distinct()
+    first = keys.groupBy("x.key").agg(F.min(F.struct("o", "k", "x.at", "x.run")).alias("first"), F.max(at).alias("last")).where("first.o <> last.o or first.k <> last.k").drop("last")
+    held = salted_join(keys.select("o", "k", "x.key"), first, ["key"], F.col("k")).where("o <> first.o or k <> first.k")
+    held = held.dropDuplicates(["o", "k", "key"])  # of repeated rows
+    run = F.struct(F.col("first.o").alias("eo"), F.col("first.k").alias("ek"), "key", F.col("first.at").alias("at"), F.col("first.run").alias("run"))
+    shared = held.groupBy("o", "k").agg(F.collect_list(run).alias("shared"))  # no more than a document's own keys
     whole = seqs.select("o", "k", "lines", "counts").dropDuplicates(["o", "k"])
-    early = seqs.select(F.col("o").alias("eo"), F.col("k").alias("ek"), F.col("lines").alias("early")).join(pairs.select("eo", "ek").distinct(), ["eo", "ek"], "left_semi").dropDuplicates(["eo", "ek"])
-    # a document has few rare keys, and each few holders: no side of these joins is hot
-    both = pairs.join(early, ["eo", "ek"]).join(whole, ["o", "k"])
-    found = both.select("o", "k", "early", "lines", "counts").mapInArrow(_aligned(min_words), "o long, k long, blocks array<struct<a:int,b:int>>")
-    known = held.where("not rare").groupBy("o", "k").agg(F.collect_set("key").alias("keys"))
-    found = found.union(whole.join(known, ["o", "k"]).select("o", "k", "lines", "counts", "keys").mapInArrow(_common(min_words), "o long, k long, blocks array<struct<a:int,b:int>>"))
-    return found.where("size(blocks) > 0").groupBy("o", "k").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+    found = whole.join(shared, ["o", "k"]).select("o", "k", "lines", "counts", "shared").mapInArrow(_aligned(min_words), "o long, k long, blocks array<struct<a:int,b:int>>")
+    return found.where("size(blocks) > 0")
 
 
 _CUT = "text string, n_removed long"
@@ -256,7 +259,7 @@ def _cut(texts: pd.Series, blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_removed"])
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> row, o, k, text (without the repeated lines), n_lines, n_removed for each row.
 
     Lines end at line feeds and are equal if their words (runs of other bytes
@@ -266,19 +269,19 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE,
     Repeated rows get the same result each; no rows give none; other columns
     stay in `row`.
     """
-    found = repeated_blocks(docs, min_words, rare, id_col, text_col).withColumn("ends", F.flatten(F.transform("blocks", lambda x: F.array(x["a"], x["b"]))))
+    found = repeated_blocks(docs, min_words, id_col, text_col).withColumn("ends", F.flatten(F.transform("blocks", lambda x: F.array(x["a"], x["b"]))))
     whole = keyed(docs, id_col, text_col).join(found.select("o", "k", "ends"), ["o", "k"], "left")
     cut = whole.withColumn("cut", F.pandas_udf(_cut, _CUT)(F.when(F.col("ends").isNotNull(), F.col("text")), F.coalesce("ends", F.expr("cast(array() as array<int>)"))))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
     return cut.select("row", "o", "k", F.coalesce("cut.text", "text").alias("text"), n_lines.alias("n_lines"), F.col("cut.n_removed").alias("n_removed"))
 
 
-def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs' rows with the repeated lines cut from their text and `length_col` (if there is one) set anew.
 
     Rows whose text loses all its lines go; rows that lose nothing stay whole.
     """
-    cut = deduplicated(docs, min_words, rare, id_col, text_col).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    cut = deduplicated(docs, min_words, id_col, text_col).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     row = F.col("row").withField(f"`{text_col}`", F.col("text"))
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType

@@ -132,11 +132,10 @@ def plain_line_dedup(texts, most=30):
     return gone
 
 
-@pytest.mark.parametrize("rare", [100, 2, 0])
-def test_line_dedup(docs, texts, rare):
+def test_line_dedup(docs, texts):
     few = {i: t for i, t in texts.items() if i != 126}
     gone = plain_line_dedup(few)
-    got = {r["row"]["doc_id"]: r for r in linedup.deduplicated(docs.where("doc_id <> 126 or doc_id is null"), rare=rare).collect() if r["row"]["doc_id"] is not None}
+    got = {r["row"]["doc_id"]: r for r in linedup.deduplicated(docs.where("doc_id <> 126 or doc_id is null")).collect() if r["row"]["doc_id"] is not None}
     assert any(gone.values())
     for i, r in got.items():
         lines = None if texts[i] is None else texts[i].split("\n")
@@ -149,24 +148,58 @@ def test_line_dedup(docs, texts, rare):
 def test_lines_against_every_earlier_document(spark):
     long, short, other = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 40), ("b", 5), ("c", 40)))
     rows = [(1, long), (2, f"{long}\n{short}"), (3, f"x\n{long}\n{short}\ny"), (4, f"{short}\n{other}"), (5, f"z\n{short}\n{other}")]
-    for rare in (100, 0):
-        df = spark.createDataFrame(rows, "doc_id long, text string")
-        cut = lambda df: {r["o"]: r["text"] for r in linedup.deduplicated(df, rare=rare).collect()}
-        assert cut(df) == {1: long, 2: short, 3: "x\ny", 4: f"{short}\n{other}", 5: "z"}
-        assert cut(df.where("doc_id <> 1"))[3] == "x\ny"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = lambda df: {r["o"]: r["text"] for r in linedup.deduplicated(df).collect()}
+    assert cut(df) == {1: long, 2: short, 3: "x\ny", 4: f"{short}\n{other}", 5: "z"}
+    assert cut(df.where("doc_id <> 1"))[3] == "x\ny"
 
 
-@pytest.mark.parametrize("rare", [100, 1])
-def test_line_dedup_of_odd_lines(spark, rare):
+def test_line_dedup_of_odd_lines(spark):
     """Short lines in all orders, repeated in a document and over documents."""
     chance = random.Random(11)
     pool = [" ".join(f"w{n}x{i}" for i in range(chance.randint(1, 6))) for n in range(7)]
     texts = {i: "\n".join(chance.choice([*pool, "", " "]) for _ in range(chance.randint(0, 12))) for i in range(40)}
     gone = plain_line_dedup(texts, 9)
-    got = {r["o"]: r["text"] for r in linedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 9, rare=rare).collect()}
+    got = {r["o"]: r["text"] for r in linedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 9).collect()}
     assert got == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
 
 
+def _shared(texts, most):
+    """The last text's lines and counts, and what it shares with the texts before it."""
+    import numpy as np
+
+    number, seen = {}, {}
+    every = [np.array([number.setdefault(x, 7 + len(number)) for x in t.split("\n")], np.uint64) for t in texts]
+    words = [np.array([len(x.split()) for x in t.split("\n")], np.int32) for t in texts]
+    for o, (lines, counts) in enumerate(zip(every[:-1], words[:-1], strict=True)):
+        for at, key, span in zip(*(x.tolist() for x in linedup._runs(lines, counts, most)), strict=True):
+            seen.setdefault(key, (o, at, lines[at : at + span].tobytes()))
+    keys = [k for k in sorted(set(linedup._runs(every[-1], words[-1], most)[1].tolist())) if k in seen]
+    o, at = (np.array([seen[k][i] for k in keys], np.int64) for i in (0, 1))
+    return every[-1], words[-1], [o, o, np.array(keys, np.uint64).view(np.int64), at], [seen[k][2] for k in keys]
+
+
+def test_moved_blocks_go_by_alignment_alone(monkeypatch):
+    """Blocks in another order, overlapping ones and chance repeats against all runs; without patience diff nothing goes."""
+    chance = random.Random(5)
+    pool = [" ".join(f"w{n}x{i}" for i in range(chance.randint(1, 9))) for n in range(9)]
+    cases, moved = [], 0
+    for _ in range(400):
+        texts = ["\n".join(chance.choice(pool) for _ in range(chance.randint(1, 14))) for _ in range(3)]
+        parts = texts[0].split("\n")
+        cut = chance.randint(0, len(parts))
+        texts.append("\n".join([*parts[cut:], *parts[:cut], *texts[1].split("\n")[:6]]))
+        lines, counts, shared, runs = _shared(texts, 9)
+        if runs:
+            cases.append((lines, counts, shared, runs, sorted(plain_line_dedup(dict(enumerate(texts)), 9)[3])))
+    for *given, want in cases:
+        assert [n for a, b in linedup.common_blocks(*given, 9) for n in range(a, b)] == want
+        moved += bool(want)
+    assert moved > 200
+    monkeypatch.setattr(linedup, "patience", lambda a, b: [])
+    assert not any(linedup.common_blocks(*given, 9) for *given, _ in cases)
+
+
 def test_fingerprints(docs, texts):
     ids = sorted(texts, reverse=True)
     order = [(i, texts[i] or "") for i in ids]

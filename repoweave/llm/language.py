@@ -1,10 +1,13 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 One filter array has a bitmask of languages in each slot; the masks of an
-n-gram's slots, and-ed, are the languages that contain it. A text's languages
-get their popcounts over its n-grams, less what the filter's fill lets through
-by chance, and the largest decides. Every n-gram is in the filter, for each
-language where it isn't far rarer than where it is most common.
+n-gram's slots, and-ed, are all languages that contain it, however rarely. A
+second bit of each language says whether the n-gram is at home there: not far
+rarer than where it is most common. A text's languages get their popcounts over
+its n-grams, less what the filter's fill lets through by chance; an n-gram
+counts once where it is contained and once more where it is at home, and the
+largest sum decides. So words of other languages in a large corpus, whose
+n-grams every language contains in the end, don't blur the decision.
 
 N-grams are four bytes of the text with A-Z lower-cased and every other ASCII
 character as a space.
@@ -21,9 +24,9 @@ from .common import LOWEST, bounded_batches, keyed, stored
 from .vecwords import chunks, mix
 
 HASHES = 3
-#: Of a language's n-grams one is foreign to it if its share there is less than this part of its largest share in a language.
+#: An n-gram isn't at home in a language if its share there is less than this part of its largest share in a language.
 FOREIGN = 1 / 32
-#: Slots for each n-gram, and the most slots (8 bytes each for 63 languages); beyond that the filter fills up and more popcounts are corrected.
+#: Slots for each n-gram, and the most slots (8 bytes each for 63 bits, two a language); beyond that the filter fills up and more popcounts are corrected.
 _SPARE, _MOST_SLOTS = 8, 1 << 23
 #: A chunk has an n-gram for each byte, and these some dozen arrays.
 _CHUNK_BYTES = 1 << 19
@@ -77,24 +80,28 @@ def _counted(batches):
 
 
 class Filter:
-    """The bit-sliced filter: `masks` (slots x words of 63 languages), the languages, the share of slots each fills."""
+    """The bit-sliced filter: `masks` (slots x words of 63 bits), the languages, the share of slots each bit fills.
+
+    Bit i is language i's, bit i + the number of languages says that an n-gram is at home there.
+    """
 
     def __init__(self, languages: list[str], masks: np.ndarray, hashes: int):
         self.languages, self.masks, self.hashes = languages, masks, hashes
-        self.filled = np.array([((masks[:, i // 63] >> np.uint64(i % 63)) & np.uint64(1)).mean() for i in range(len(languages))])
+        self.filled = np.array([((masks[:, i // 63] >> np.uint64(i % 63)) & np.uint64(1)).mean() for i in range(2 * len(languages))])
 
-    def popcounts(self, gram: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams of each row, and those of each language (rows x languages) without the expected false positives."""
+    def popcounts(self, gram: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of each row, those that each language contains (rows x languages), and those at home there, without the expected false positives."""
         masks = None
         for slots in slots_of(gram, self.hashes, len(self.masks)):
             masks = self.masks[slots] if masks is None else masks & self.masks[slots]
         total = np.bincount(owner, minlength=n)
-        hits = np.zeros((n, len(self.languages)))
-        for i in range(len(self.languages)):
+        hits = np.zeros((n, len(self.filled)))
+        for i in range(len(self.filled)):
             bit = (masks[:, i // 63] >> np.uint64(i % 63)) & np.uint64(1)
             hits[:, i] = np.bincount(owner[bit.astype(bool)], minlength=n)
         chance = self.filled**self.hashes
-        return total, np.maximum(0, (hits - total[:, None] * chance) / np.maximum(1 - chance, 1e-9))
+        true = np.maximum(0, (hits - total[:, None] * chance) / np.maximum(1 - chance, 1e-9))
+        return total, true[:, : len(self.languages)], true[:, len(self.languages) :]
 
 
 def slots_of(gram: np.ndarray, hashes: int, slots: int) -> list[np.ndarray]:
@@ -115,7 +122,7 @@ def train(labelled: DataFrame, foreign: float = FOREIGN, hashes: int = HASHES, t
     """All rows of labelled with a language -> the filter. Languages are ordered from the most frequent; null texts teach nothing.
 
     What reaches the driver is the languages and the filter's words, at most
-    _MOST_SLOTS for 63 languages.
+    _MOST_SLOTS for 31 languages.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.concat(F.lit(" "), F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("text"))
@@ -125,13 +132,15 @@ def train(labelled: DataFrame, foreign: float = FOREIGN, hashes: int = HASHES, t
     if not languages:
         return Filter([], np.zeros((1, 1), np.uint64), hashes)
     numbers = labelled.sparkSession.createDataFrame(list(enumerate(languages)), "i long, lang string").join(totals, "lang")
-    shares = counts.join(F.broadcast(numbers), "lang").select("gram", (F.col("n") / F.col("total")).alias("share"), F.expr("i div 63").alias("word"), F.expr("shiftleft(1L, cast(i % 63 as int))").alias("mask"))
+    shares = counts.join(F.broadcast(numbers), "lang").select("gram", (F.col("n") / F.col("total")).alias("share"), "i")
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
     slots = min(_MOST_SLOTS, 1 << (_SPARE * top.count()).bit_length())
-    own = shares.join(top, "gram").where(F.col("share") >= foreign * F.col("top")).select("gram", "word", "mask")
+    bits = F.when(F.col("share") >= foreign * F.col("top"), F.array("i", F.col("i") + len(languages))).otherwise(F.array("i"))
+    own = shares.join(top, "gram").select("gram", F.explode(bits).alias("b")).select("gram", F.expr("b div 63").alias("word"), F.expr("shiftleft(1L, cast(b % 63 as int))").alias("mask"))
+    own = own.groupBy("gram", "word").agg(F.bit_or("mask").alias("mask"))
     placed = own.mapInArrow(_slotted(hashes, slots), "word long, mask long, slot long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
     words = placed.toArrow()
-    masks = np.zeros((slots, -(-len(languages) // 63)), np.uint64)
+    masks = np.zeros((slots, -(-2 * len(languages) // 63)), np.uint64)
     masks[words.column("slot").to_numpy(), words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
     return Filter(languages, masks, hashes)
 
@@ -144,9 +153,9 @@ def _predicted(shared):
             letter = batch.column("letter").to_pylist()
             for a, n, gram, owner in _grams(batch.column("text")):
                 if model.languages:
-                    total, hits = model.popcounts(gram, owner, n)
-                    best = hits.argmax(axis=1)  # of equal ones the more frequent language
-                    share = np.clip(hits[np.arange(n), best] / np.maximum(total, 1), 0, 1)
+                    total, contained, home = model.popcounts(gram, owner, n)
+                    best = (contained + home).argmax(axis=1)  # of equal ones the more frequent language
+                    share = np.clip(home[np.arange(n), best] / np.maximum(total, 1), 0, 1)
                 for i in range(n):
                     known = model.languages and letter[a + i]
                     names.append(model.languages[best[i]] if known else "und")
@@ -157,7 +166,7 @@ def _predicted(shared):
 
 
 def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> o, k, doc_id, lang_pred, score (the share of n-grams that the language contains) for each row.
+    """docs -> o, k, doc_id, lang_pred, score (the share of n-grams that are at home in the language) for each row.
 
     A text that is null or has no letter is `und` with score 0, as all are if
     nothing was learned; a text without known n-grams gets the most frequent

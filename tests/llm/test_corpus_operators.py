@@ -362,7 +362,7 @@ def test_language_filter_against_plain_sets(spark):
     chance = random.Random(7)
     letters = {"en": "abcdeéf", "fr": "abcgéh", "de": "aßbijk"}
     word = lambda g: "".join(chance.choice(letters[g]) for _ in range(chance.randint(1, 5)))
-    rows = [(i, " ".join(word("de" if i % 45 == 0 and n == 3 else g) for n in range(chance.randint(1, 60))), g) for i in range(200) for g in [["en", "fr", "de"][i % 3]]]
+    rows = [(i, " ".join(word("de" if i % 45 == 0 and n == 3 else g) for n in range(chance.randint(4, 200))), g) for i in range(200) for g in [["en", "fr", "de"][i % 3]]]
 
     def grams(text):
         x = re.sub(rb"[\x00-\x60\x7b-\x7f]", b" ", f" {text} ".lower().encode() if text.isascii() else f" {text} ".translate(LOW).encode())

@@ -17,8 +17,12 @@ GENERIC_LABELS = (
 SUPPORT_TERMS = ("build", "test", "release", "smoke", "verify", "packag", "deployment", "ci")
 #: White space within a line.
 _BLANK = r"[^\S\n]"
-#: Blocks whose text isn't the page's; one that isn't closed reaches to the end.
-_OPAQUE = r"(?s)<(code|file|nowiki)(?=[\s>])(?:[^>]*>.*?(?:</\1>|\z)|[^>]*\z)"
+#: Blocks whose text isn't the page's, a kind at a time; one that isn't closed reaches to the end.
+_OPAQUE = tuple(rf"(?s)<{kind}(?=[\x20\t\n\f\r>]|\z)(?:[^>]*>.*?(?:</{kind}>|\z)|[^>]*\z)" for kind in ("code", "file", "nowiki"))
+#: What lies between marks that balance, no deeper than there are kinds, as blocks of one kind don't nest.
+_MARKED = "\x02[^\x02\x03]*+\x03"
+for _ in _OPAQUE[1:]:
+    _MARKED = f"\x02[^\x02\x03]*+(?:{_MARKED}[^\x02\x03]*+)*+\x03"
 _MERMAID = r"(?s)<mermaid>.*?(?:</mermaid>|\z)"
 _HEADING = rf"(?m)^{_BLANK}*(={{2,}}+)([^\n]*?(?<!=))\1{_BLANK}*$"
 
@@ -60,8 +64,16 @@ def _without(text: Column, blocks: str) -> Column:
 
 
 def shown_source(text: Column) -> Column:
-    """The page without code, file and nowiki blocks."""
-    return _without(text, _OPAQUE)
+    """The page without code, file and nowiki blocks.
+
+    Each kind's blocks are found without regard to the others; where blocks of
+    several kinds overlap, all that they cover goes. U+0001 to U+0003 aren't
+    shown in a page with blocks.
+    """
+    marked = F.translate(text, "\x01\x02\x03", "")
+    for kind in _OPAQUE:
+        marked = F.regexp_replace(marked, kind, "\x02$0\x03")
+    return F.when(text.rlike("<(?:code|file|nowiki)"), _without(marked, _MARKED)).otherwise(text)
 
 
 def prose(text: Column) -> Column:

@@ -239,6 +239,12 @@ SELECT h.event_id AS hunk, c.event_id AS id FROM e h JOIN e c ON h.user_id = c.u
 WITH a AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey % 2 = 1)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'deleted' ELSE 'kept' END AS side FROM a FULL JOIN b ON a.id = b.id""",
     "prose_counts": f"""WITH {_WIKI} SELECT doc_id, words, cjk FROM prose""",
+    "opaque_blocks": r"""WITH t AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(coalesce(text, ''), ' a', ' <code>a'), ' d', ' </code>d'), ' e', ' <file>e'), ' i', ' </file>i'), ' n', ' <nowiki>n'), ' s', ' </nowiki>s') AS t FROM documents),
+        m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<code>.*?(?:</code>|\z)', chr(2) || '\0' || chr(3), 'g'), '(?s)<file>.*?(?:</file>|\z)', chr(2) || '\0' || chr(3), 'g'), '(?s)<nowiki>.*?(?:</nowiki>|\z)', chr(2) || '\0' || chr(3), 'g') AS t FROM t),
+        p AS (SELECT doc_id, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS piece, unnest([0] || marks) AS mark FROM (SELECT doc_id, regexp_split_to_array(t, '[\x02\x03]') AS pieces, list_transform(regexp_extract_all(t, '[\x02\x03]'), lambda x: CASE x WHEN chr(2) THEN 1 ELSE -1 END) AS marks FROM m)),
+        d AS (SELECT *, sum(mark) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM p),
+        shown AS (SELECT doc_id, replace(coalesce(string_agg(piece, '' ORDER BY i) FILTER (depth = 0), ''), chr(10), '') AS t FROM d GROUP BY doc_id)
+        SELECT doc_id, length(t) AS n_shown, md5(t) AS shown_md5 FROM shown""",
     "headings": f"""
 WITH {_WIKI}, h AS (SELECT doc_id, string_agg(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '|' ORDER BY i) FILTER (kind = 0) AS headings, arg_min(x, i) FILTER (kind = 0) AS title FROM kinds GROUP BY doc_id)
 SELECT doc_id, coalesce(headings, '') AS headings, coalesce(title, '-') AS title FROM h""",

@@ -509,6 +509,15 @@ def prose_counts(s, d):
     return T(s, d, "documents").select("doc_id", X.prose_counts(_wiki()).alias("p")).select("doc_id", "p.words", "p.cjk")
 
 
+def opaque_blocks(s, d):
+    """2.11: what documents show without code, file and nowiki blocks that overlap: words with some initials open or close one."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    for initial, tag in (("a", "<code>"), ("d", "</code>"), ("e", "<file>"), ("i", "</file>"), ("n", "<nowiki>"), ("s", "</nowiki>")):
+        text = F.replace(text, F.lit(f" {initial}"), F.lit(f" {tag}{initial}"))
+    shown = F.regexp_replace(X.shown_source(text), "[\x01\n]", "")
+    return T(s, d, "documents").select("doc_id", shown.alias("t")).select("doc_id", F.length("t").cast(_L).alias("n_shown"), F.md5("t").alias("shown_md5"))
+
+
 def headings(s, d):
     """2.11: heading lines of the documents as pages, and their titles."""
     return T(s, d, "documents").select("doc_id", F.array_join(X.headings(_wiki()), "|").alias("headings"), X.title(_wiki(), F.lit("-")).alias("title"))
@@ -758,7 +767,7 @@ def overview_context(s, d):
 _NAMES = """graph_load tree_load cluster_groups cluster_responses patch_hunks id_lists page_creation edition_merge edition_catalog history_scan overview_context primary_paths module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
 source_components source_references path_glob_filter artifact_classes language_counts class_cap_and_budget safe_ids page_ids role_labels tree_paths post_order ancestors deepest_owner boundary_owner initial_modules
 claims super_groups tree_quality review_check khop_upstream diagram_paths target_subtree snapshot_diff change_ratios active_set rename_pairs neighbour_majority write_sets verdicts
-hunk_overlap edge_set_operations prose_counts headings truncation token_estimate_oversized link_extract broken_links page_differences unlinked_children page_id_collisions grounding
+hunk_overlap edge_set_operations prose_counts opaque_blocks headings truncation token_estimate_oversized link_extract broken_links page_differences unlinked_children page_id_collisions grounding
 page_scores report_rollup diagram_quality scoped_search search_index html_export prompt_render session_prune orphan_locks edit_log_fold
 id_differences component_listing id_checks claim_problems applied_clusters update_plan ancestor_sets applied_routes stale_scan report_contexts tree_outline metadata"""
 

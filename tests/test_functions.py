@@ -1,4 +1,5 @@
 import fnmatch
+import random
 import re
 
 import pandas as pd
@@ -73,3 +74,28 @@ def test_pages(spark):
     assert len(cut) == 400 and X.MARKER in cut
     assert one(spark, X.truncated(F.col("t"), 3), t=long) == "x" * 12
     assert one(spark, X.is_generic_label(F.col("t")), t=" Module!") and not one(spark, X.is_generic_label(F.col("t")), t="Parser")
+
+
+def _plain_shown(text):
+    """text without the union of the ranges of each kind of block, found one after the other."""
+    cut = [False] * len(text)
+    for kind in ("code", "file", "nowiki"):
+        at = 0
+        while (s := text.find(f"<{kind}", at)) >= 0:
+            at = s + len(kind) + 1
+            if text[at : at + 1] and text[at] not in " \t\n\f\r>":
+                continue
+            body = text.find(">", at)
+            end = text.find(f"</{kind}>", body) if body >= 0 else -1
+            at = len(text) if end < 0 else end + len(kind) + 3
+            cut[s:at] = [True] * (at - s)
+    return "".join(c for c, gone in zip(text, cut, strict=True) if not gone)
+
+
+def test_blocks_of_several_kinds_overlap(spark):
+    chance = random.Random(3)
+    parts = ["<code>", "<code x>", "</code>", "<file>", "<file", "</file>", "<nowiki>", "</nowiki>", "<coder>", "a", "b c", " ", ">", "<nowiki"]
+    texts = ["".join(chance.choice(parts) for _ in range(chance.randint(0, 14))) for _ in range(600)]
+    texts += ["<code>a<file>b</code>c</file>d", "<file>" + "<code>x</code>" * 30000 + "</file>end", "x" * 100 + "<code> y </code>" * 20000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.shown_source(F.col("t")).alias("s")).collect()
+    assert {r["i"]: r["s"].replace("\x01", "") for r in got} == {i: _plain_shown(t) for i, t in enumerate(texts)}

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWEST = -(1 << 63)
+#: Entries of a part that a fold grows one by one.
+_PART = 128
+_POWERS = [1 << i for i in range(29, -1, -1)]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,3 +89,33 @@ def among(keys: DataFrame, bits: int = 23, column: str = "k") -> Column:
     one = stored(words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("words")), "bitmap")
     at = bit(F.col(column))
     return F.getbit(F.element_at(one.scalar(), F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1
+
+
+def collected(entries: Column, start: Column, kind: str, item: Callable[[Column, Column], Column], after: Callable[[Column, Column], Column]) -> Column:
+    """A fold's items (of type kind), one for each entry: item(state, entry), where after(state, entry) is the next state.
+
+    An array is copied where it grows, so that items go into short parts, and
+    parts into the whole.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    zero = F.struct(start.alias("at"), none.alias("part"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("parts"))
+
+    def step(a, x):
+        full = F.size(a["part"]) >= _PART
+        part = F.concat(F.when(full, none).otherwise(a["part"]), F.array(item(a["at"], x)))
+        return F.struct(after(a["at"], x).alias("at"), part.alias("part"), F.when(full, F.concat(a["parts"], F.array(a["part"]))).otherwise(a["parts"]).alias("parts"))
+
+    return F.aggregate(entries, zero, step, lambda a: F.flatten(F.concat(a["parts"], F.array(a["part"]))))
+
+
+def leading(a: Column, test: Callable[[Column], Column]) -> Column:
+    """How many first entries of an array test holds for, where it holds for none after one that it doesn't hold for: a binary search."""
+    bits = F.length(F.bin(F.size(a)))
+    step = lambda at, p: F.when((at + p <= F.size(a)) & test(F.get(a, at + p - 1)), at + p).otherwise(at)
+    return F.aggregate(F.slice(F.array(*[F.lit(p) for p in _POWERS]), -bits, bits), F.lit(0), step)
+
+
+def meeting(spans: Column, x: Column) -> Column:
+    """Those of spans (s, e; in order, none overlapping another) that overlap the span x."""
+    first = leading(spans, lambda y: y["e"] <= x["s"])
+    return F.slice(spans, first + 1, F.greatest(leading(spans, lambda y: y["s"] < x["e"]) - first, F.lit(0)))

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import license_rules
-from .common import LOWEST, lower_az, order_key
+from .common import LOWEST, collected, lower_az, order_key
 
 #: A rule's confidence by its priority.
 CONFIDENCE = {1: 0.5, 2: 0.8, 3: 1.0}
+_FOUND = "struct<s:int,e:int,priority:int,number:int,label:string,base:boolean>"
 _RULE = "struct<number:int,base:boolean,label:string,priority:int,expression:string>"
 
 
@@ -30,15 +31,14 @@ def _spaces(text: Column) -> Column:
 def _detections(text: Column, rule: Column) -> Column:
     """The leftmost matches of a rule that don't overlap: start and end in words, and the rule's columns."""
     marked = F.split(F.regexp_replace(text, F.concat(F.lit("(?<= )(?:"), rule["expression"], F.lit(")(?= )")), F.lit("\x01$0\x02")), "\x01")
-    kind = "array<struct<s:int,e:int,priority:int,number:int,label:string,base:boolean>>"
-    start = F.struct(_spaces(F.element_at(marked, 1)).alias("n"), F.expr(f"cast(array() as {kind})").alias("found"))
+    # the state is the number of spaces so far, or -1 before the first piece, which holds no match
+    after = lambda n, piece: F.greatest(n, F.lit(0)) + _spaces(piece)
 
-    def step(a, piece):
+    def item(n, piece):
         own = F.substring_index(piece, "\x02", 1)
-        found = F.struct((a["n"] - 1).alias("s"), (a["n"] + _spaces(own)).alias("e"), rule["priority"].alias("priority"), rule["number"].alias("number"), rule["label"].alias("label"), rule["base"].alias("base"))
-        return F.struct((a["n"] + _spaces(piece)).alias("n"), F.concat(a["found"], F.array(found)).alias("found"))
+        return F.when(n >= 0, F.struct((n - 1).alias("s"), (n + _spaces(own)).alias("e"), *[rule[c].alias(c) for c in ("priority", "number", "label", "base")]))
 
-    return F.aggregate(F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))), start, step)["found"]
+    return F.array_compact(collected(marked, F.lit(-1), _FOUND, item, after))
 
 
 def scan(docs: DataFrame, rules: list[dict] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,12 +58,11 @@ def scan(docs: DataFrame, rules: list[dict] | None = None, id_col: str = "doc_id
     found = F.flatten(F.transform(F.filter(table, lambda g: F.contains(F.col("words"), g["keyword"])), lambda g: F.flatten(F.transform(g["rules"], lambda r: _detections(F.col("words"), r)))))
     order = F.transform(found, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), (-x["priority"]).alias("rank"), x["number"].alias("number"), x.alias("own")))
     rows = rows.select("o", F.greatest(_spaces(F.col("words")) - 1, F.lit(0)).cast("long").alias("n_words"), F.transform(F.array_sort(order), lambda x: x["own"]).alias("found"))
-    # what contains a detection stands before it in this order; a rule has at most one detection that begins at a word, so
-    # no more stand between the two than rules times the words of the text's longest detection
-    rows = rows.withColumn("reach", F.coalesce(F.array_max(F.transform("found", lambda x: x["e"] - x["s"])), F.lit(1)) * len(rules))
-    reach = F.col("reach")
-    over = lambda x, y: (y["e"] >= x["e"]) & (y["priority"] >= x["priority"])
-    kept = F.filter("found", lambda x, i: ~F.exists(F.slice("found", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, reach)), lambda y: over(x, y)))
+    # what contains a detection stands before it in this order, so it is enough to know how far those of no lower priority reach
+    levels = sorted({r["priority"] for r in rules}) or [0]
+    reach = lambda a, x: F.coalesce(*[F.when(x["priority"] == p, a[f"p{p}"]) for p in levels], F.lit(0))
+    further = lambda a, x: F.struct(*[F.when(x["priority"] >= p, F.greatest(a[f"p{p}"], x["e"])).otherwise(a[f"p{p}"]).alias(f"p{p}") for p in levels])
+    kept = F.array_compact(collected(F.col("found"), F.struct(*[F.lit(0).alias(f"p{p}") for p in levels]), _FOUND, lambda a, x: F.when(reach(a, x) < x["e"], x), further))
     rows = rows.select("o", "n_words", F.filter("found", lambda x: x["base"]).alias("base"), kept.alias("kept"), F.size("found").alias("n_found"))
     confidence = F.lit(0.0)
     for priority, value in CONFIDENCE.items():

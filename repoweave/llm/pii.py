@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWEST, order_key, stored
+from .common import LOWEST, collected, meeting, order_key, stored
 
 #: The base kinds in order. A run that could start earlier can't start later, so the search begins at a run's start or the last match's end.
 BASE = {
@@ -66,17 +66,12 @@ _LABELERS = 6
 
 def _spans(text: Column, expression: str, gate: str) -> Column:
     """s, e (code points, end excluded) and m of the leftmost matches that don't overlap."""
-    kind = "array<struct<s:int,e:int,m:string>>"
+    kind = "struct<s:int,e:int,m:string>"
     both = F.arrays_zip(F.split(text, expression, -1).alias("before"), F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
-
-    def step(a, x):
-        s = a["at"] + F.length(x["before"])
-        e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
-
-    found = F.filter(F.aggregate(both, start, step)["out"], lambda x: x["m"].isNotNull())
-    return F.when(text.rlike(gate), found).otherwise(F.expr(f"cast(array() as {kind})"))
+    start = lambda n, x: n + F.length(x["before"])
+    end = lambda n, x: start(n, x) + F.coalesce(F.length(x["m"]), F.lit(0))
+    found = collected(both, F.lit(0), kind, lambda n, x: F.struct(start(n, x).alias("s"), end(n, x).alias("e"), x["m"].alias("m")), end)
+    return F.when(text.rlike(gate), F.filter(found, lambda x: x["m"].isNotNull())).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
 
 def _digits(m: Column) -> Column:
@@ -133,9 +128,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(order_key(id_col).alias("o"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = {k: _spans(F.col("text"), x, _GATES[k]) for k, x in (BASE | ADDED).items()}
     passed = lambda k: F.filter(spans[k], lambda y: _CHECKS[k](y["m"]))
-    rows = rows.select("o", "text", *[passed(k).alias(k) for k in BASE])
-    base = F.concat(*BASE)
-    new = lambda k: F.filter(spans[k], lambda y: ~F.exists(base, lambda b: (b["s"] < y["e"]) & (y["s"] < b["e"])))
+    rows = rows.select("o", "text", *[passed(k).alias(k) for k in BASE]).withColumn("base", F.array(*BASE))
+    new = lambda k: F.filter(spans[k], lambda y: ~F.exists("base", lambda b: F.size(meeting(b, y)) > 0))
     rows = rows.select("*", *[new(k).alias(k) for k in ADDED])
 
     def judged(kind: str) -> Column:
@@ -223,13 +217,14 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     model = stored(classifier(every.withColumn("q", posterior_of(trusted, "kind", "votes"))), "pii-classifier")
     rows = rows.withColumn("weights", model.scalar())
     odds = lambda x: F.aggregate(x["features"], F.element_at(F.col("weights"), 1), lambda a, f: a + F.element_at(F.col("weights"), f + 2))
-    rated = lambda k, i: F.transform(k, lambda x: F.struct(F.struct(odds(x).alias("odds"), (x["e"] - x["s"]).alias("length"), F.lit(-i).alias("kind")).alias("rank"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    rows = rows.withColumn("added", F.filter(F.concat(*[rated(k, i) for i, k in enumerate(ADDED)]), lambda x: x["rank"]["odds"] > 0))
-    apart = F.filter("added", lambda x: ~F.exists("added", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]) & (y["rank"] > x["rank"])))
-    rows = rows.withColumn("apart", apart)
+    rated = lambda k, i: F.transform(k, lambda x: F.struct(F.struct(odds(x).alias("odds"), (x["e"] - x["s"]).alias("length"), F.lit(-i).alias("kind")).alias("rank"), x["s"].alias("s"), x["e"].alias("e")))
+    likely = F.array(*[F.filter(rated(k, i), lambda x: x["rank"]["odds"] > 0) for i, k in enumerate(ADDED)])
+    # spans of one kind are in order and don't overlap, so those of two kinds that meet are no more than both together
+    best = lambda x: ~F.exists("likely", lambda a: F.exists(meeting(a, x), lambda y: y["rank"] > x["rank"]))
+    rows = rows.withColumn("likely", likely).withColumn("apart", F.transform("likely", lambda own: F.filter(own, best)))
     thin = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    own = lambda k: F.filter("apart", lambda x: x["kind"] == k)
-    return rows.select(F.when(F.col("o") != LOWEST, F.col("o")).alias("doc_id"), *[thin(F.col(k) if k in BASE else own(k)).alias(k) for k in KINDS])
+    chosen = {k: F.col(k) for k in BASE} | {k: F.col("apart")[i] for i, k in enumerate(ADDED)}
+    return rows.select(F.when(F.col("o") != LOWEST, F.col("o")).alias("doc_id"), *[thin(chosen[k]).alias(k) for k in KINDS])
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoweave.llm import decontaminate, fingerprint, language, license, license_rules, linedup, minhash, packing, pii, sharding, urlfilter
-from repoweave.llm.common import among
+from repoweave.llm.common import among, collected, meeting
 
 LOW = {c: c + 32 for c in range(65, 91)}
 KIND = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, k string, o double, row int, label string, fingerprint string, nothing void"
@@ -490,7 +490,7 @@ def test_licenses_against_every_rule_on_every_text(docs, texts, spark):
     chance = random.Random(2)
     parts = ["apache license version 2 0", "licensed under the apache license version 2 0 the license", "mit license", "gnu general public license version 3", "GPL v2 or later", "cc by sa 4.0", "CC-BY", "spdx license identifier mit", "the", "Public Domain", "bsd 3 clause license", "under", "2", "gnu lesser general public license"]
     for i in range(200, 300):
-        said[i] = " ".join(chance.choice(parts) for _ in range(chance.randint(1, 12)))
+        said[i] = " ".join(chance.choice(parts) for _ in range(chance.randint(1, 12) if i < 299 else 600))
     df = spark.createDataFrame(list(said.items()), "doc_id long, text string")
     for r in license.digest(license.scan(df)).collect():
         words = alnum(said[r["doc_id"]])
@@ -532,7 +532,7 @@ def test_each_title_alone_gives_a_name(spark):
 def test_personal_data(docs, spark):
     chance = random.Random(8)
     pool = ["a.b@c.de", "x@y", "@", "_d@e.f-g.h", "1.2.3.4", "1.2.3.4.5.6", "256.1.1.1", "0001.2.3.004", "4111 1111-1111 1111", "4111111111111112", "+1 (212) 555-0100", "+12", "+49 30 123456789", "é", "漢", " ", "\n", ".", "-", "7", "token = \"abcDEF1234567890\""]
-    said = ["".join(chance.choice(pool) for _ in range(chance.randint(0, 9))) for _ in range(500)] + [None, "", "7" * 3000, "a" * 5000 + "@" + "b." * 3000 + "c"]
+    said = ["".join(chance.choice(pool) for _ in range(chance.randint(0, 9))) for _ in range(500)] + [None, "", "7" * 3000, "a" * 5000 + "@" + "b." * 3000 + "c", "".join(chance.choice(pool) for _ in range(5000))]
     df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
     for r in pii.digest(pii.found(df)).collect():
         t = said[r["doc_id"]] or ""
@@ -594,3 +594,22 @@ def test_bitmap_loses_no_key(spark):
 ])
 def test_no_documents(docs, run):
     assert run(docs.limit(0)).count() == 0
+
+
+def test_folds_in_parts_give_an_item_for_each_entry(spark):
+    for n in (0, 1, 127, 128, 129, 300, 20000):
+        rows = spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("a") if n else F.expr("cast(array() as array<int>)").alias("a"))
+        got = rows.select(collected(F.col("a"), F.lit(0), "int", lambda at, x: at, lambda at, x: at + x)).first()[0]
+        assert got == [i * (i + 1) // 2 for i in range(n)]
+
+
+def test_spans_that_meet_another(spark):
+    chance = random.Random(12)
+    rows = []
+    for i in range(200):
+        cuts = sorted(chance.sample(range(60), 2 * chance.randint(0, 8)))
+        s = chance.randint(0, 58)
+        rows.append((i, list(zip(cuts[::2], cuts[1::2])), (s, chance.randint(s + 1, 60))))
+    df = spark.createDataFrame(rows, "i long, spans array<struct<s:int,e:int>>, x struct<s:int,e:int>")
+    for i, spans, x, got in df.select("i", "spans", "x", meeting(F.col("spans"), F.col("x"))).collect():
+        assert got == [y for y in spans if y["s"] < x["e"] and x["s"] < y["e"]], (spans, x)

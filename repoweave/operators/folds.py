@@ -92,7 +92,7 @@ def orphan_locks(locks: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def edited(text: str, history: list[list], op: dict) -> tuple[str, list[list], str]:
-    """One operation on a page: (text, history, outcome).
+    """One operation on a page: (text, history, outcome); the history is changed in place.
 
     replace: `old` must be there exactly once; insert: `new` before line `line`,
     clamped; undo: the text before the last change. The history has what takes
@@ -102,20 +102,22 @@ def edited(text: str, history: list[list], op: dict) -> tuple[str, list[list], s
     if op["kind"] == "undo":
         if not history:
             return text, history, "nothing to undo"
-        *rest, last = history
+        last = history.pop()
         if last[0] == "insert":
             lines = text.split("\n")
-            return "\n".join([*lines[: last[1]], *lines[last[1] + last[2] :]]), rest, "undone"
-        return text[: last[1]] + last[2] + text[last[1] + last[3] :], rest, "undone"
+            return "\n".join([*lines[: last[1]], *lines[last[1] + last[2] :]]), history, "undone"
+        return text[: last[1]] + last[2] + text[last[1] + last[3] :], history, "undone"
     if op["kind"] == "insert":
         lines, new = text.split("\n"), op["new"] or ""
         at = min(max(int(op["line"] or 0), 0), len(lines))
-        return "\n".join([*lines[:at], new, *lines[at:]]), [*history, ["insert", at, new.count("\n") + 1]], "inserted"
+        history.append(["insert", at, new.count("\n") + 1])
+        return "\n".join([*lines[:at], new, *lines[at:]]), history, "inserted"
     n = text.count(op["old"]) if op["old"] else 0
     if n != 1:
         return text, history, "not found" if n == 0 else "not unique"
     at, new = text.index(op["old"]), op["new"] or ""
-    return text[:at] + new + text[at + len(op["old"]) :], [*history, ["replace", at, op["old"], len(new)]], "replaced"
+    history.append(["replace", at, op["old"], len(new)])
+    return text[:at] + new + text[at + len(op["old"]) :], history, "replaced"
 
 
 _PAGE = "page string, content string, applied long, undoable long"

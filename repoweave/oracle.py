@@ -284,6 +284,14 @@ WITH c AS (SELECT r_regionkey AS tree, r_name, n_name, c_mktsegment, string_agg(
 SELECT DISTINCT tree, r_name AS path, 1::BIGINT AS depth, NULL::VARCHAR AS parent, false AS is_leaf, '' AS components FROM c
 UNION ALL SELECT DISTINCT tree, r_name || '/' || n_name, 2, r_name, false, '' FROM c
 UNION ALL SELECT tree, r_name || '/' || n_name || '/' || c_mktsegment, 3, r_name || '/' || n_name, true, ids FROM c""",
+    "tree_save": """
+WITH leaf AS (SELECT c_nationkey AS n, c_mktsegment AS seg, string_agg(DISTINCT '"' || c_name || '"', ',' ORDER BY '"' || c_name || '"') AS ids FROM customer GROUP BY c_nationkey, c_mktsegment),
+below AS (SELECT n, string_agg('"' || seg || '":{"components":[' || ids || '],"children":{}}', ',' ORDER BY seg) AS children FROM leaf GROUP BY n),
+own AS (SELECT s_nationkey AS n, string_agg(DISTINCT '"' || s_name || '"', ',' ORDER BY '"' || s_name || '"') AS ids FROM supplier GROUP BY s_nationkey),
+nat AS (
+  SELECT n_regionkey, n_name, '"' || n_name || '":{"components":[' || coalesce(ids, '') || '],"children":{' || coalesce(children, '') || '}}' AS v
+  FROM nation LEFT JOIN below ON below.n = n_nationkey LEFT JOIN own ON own.n = n_nationkey WHERE ids IS NOT NULL OR children IS NOT NULL)
+SELECT r_regionkey AS tree, '{"' || r_name || '":{"components":[],"children":{' || string_agg(v, ',' ORDER BY n_name) || '}}}' AS value FROM nat JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name""",
     "cluster_groups": "SELECT o_orderkey AS response, o_orderpriority AS module, unnest(['c' || o_custkey, 'o' || o_orderkey]) AS id FROM orders",
     "patch_hunks": """
 SELECT o_orderkey AS patch, 'f' || (o_orderkey % 7) || '.py' AS path, o_custkey AS first, o_custkey + greatest(o_orderkey % 4 - 1, 0) AS last FROM orders

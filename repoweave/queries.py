@@ -689,6 +689,14 @@ def tree_load(s, d):
     return J.module_rows(trees).select("tree", F.array_join("path", "/").alias("path"), "depth", "parent", "is_leaf", F.array_join("components", ",").alias("components"))
 
 
+def tree_save(s, d):
+    """2.15: rows of modules as nested JSON trees; each region is a tree, nations have suppliers, their segments customers."""
+    nation = T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    segments = T(s, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("r_regionkey").alias("tree"), F.array("r_name", "n_name", "c_mktsegment").alias("path"), F.array("c_name").alias("components"))
+    nations = T(s, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("r_regionkey").alias("tree"), F.array("r_name", "n_name").alias("path"), F.array("s_name").alias("components"))
+    return J.tree_documents(segments.union(nations))
+
+
 def cluster_groups(s, d):
     """2.9: the groups of a tagged response; each order's response groups its customer and priority."""
     body = F.concat(F.lit('words <GROUPED_COMPONENTS>{"'), "o_orderpriority", F.lit('":{"path":"x","components":["c'), F.col("o_custkey").cast("string"), F.lit('","o'), F.col("o_orderkey").cast("string"), F.lit('"]}}</GROUPED_COMPONENTS> more'))
@@ -764,7 +772,7 @@ def overview_context(s, d):
     return E.overview(rows.withColumn("page", P.page_id("wiki", F.transform("path", lambda x: F.replace(F.replace(x, F.lit(" "), F.lit("-")), F.lit("#"), F.lit("-"))))), "ASIA/CHINA")
 
 
-_NAMES = """graph_load tree_load cluster_groups cluster_responses patch_hunks id_lists page_creation edition_merge edition_catalog history_scan overview_context primary_paths module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
+_NAMES = """graph_load tree_load tree_save cluster_groups cluster_responses patch_hunks id_lists page_creation edition_merge edition_catalog history_scan overview_context primary_paths module_edges first_references unique_name_resolution resolved_references depends_on candidate_policy leaf_demotion builtin_filter referrers artifact_units
 source_components source_references path_glob_filter artifact_classes language_counts class_cap_and_budget safe_ids page_ids role_labels tree_paths post_order ancestors deepest_owner boundary_owner initial_modules
 claims super_groups tree_quality review_check khop_upstream diagram_paths target_subtree snapshot_diff change_ratios active_set rename_pairs neighbour_majority write_sets verdicts
 hunk_overlap edge_set_operations prose_counts opaque_blocks headings truncation token_estimate_oversized link_extract broken_links page_differences unlinked_children page_id_collisions grounding

@@ -37,6 +37,32 @@ def module_rows(trees: DataFrame) -> DataFrame:
     return out
 
 
+def tree_documents(modules: DataFrame) -> DataFrame:
+    """modules (tree, path, components) -> tree, value: a JSON object for each tree, which module_rows takes apart again.
+
+    Objects are put together from the deepest level up. Modules stand in order
+    of name, components sorted and each once; rows of one path are one module,
+    and modules above one that has no row are made without components. Rows with
+    a null or empty path are passed over; a null tree is one, too.
+    """
+    none = F.array().cast("array<string>")
+    own = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("components", none)))))
+    rows = checkpointed(modules.where(F.size("path") > 0).groupBy("tree", "path").agg(own.alias("components")))
+    text = F.lit(None).cast("string")
+    below = None
+    for depth in range(rows.agg(F.max(F.size("path"))).first()[0] or 0, 0, -1):
+        here = rows.where(F.size("path") == depth).withColumn("children", text)
+        here = here if below is None else here.unionByName(below.withColumn("components", F.lit(None).cast("array<string>")))
+        here = here.groupBy("tree", "path").agg(F.first("components", True).alias("components"), F.first("children", True).alias("children"))
+        name = F.element_at("path", -1)
+        quoted = F.regexp_replace(F.to_json(F.array(name)), r"^\[|\]$", "")
+        module = F.concat(quoted, F.lit(':{"components":'), F.to_json(F.coalesce("components", none)), F.lit(',"children":'), F.coalesce("children", F.lit("{}")), F.lit("}"))
+        each = F.array_sort(F.collect_list(F.struct(name.alias("name"), module.alias("module"))))
+        children = F.concat(F.lit("{"), F.array_join(F.transform(each, lambda x: x["module"]), ","), F.lit("}"))
+        below = here.groupBy("tree", F.slice("path", 1, depth - 1).alias("path")).agg(children.alias("children"))
+    return rows.select("tree", text.alias("value")).limit(0) if below is None else below.select("tree", F.col("children").alias("value"))
+
+
 def id_list(text: Column) -> Column:
     """Ids of a JSON array, or of lines; blank ones are left out, an object gives null."""
     array = F.from_json(text, "array<string>")

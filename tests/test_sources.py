@@ -238,3 +238,12 @@ def test_command_line(spark, tmp_path, capsys):
     said = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
     assert said["changes"] == {"modified_body": 1} and said["outcome"] == "full_fallback"
     assert cli.main(["plan", str(tmp_path / "no"), "1", "2"]) == 1
+
+
+def test_a_saved_tree_loads_as_it_was(spark):
+    kept = [(1, ["a"], ["x", "y"]), (1, ["a", 'q"\\é'], []), (1, ["a", 'q"\\é', "漢/["], ["1"]), (1, ["b"], []), (2, ["a]"], ["z"]), (None, ["n"], ["m"])]
+    given = [*kept[:1], kept[0], (1, ["a", 'q"\\é', "漢/["], ["1", "1"]), *kept[3:], (1, [], ["lost"]), (3, None, ["lost"])]
+    saved = J.tree_documents(spark.createDataFrame(given, "tree long, path array<string>, components array<string>"))
+    got = {(r["tree"], *r["path"]): r["components"] for r in J.module_rows(saved).collect()}
+    assert got == {(t, *p): c for t, p, c in kept} and saved.count() == 3
+    assert J.tree_documents(saved.select("tree", F.array("value").alias("path"), F.array("value").alias("components")).limit(0)).count() == 0

@@ -94,8 +94,8 @@ def among(keys: DataFrame, bits: int = 23, column: str = "k") -> Column:
 def collected(entries: Column, start: Column, kind: str, item: Callable[[Column, Column], Column], after: Callable[[Column, Column], Column]) -> Column:
     """A fold's items (of type kind), one for each entry: item(state, entry), where after(state, entry) is the next state.
 
-    An array is copied where it grows, so that items go into short parts, and
-    parts into the whole.
+    Items go into short parts, and parts into the whole. Still, a step seems to
+    cost what the state holds: 16,000 items take six seconds whatever the part.
     """
     none = F.expr(f"cast(array() as array<{kind}>)")
     zero = F.struct(start.alias("at"), none.alias("part"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("parts"))

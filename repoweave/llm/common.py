@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,26 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20)
             spark.conf.set(key, str(most))
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving the memory that it has freed back to the system when its task ends.
+
+    Python workers stay for later tasks, more of them than run at a time, and
+    would each keep the most that any of their tasks took.
+    """
+
+    @functools.wraps(run)
+    def leaning(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+            if trim:
+                trim(0)
+
+    return leaning
+
+
 def lower_az(text: Column) -> Column:
     """A-Z in lower case, nothing else; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

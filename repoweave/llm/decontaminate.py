@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import LOWEST, among, bounded_batches, keyed, salted_join, stored
+from .common import LOWEST, among, bounded_batches, keyed, lean, salted_join, stored
 from .vecwords import ALNUM, chunks, hashes, spans
 
 INDEX = "term long, block long, n int, positions binary, owners binary, keys binary, starts binary"
@@ -62,6 +62,7 @@ def _decoded(lists: pa.Array, n: np.ndarray) -> np.ndarray:
     return total - np.repeat(np.where(first > 0, total[first - 1], 0), n)
 
 
+@lean
 def _indexed(batches):
     """Rows of postings, and for each block one row (of no term) with its documents' keys and first words."""
     part, number = TaskContext.get().partitionId(), 0
@@ -103,6 +104,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _windows(width: int):
+    @lean
     def run(batches):
         for batch in batches:
             names = batch.column("item").to_pylist()
@@ -128,6 +130,7 @@ def phrases(items: DataFrame, width: int = 13, id_col: str = "item_id", text_col
 _PLACES = "block long, phrase long, at long"
 
 
+@lean
 def _fetched(batches):
     """Each place of the rows' postings as a row."""
     for batch in batches:
@@ -139,6 +142,7 @@ def _fetched(batches):
 _CHECKED = "block long, phrase long, at long, mask long"
 
 
+@lean
 def _checked(batches):
     """Rows with a term's positions in a block and needs (phrase, at, delta, reach) -> the needs that are met.
 
@@ -184,6 +188,7 @@ def _met(postings: DataFrame, needs: DataFrame) -> DataFrame:
 def _found(slop: int):
     """Blocks with their matches (begin, length, phrase) -> a row for each document."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():

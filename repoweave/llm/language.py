@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWEST, bounded_batches, keyed, stored
+from .common import LOWEST, bounded_batches, keyed, lean, stored
 from .vecwords import chunks, mix
 
 HASHES = 3
@@ -66,6 +66,7 @@ class _Counts:
         self.n, self.more = np.bincount(back, n, len(self.gram)).astype(np.int64), []
 
 
+@lean
 def _counted(batches):
     by = {}
     for batch in batches:
@@ -109,6 +110,7 @@ def slots_of(gram: np.ndarray, hashes: int, slots: int) -> list[np.ndarray]:
 
 
 def _slotted(hashes: int, slots: int):
+    @lean
     def run(batches):
         for batch in batches:
             each = slots_of(batch.column("gram").to_numpy(zero_copy_only=False), hashes, slots)
@@ -146,6 +148,7 @@ def train(labelled: DataFrame, foreign: float = FOREIGN, hashes: int = HASHES, t
 
 
 def _predicted(shared):
+    @lean
     def run(batches):
         model = shared.value
         for batch in batches:

@@ -15,6 +15,7 @@ earlier document has.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keyed, salted_join, stored
+from .common import bounded_batches, keyed, lean, salted_join, stored
 from .vecwords import SPACED, chunks, hashes, mix, spans
 
 #: Blocks of fewer words than this stay: such lines repeat by chance or are too short to be a passage.
@@ -61,6 +62,7 @@ def _runs(lines: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.nda
 
 
 def _sequences(min_words: int):
+    @lean
     def run(batches):
         for batch in batches:
             seqs, counts, n_keys, keys, at, spans_of, runs = [], [], [0], [], [], [], []
@@ -205,6 +207,7 @@ _BLOCKS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 def _aligned(min_words: int):
     """Rows with lines, counts and what they share with earlier documents -> the blocks that go."""
 
+    @lean
     def run(batches):
         for batch in batches:
             found, shared = [], batch.column("shared")
@@ -259,6 +262,12 @@ def _cut(texts: pd.Series, blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_removed"])
 
 
+@lean
+def _cuts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, blocks in batches:
+        yield _cut(texts, blocks)
+
+
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> row, o, k, text (without the repeated lines), n_lines, n_removed for each row.
 
@@ -271,7 +280,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     """
     found = repeated_blocks(docs, min_words, id_col, text_col).withColumn("ends", F.flatten(F.transform("blocks", lambda x: F.array(x["a"], x["b"]))))
     whole = keyed(docs, id_col, text_col).join(found.select("o", "k", "ends"), ["o", "k"], "left")
-    cut = whole.withColumn("cut", F.pandas_udf(_cut, _CUT)(F.when(F.col("ends").isNotNull(), F.col("text")), F.coalesce("ends", F.expr("cast(array() as array<int>)"))))
+    once = F.pandas_udf(_cuts, _CUT).asNondeterministic()  # else a filter above runs it a second time, in a worker of its own
+    cut = whole.withColumn("cut", once(F.when(F.col("ends").isNotNull(), F.col("text")), F.coalesce("ends", F.expr("cast(array() as array<int>)"))))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
     return cut.select("row", "o", "k", F.coalesce("cut.text", "text").alias("text"), n_lines.alias("n_lines"), F.col("cut.n_removed").alias("n_removed"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWEST, bounded_batches, keyed, salted_join, stored
+from .common import LOWEST, bounded_batches, keyed, lean, salted_join, stored
 from .components import components
 from .vecwords import SPACED, chunks, hashes, mix, shingle_sets, spans
 
@@ -90,6 +90,7 @@ def bands_of(slots: int, bands: int, rows: int) -> np.ndarray:
 def _signed(width: int, slots: int, bands: int, rows: int):
     picked = bands_of(slots, bands, rows)
 
+    @lean
     def run(batches):
         for batch in batches:
             sizes, digests, keys, sigs = [], [], [], []
@@ -112,6 +113,7 @@ def _signed(width: int, slots: int, bands: int, rows: int):
 
 
 def _shingled(width: int):
+    @lean
     def run(batches):
         for batch in batches:
             out = []
@@ -130,6 +132,7 @@ def least_equal(t: float, slots: int) -> int:
 def _likely(slots: int, least: int):
     """Rows of two signatures -> a, b of those with enough equal slots."""
 
+    @lean
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, slots) for c in ("sig", "other"))
@@ -158,6 +161,7 @@ def _likely_blocks(slots: int, least: int, num: int, den: int):
     def table(out):
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["x", "y"])
 
+    @lean
     def run(batches):
         item, rows = None, []
         for batch in batches:
@@ -226,6 +230,7 @@ def _verified(num: int, den: int):
         found = _linked([np.frombuffer(r[2], np.uint64) for r in rows], split, num, den) if split else []
         return [(rows[i][0], rows[j][0]) for i, j in found]
 
+    @lean
     def run(batches):
         left, item = [], None
         for batch in batches:

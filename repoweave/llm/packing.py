@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import LOWEST, bounded_batches, keyed, stored
+from .common import LOWEST, bounded_batches, keyed, lean, stored
 
 SEQUENCE = 4096
 END_ID = 2
@@ -123,6 +123,7 @@ _PIECE = "o long, k long, dealt long, start long, length long, ids_crc32 long, d
 
 
 def _pieces(path: str, sequence: int, end_id: int):
+    @lean
     def run(batches):
         encode = _Encoder(path)
         context = TaskContext.get()

@@ -1,5 +1,8 @@
 import os
 import random
+import re
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -101,3 +104,38 @@ def test_the_whole_pipeline_against_plain_stages(spark, tmp_path):
         want.add((i, 0, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)), len(ids)))
     got = {(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_lines_are_cut_once(spark):
+    """A filter above the Python function that cuts would run it a second time, and hold a second worker for each task."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus_pipeline.line_dedup(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bArrowEvalPython", plan)) == 1
+
+
+_LEFT = """
+import random, re
+import public_tokenizers
+import pyarrow as pa
+from repoweave.llm import packing
+
+def taken():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+chance = random.Random(1)
+words = ["".join(chance.choices("abcdefghijklmnop", k=chance.randint(3, 9))) for _ in range(60_000)]
+text = pa.array([" ".join(chance.choices(words, k=500)) for _ in range(1000)])
+batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(range(1000), pa.int64()), text], ["o", "k", "text"])
+run = packing._pieces(public_tokenizers.path("word_bpe_49k.json"), 4096, 2)
+before = taken()
+most = max(taken() for _ in run(iter([batch])))
+print(before, most, taken())
+"""
+
+
+def test_a_worker_gives_its_memory_back_between_tasks():
+    """What a packing task took, mostly its tokenizer and texts, isn't kept by the worker that waits for the next one."""
+    env = os.environ | {"PYTHONPATH": f"{os.path.dirname(corpus_pipeline.__file__)}:{os.environ.get('PYTHONPATH', '')}"}
+    out = subprocess.run([sys.executable, "-c", _LEFT], env=env, capture_output=True, text=True, check=True, timeout=300)
+    before, most, after = map(float, out.stdout.split()[-3:])
+    assert most > before + 50 and after - before < 0.5 * (most - before), out.stdout

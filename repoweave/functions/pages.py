@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ SUPPORT_TERMS = ("build", "test", "release", "smoke", "verify", "packag", "deplo
 #: White space within a line.
 _BLANK = r"[^\S\n]"
 #: Blocks whose text isn't the page's, a kind at a time; one that isn't closed reaches to the end.
-_OPAQUE = tuple(rf"(?s)<{kind}(?=[\x20\t\n\f\r>]|\z)(?:[^>]*>.*?(?:</{kind}>|\z)|[^>]*\z)" for kind in ("code", "file", "nowiki"))
+_KINDS = ("code", "file", "nowiki")
+_OPAQUE = tuple(rf"(?s)<{kind}(?=[\x20\t\n\f\r>]|\z)(?:[^>]*>.*?(?:</{kind}>|\z)|[^>]*\z)" for kind in _KINDS)
 #: What lies between marks that balance, no deeper than there are kinds, as blocks of one kind don't nest.
 _MARKED = "\x02[^\x02\x03]*+\x03"
 for _ in _OPAQUE[1:]:
@@ -27,6 +30,11 @@ _MERMAID = r"(?s)<mermaid>.*?(?:</mermaid>|\z)"
 _HEADING = rf"(?m)^{_BLANK}*(={{2,}}+)([^\n]*?(?<!=))\1{_BLANK}*$"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def token_estimate(text: Column) -> Column:
     """A token for each four characters, rounded up."""
     return F.floor((F.length(text) + 3) / 4).cast("long")
@@ -58,9 +66,13 @@ def visible(text: Column) -> Column:
 
 def _without(text: Column, blocks: str) -> Column:
     """text without what the expression finds; a mark and its line feeds stay for each, so that lines keep their beginnings."""
-    left = F.transform(F.regexp_extract_all(text, F.lit(blocks), F.lit(0)), lambda x: F.concat(F.lit("\x01"), F.regexp_replace(x, "[^\n]+", ""), F.lit("\x01")))
-    joined = F.array_join(F.zip_with(F.split(text, blocks, -1), left, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(text.rlike(blocks), joined).otherwise(text)
+
+    def cut(text: Column) -> Column:
+        left = F.transform(F.regexp_extract_all(text, F.lit(blocks), F.lit(0)), lambda x: F.concat(F.lit("\x01"), F.regexp_replace(x, "[^\n]+", ""), F.lit("\x01")))
+        joined = F.array_join(F.zip_with(F.split(text, blocks, -1), left, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(text.rlike(blocks), joined).otherwise(text)
+
+    return bound(text, cut)
 
 
 def shown_source(text: Column) -> Column:
@@ -70,23 +82,39 @@ def shown_source(text: Column) -> Column:
     several kinds overlap, all that they cover goes. U+0001 to U+0003 aren't
     shown in a page with blocks.
     """
-    marked = F.translate(text, "\x01\x02\x03", "")
-    for kind in _OPAQUE:
-        marked = F.regexp_replace(marked, kind, "\x02$0\x03")
-    return F.when(text.rlike("<(?:code|file|nowiki)"), _without(marked, _MARKED)).otherwise(text)
 
+    def mark(name: str, kind: str) -> Callable[[Column], Column]:
+        return lambda x: F.when(F.contains(x, F.lit(f"<{name}")), F.regexp_replace(x, kind, "\x02$0\x03")).otherwise(x)
+
+    def cut(text: Column) -> Column:
+        marked = F.when(text.rlike("[\x01-\x03]"), F.translate(text, "\x01\x02\x03", "")).otherwise(text)
+        for name, kind in zip(_KINDS, _OPAQUE, strict=True):
+            marked = bound(marked, mark(name, kind))
+        return F.when(text.rlike("<(?:code|file|nowiki)"), _without(marked, _MARKED)).otherwise(text)
+
+    return bound(text, cut)
 
-def prose(text: Column) -> Column:
-    """The running text: no blocks, diagrams, headings, lists, quotes, tables or indented lines, and without markup."""
-    source = _without(shown_source(text), _MERMAID)
+
+def running_source(shown: Column) -> Column:
+    """shown_source's text without diagrams."""
+    return _without(shown, _MERMAID)
+
+
+def prose(source: Column) -> Column:
+    """The running text of running_source's: no headings, lists, quotes, tables or indented lines, and without markup."""
     kept = F.regexp_replace(source, rf"{_HEADING}|(?m)^{_BLANK}*[*\->|^][^\n]*$|(?m)^{_BLANK}{{2,}}[^\n]*$", "")
     return visible(kept)
 
 
+def source_counts(source: Column) -> Column:
+    """words (runs of letters, digits and _ outside CJK) and cjk (characters) of the running text of running_source's."""
+    words, cjk = F.lit(rf"[[\p{{IsAlphabetic}}\p{{N}}_]&&[^{_CJK}]]+"), F.lit(f"[{_CJK}]")
+    return bound(prose(source), lambda x: F.struct(F.regexp_count(x, words).cast("long").alias("words"), F.regexp_count(x, cjk).cast("long").alias("cjk")))
+
+
 def prose_counts(text: Column) -> Column:
-    """words (runs of letters, digits and _ outside CJK) and cjk (characters) of the running text, from one pass."""
-    shown = prose(text)
-    return F.struct(F.regexp_count(shown, F.lit(rf"[[\p{{IsAlphabetic}}\p{{N}}_]&&[^{_CJK}]]+")).cast("long").alias("words"), F.regexp_count(shown, F.lit(f"[{_CJK}]")).cast("long").alias("cjk"))
+    """source_counts of a page's text."""
+    return source_counts(running_source(shown_source(text)))
 
 
 def truncated(text: Column, tokens: int) -> Column:
@@ -98,9 +126,14 @@ def truncated(text: Column, tokens: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(MARKER), F.right(text, F.lit(most - len(MARKER) - head))))
 
 
+def source_links(source: Column) -> Column:
+    """Targets of [[links]] in running_source's text, without label and section."""
+    return F.transform(F.regexp_extract_all(source, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), lambda x: F.trim(x))
+
+
 def wiki_links(text: Column) -> Column:
-    """Targets of [[links]], without label and section."""
-    return F.transform(F.regexp_extract_all(_without(shown_source(text), _MERMAID), F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), lambda x: F.trim(x))
+    """source_links of a page's text."""
+    return source_links(running_source(shown_source(text)))
 
 
 def html_links(html: Column) -> Column:
@@ -137,20 +170,21 @@ def rendered(template: Column | str, values: dict[str, Column]) -> Column:
     return out
 
 
-def mermaid_blocks(text: Column) -> Column:
-    """The bodies of the closed diagrams outside code; an opening tag inside a diagram is text."""
-    return F.regexp_extract_all(shown_source(text), F.lit(r"(?s)<mermaid>(.*?)</mermaid>"), F.lit(1))
+def mermaid_blocks(shown: Column) -> Column:
+    """The bodies of the closed diagrams in shown_source's text; an opening tag inside a diagram is text."""
+    return F.regexp_extract_all(shown, F.lit(r"(?s)<mermaid>(.*?)</mermaid>"), F.lit(1))
 
 
-def mermaid_balanced(text: Column) -> Column:
-    """Whether opening and closing tags of diagrams take turns."""
-    tags = F.array_join(F.regexp_extract_all(shown_source(text), F.lit("<(/?)mermaid>"), F.lit(1)), ",")
-    return tags.rlike("^(?:,/(?:,(?=,/)|$))*$") | ~F.contains(shown_source(text), F.lit("mermaid>"))
+def mermaid_balanced(shown: Column) -> Column:
+    """Whether opening and closing tags of diagrams take turns in shown_source's text."""
+    tags = F.array_join(F.regexp_extract_all(shown, F.lit("<(/?)mermaid>"), F.lit(1)), ",")
+    return ~F.contains(shown, F.lit("mermaid>")) | tags.rlike("^(?:,/(?:,(?=,/)|$))*$")
 
 
 def diagram_text(label: Column) -> Column:
     """A label as it is compared: ASCII letters and digits in lower case, one space between words."""
-    return F.trim(F.regexp_replace(F.regexp_replace(lower_az(label), r"[^a-z0-9\s]", ""), r"\s+", " "))
+    low = F.when(label.rlike(r"^\p{ASCII}*\z"), F.lower(label)).otherwise(lower_az(label))
+    return F.when(label.rlike(r"^[a-z0-9]*\z"), label).otherwise(F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s]", ""), r"\s+", " ")))
 
 
 def is_generic_label(label: Column) -> Column:

@@ -11,63 +11,128 @@ from ..functions import pages as X
 ARROWS = ("-->>", "-.->", "==>", "-->", "->>", "->")
 
 
-def _lines(pages: DataFrame) -> DataFrame:
-    """pages (page, content) -> page, block, n (line), line, low, sequence (of a sequence diagram)."""
-    blocks = pages.select("page", F.posexplode(X.mermaid_blocks(F.col("content"))).alias("block", "body"))
-    blocks = blocks.withColumn("sequence", F.lower("body").rlike(r"(?m)^\s*sequencediagram\s*$"))
-    lines = blocks.select("page", "block", "sequence", F.posexplode(F.split("body", "\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
-    return lines.where("line <> '' and not startswith(line, '%%')").withColumn("low", X.lower_az(F.col("line")))
+def _bodies(pages: DataFrame) -> DataFrame:
+    """pages (page, content, or what pages.facts gives) -> with bodies and balanced, without the text."""
+    if "bodies" in pages.columns:
+        return pages
+    shown = pages.withColumn("shown", X.shown_source(F.col("content")))
+    return shown.withColumns({"bodies": X.mermaid_blocks(F.col("shown")), "balanced": X.mermaid_balanced(F.col("shown"))})
 
 
 def _node(raw: Column) -> Column:
     """id and label of a diagram's text for a node, like `a[Label]`; without a label it is the id. The id is null if there is none."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(raw), "^;+|;+$", ""), "^`+|`+$", "")
-    id_ = F.regexp_replace(F.trim(F.regexp_extract(bare, r"^([^\[({<|]*)", 1)), r'^"+|"+$', "")
-    rest = F.regexp_extract(bare, r"(?s)^[^\[({<|]*(.*)$", 1)
-    label = F.trim(F.substring_index(F.regexp_replace(rest, r'^[\[\](){}"`]+|[\[\](){}"`]+$', ""), "|", 1))
-    return F.struct(F.nullif(id_, F.lit("")).alias("id"), F.when(label == "", id_).otherwise(label).alias("label"))
-
-
-def _tied(lines: DataFrame) -> DataFrame:
-    """lines that tie two nodes -> with left and right, the texts on either side of the arrow."""
-    arrow = F.coalesce(*[F.when(F.contains("line", F.lit(a)), a) for a in ARROWS])
-    rows = lines.where(~F.col("low").rlike("^(?:subgraph|style) ")).withColumn("arrow", arrow).where("arrow is not null")
-    after = F.substring(F.col("line"), F.instr(F.col("line"), F.col("arrow")) + F.length("arrow"), F.length("line"))
-    return rows.withColumns({"left": F.trim(F.substring(F.col("line"), F.lit(1), F.instr(F.col("line"), F.col("arrow")) - 1)), "right": F.trim(F.substring_index(after, ":", 1))})
+    id_ = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, r"^([^\[({<|]*)", 1)), r'^"+|"+$', "")
+    label = lambda x: F.trim(F.substring_index(F.regexp_replace(F.regexp_extract(x, r"(?s)^[^\[({<|]*(.*)$", 1), r'^[\[\](){}"`]+|[\[\](){}"`]+$', ""), "|", 1))
+    parts = X.bound(bare, lambda x: F.struct(id_(x).alias("id"), label(x).alias("label")))
+    node = X.bound(parts, lambda x: F.struct(F.nullif(x["id"], F.lit("")).alias("id"), F.when(x["label"] == "", x["id"]).otherwise(x["label"]).alias("label")))
+    # the two common forms without expressions for the others
+    boxed = F.struct(F.substring_index(raw, "[", 1).alias("id"), F.trim(F.substring(raw, F.instr(raw, F.lit("[")) + 1, F.length(raw) - F.instr(raw, F.lit("[")) - 1)).alias("label"))
+    return F.when(raw.rlike(r"^[A-Za-z0-9_]+\z"), F.struct(raw.alias("id"), raw.alias("label"))).when(raw.rlike(r'^[A-Za-z0-9_]+\[[A-Za-z0-9][^\[\](){}"`|]*\]\z'), boxed).otherwise(node)
+
+
+def _mentions(pages: DataFrame, *others: str) -> DataFrame:
+    """pages (as for _bodies) -> a row for each time that a diagram names a node, from one pass over its lines.
+
+    page, others, at (where: i is 0 and 1 at the ends of an edge), block, own (the
+    id, or the text if it has none), label (null if there is no id), to (of an
+    edge's beginning: its end's own), back (of an edge's end: its beginning's own
+    and whether that is an id). A row of each page has null as own.
+    """
+    null, nothing = F.lit(None).cast("string"), F.lit(None).cast("struct<own:string,id:boolean>")
+    blocks = pages.select("page", *others, F.posexplode(F.concat(F.array(null), F.coalesce("bodies", F.array().cast("array<string>")))).alias("block", "body"))
+    blocks = blocks.withColumn("sequence", F.col("body").rlike(r"(?im)^\s*sequencediagram\s*$"))
+    lines = blocks.select("page", *others, "block", "sequence", F.posexplode_outer(F.split("body", "\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    lines = lines.where("line is null or line <> '' and not startswith(line, '%%')").withColumn("other", F.col("line").rlike("(?i)^(?:subgraph|style) "))
+    lines = lines.withColumn("arrow", F.when(~F.col("other"), F.coalesce(*[F.when(F.contains("line", F.lit(a)), a) for a in ARROWS]))).withColumn("begins", F.instr(F.col("line"), F.col("arrow")))
+    after = F.substring(F.col("line"), F.col("begins") + F.length("arrow"), F.length("line"))
+    lines = lines.withColumns({"left": F.trim(F.substring(F.col("line"), F.lit(1), F.col("begins") - 1)), "right": F.trim(F.substring_index(after, ":", 1))})
+    lines = lines.withColumns({"a": F.when(F.col("left").isNotNull(), _node(F.col("left"))), "b": F.when(F.col("right").isNotNull(), _node(F.col("right")))})
+    # a word that is one of the arrow's sides names what the line has named before
+    new = lambda x: x.rlike(r"[\[({]") & ~F.coalesce((x == F.col("left")) | (x == F.col("right")), F.lit(False))
+    words = F.transform(F.split("line", r"\s+"), lambda x, i: F.struct((i + 2).alias("i"), x.alias("raw")))
+    sides = F.coalesce((F.col("line") == F.concat_ws(" ", "left", "arrow", "right")) & ~F.col("left").rlike(r"\s") & ~F.col("right").rlike(r"\s"), F.lit(False))
+    words = F.when(~F.col("other") & ~F.col("sequence") & ~sides & F.col("line").rlike(r"[\[({]"), F.filter(words, lambda x: new(x["raw"])))
+    spoken = F.when(F.col("line").rlike("(?i)^participant "), F.array(F.struct(F.lit(-1).alias("i"), F.coalesce(F.get(F.split("line", r"\s+"), 1), F.lit("")).alias("raw"))))
+    named = lambda i, node, raw, to, back: F.struct(i.alias("i"), F.coalesce(node["id"], raw).alias("own"), F.when(node["id"].isNotNull(), node["label"]).alias("label"), to.alias("to"), back.alias("back"))
+    lines = lines.withColumns({"a_own": F.coalesce("a.id", "left"), "b_own": F.coalesce("b.id", "right")})
+    kind = "array<struct<i:int,own:string,label:string,to:string,back:struct<own:string,id:boolean>>>"
+    begin = F.struct(F.col("a_own").alias("own"), F.col("a.id").isNotNull().alias("id"))
+    ends = F.when(F.col("arrow").isNotNull(), F.array(named(F.lit(0), F.col("a"), F.col("left"), F.col("b_own"), nothing), named(F.lit(1), F.col("b"), F.col("right"), null, begin)))
+    more = [F.transform(x, lambda x: X.bound(_node(x["raw"]), lambda node: named(x["i"], node, null, null, nothing))) for x in (words, spoken)]
+    page = F.when(F.col("line").isNull(), F.array(F.struct(F.lit(-2).alias("i"), *[null.alias(x) for x in ("own", "label", "to")], nothing.alias("back"))))
+    found = lines.select("page", *others, "block", "n", F.explode(F.concat(*[F.coalesce(x.cast(kind), F.array().cast(kind)) for x in (page, ends, *more)])).alias("x"))
+    found = found.select("page", *others, "block", F.struct("n", "x.i").alias("at"), "x.own", "x.label", "x.to", "x.back")
+    return found.where("own is not null or at.i = -2")
 
 
 def edges(pages: DataFrame) -> DataFrame:
     """pages (page, content) -> page, a, b for each line of a diagram that ties two nodes, by their ids (a text without an id stands for itself)."""
-    own = lambda x: F.coalesce(_node(F.col(x))["id"], F.col(x))
-    return _tied(_lines(pages)).select("page", own("left").alias("a"), own("right").alias("b"))
+    return _mentions(_bodies(pages)).where("at.i = 0").select("page", F.col("own").alias("a"), F.col("to").alias("b"))
+
+
+def _first_label() -> Column:
+    """Of rows of _mentions: a node's first label in a diagram, of the last diagram that has one. Null if there is none."""
+    return F.min(F.when(F.col("label").isNotNull(), F.struct((-F.col("block")).alias("block"), "at", "label")))["label"]
 
 
 def nodes(pages: DataFrame) -> DataFrame:
     """pages (page, content) -> page, id, label. In a diagram a node's first label counts, of a page's diagrams the last."""
-    lines = _lines(pages)
-    tied = _tied(lines).select("page", "block", "n", F.posexplode(F.array("left", "right")).alias("i", "raw"))
-    spoken = lines.where("low like 'participant %'").select("page", "block", "n", F.lit(-1).alias("i"), F.coalesce(F.get(F.split("line", r"\s+"), 1), F.lit("")).alias("raw"))
-    words = lines.where(~F.col("low").rlike("^(?:subgraph|style) ") & ~F.col("sequence")).select("page", "block", "n", F.posexplode(F.split("line", r"\s+")).alias("i", "raw"))
-    words = words.where(F.col("raw").rlike(r"[\[({]")).withColumn("i", F.col("i") + 2)
-    found = tied.union(spoken).union(words).select("page", "block", F.struct("n", "i").alias("at"), _node(F.col("raw")).alias("x")).where("x.id is not null")
-    each = found.groupBy("page", "block", F.col("x.id").alias("id")).agg(F.min_by("x.label", "at").alias("label"))
-    return each.groupBy("page", "id").agg(F.max_by("label", "block").alias("label"))
-
-
-def _chains(tied: DataFrame, drawn: DataFrame, most: int) -> DataFrame:
-    """page, length: the longest chain, up to `most` edges, that begins at a node and passes none twice; it may end where it was."""
-    step = tied.distinct().select("page", F.col("a").alias("at"), F.col("b").alias("next"))
-    rows = drawn.select("page", F.array("id").alias("path"))
-    out = None
-    for length in range(1, most + 1):
-        rows = rows.withColumn("at", F.element_at("path", -1)).join(step, ["page", "at"]).select("page", F.concat("path", F.array("next")).alias("path")).distinct()
-        out = rows.select("page", F.lit(length).alias("length")).distinct() if out is None else out.union(rows.select("page", F.lit(length)).distinct())
-        rows = rows.where(F.size(F.array_distinct("path")) == F.size("path"))
-    return out.groupBy("page").agg(F.max("length").alias("length"))
+    found = _mentions(_bodies(pages)).where("label is not null")
+    return found.groupBy("page", F.col("own").alias("id")).agg(_first_label().alias("label"))
+
+
+def _counted(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality's pages (with bodies and balanced), labels -> their marks, and what is counted of nodes, edges and chains.
+
+    An edge is grounded at its beginning, at its end or at both; only grounded
+    nodes tell the ends of their edges, so that the last are counted once. A chain
+    of three edges has a middle one whose beginning another node leads to and
+    whose end leads on: nodes that lead on tell those that lead to them. Of many
+    nodes on either side two are enough.
+    """
+    allowed = labels.select("page", X.diagram_text(F.col("label")).alias("x")).where("x <> ''").groupBy("page").agg(F.collect_set("x").alias("allowed"))
+    near = lambda v: F.coalesce(F.exists("allowed", lambda x: F.contains(v, x) | F.contains(x, v)), F.lit(False))
+    text, own, null = X.diagram_text, F.col("own"), F.lit(None).cast("string")
+    mark = F.struct("is_leaf", "is_overview", F.size("bodies").cast("long").alias("blocks"), "balanced", F.coalesce(~F.col("is_leaf") & F.col("is_overview"), F.lit(False)).alias("long"))
+    rows = _mentions(pages.withColumn("mark", mark), "mark").where("page is not null or own is null")
+    tie = F.when(own.isNull() | F.col("to").isNotNull() | F.col("back").isNotNull(), F.struct(F.when(own.isNull(), F.col("mark")).alias("mark"), "to", "back", F.col("label").isNotNull().alias("id")))
+    node = rows.groupBy("page", "own").agg(F.max("mark.long").alias("long"), _first_label().alias("label"), F.collect_list(tie).alias("ties"))
+    node = node.join(allowed, "page", "left").withColumns({"drawn": F.col("label").isNotNull(), "id_text": text(own), "known": F.col("allowed").isNotNull()})
+    node = node.withColumns({"text": F.when(F.col("label") == own, F.col("id_text")).otherwise(text(F.coalesce("label", own))), "outs": F.filter("ties", lambda x: x["to"].isNotNull()), "ins": F.filter("ties", lambda x: x["back"].isNotNull())})
+    node = node.withColumns({"near": near(F.col("text")), "n_outs": F.size("outs").cast("long"), "n_ins": F.size("ins").cast("long")})
+    node = node.withColumn("firsts", F.when(F.col("long"), F.transform(F.filter("ins", lambda x: x["back"]["id"] & (x["back"]["own"] != own)), lambda x: x["back"]["own"])))
+    like = lambda is_: is_(F.col("id_text")) | ((F.col("id_text") != F.col("text")) & is_(F.col("text")))
+    one = lambda x: (F.col("drawn") & x).cast("long")
+    counts = {
+        "nodes": one(F.lit(True)), "grounded_nodes": one(F.col("near")), "generic": one(like(lambda x: x.isin(*X.GENERIC_LABELS))), "support": one(like(lambda x: x.rlike("|".join(X.SUPPORT_TERMS)))),
+        "disconnected": one(F.col("n_outs") + F.col("n_ins") == 0), "edges": F.col("n_outs"), "grounded_edges": F.when(F.col("near"), F.col("n_outs") + F.col("n_ins")).otherwise(0), "starts": one(F.col("n_outs") > 0),
+    }
+    node = node.withColumns({k: F.coalesce(v, F.lit(0)).cast("long") for k, v in counts.items()})
+    kind = "array<struct<key:string,self:boolean,near:boolean,first:string,last:string>>"
+    said = lambda key, **x: F.struct(key.alias("key"), *[x.get(k, F.lit(None).cast(t)).alias(k) for k, t in (("self", "boolean"), ("near", "boolean"), ("first", "string"), ("last", "string"))])
+    # to itself; to the ends of a grounded node's edges; to those that a chain can pass before; where a text without an id is also an id, to its ends
+    told = (
+        F.array(said(own, self=F.lit(True))),
+        F.when(F.col("near"), F.transform("outs", lambda x: said(x["to"], near=F.lit(True)))),
+        F.when(F.col("long") & (F.col("n_outs") > 0), F.transform(F.filter("ins", lambda x: x["back"]["own"] != own), lambda x: said(x["back"]["own"], last=own))),
+        F.when(F.col("long") & F.col("drawn"), F.transform(F.filter("outs", lambda x: ~x["id"] & (x["to"] != own)), lambda x: said(x["to"], first=own))),
+    )
+    told = F.concat(*[F.coalesce(x.cast(kind), F.array().cast(kind)) for x in told])
+    own_only = lambda x: F.when(F.col("x.self"), x)
+    marks = F.transform(F.filter("ties", lambda x: x["mark"].isNotNull()), lambda x: x["mark"])
+    state = F.struct(F.when(own.isNull(), marks).alias("marks"), "known", "near", F.array_min("firsts").alias("low"), F.array_max("firsts").alias("high"), *counts)
+    told = node.select("page", state.alias("state"), F.explode(told).alias("x")).select("page", "x.key", F.col("x.near").alias("told"), "x.first", "x.last", own_only(F.col("state")).alias("state"))
+    met = told.groupBy("page", "key").agg(F.first("state", ignorenulls=True).alias("state"), F.count_if("told").alias("both"), *[f(x).alias(f"{f.__name__}_{x}") for x in ("first", "last") for f in (F.min, F.max)])
+    low, high = F.least("min_first", "state.low"), F.greatest("max_first", "state.high")
+    chain = low.isNotNull() & F.col("min_last").isNotNull() & ~((low == high) & (F.col("min_last") == F.col("max_last")) & (low == F.col("min_last")))
+    sums = {k: F.sum(F.col(f"state.{k}")) for k in counts} | {"grounded_edges": F.sum(F.col("state.grounded_edges") - F.when(F.col("state.near"), F.col("both")).otherwise(0))}
+    page = met.groupBy("page").agg(F.max("state.known").alias("known"), F.flatten(F.collect_list("state.marks")).alias("marks"), *[v.alias(k) for k, v in sums.items()], F.max(chain).alias("chain"))
+    return page.withColumn("mark", F.explode("marks")).select("page", "mark.*", "known", *counts, "chain")
 
 
 def quality(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """pages (page, content, is_leaf, is_overview), labels (page, label: what a diagram can be about) -> the report on each page's diagrams.
+    """pages (page, content or what pages.facts gives, is_leaf, is_overview), labels (page, label: what a diagram can be about) -> the report on each page's diagrams.
 
     page, blocks, balanced, nodes, edges, grounded_nodes, grounded_edges, generic,
     support, disconnected, has_path, issues (an array), verdict: pass, warning
@@ -75,28 +140,10 @@ def quality(pages: DataFrame, labels: DataFrame) -> DataFrame:
     it. Leaves need no diagram; an overview of more than two nodes needs a path of
     three edges and no part that is about building.
     """
-    drawn, tied = nodes(pages), edges(pages)
-    allowed = labels.select("page", X.diagram_text(F.col("label")).alias("x")).where("x <> ''").groupBy("page").agg(F.collect_set("x").alias("allowed"))
-    near = lambda v: F.exists("allowed", lambda x: F.contains(v, x) | F.contains(x, v))
-    ends = tied.select("page", F.col("a").alias("id")).union(tied.select("page", "b")).distinct().withColumn("tied", F.lit(True))
-    text = X.diagram_text
-    n = drawn.join(ends, ["page", "id"], "left").join(allowed, "page", "left").groupBy("page").agg(
-        F.count("*").alias("nodes"),
-        F.count_if(F.coalesce(near(text(F.col("label"))), F.lit(False))).alias("grounded_nodes"),
-        F.count_if(X.is_generic_label(F.col("id")) | X.is_generic_label(F.col("label"))).alias("generic"),
-        F.count_if(X.is_support_label(F.col("id")) | X.is_support_label(F.col("label"))).alias("support"),
-        F.count_if(F.col("tied").isNull()).alias("disconnected"),
-    )
-    named = lambda x: drawn.select("page", F.col("id").alias(x), F.col("label").alias(f"{x}_label"))
-    whole = tied.join(named("a"), ["page", "a"], "left").join(named("b"), ["page", "b"], "left").join(allowed, "page", "left")
-    own = lambda x: text(F.coalesce(F.col(f"{x}_label"), F.col(x)))
-    e = whole.groupBy("page").agg(F.count("*").alias("edges"), F.count_if(F.coalesce(near(own("a")) | near(own("b")), F.lit(False))).alias("grounded_edges"))
-    marks = pages.select("page", "is_leaf", "is_overview", F.size(X.mermaid_blocks(F.col("content"))).cast("long").alias("blocks"), X.mermaid_balanced(F.col("content")).alias("balanced"))
-    out = marks.join(n, "page", "left").join(e, "page", "left").join(_chains(tied, drawn, 3), "page", "left").join(allowed.select("page", F.lit(True).alias("known")), "page", "left")
-    out = out.fillna(0, ["nodes", "grounded_nodes", "generic", "support", "disconnected", "edges", "grounded_edges", "length"])
+    out = _counted(_bodies(pages), labels)
     strict, count = ~F.col("is_leaf"), F.col("nodes")
-    least = F.when(strict & F.col("is_overview") & (count > 2), 3).when(count > 1, 1).otherwise(0)
-    has_path = (count > 0) & (F.col("edges") > 0) & (F.col("length") >= least)
+    far = F.when(strict & F.col("is_overview") & (count > 2), F.col("chain")).otherwise((count <= 1) | (F.col("starts") > 0))
+    has_path = (count > 0) & (F.col("edges") > 0) & far
     enough = F.when(count <= 2, 1).otherwise(F.greatest(F.floor(count / 2), F.lit(2)))
     issues = F.array_compact(
         F.array(
@@ -106,7 +153,7 @@ def quality(pages: DataFrame, labels: DataFrame) -> DataFrame:
             F.when(strict & (F.col("edges") < 1), "few edges"),
             F.when(strict & ~has_path, "no path"),
             F.when(strict & (F.col("generic") * 2 > F.greatest(count, F.lit(1))), "generic"),
-            F.when(strict & F.col("known").isNotNull() & (F.col("grounded_nodes") < enough), "ungrounded diagram"),
+            F.when(strict & F.col("known") & (F.col("grounded_nodes") < enough), "ungrounded diagram"),
             F.when(F.col("is_overview") & (F.col("support") > 0), "support nodes"),
         )
     )

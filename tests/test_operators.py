@@ -382,6 +382,20 @@ def test_chains_may_end_where_they_were(spark):
     assert got == {"ring": True, "star": False, "pair": True, "loop": True, "self": True}
 
 
+def test_quality_reads_pages_once_and_dense_diagrams_in_time(spark, tmp_path):
+    n = 150
+    dense = "\n".join(f"n{i} --> n{j}" for i in range(n) for j in range(n))
+    data = [("dense", f"<mermaid>\n{dense}\n</mermaid>", False, True), ("odd", "<mermaid>\n;; --> x\nx --> y\ny --> z\n`;;`\n</mermaid>", False, True), ("null", None, False, False)]
+    spark.createDataFrame(data, "page string, content string, is_leaf boolean, is_overview boolean").write.parquet(f"{tmp_path}/pages")
+    out = DG.quality(spark.read.parquet(f"{tmp_path}/pages"), spark.createDataFrame([("dense", "n1")], "page string, label string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = {r["page"]: r for r in out.collect()}
+    near = sum(str(i).startswith("1") for i in range(n))  # their texts have the label's
+    assert (got["dense"]["nodes"], got["dense"]["edges"], got["dense"]["grounded_nodes"], got["dense"]["has_path"]) == (n, n * n, near, True)
+    assert got["dense"]["grounded_edges"] == n * n - (n - near) ** 2
+    assert (got["odd"]["nodes"], got["odd"]["edges"], got["null"]["blocks"], got["null"]["nodes"]) == (3, 3, None, 0)
+
+
 def test_assessment(spark):
     words = "word " * 160
     data = [("good", True, False, f"== Purpose ==\n{words}\n== Usage ==\nsee a.py Main"), ("bad", True, False, "== Module location ==\n== Source files ==\n== Key components ==\n== Integration notes ==\nfew words"), ("cjk", True, False, "== 目的 ==\n== 架构 ==\n" + "字" * 600), ("void", False, True, "  \n")]

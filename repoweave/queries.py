@@ -497,11 +497,12 @@ def edge_set_operations(s, d):
 
 def _wiki(text="text"):
     """A document as a page: by its length a line becomes a heading, a list, a quote, code, a diagram, CJK text or an indented one, and words get markup."""
-    line = lambda x: (F.when(x == "", x).when(F.length(x) % 11 == 0, F.concat(F.lit("== "), x, F.lit(" =="))).when(F.length(x) % 11 == 1, F.concat(F.lit("  * "), x)).when(F.length(x) % 11 == 2, F.concat(F.lit("> "), x))
-        .when(F.length(x) % 11 == 3, F.concat(F.lit("<code>\n"), x, F.lit("\n</code>"))).when(F.length(x) % 11 == 4, F.concat(F.lit("   "), x)).when(F.length(x) % 11 == 5, F.concat(F.lit("so **bold** [[a:b|"), x, F.lit("]] <sub>is</sub> ''gone'' 中文字")))
-        .when(F.length(x) % 11 == 6, F.concat(F.lit("<mermaid>\n"), x, F.lit("\n</mermaid> after"))).when(F.length(x) % 11 == 7, F.concat(F.lit("| "), x)).otherwise(x))
+    line = lambda x, k: (F.when(x == "", x).when(k == 0, F.concat(F.lit("== "), x, F.lit(" =="))).when(k == 1, F.concat(F.lit("  * "), x)).when(k == 2, F.concat(F.lit("> "), x))
+        .when(k == 3, F.concat(F.lit("<code>\n"), x, F.lit("\n</code>"))).when(k == 4, F.concat(F.lit("   "), x)).when(k == 5, F.concat(F.lit("so **bold** [[a:b|"), x, F.lit("]] <sub>is</sub> ''gone'' 中文字")))
+        .when(k == 6, F.concat(F.lit("<mermaid>\n"), x, F.lit("\n</mermaid> after"))).when(k == 7, F.concat(F.lit("| "), x)).otherwise(x))
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N} \n]", " ")
-    return F.array_join(F.transform(F.split(plain, "\n"), lambda x: line(F.trim(x))), "\n")
+    trimmed = F.transform(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: F.struct(x.alias("x"), (F.length(x) % 11).alias("k")))
+    return F.array_join(F.transform(trimmed, lambda y: line(y["x"], y["k"])), "\n")
 
 
 def prose_counts(s, d):
@@ -582,7 +583,7 @@ def _assessed(s, d):
     k = F.col("doc_id")
     head = F.when(k % 3 == 0, "=== Purpose and scope ===\n").when(k % 3 == 1, "== Design ==\n==== Error handling ====\n").otherwise("")
     tail = F.when(k % 4 == 0, F.concat(F.lit("\nsee "), F.col("source"), F.lit("/a.py and Main\n<mermaid>\ngraph TD\n A[Store"), k.cast("string"), F.lit("] --> B\n B --> C(Build it)\n</mermaid>"))).otherwise("")
-    pages = docs.select(k.alias("page"), (k % 2 == 0).alias("is_leaf"), (k % 10 == 1).alias("is_overview"), F.concat(head, "wiki", tail).alias("content"), "source")
+    pages = checkpointed(W.facts(docs.select(k.alias("page"), (k % 2 == 0).alias("is_leaf"), (k % 10 == 1).alias("is_overview"), F.concat(head, "wiki", tail).alias("content"), "source")))
     anchors = pages.select("page", "content", F.explode(F.array(F.struct(F.concat("source", F.lit("/a.py::Main")).alias("id"), F.lit("Main").alias("symbol"), F.concat("source", F.lit("/a.py")).alias("path")), F.struct(F.lit("design").alias("id"), F.lit("zz").alias("symbol"), F.lit("zz").alias("path")))).alias("x")).select("page", "content", "x.*")
     labels = pages.select("page", F.concat(F.lit("Store "), F.col("page").cast("string")).alias("label"))
     required = pages.where("page % 6 = 0").select("page", F.lit("b").alias("target"))

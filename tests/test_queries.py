@@ -47,7 +47,7 @@ def test_export_of_odd_titles_matches_its_sql(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted(c.sql(oracle.oracle_sql()["html_export"]).select("page", "position", "nav", "section").fetchall())
 
 
-@pytest.mark.parametrize("name", ["page_scores"])
+@pytest.mark.parametrize("name", ["page_scores", "report_rollup"])
 def test_texts_are_read_once(spark, name):
     # what is planned after the texts were read once reads what that gave, not the documents
     assert "n_chars#" not in queries.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

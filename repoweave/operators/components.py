@@ -40,6 +40,12 @@ def is_builtin(language: Column, name: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _other(ids: Column, own: Column) -> Column:
+    """ids (n, low, high: how many there are, the least and the greatest) -> the only one that isn't own, if there is one."""
+    n, low, high = ids["n"], ids["low"], ids["high"]
+    return F.when(n == 1, F.when(own.isNull() | (low != own), low)).when(n == 2, F.when(low == own, high).when(high == own, low))
+
+
 def unique_matches(references: DataFrame, names: DataFrame, keys: list[str], ref: str = "ref", own: str = "owner") -> DataFrame:
     """references (ref, owner, keys), names (id, keys) -> ref, target: the only other id under the reference's keys.
 
@@ -50,9 +56,7 @@ def unique_matches(references: DataFrame, names: DataFrame, keys: list[str], ref
     # a name's ids need not be gathered: with at most one to leave out, the two least ones decide
     least = by.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     hit = references.join(least, keys)
-    own_id = F.col(own)
-    other = F.when(F.col("n") == 1, F.when(own_id.isNull() | (F.col("low") != own_id), F.col("low"))).when(F.col("n") == 2, F.when(F.col("low") == own_id, F.col("high")).when(F.col("high") == own_id, F.col("low")))
-    return hit.withColumn("target", other).where("target is not null").select(ref, "target")
+    return hit.withColumn("target", _other(F.struct("n", "low", "high"), F.col(own))).where("target is not null").select(ref, "target")
 
 
 def name_index(components: DataFrame) -> DataFrame:
@@ -61,6 +65,18 @@ def name_index(components: DataFrame) -> DataFrame:
     return components.select("id", "language", F.explode(F.array_distinct(keys)).alias("key")).withColumn("simple", F.element_at(F.split("key", "[.:]"), -1)).distinct()
 
 
+def _by_key(index: DataFrame) -> DataFrame:
+    """name_index's rows -> key, exact, simple (n, low, high of the ids that have it as a name, and as a name's last part), spoken (the same for either, of each language)."""
+    entries = index.select("id", "language", F.explode(F.array(F.struct("key", F.lit(True).alias("whole")), F.struct(F.col("simple").alias("key"), F.lit(False).alias("whole")))).alias("x"))
+    entries = entries.select("id", "language", "x.*").where("key <> ''")
+    ids = entries.groupBy("key", "id").agg(F.max("whole").alias("whole"), F.max(~F.col("whole")).alias("part"), F.collect_set("language").alias("languages"))
+    ids = ids.withColumn("language", F.explode(F.concat(F.array(F.lit(None).cast("string")), "languages")))
+    among = lambda c: F.struct(F.count_if(c).alias("n"), F.min(F.when(c, F.col("id"))).alias("low"), F.max(F.when(c, F.col("id"))).alias("high"))
+    each = ids.groupBy("key", "language").agg(among(F.lit(True)).alias("any"), among(F.col("whole") & F.col("language").isNull()).alias("exact"), among(F.col("part") & F.col("language").isNull()).alias("simple"))
+    all_ = F.col("language").isNull()
+    return each.groupBy("key").agg(*[F.max(F.when(all_, F.col(x))).alias(x) for x in ("exact", "simple")], F.collect_list(F.when(~all_, F.struct("language", "any.*"))).alias("spoken"))
+
+
 def resolved(references: DataFrame, components: DataFrame) -> DataFrame:
     """references (ref, owner, language, name) -> ref, target by ordered fallbacks.
 
@@ -70,16 +86,21 @@ def resolved(references: DataFrame, components: DataFrame) -> DataFrame:
     the unique exact name. The first of these with a target decides; an ambiguous
     name has no edge.
     """
-    index = name_index(components)
-    exact, simple = index.select("id", "key").distinct(), index.where("simple <> ''").select("id", F.col("simple").alias("key")).distinct()
-    spoken = index.select("id", "language", F.explode(F.array("key", "simple")).alias("key")).where("key <> ''").distinct()
-    tries = references.select("ref", "owner", "language", F.posexplode(F.array("name", F.substring_index("name", "::", -1), F.substring_index("name", ".", -1))).alias("cut", "key"))
-    found = None
-    for rank, (names, keys) in enumerate(((spoken, ["language", "key"]), (simple, ["key"]), (exact, ["key"]))):
-        refs = (tries.where("cut > 0") if names is simple else tries).withColumn("try", F.struct("ref", "cut"))
-        hit = unique_matches(refs, names, keys, "try").select("try.ref", F.struct(F.col("try.cut").alias("cut"), F.lit(rank).alias("rank")).alias("at"), "target")
-        found = hit if found is None else found.union(hit)
-    return found.groupBy("ref").agg(F.min_by("target", "at").alias("target"))
+    known = _by_key(name_index(components))
+    cuts = [F.col("name"), F.substring_index("name", "::", -1), F.substring_index("name", ".", -1)]
+    rows = references.select("ref", "owner", "language", *[x.alias(f"key{i}") for i, x in enumerate(cuts)])
+    # equal keys are looked up once: by the first cut that gives one, and for what isn't tried of the whole name (its simple ids) by the next one
+    later = F.when(F.col("key1") == F.col("key0"), 1).when(F.col("key2") == F.col("key0"), 2)
+    one = lambda i, new, again=None: F.when(new, F.struct(F.col(f"key{i}").alias("key"), F.lit(i).alias("cut"), (F.lit(None) if again is None else again).cast("int").alias("again")))
+    tries = F.array_compact(F.array(one(0, F.col("key0").isNotNull(), later), one(1, F.col("key1") != F.col("key0")), one(2, (F.col("key2") != F.col("key0")) & (F.col("key2") != F.col("key1")))))
+    hit = rows.select("ref", "owner", "language", F.explode(tries).alias("x")).select("ref", "owner", "language", "x.*").join(known, "key")
+    said = F.get(F.filter("spoken", lambda x: x["language"] == F.col("language")), 0)
+    hit = hit.select("ref", "cut", "again", *[_other(x, F.col("owner")).alias(k) for k, x in (("spoken", said), ("simple", F.col("simple")), ("exact", F.col("exact")))])
+    at = lambda cut, rank: F.struct(cut.alias("cut"), F.lit(rank).alias("rank"))
+    whole, first, simple = F.col("cut") == 0, F.col("spoken").isNotNull(), F.col("simple").isNotNull()
+    best = F.when(first, F.struct(at(F.col("cut"), 0).alias("at"), F.col("spoken").alias("target"))).when(~whole & simple, F.struct(at(F.col("cut"), 1).alias("at"), F.col("simple").alias("target")))
+    best = best.when(F.col("exact").isNotNull(), F.struct(at(F.col("cut"), 2).alias("at"), F.col("exact").alias("target"))).when(F.col("again").isNotNull() & simple, F.struct(at(F.col("again"), 1).alias("at"), F.col("simple").alias("target")))
+    return hit.select("ref", best.alias("x")).where("x is not null").groupBy("ref").agg(F.min_by("x.target", "x.at").alias("target"))
 
 
 def local_matches(references: DataFrame, components: DataFrame) -> DataFrame:

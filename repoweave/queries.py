@@ -79,12 +79,15 @@ def resolved_references(s, d):
     word = lambda i: F.split("p_name", " ")[i]
     pieces = ("p_type", word(1), F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey").cast("string")))
     qualified = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("::", *pieces)).otherwise(F.concat_ws(".", *pieces))
-    parts = T(s, d, "part").select(_part_id().alias("id"), F.concat(word(0), (F.col("p_partkey") % 300).cast("string")).alias("name"), qualified.alias("qualified_name"), F.col("p_brand").alias("language"))
-    made = T(s, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("owner"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"), F.pmod("l_orderkey", F.lit(6)).alias("form")).distinct()
-    whole = made.join(parts.select("id", "name", "qualified_name"), "id").join(parts.select(F.col("id").alias("owner"), "language"), "owner")
+    parts = T(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), _part_id().alias("id"), F.concat(word(0), (F.col("p_partkey") % 300).cast("string")).alias("name"), qualified.alias("qualified_name"), F.col("p_brand").alias("language"))
+    # keys travel as numbers, without names; equal rows become one where the first join has put them, equal references when they are resolved
+    made = T(s, d, "lineitem").select("l_suppkey", "l_partkey", F.pmod("l_orderkey", F.lit(6)).cast("byte").alias("form"))
+    spoken = T(s, d, "part").select(F.col("p_partkey").alias("l_suppkey"), F.col("p_brand").alias("language"))
+    whole = made.join(spoken, "l_suppkey").distinct().withColumn("owner", F.concat(F.lit("p"), F.col("l_suppkey").cast("string"))).drop("l_suppkey")
+    whole = whole.join(parts.drop("language"), "l_partkey")
     form = F.when(F.col("form") == 0, F.col("id")).when(F.col("form") == 1, F.col("name")).when(F.col("form") == 2, F.col("qualified_name")).when(F.col("form") == 3, F.concat(F.lit("a.b.c.d."), "name")).when(F.col("form") == 4, F.concat(F.lit("x::y::"), "name")).otherwise(F.concat(F.lit("q::"), "qualified_name"))
-    refs = whole.select("owner", "language", form.alias("name")).distinct().withColumn("ref", F.concat_ws("|", "owner", "name"))
-    return C.resolved(refs, parts)
+    refs = whole.select("owner", "language", form.alias("name")).withColumn("ref", F.concat_ws("|", "owner", "name"))
+    return C.resolved(refs, parts.drop("l_partkey"))
 
 
 def depends_on(s, d):

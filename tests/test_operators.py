@@ -63,6 +63,17 @@ def test_names_of_a_language_go_before_all(spark):
     assert rows(C.resolved(refs, comps)) == [(0, "a.py::Box"), (1, "a.py::Box"), (2, "c.go::Crate"), (3, "c.go::Crate"), (5, "b.go::Box"), (6, "d.rs::Only")]
 
 
+def test_references_travel_once_for_each_key(spark):
+    comps = spark.createDataFrame([("i1", "x::run", None, "go"), ("i2", "run", "a.run", "py"), ("i2", "run", "a.run", "rs"), ("i3", "stop", "b.stop", "py")], "id string, name string, qualified_name string, language string")
+    names = [("o", "go", "run"), ("o", "c", "run"), ("i2", "c", "run"), ("o", "c", "q::stop"), ("o", None, "stop"), ("o", "py", None), ("o", "c", "a.b::run"), (None, "rs", "run")]
+    refs = spark.createDataFrame([(i, *n) for i, n in enumerate([*names, names[0]])], "ref long, owner string, language string, name string")
+    out = C.resolved(refs.union(refs), comps)
+    assert rows(out) == [(0, "i1"), (1, "i2"), (2, "i1"), (3, "i3"), (4, "i3"), (6, "i2"), (7, "i2"), (8, "i1")]
+    # one join with what is known of a key, for a reference once with each of its different keys
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_budget_whatever_the_batch(spark):
     import random
 
